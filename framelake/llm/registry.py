@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import OP9_SQL, op9_chat_format
 from .common import table
 from .fingerprint import op2_fingerprints
 from .license_scan import op4_license_scan
 from .piece_transducer import op3_pieces
 from .quality_rules import op10_quality_rules
+from .secret_scan import op1_secret_scan
 from .token_counts import op7_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,13 +24,15 @@ def _over_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_secret_scan": _over_documents(op1_secret_scan),
         "op2_fingerprints": _over_documents(op2_fingerprints),
         "op3_pieces": _over_documents(op3_pieces),
         "op4_license_scan": _over_documents(op4_license_scan),
         "op7_token_counts": _over_documents(op7_token_counts),
+        "op9_chat_format": lambda spark, sf_dir: op9_chat_format(table(spark, sf_dir, "conversations")),
         "op10_quality_rules": lambda spark, sf_dir: op10_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_chat_format": OP9_SQL}
