@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import OP9_SQL, op9_chat_format
 from .common import table
+from .curve_packing import op8_packing
 from .fingerprint import op2_fingerprints
 from .license_scan import op4_license_scan
 from .piece_transducer import op3_pieces
+from .ppm_score import op5_lm_score
 from .quality_rules import op10_quality_rules
 from .secret_scan import op1_secret_scan
 from .token_counts import op7_token_counts
@@ -28,7 +30,9 @@ def queries() -> dict[str, Query]:
         "op2_fingerprints": _over_documents(op2_fingerprints),
         "op3_pieces": _over_documents(op3_pieces),
         "op4_license_scan": _over_documents(op4_license_scan),
+        "op5_lm_score": _over_documents(op5_lm_score),
         "op7_token_counts": _over_documents(op7_token_counts),
+        "op8_packing": _over_documents(op8_packing),
         "op9_chat_format": lambda spark, sf_dir: op9_chat_format(table(spark, sf_dir, "conversations")),
         "op10_quality_rules": lambda spark, sf_dir: op10_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     }
