@@ -10,6 +10,7 @@ from .chat_format import OP9_SQL, op9_chat_format
 from .common import table
 from .curve_packing import op8_packing
 from .fingerprint import op2_fingerprints
+from .jaccard_join import op6_jaccard_join
 from .license_scan import op4_license_scan
 from .piece_transducer import op3_pieces
 from .ppm_score import op5_lm_score
@@ -31,6 +32,7 @@ def queries() -> dict[str, Query]:
         "op3_pieces": _over_documents(op3_pieces),
         "op4_license_scan": _over_documents(op4_license_scan),
         "op5_lm_score": _over_documents(op5_lm_score),
+        "op6_jaccard_join": _over_documents(op6_jaccard_join),
         "op7_token_counts": _over_documents(op7_token_counts),
         "op8_packing": _over_documents(op8_packing),
         "op9_chat_format": lambda spark, sf_dir: op9_chat_format(table(spark, sf_dir, "conversations")),
