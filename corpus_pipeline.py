@@ -1,8 +1,56 @@
-"""Corpus cleaning as stages over the documents table."""
+"""Corpus cleaning in four stages over the documents table.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from framelake.llm.common import staged, table
+from framelake.llm.curve_packing import pack_along_curve
+from framelake.llm.jaccard_join import jaccard_components
+from framelake.llm.quality_rules import judge_quality
+from framelake.llm.secret_scan import redact
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep. Rows that share an id go or stay together; rows without one are judged alike."""
+    rejected = judge_quality(docs, table(spark, sf_dir, "labels")).where("not kept").select("doc_id").distinct()
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by shingle likeness: the one with the least id. Rows without an id stay."""
+    first = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
+    once = kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1").drop("__n")
+    return once.unionByName(docs.where("doc_id is null"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by a mark."""
+    done = redact(docs)
+    return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens along the curve."""
+    return pack_along_curve(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("packing", packing)]
+
+#: Shingle joins, fitted cutoffs and token ids have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = staged(docs)
+    return docs
