@@ -2,8 +2,8 @@
 
 The model is a trie of byte contexts up to ORDER bytes, counted over the training documents; lower orders are sums of
 the highest one, so the trie is a set of tables (context and symbol, count). A symbol unseen in a context escapes to
-the next shorter one: a context with T occurrences of D distinct symbols gives a symbol c / (T + D) and the escape
-D / (T + D), and symbols that the longer context has seen are excluded below it: their counts leave T and D. Beyond
+the next shorter one: of T occurrences of D distinct symbols a symbol with count c gets (c - 1/2) / T and the escape
+D / 2T, and symbols that the longer context has seen are excluded below it: their counts leave T and D. Beyond
 order 0 the symbols left share evenly. Bytes 0xFF, which no UTF-8 text has, stand before a text (ORDER of them) and end it.
 
 Documents are dealt into blocks. A block sends the distinct grams and words it holds, with their training counts, to
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, U64, id_text, span_hashes, words_of
 
-ORDER = 4
+ORDER = 5
 END_WORD = 1  # the key of the end, counted as a word
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 24_000_000
 GRAM, WORD = 0, 1
 _PAD = b"\xff" * ORDER
 
@@ -130,7 +130,7 @@ def gram_values(grams: DataFrame) -> DataFrame:
     out = grams.select("key", "c", F.lit(0.0).alias("value"), (F.col("c") > 0).alias("done"))
     left = out.where("not done").select("key", F.lit(0.0).alias("value"), F.lit(False).alias("done"))
     top = stats[ORDER]
-    done = seen[ORDER].withColumn("x", F.shiftright("g", 8)).join(top, "x").select(F.col("g").alias("key"), F.log10(F.col("c") / (F.col("t") + F.col("d"))).alias("value"))
+    done = seen[ORDER].withColumn("x", F.shiftright("g", 8)).join(top, "x").select(F.col("g").alias("key"), F.log10((F.col("c") - 0.5) / F.col("t")).alias("value"))
     for k in range(ORDER, -1, -1):
         own = stats[k].select(F.col("x").alias("x"), "t", "d")
         left = left.withColumn("x", context("key", k)).join(own, "x", "left").drop("x")
@@ -143,7 +143,7 @@ def gram_values(grams: DataFrame) -> DataFrame:
         whole = total + kinds  # 0 where the context is new or the longer one has seen all its symbols: no step is coded
         coded: Column = ~F.col("done") & F.col("t").isNotNull() & (kinds > 0)
         hit = coded & F.col("c").isNotNull()
-        step = F.when(hit, F.log10(F.col("c") / whole)).when(coded, F.log10(kinds / whole)).otherwise(F.lit(0.0))
+        step = F.when(hit, F.log10((F.col("c") - 0.5) / total)).when(coded, F.log10(kinds * 0.5 / total)).otherwise(F.lit(0.0))
         left = left.select("key", (F.col("value") + step).alias("value"), (F.col("done") | hit).alias("done"), *([F.col("d").alias("d0")] if k == 0 else []))
     rest = F.log10(1.0 / (256 - F.coalesce("d0", F.lit(0))))
     return done.unionByName(left.select("key", F.when(F.col("done"), F.col("value")).otherwise(F.col("value") + rest).alias("value")))
