@@ -1,19 +1,20 @@
-"""Every registered query and its DuckDB SQL."""
+"""Every registered query and its SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from . import catalog, filter_queries, join_queries, search_queries, source_queries, stat_queries, stream_queries  # noqa: F401
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The flagship search: exact cosine top-k, second pass, scene and folder de-duplication."""
+    return search_queries.search(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, catalog.Query]:
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog.SQL)
