@@ -20,6 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round gives every node's larger partners, then its smaller ones, to the least node it knows, which at
     least halves long chains. It ends when a round changes no link. Loops make a node known without a link.
     """
+    edges = staged(edges.select("a", "b"))
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     links = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = (-1, 0)
