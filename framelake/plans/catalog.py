@@ -24,7 +24,9 @@ def query(name: str, sql: str | None = None, uses: str = "") -> Callable[[Query]
             tables = list(dict.fromkeys(t for u in uses.split() for t in (*_NEEDS.get(u, ()), u)))
             parts = [_TABLES[t] for t in tables]
             body = sql.strip()
-            if body.upper().startswith("WITH "):
+            if body.upper().startswith("WITH RECURSIVE "):
+                SQL[name] = f"WITH RECURSIVE {', '.join([*parts, body[15:]])}"
+            elif body.upper().startswith("WITH "):
                 SQL[name] = f"WITH {', '.join([*parts, body[5:]])}"
             else:
                 SQL[name] = (f"WITH {', '.join(parts)} " if parts else "") + body
