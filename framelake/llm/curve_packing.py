@@ -1,7 +1,7 @@
 """Packing along a space-filling curve.
 
-Each document's token ids (with the end id) give a hashed vector: counts per id, scaled to length one and projected by
-signs that a hash of the id picks to DIMS coordinates. The coordinates' Hilbert key orders the documents, so that like
+Each document's token ids (with the end id) give a hashed vector: each id's share of them, projected by signs that a hash
+of the id picks to DIMS coordinates. The coordinates' Hilbert key orders the documents, so that like
 ones stand side by side; a hash of the row breaks ties, which also spreads large groups of copies over tasks. Along
 that order documents are laid end to end and cut at every multiple of the sequence length, so that only the last
 sequence has padding. Global offsets come from a range partition of the keys alone: running sums inside a partition
@@ -17,8 +17,10 @@ an empty result.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import U64, id_text, mix, staged
 
 DIMS, BITS = 3, 16
-MEMORY = 900_000
+MEMORY = 1_600_000
+_MARKS = b".,;:!?"
 _encoders: dict[str, RunEncoder] = {}
 
 
@@ -38,6 +41,10 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}H", *ids)
+
+
 class RunEncoder:
     """Token ids of texts as packed 16-bit integers, by way of a bounded memory of runs."""
 
@@ -52,15 +59,23 @@ class RunEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        """Runs are looked up in lower case, as the tokenizer takes them. A run that ends in one mark after a letter is
+        its parts' ids, one after the other: the tokenizer cuts there too."""
+        runs = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        new = list({r for rs in runs for r in rs if r not in known})
-        for at in range(0, len(new), 1 << 14):
-            part = new[at : at + (1 << 14)]
+        new = set().union(*runs).difference(known)
+        marked = [r for r in new if r[-1] in _MARKS and len(r) > 1 and 97 <= r[-2] <= 122]
+        plain = new.difference(marked)
+        plain.update(x for r in marked for x in (r[:-1], r[-1:]) if x not in known)
+        plain = list(plain)
+        for at in range(0, len(plain), 1 << 14):
+            part = plain[at : at + (1 << 14)]
             for r, e in zip(part, self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in part], add_special_tokens=False), strict=True):
-                known[r] = np.array(e.ids, "<u2").tobytes()
+                known[r] = _packed(e.ids)
+        for r in marked:
+            known[r] = known[r[:-1]] + known[r[-1:]]
         out = [b"".join(map(known.__getitem__, rs)) for rs in runs]
         for r in new:
             if len(r) > 64:  # rare ones, and large
@@ -102,19 +117,23 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def _signs(ids: np.ndarray) -> np.ndarray:
-    h = mix(ids.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(1))
-    return np.stack([1.0 - 2.0 * ((h >> U64(k)) & U64(1)).astype(np.float64) for k in range(DIMS)], axis=1)
+@cache
+def _signs() -> np.ndarray:
+    """DIMS signs for every 16-bit id."""
+    h = mix(np.arange(1 << 16, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(1))
+    return np.stack([1 - 2 * ((h >> U64(k)) & U64(1)).astype(np.int8) for k in range(DIMS)])
 
 
 def curve_keys(all_ids: list[np.ndarray]) -> np.ndarray:
-    """One Hilbert key for each document's ids."""
-    points = np.zeros((len(all_ids), DIMS))
-    for n, ids in enumerate(all_ids):
-        u, c = np.unique(ids, return_counts=True)
-        points[n] = (c[:, None] * _signs(u)).sum(0) / np.sqrt(float(c @ c))
-    squashed = 0.5 + np.arctan(points) / np.pi
-    return hilbert(np.minimum((squashed * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)) if len(all_ids) else np.zeros(0, np.int64)
+    """One Hilbert key for each document's ids: the mean of their signs, spread over the grid."""
+    if not all_ids:
+        return np.zeros(0, np.int64)
+    sizes = np.array([len(x) for x in all_ids])
+    cat = np.concatenate(all_ids)
+    starts = np.cumsum(sizes) - sizes
+    points = np.stack([np.add.reduceat(row[cat], starts, dtype=np.int64) for row in _signs()], axis=1) / sizes[:, None]
+    squashed = 0.5 + np.arctan(8 * points) / np.pi
+    return hilbert(np.minimum((squashed * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
 def tokenized(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
