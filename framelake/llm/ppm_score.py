@@ -6,10 +6,12 @@ the next shorter one: of T occurrences of D distinct symbols a symbol with count
 D / 2T, and symbols that the longer context has seen are excluded below it: their counts leave T and D. Beyond
 order 0 the symbols left share evenly. Bytes 0xFF, which no UTF-8 text has, stand before a text (ORDER of them) and end it.
 
-Documents are dealt into blocks. A block sends the distinct grams and words it holds, with their training counts, to
-one shuffle by key. There they meet the model, and every key's log probability, with all escapes settled, goes back to
-the blocks that asked. So nothing is broadcast, no task sees more than its share of the trie, and a gram is sent once
-for each block, however often it occurs. A word's key is a 63-bit hash.
+Documents are dealt into blocks, packed and compressed together for the shuffle. A block asks for the distinct grams
+and words it holds: for every part of the key space (a hash of the key) it sends one packed list of keys with their
+training counts. A part adds up the lists of all blocks, so the model is a table spread by key; the log probability of
+every gram, with all escapes settled, is worked out by joins of that table. Each part then answers each block's list,
+and the block scores its documents. Nothing is broadcast, no task holds more than a block or a part, and a key travels
+once for each block, however often it occurs. A word's key is a 62-bit hash.
 
 Texts are scored with A-Z in lower case. Null or empty text: the end alone. Repeated rows count and score each. Null
 ids count as the id ''. Without training documents all symbols are equally likely. Other columns are ignored.
@@ -18,13 +20,17 @@ ids count as the id ''. Without training documents all symbols are equally likel
 from __future__ import annotations
 
 import math
+import pickle
+import zlib
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, U64, id_text, span_hashes, words_of
+from .common import LOWER_BYTES, U64, id_text, mix, span_hashes, staged, words_of
 
 ORDER = 5
 END_WORD = 1  # the key of the end, counted as a word
@@ -49,24 +55,51 @@ def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _word_keys(text: str) -> np.ndarray:
-    return span_hashes(*words_of(text)) >> U64(1) | U64(2)
+    return span_hashes(*words_of(text)) >> U64(2) | U64(2)
 
 
-def _tally(keys: list[np.ndarray], held: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and how often training documents have them."""
-    tagged = np.concatenate([(k << U64(1)) | U64(h) for k, h in zip(keys, held, strict=True)]) if keys else np.zeros(0, U64)
-    u, c = np.unique(tagged, return_counts=True)
-    key, at = np.unique(u >> U64(1), return_index=True)
-    return key, np.add.reduceat(np.where(u & U64(1), 0, c), at) if len(key) else np.zeros(0, np.int64)
+def _pack(x: np.ndarray) -> bytes:
+    """Sorted keys or counts as differences, byte planes together, compressed."""
+    d = np.diff(x.astype(np.int64), prepend=np.int64(0)).view(np.uint8).reshape(-1, 8)
+    return zlib.compress(np.ascontiguousarray(d.T).tobytes(), 1)
 
 
-def _asked(table: pa.Table) -> pa.Table:
-    """The distinct keys of a block and their training counts."""
-    out: list[tuple[int, np.ndarray, np.ndarray]] = []
-    text, held = table.column("text").to_pylist(), np.array(table.column("held").to_pylist(), bool)
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
+
+
+def _bundles(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Documents of each block, many to a compressed row."""
+    pool: dict[int, list[tuple]] = {}
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        rows = [(block, zlib.compress(pickle.dumps(docs, 5), 1)) for block, docs in pool.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "docs"])
+
+    for batch in batches:
+        for doc_id, text, held_out, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            pool.setdefault(block, []).append((doc_id, text, held_out))
+            held += len(text)
+            if held > size * 16:
+                yield flush()
+                pool, held = {}, 0
+    if pool:
+        yield flush()
+
+
+def _documents(table: pa.Table) -> list[tuple]:
+    """A block's documents, in an order that does not depend on how its rows came."""
+    docs = [d for raw in table.column("docs").to_pylist() for d in pickle.loads(zlib.decompress(raw))]
+    return sorted(docs, key=lambda d: (d[0] is None, d[0], d[1]))
+
+
+def _distinct(docs: list[tuple]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct grams, then words, of a block, with their training counts."""
+    seen: list[tuple[np.ndarray, np.ndarray]] = []
     for flag in (False, True):
-        chosen = [t.encode("utf-8", "surrogatepass").translate(LOWER_BYTES) for t, h in zip(text, held, strict=True) if h == flag]
+        chosen = [t.encode("utf-8", "surrogatepass").translate(LOWER_BYTES) for _, t, h in docs if h == flag]
         at = 0
         while at < len(chosen):
             end, size = at, 0
@@ -74,37 +107,87 @@ def _asked(table: pa.Table) -> pa.Table:
                 size += len(chosen[end])
                 end += 1
             u, c = np.unique(_grams(chosen[at:end])[0], return_counts=True)
-            parts.append((u, c * (not flag)))
+            seen.append((u, c * (not flag)))
             at = end
-    keys, inverse = np.unique(np.concatenate([u for u, _ in parts]), return_inverse=True)
-    out.append((GRAM, keys, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)))
-    ends = [np.array([END_WORD], U64)] * len(text)
-    out.append((WORD, *_tally([*map(_word_keys, text), *ends], [*held, *held])))
-    n = sum(len(k) for _, k, _ in out)
-    return pa.table({
-        "block": pa.array(np.full(n, table.column("block")[0].as_py()), pa.int32()), "kind": pa.array(np.concatenate([np.full(len(k), kind) for kind, k, _ in out]), pa.int8()),
-        "key": pa.array(np.concatenate([k for _, k, _ in out]).view(np.int64)), "n": pa.array(np.concatenate([c for _, _, c in out]), pa.int64()),
-    })
+    out = [seen]
+    words = [(np.unique(np.append(_word_keys(t), U64(END_WORD)), return_counts=True), h) for _, t, h in docs]
+    out.append([(u, c * (not h)) for (u, c), h in words])
+    made = []
+    for parts in out:
+        keys, inverse = np.unique(np.concatenate([u for u, _ in parts]), return_inverse=True)
+        made.append((keys, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)))
+    return made[0], made[1]
+
+
+def _dealt(keys: np.ndarray, parts: int) -> list[np.ndarray]:
+    """Positions of the keys of each part, in order."""
+    part = (mix(keys) >> U64(20)) % U64(parts)
+    order = np.argsort(part, kind="stable")
+    return np.split(order, np.searchsorted(part[order], np.arange(1, parts, dtype=U64)))
+
+
+ASKED = "block int, part int, grams binary, gram_counts binary, words binary, word_counts binary"
+
+
+def _ask(table: pa.Table, parts: int) -> pa.Table:
+    (grams, gc), (words, wc) = _distinct(_documents(table))
+    block = table.column("block")[0].as_py()
+    rows = []
+    for p, (g, w) in enumerate(zip(_dealt(grams, parts), _dealt(words, parts), strict=True)):
+        if len(g) or len(w):
+            rows.append((block, p, _pack(grams[g]), _pack(gc[g]), _pack(words[w]), _pack(wc[w])))
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=["block", "part", "grams", "gram_counts", "words", "word_counts"])
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    """Total training counts of a part's keys."""
+    out = []
+    for kind, (a, b) in ((GRAM, ("grams", "gram_counts")), (WORD, ("words", "word_counts"))):
+        keys = np.concatenate([_unpack(x) for x in table.column(a).to_pylist()])
+        counts = np.concatenate([_unpack(x) for x in table.column(b).to_pylist()])
+        u, inverse = np.unique(keys, return_inverse=True)
+        out.append((kind, u, np.bincount(inverse, counts, len(u)).astype(np.int64)))
+    part = table.column("part")[0].as_py()
+    n = sum(len(u) for _, u, _ in out)
+    return pa.table({"part": pa.array(np.full(n, part), pa.int32()), "kind": pa.array(np.concatenate([np.full(len(u), k) for k, u, _ in out]), pa.int8()), "key": pa.array(np.concatenate([u for _, u, _ in out]), pa.int64()), "c": pa.array(np.concatenate([c for _, _, c in out]), pa.int64())})
+
+
+def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """For each block's list of a part: the grams' log probabilities and the words' counts, in the order of the list."""
+    tables = []
+    for kind in (GRAM, WORD):
+        at = model.column("kind").to_numpy() == kind
+        keys, values = model.column("key").to_numpy()[at], model.column("value").to_numpy()[at]
+        order = np.argsort(keys)
+        tables.append((keys[order], values[order]))
+    rows = []
+    for block, part, grams, words in zip(*(asked.column(c).to_pylist() for c in ("block", "part", "grams", "words")), strict=True):
+        g, w = (v[np.searchsorted(k, _unpack(x))] for (k, v), x in zip(tables, (grams, words), strict=True))
+        rows.append((block, part, g.astype(np.float32).tobytes(), zlib.compress(w.astype(np.int64).tobytes(), 1)))
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], names=["block", "part", "gram_values", "word_values"])
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scored(docs: pa.Table, model: pa.Table) -> pa.Table:
+def _scored(docs: pa.Table, answers: pa.Table, parts: int, tokens: int, distinct: int) -> pa.Table:
     """A block's documents with the values of their keys."""
-    kind, key, value, known = (model.column(c).to_numpy() for c in ("kind", "key", "value", "known"))
-    tables = []
-    for k in (GRAM, WORD):
-        at = kind == k
-        order = np.argsort(key[at].view(U64))
-        tables.append((key[at].view(U64)[order], value[at][order], known[at][order]))
     rows: list[tuple] = []
-    for doc_id, text, held in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "text", "held")), strict=True):
-        words = np.append(_word_keys(text), U64(END_WORD))
-        grams, _ = _grams([text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES)])
-        w = np.searchsorted(tables[WORD][0], words)
-        g = np.searchsorted(tables[GRAM][0], grams)
-        rows.append((doc_id, held, len(words), int(tables[WORD][2][w].sum()), float(tables[WORD][1][w].sum()), float(tables[GRAM][1][g].sum())))
+    if docs.num_rows:
+        docs_ = _documents(docs)
+        (grams, _), (words, _) = _distinct(docs_)
+        gv, wv = np.zeros(len(grams)), np.zeros(len(words), np.int64)
+        dealt = list(zip(_dealt(grams, parts), _dealt(words, parts), strict=True))
+        for p, g, w in zip(*(answers.column(c).to_pylist() for c in ("part", "gram_values", "word_values")), strict=True):
+            gv[dealt[p][0]] = np.frombuffer(g, np.float32)
+            wv[dealt[p][1]] = np.frombuffer(zlib.decompress(w), np.int64)
+        base = np.log10((wv + 0.1) / (tokens + 0.1 * (distinct + 1)))
+        for doc_id, text, held in docs_:
+            w = np.searchsorted(words, np.append(_word_keys(text), U64(END_WORD)))
+            g = np.searchsorted(grams, _grams([text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES)])[0])
+            rows.append((doc_id, held, len(w), int(np.count_nonzero(wv[w])), float(base[w].sum()), float(gv[g].sum())))
     columns = list(zip(*rows, strict=True)) if rows else [()] * 6
     kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
     return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SCORES.split(", ")])
@@ -153,21 +236,22 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     """Scores of all documents by a model trained on those for which held_out (over doc_id) is false."""
     texts = id_text(docs, id_col, text_col).withColumn("held", F.coalesce(held_out, F.lit(False)))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(8, math.ceil(size / block_bytes))
-    blocks = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "block")
-    asked = blocks.groupBy("block").applyInArrow(_asked, "block int, kind byte, key long, n long")
-    width = max(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    asked = asked.repartition(width, "kind", "key")
-    counts = asked.groupBy("kind", "key").agg(F.sum("n").alias("c"))
+    n = max(2, math.ceil(size / block_bytes))
+    parts = max(n, 12)
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).mapInArrow(_bundles, "block int, docs binary")
+    blocks = dealt.repartition(n, "block").groupBy("block")
+    asked = staged(blocks.applyInArrow(lambda table: _ask(table, parts), ASKED))
+    by_part = asked.repartition(parts, "part").groupBy("part")
+    counts = staged(by_part.applyInArrow(_add_up, "part int, kind byte, key long, c long"))
     words = counts.where(F.col("kind") == WORD)
-    totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("train_tokens"), F.count_if(F.col("c") > 0).alias("distinct"))
-    base = F.log10((F.col("c") + 0.1) / (F.col("train_tokens") + 0.1 * (F.col("distinct") + 1)))
-    word_values = words.crossJoin(F.broadcast(totals)).select("kind", "key", base.alias("value"), (F.col("c") > 0).alias("known"))
-    grams = gram_values(counts.where(F.col("kind") == GRAM).select("key", "c"))
-    values = word_values.unionByName(grams.select(F.lit(GRAM).cast("byte").alias("kind"), "key", "value", F.lit(True).alias("known")))
-    answers = asked.select("block", "kind", "key").join(values, ["kind", "key"]).repartition(n, "block")
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored, SCORES)
-    return scored.crossJoin(F.broadcast(totals.select("train_tokens")))
+    tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    grams = counts.where(F.col("kind") == GRAM)
+    values = grams.select("part", "kind", "key").join(gram_values(grams.select("key", "c")), "key").select("part", "kind", "key", "value")
+    model = values.unionByName(words.select("part", "kind", "key", F.col("c").cast("double").alias("value"))).repartition(parts, "part")
+    answers = asked.select("block", "part", "grams", "words").repartition(parts, "part").groupBy("part").cogroup(model.groupBy("part")).applyInArrow(_answer, "block int, part int, gram_values binary, word_values binary")
+    score = partial(_scored, parts=parts, tokens=int(tokens), distinct=int(distinct))
+    scored = blocks.cogroup(answers.repartition(n, "block").groupBy("block")).applyInArrow(lambda a, b: score(a, b), SCORES)
+    return scored.withColumn("train_tokens", F.lit(int(tokens)).cast("long"))
 
 
 def op5_lm_score(docs: DataFrame) -> DataFrame:
