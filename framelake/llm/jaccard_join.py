@@ -2,17 +2,20 @@
 
 A document's set holds the 64-bit hashes of its windows of five lower-cased words. Documents with equal sets form a
 class, and only its first document goes on. Under one global order of shingles (frequent ones last), two sets that
-reach the threshold share a shingle among the first |A| - ceil(t|A|) + 1 of each, and their sizes differ by no more
-than the factor t. Those shingles, one shuffle, join classes into families: inside a shingle's list, in the order of
-sizes, classes are tied to the first of their run until a step in size exceeds the factor. The overlap counts of a
-family are the product of its incidence matrix with its transpose. It is computed block by block: a family of many
-classes is dealt into blocks, every pair of blocks is a task of its own, stripes of rows meet only the rows whose sizes
-allow the threshold, and columns that one row alone has are left out. Only what ties linked classes together, and each
-class's number of links, leaves a task, so rows never grow with the square of a group.
+reach the threshold share a shingle among the first |A| - ceil(t|A|) + 1 of each (their heads), and their sizes differ
+by no more than the factor t. One shuffle brings the heads' shingles together. Lists of up to SMALL classes give pairs,
+whose overlap in the heads is counted; what else two sets may share is bounded by the longer tail plus the shingles of
+the heads that stand in longer lists, and pairs that can't reach the threshold even so are dropped. In longer lists, in
+the order of sizes, classes are tied to the first of their run until a step in size exceeds the factor. Both kinds of
+ties join classes into families. The overlap counts of a family are the product of its incidence matrix with its
+transpose. It is computed block by block: a family of many classes is dealt into blocks, every pair of blocks is a task
+of its own, stripes of rows meet only the rows whose sizes allow the threshold, and columns that one row alone has are
+left out. Only what ties linked classes together, and each class's number of links, leaves a task, so rows never grow
+with the square of a group.
 
 The order of shingles only saves work; any order gives the same links. Its frequent ones are found by counting, in
 every task, shingles that occur again among the texts it reads, and the most frequent FREQUENT of the sums are sent
-to all tasks (2 MB at most).
+to all tasks (8 MB at most).
 
 Null or empty text: an empty set, linked with nothing. Documents without an id are not linked and have no component.
 Rows that share an id count as one document's. An empty table gives an empty result; other columns are ignored.
@@ -32,7 +35,8 @@ from .common import U64, id_text, mix, span_hashes, staged, windows, words_of
 from .graph import components
 
 WIDTH, PERCENT = 5, 80
-FREQUENT = 1 << 17
+FREQUENT = 1 << 19
+SMALL = 16
 BLOCK_ROWS, BLOCK_CELLS = 1024, 2_000_000
 
 
@@ -88,19 +92,23 @@ def _profile(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
 def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, frequent) -> Iterator[pa.RecordBatch]:
     """(shingle, cls, size) of each set's first shingles in the global order."""
     hashes, ranks = frequent.value
+    met: set[tuple[int, int]] = set()
     for batch in batches:
         out: list[tuple[np.ndarray, int, int]] = []
         for text in batch.column(0).to_pylist():
             s = shingles(text, width)
             n = len(s)
-            if not n:
+            cls = class_keys(s)
+            if not n or cls in met:
                 continue
+            if len(met) < 1 << 18:
+                met.add(cls)
             keep = n - (percent * n + 99) // 100 + 1
             if len(hashes):
                 at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
                 rank = np.where(hashes[at] == s, ranks[at], 0)
                 s = s[np.argsort(rank, kind="stable")]
-            out.append((s[:keep], class_keys(s)[0], n))
+            out.append((s[:keep], cls[0], n))
         sizes = [len(x[0]) for x in out]
         cat = np.concatenate([x[0] for x in out]) if out else np.zeros(0, U64)
         yield pa.RecordBatch.from_arrays([pa.array(cat.view(np.int64)), pa.array(np.repeat(np.array([x[1] for x in out], np.int64), sizes)), pa.array(np.repeat(np.array([x[2] for x in out], np.int32), sizes))], names=["shingle", "cls", "size"])
@@ -195,7 +203,28 @@ def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     hashes = top["shingle"].to_numpy(np.int64).view(U64) if len(top) else np.zeros(0, U64)
     order = np.argsort(hashes)
     times = top["times"].to_numpy(np.int64) if len(top) else np.zeros(0, np.int64)
-    return hashes[order], times[order]
+    return hashes[order], times[order].astype(np.int32)
+
+
+def _ties(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes that may be linked, or stand in one chain of such classes. lists: (shingle, cls, size)."""
+    shared = staged(lists.withColumn("members", F.count("*").over(Window.partitionBy("shingle"))).where("members > 1"))
+    inside = shared.where(F.col("members") <= SMALL).groupBy("shingle").agg(F.array_sort(F.collect_set(F.struct("size", "cls"))).alias("s"))
+    two = F.flatten(F.transform("s", lambda x, i: F.transform(F.filter(F.slice("s", i + 2, F.size("s")), lambda y: x["size"] * 100 >= y["size"] * percent), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    pairs = inside.where(F.size("s") > 1).select(F.explode(two).alias("p")).groupBy("p.x", "p.y").agg(F.count("*").alias("both"))
+    pairs = pairs.select(F.col("x.cls").alias("a"), F.col("x.size").alias("na"), F.col("y.cls").alias("b"), F.col("y.size").alias("nb"), "both")
+
+    long = shared.where(F.col("members") > SMALL)
+    extra = long.groupBy("cls").agg(F.count_distinct("shingle").alias("q"))
+    pairs = pairs.join(extra.select(F.col("cls").alias("a"), F.col("q").alias("qa")), "a", "left").join(extra.select(F.col("cls").alias("b"), F.col("q").alias("qb")), "b", "left")
+    tail = lambda n: F.ceil(F.col(n) * percent / 100) - 1
+    most = F.col("both") + F.least(F.coalesce("qa", F.lit(0)), F.coalesce("qb", F.lit(0))) + F.greatest(tail("na"), tail("nb"))
+    close = pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+
+    along = Window.partitionBy("shingle").orderBy("size", "cls")
+    step = (F.lag("size").over(along) * 100 < F.col("size") * percent) | F.lag("size").over(along).isNull()
+    runs = long.withColumn("start", F.when(step, F.col("cls"))).withColumn("first", F.last("start", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return close.unionByName(runs.where("first <> cls").select(F.col("first").alias("a"), F.col("cls").alias("b"))).distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,10 +237,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     classes = rows.where("size > 0 and doc_id is not null").groupBy("cls", "check", "size").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
 
     lists = texts.where("doc_id is not null").select("text").mapInArrow(partial(_prefixes, width=width, percent=percent, frequent=frequent), "shingle long, cls long, size int")
-    along = Window.partitionBy("shingle").orderBy("size", "cls")
-    step = (F.lag("size").over(along) * 100 < F.col("size") * percent) | F.lag("size").over(along).isNull()
-    tied = lists.withColumn("start", F.when(step, F.col("cls"))).withColumn("first", F.last("start", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    families = components(tied.where("first <> cls").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct())
+    families = components(_ties(lists, percent))
 
     members = classes.join(families.select(F.col("node").alias("cls"), F.col("component").alias("family")), "cls")
     load = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("cells")).where("n > 1")
