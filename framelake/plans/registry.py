@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, filter_queries, join_queries, search_queries, source_queries, stat_queries, stream_queries  # noqa: F401
+from . import catalog, filter_queries, join_queries, model_queries, search_queries, source_queries, stat_queries, stream_queries  # noqa: F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
