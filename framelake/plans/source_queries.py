@@ -123,3 +123,33 @@ def b13(spark, sf_dir):
 def b14(spark, sf_dir):
     listing.check_extensions({"image": listing.IMAGE_EXTENSIONS, "video": listing.VIDEO_EXTENSIONS})
     return media_files(spark, sf_dir).select("id", extension(F.col("file_path")).alias("ext"), listing.file_type(F.col("file_path")).alias("media_type"))
+
+
+def _side_files(df: DataFrame, kind: str) -> str:
+    """A derived side file written to a new shared folder."""
+    from .stream_queries import _scratch
+
+    path = _scratch(df.sparkSession)
+    (df.write.option("header", True).csv(path) if kind == "csv" else df.write.json(path))
+    return path
+
+
+@query("a09_sensor_csv", "SELECT activity_level, count(*) AS n, round(avg(heart_rate_bpm), 6) AS rate, round(avg(stress_index), 6) AS stress, max(timestamp) AS last FROM (SELECT ts AS timestamp, value AS heart_rate_bpm, event_type AS activity_level, value / 500 AS stress_index FROM events) GROUP BY 1")
+def a09(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    rows = e.select(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), F.col("value").alias("heart_rate_bpm"), F.col("event_type").alias("activity_level"), (F.col("value") / 500).alias("stress_index"))
+    back = stores.read_sensor_csv(spark, _side_files(rows, "csv"))
+    return back.groupBy("activity_level").agg(F.count("*").alias("n"), F.round(F.avg("heart_rate_bpm"), 6).alias("rate"), F.round(F.avg("stress_index"), 6).alias("stress"), F.max("timestamp").alias("last"))
+
+
+@query("a10_detection_json", "SELECT 'v' || id AS id, cast(id % 4 AS int) AS yolo_object_count, label AS first_label FROM frames WHERE id % 3 = 0", "frames")
+def a10(spark, sf_dir):
+    rows = frames(spark, sf_dir).where("id % 3 = 0").select(F.concat(F.lit("v"), F.col("id")).alias("id"), F.array("label").alias("yolo_labels"), (F.col("id") % 4).cast("int").alias("yolo_object_count"), F.lit("m").alias("yolo_model"))
+    back = spark.read.schema(stores.DETECTION_SCHEMA).json(_side_files(rows, "json"))
+    return back.select("id", "yolo_object_count", F.col("yolo_labels")[0].alias("first_label"))
+
+
+@query("a11_question_json", "SELECT cast(item_id AS varchar) AS id, substr(text, 1, 40) AS question FROM benchmark")
+def a11(spark, sf_dir):
+    rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.substring("text", 1, 40).alias("question"), F.col("text").alias("ground_truth"), F.array().cast("array<string>").alias("relevant_file_ids"))
+    return spark.read.schema(stores.QUESTION_SCHEMA).json(_side_files(rows, "json")).select("id", "question")
