@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -115,13 +115,3 @@ def words_of(text: str, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.
     return buf, *spans(~BLANK[buf])
 
 
-def pieces(items: Iterable, size: int) -> Iterable[list]:
-    """Lists of at most size items."""
-    out: list = []
-    for x in items:
-        out.append(x)
-        if len(out) >= size:
-            yield out
-            out = []
-    if out:
-        yield out

@@ -24,17 +24,18 @@ import pickle
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, U64, id_text, mix, span_hashes, staged, words_of
+from .common import BLANK, LOWER_BYTES, U64, id_text, mix, span_hashes, spans, staged
 
 ORDER = 5
 END_WORD = 1  # the key of the end, counted as a word
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 14_000_000
 GRAM, WORD = 0, 1
 _PAD = b"\xff" * ORDER
 
@@ -54,19 +55,60 @@ def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[use], firsts
 
 
-def _word_keys(text: str) -> np.ndarray:
-    return span_hashes(*words_of(text)) >> U64(2) | U64(2)
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all texts' words, each text's end after its own, and each text's first position."""
+    buf = np.frombuffer(b" ".join(texts), np.uint8)
+    starts, ends = spans(~BLANK[buf])
+    keys = span_hashes(buf, starts, ends) >> U64(2) | U64(2)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    stops = np.searchsorted(starts, np.cumsum(sizes))
+    keys = np.insert(keys, stops, U64(END_WORD))
+    stops = stops + np.arange(1, len(texts) + 1)
+    return keys, np.concatenate(([0], stops[:-1]))
+
+
+def _slices(docs: list[tuple], size: int = 1 << 19) -> Iterator[tuple[bool, list[tuple], list[bytes]]]:
+    """Whether held out, documents and lower-cased texts of runs of documents, about so many bytes each."""
+    for held, own in groupby(docs, key=lambda d: d[2]):
+        part: list[tuple] = []
+        texts: list[bytes] = []
+        total = 0
+        for d in own:
+            raw = d[1].encode("utf-8", "surrogatepass").translate(LOWER_BYTES)
+            if part and total + len(raw) > size:
+                yield held, part, texts
+                part, texts, total = [], [], 0
+            part.append(d)
+            texts.append(raw)
+            total += len(raw)
+        if part:
+            yield held, part, texts
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Sorted keys or counts as differences, byte planes together, compressed."""
-    d = np.diff(x.astype(np.int64), prepend=np.int64(0)).view(np.uint8).reshape(-1, 8)
-    return zlib.compress(np.ascontiguousarray(d.T).tobytes(), 1)
+    """Numbers with their byte planes together, compressed."""
+    return zlib.compress(np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _pack_sorted(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x.astype(np.int64), prepend=np.int64(0)))
 
 
 def _unpack(raw: bytes) -> np.ndarray:
     planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
+
+
+def _unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw))
+
+
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
+
+
+def _expand(raw: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
 
 
 def _bundles(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -75,7 +117,7 @@ def _bundles(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterat
     held = 0
 
     def flush() -> pa.RecordBatch:
-        rows = [(block, zlib.compress(pickle.dumps(docs, 5), 1)) for block, docs in pool.items()]
+        rows = [(block, _squeeze(pickle.dumps(docs, 5))) for block, docs in pool.items()]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "docs"])
 
     for batch in batches:
@@ -91,32 +133,45 @@ def _bundles(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterat
 
 def _documents(table: pa.Table) -> list[tuple]:
     """A block's documents, in an order that does not depend on how its rows came."""
-    docs = [d for raw in table.column("docs").to_pylist() for d in pickle.loads(zlib.decompress(raw))]
-    return sorted(docs, key=lambda d: (d[0] is None, d[0], d[1]))
+    docs = [d for raw in table.column("docs").to_pylist() for d in pickle.loads(_expand(raw))]
+    return sorted(docs, key=lambda d: (d[2], d[0] is None, d[0] or 0, d[1]))
 
 
-def _distinct(docs: list[tuple]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+def _distinct(docs: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sorted distinct grams, then words, of a block, with their training counts."""
-    seen: list[tuple[np.ndarray, np.ndarray]] = []
-    for flag in (False, True):
-        chosen = [t.encode("utf-8", "surrogatepass").translate(LOWER_BYTES) for _, t, h in docs if h == flag]
-        at = 0
-        while at < len(chosen):
-            end, size = at, 0
-            while end < len(chosen) and (end == at or size + len(chosen[end]) < 1 << 21):
-                size += len(chosen[end])
-                end += 1
-            u, c = np.unique(_grams(chosen[at:end])[0], return_counts=True)
-            seen.append((u, c * (not flag)))
-            at = end
-    out = [seen]
-    words = [(np.unique(np.append(_word_keys(t), U64(END_WORD)), return_counts=True), h) for _, t, h in docs]
-    out.append([(u, c * (not h)) for (u, c), h in words])
     made = []
-    for parts in out:
-        keys, inverse = np.unique(np.concatenate([u for u, _ in parts]), return_inverse=True)
-        made.append((keys, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)))
-    return made[0], made[1]
+    for keys_of in (_grams, _words):
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        for held, _, texts in _slices(docs, 1 << 21 if keys_of is _grams else 1 << 19):
+            u, c = np.unique(keys_of(texts)[0], return_counts=True)
+            seen.append((u, c * (not held)))
+        keys, inverse = np.unique(np.concatenate([u for u, _ in seen]), return_inverse=True)
+        made.append((keys, np.bincount(inverse, np.concatenate([c for _, c in seen]), len(keys)).astype(np.int64)))
+    return made
+
+
+class Index:
+    """Positions of keys in a sorted array, by slots of a hash: a few passes over a table that fits a cache."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(len(keys)).bit_length() + 1)
+        slot = self._slot(keys)
+        self.order = np.argsort(slot, kind="stable").astype(np.int32)
+        self.keys = np.append(keys[self.order], U64(0))
+        self.first = np.searchsorted(slot[self.order], np.arange(1 << self.bits, dtype=np.int64)).astype(np.int32)
+        self.order = np.append(self.order, np.int32(0))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """All keys must be there."""
+        at = self.first[self._slot(keys)]
+        left = np.flatnonzero(self.keys[at] != keys)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] != keys[left]]
+        return self.order[at]
 
 
 def _dealt(keys: np.ndarray, parts: int) -> list[np.ndarray]:
@@ -135,7 +190,7 @@ def _ask(table: pa.Table, parts: int) -> pa.Table:
     rows = []
     for p, (g, w) in enumerate(zip(_dealt(grams, parts), _dealt(words, parts), strict=True)):
         if len(g) or len(w):
-            rows.append((block, p, _pack(grams[g]), _pack(gc[g]), _pack(words[w]), _pack(wc[w])))
+            rows.append((block, p, _pack_sorted(grams[g]), _pack(gc[g]), _pack_sorted(words[w]), _pack(wc[w])))
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=["block", "part", "grams", "gram_counts", "words", "word_counts"])
 
@@ -144,7 +199,7 @@ def _add_up(table: pa.Table) -> pa.Table:
     """Total training counts of a part's keys."""
     out = []
     for kind, (a, b) in ((GRAM, ("grams", "gram_counts")), (WORD, ("words", "word_counts"))):
-        keys = np.concatenate([_unpack(x) for x in table.column(a).to_pylist()])
+        keys = np.concatenate([_unpack_sorted(x) for x in table.column(a).to_pylist()])
         counts = np.concatenate([_unpack(x) for x in table.column(b).to_pylist()])
         u, inverse = np.unique(keys, return_inverse=True)
         out.append((kind, u, np.bincount(inverse, counts, len(u)).astype(np.int64)))
@@ -163,7 +218,7 @@ def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
         tables.append((keys[order], values[order]))
     rows = []
     for block, part, grams, words in zip(*(asked.column(c).to_pylist() for c in ("block", "part", "grams", "words")), strict=True):
-        g, w = (v[np.searchsorted(k, _unpack(x))] for (k, v), x in zip(tables, (grams, words), strict=True))
+        g, w = (v[np.searchsorted(k, _unpack_sorted(x))] for (k, v), x in zip(tables, (grams, words), strict=True))
         rows.append((block, part, g.astype(np.float32).tobytes(), zlib.compress(w.astype(np.int64).tobytes(), 1)))
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], names=["block", "part", "gram_values", "word_values"])
@@ -176,18 +231,23 @@ def _scored(docs: pa.Table, answers: pa.Table, parts: int, tokens: int, distinct
     """A block's documents with the values of their keys."""
     rows: list[tuple] = []
     if docs.num_rows:
-        docs_ = _documents(docs)
-        (grams, _), (words, _) = _distinct(docs_)
+        own = _documents(docs)
+        (grams, _), (words, _) = _distinct(own)
         gv, wv = np.zeros(len(grams)), np.zeros(len(words), np.int64)
         dealt = list(zip(_dealt(grams, parts), _dealt(words, parts), strict=True))
         for p, g, w in zip(*(answers.column(c).to_pylist() for c in ("part", "gram_values", "word_values")), strict=True):
             gv[dealt[p][0]] = np.frombuffer(g, np.float32)
             wv[dealt[p][1]] = np.frombuffer(zlib.decompress(w), np.int64)
         base = np.log10((wv + 0.1) / (tokens + 0.1 * (distinct + 1)))
-        for doc_id, text, held in docs_:
-            w = np.searchsorted(words, np.append(_word_keys(text), U64(END_WORD)))
-            g = np.searchsorted(grams, _grams([text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES)])[0])
-            rows.append((doc_id, held, len(w), int(np.count_nonzero(wv[w])), float(base[w].sum()), float(gv[g].sum())))
+        gram_index, word_index = Index(grams), Index(words)
+        for held, part, texts in _slices(own):
+            keys, first_gram = _grams(texts)
+            score = np.add.reduceat(gv[gram_index.find(keys)], first_gram)
+            keys, first_word = _words(texts)
+            at = word_index.find(keys)
+            n = np.diff(np.append(first_word, len(keys)))
+            known, low = np.add.reduceat((wv[at] > 0).astype(np.int64), first_word), np.add.reduceat(base[at], first_word)
+            rows += zip((d[0] for d in part), [held] * len(part), n.tolist(), known.tolist(), low.tolist(), score.tolist(), strict=True)
     columns = list(zip(*rows, strict=True)) if rows else [()] * 6
     kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
     return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SCORES.split(", ")])
@@ -203,7 +263,7 @@ def gram_values(grams: DataFrame) -> DataFrame:
     context = lambda c, k: F.shiftright(part(c, k), 8)
     seen: dict[int, DataFrame] = {ORDER: grams.where("c > 0").select(F.col("key").alias("g"), "c")}
     for k in range(ORDER - 1, -1, -1):
-        seen[k] = seen[k + 1].groupBy(part("g", k).alias("g")).agg(F.sum("c").alias("c"))
+        seen[k] = staged(seen[k + 1].groupBy(part("g", k).alias("g")).agg(F.sum("c").alias("c")))
     stats = {k: seen[k].groupBy(F.shiftright("g", 8).alias("x")).agg(F.sum("c").alias("t"), F.count("*").alias("d")) for k in seen}
     # By the longer context: how much of the shorter one's occurrences belongs to symbols that the longer one has seen.
     excluded = {
