@@ -72,11 +72,11 @@ def enrich(frames: DataFrame, results: DataFrame, columns: list[str], key: str =
 
 def nearest_label(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, label_index, similarity): the most similar of a fixed, small vocabulary (label_index, label_vector), the
-    first of equals. All pairs are one matrix product in a batch; see search.cosine_topk."""
-    from .search import cosine_topk
+    first of equals. All pairs are one matrix product in a batch; see search.cosine_scores."""
+    from .search import cosine_scores
 
     asked = labels.select(F.col("label_index").cast("long").alias("query_id"), F.col("label_vector").alias("query_vector"))
-    pairs = cosine_topk(vectors, asked, 1 << 30, -2.0).select("id", F.col("query_id").alias("label_index"), "score")
+    pairs = cosine_scores(vectors, asked, -2.0).select("id", F.col("query_id").alias("label_index"), "score")
     best = F.max_by(F.struct("label_index", "score"), F.struct("score", -F.col("label_index")))
     return pairs.groupBy("id").agg(best.alias("b")).select("id", "b.label_index", F.col("b.score").alias("similarity"))
 

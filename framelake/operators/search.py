@@ -57,8 +57,8 @@ def _scores(queries: np.ndarray, ids: list, frames: np.ndarray, k: int, threshol
     return out
 
 
-def cosine_topk(frames: DataFrame, queries: DataFrame, k: int = 20, threshold: float = 0.3, id_col: str = "id", vector_col: str = "vector", digits: int = 9) -> DataFrame:
-    """(query_id, id, score, rank): each query's best k frames at or above the threshold, by score and then id.
+def cosine_scores(frames: DataFrame, queries: DataFrame, threshold: float, k: int = 1 << 30, id_col: str = "id", vector_col: str = "vector", digits: int = 9) -> DataFrame:
+    """(query_id, id, score) of pairs at or above the threshold; of those a batch of frames gives at least its best k.
 
     A batch of frames meets all its queries in one matrix product; scores are rounded so that equal ones tie alike
     whatever the order of summation. Frames without a vector or of another dimension match nothing.
@@ -86,7 +86,7 @@ def cosine_topk(frames: DataFrame, queries: DataFrame, k: int = 20, threshold: f
     if n <= BROADCAST_QUERIES:
         rows = queries.collect()
         if not rows:
-            return spark.createDataFrame([], schema + ", rank int")
+            return spark.createDataFrame([], schema)
         dims = max(len(r.query_vector or []) for r in rows)
         rows = [r for r in rows if len(r.query_vector or []) == dims]
         sent = spark.sparkContext.broadcast((np.array([r.query_id for r in rows]), np.array([r.query_vector for r in rows], np.float64)))
@@ -111,7 +111,13 @@ def cosine_topk(frames: DataFrame, queries: DataFrame, k: int = 20, threshold: f
             return pa.Table.from_batches(list(made), pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
 
         scored = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(join, schema)
-    return ranked(scored.where(F.col("score") >= threshold), ["query_id"], [F.desc("score"), F.col("id")]).where(F.col("rank") <= k)
+    return scored.where(F.col("score") >= threshold)
+
+
+def cosine_topk(frames: DataFrame, queries: DataFrame, k: int = 20, threshold: float = 0.3, id_col: str = "id", vector_col: str = "vector", digits: int = 9) -> DataFrame:
+    """(query_id, id, score, rank): each query's best k frames at or above the threshold, by score and then id."""
+    scored = cosine_scores(frames, queries, threshold, k, id_col, vector_col, digits)
+    return ranked(scored, ["query_id"], [F.desc("score"), F.col("id")]).where(F.col("rank") <= k)
 
 
 def two_pass(frames: DataFrame, queries: DataFrame, limit: int = 20, threshold: float = 0.2, oversample: int = 5, candidates: DataFrame | None = None) -> DataFrame:

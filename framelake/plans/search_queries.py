@@ -124,7 +124,7 @@ def c10(spark, sf_dir):
 def b05(spark, sf_dir):
     """All scores at or above a threshold, counted for each query, without a limit on their number."""
     f, q = frames(spark, sf_dir), query_vectors(spark, sf_dir)
-    return S.cosine_topk(f, q, 1 << 30, 0.35).groupBy("query_id").agg(F.count("*").alias("n"))
+    return S.cosine_scores(f, q, 0.35).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 @query("d01_temporal_nms", f"WITH RECURSIVE {_HITS}, {_NMS} SELECT query_id, id FROM walk WHERE keep UNION ALL SELECT query_id, id FROM hits WHERE ts IS NULL", "frames queries")
