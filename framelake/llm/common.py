@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,5 +112,3 @@ def words_of(text: str, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.
     if lower:
         buf = LOWER[buf]
     return buf, *spans(~BLANK[buf])
-
-
