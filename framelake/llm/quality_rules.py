@@ -1,12 +1,15 @@
 """Quality rules with risk-controlled thresholds.
 
 Every document gets counts over its whole text. Two fixed base rules reject at once. Beyond them, each rule compares
-one ratio with a cutoff that labelled documents choose: per stratum (language) the cutoffs are tested from the most
-lenient to the strictest, in that fixed order, and a cutoff passes while the exact binomial tail
-P[Bin(n_good, risk) <= good documents it rejects] stays at or below the level. That tail is at most the level
-exactly when the Clopper-Pearson upper bound of the false rejection rate is at most the risk. The risk is divided by
-the number of rules and the level by rules times strata (Bonferroni), so that with probability 1 - level no
-stratum loses more than the risk in good documents. Without enough labels no cutoff passes and nothing is rejected.
+one ratio with a cutoff that labelled documents choose. Per stratum (language) the rules' cutoffs are tightened along
+one nested sequence of steps: one rule after the other, each from 1000 down to its lowest, first the rule beyond whose
+lowest cutoff the labelled junk lies farthest. Junk alone picks that order, so good documents test a sequence that does
+not depend on them. A step passes while the exact binomial tail P[Bin(n_good, risk) <= good documents that any rule
+rejects] stays at or below level / strata (Bonferroni over strata alone, as a fixed sequence needs no further share);
+the first step that fails ends the sequence. That tail is at most the level exactly when the Clopper-Pearson upper
+bound of the false rejection rate is at most the risk. So with probability 1 - level no stratum loses more than the
+risk in good documents to all rules together, beyond those that the base rules reject anyway. A stratum needs
+log(level / strata) / log(1 - risk) good labels, 437 in each of four; with fewer nothing more is rejected.
 
 Null or empty text: all counts 0 (it fails the base rule on length). Null language: a stratum of its own, ''. Labels
 that are null are left out; a document with several labels is good if all are. Languages beyond the max_strata most
@@ -55,6 +58,9 @@ RULES = (
     Rule("long_words", "20 * word_chars / greatest(n_words, 1)", 100),
     Rule("short", "1000 - n_words", 880),
 )
+#: The fixed base rules, and a step past the end of every sequence.
+BASE_FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
+END = 1 << 20
 
 
 def repeat_words(hashes: np.ndarray, width: int = 8) -> int:
@@ -109,32 +115,37 @@ def binomial_at_most(k: int, n: int, p: float) -> float:
 
 
 def choose_cutoffs(counts: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05, rules: tuple[Rule, ...] = RULES, max_strata: int = 256) -> DataFrame:
-    """(stratum, rule, cutoff): the strictest cutoff of each rule that passes; at most max_strata + 1 strata by the rules."""
-    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1")
-    held = counts.join(good.select("doc_id"), "doc_id")
-    large = held.groupBy("stratum").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "stratum").limit(max_strata).select("stratum")
-    values = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.expr(f"cast(least(1000, greatest(0, floor({r.value}))) as int)").alias("bin")) for i, r in enumerate(rules)]))
-    held = held.join(F.broadcast(large.withColumn("own", F.lit(True))), "stratum", "left").select(F.when(F.col("own"), F.col("stratum")).alias("stratum"), values.alias("v"))
-    hist = held.groupBy("stratum", "v.rule", "v.bin").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("stratum", "rule")
-    down = by.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tails = hist.select("stratum", "rule", "bin", F.sum("n").over(down).alias("rejected"), F.sum("n").over(by).alias("n_good"), F.lead("bin", 1, -1).over(by.orderBy(F.desc("bin"))).alias("below"))
-    n_rules = len(rules)
+    """(stratum, rule, cutoff): where the sequence of each stratum ends; at most max_strata + 1 strata by the rules."""
+    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    held = counts.join(marks, "doc_id")
+    large = held.where("quality = 1").groupBy("stratum").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "stratum").limit(max_strata).select("stratum")
+    values = [F.expr(f"cast(least(1000, greatest(0, floor({r.value}))) as int)").alias(f"v{i}") for i, r in enumerate(rules)]
+    held = held.join(F.broadcast(large.withColumn("own", F.lit(True))), "stratum", "left").select(F.when(F.col("own"), F.col("stratum")).alias("stratum"), "quality", F.expr(BASE_FAILED).alias("base_failed"), *values)
+
+    beyond = [F.sum(F.expr(f"1000 * greatest(0, v{i} - {r.lowest}) div {1001 - r.lowest}")).alias(f"s{i}") for i, r in enumerate(rules)]
+    junk = held.where("quality = 0 and not base_failed").groupBy("stratum").agg(*beyond)
+    sums = [F.coalesce(F.col(f"s{i}"), F.lit(0)) for i in range(len(rules))]  # without junk, the order of the rules
+    ranks = [sum((((sums[j] >= sums[i]) if j < i else (sums[j] > sums[i])).cast("int") for j in range(len(rules)) if j != i), F.lit(0)).alias(f"r{i}") for i in range(len(rules))]
+
+    good = held.where("quality = 1").withColumnRenamed("stratum", "of")
+    good = good.join(F.broadcast(junk), good["of"].eqNullSafe(junk["stratum"]), "left").select(F.col("of").alias("stratum"), "base_failed", *[f"v{i}" for i in range(len(rules))], *ranks)
+    first = F.least(*[F.when(F.col(f"v{i}") >= r.lowest, F.col(f"r{i}") * 1001 + 1000 - F.col(f"v{i}")) for i, r in enumerate(rules)], F.lit(END))
+    hist = good.select("stratum", F.array(*[f"r{i}" for i in range(len(rules))]).alias("ranks"), F.when(F.col("base_failed"), F.lit(END)).otherwise(first).alias("step")).groupBy("stratum", "ranks", "step").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("stratum")
+    along = by.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     strata = hist.agg(F.greatest(F.lit(1), F.count_distinct(F.coalesce("stratum", F.lit("\0")))).alias("strata"))
 
     @F.pandas_udf("double")
     def tail(k: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([binomial_at_most(int(a), int(b), risk / n_rules) for a, b in zip(k, n, strict=True)])
+        return pd.Series([binomial_at_most(int(a), int(b), risk) for a, b in zip(k, n, strict=True)])
 
-    # Rejecting every value down to just above the next populated bin costs the same good documents as stopping at this one.
-    tested = tails.crossJoin(F.broadcast(strata)).select("stratum", "rule", "bin", "below", (tail("rejected", "n_good") <= F.lit(level) / (F.col("strata") * n_rules)).alias("ok"))
-    # What lies above the highest good value costs nothing; it is tested too, with no rejection.
-    none = hist.groupBy("stratum", "rule").agg(F.max("bin").alias("top"), F.sum("n").alias("n_good")).crossJoin(F.broadcast(strata))
-    none = none.where(tail(F.lit(0).cast("long"), "n_good") <= F.lit(level) / (F.col("strata") * n_rules)).select("stratum", "rule", (F.col("top") + 1).alias("start"))
-    failed = tested.where("not ok").groupBy("stratum", "rule").agg(F.max("bin").alias("stop"))
-    lowest = F.element_at(F.array(*[F.lit(r.lowest) for r in rules]), F.col("rule") + 1)
-    picked = none.join(failed, none.stratum.eqNullSafe(failed.stratum) & (none.rule == failed.rule), "left").select(none.stratum, none.rule, F.coalesce(failed.stop + 1, F.lit(0)).alias("cutoff")).withColumn("cutoff", F.greatest("cutoff", lowest))
-    return picked
+    share = F.lit(level) / F.col("strata")
+    tested = hist.select("stratum", "ranks", "step", F.sum("n").over(along).alias("rejected"), F.sum("n").over(by).alias("n_good")).crossJoin(F.broadcast(strata))
+    # Steps without a good document of their own pass as the one before them does; the very first ones reject none.
+    tested = tested.select("stratum", "ranks", "step", (tail(F.lit(0).cast("long"), "n_good") <= share).alias("enough"), (tail("rejected", "n_good") <= share).alias("ok"))
+    stops = tested.where("enough").groupBy("stratum", "ranks").agg(F.coalesce(F.min(F.when(~F.col("ok"), F.col("step"))), F.lit(END)).alias("stop"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.lowest).alias("lowest"), (1001 * (F.element_at("ranks", i + 1) + 1) - F.col("stop")).alias("cutoff")) for i, r in enumerate(rules)])).alias("x")
+    return stops.select("stratum", each).select("stratum", "x.rule", F.greatest("x.cutoff", "x.lowest").alias("cutoff")).where("cutoff <= 1000")
 
 
 def apply_cutoffs(counts: DataFrame, cutoffs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -148,8 +159,7 @@ def apply_cutoffs(counts: DataFrame, cutoffs: DataFrame, rules: tuple[Rule, ...]
     for r in rules:
         cut = F.when(F.col("own"), F.col(f"cut_{r.name}")).otherwise(F.col(f"rest_{r.name}"))
         bad = bad | F.coalesce(F.expr(f"floor({r.value})") >= cut, F.lit(False))
-    base = F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")
-    return joined.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & ~bad).select(*counts.columns, "base_failed", "kept")
+    return joined.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & ~bad).select(*counts.columns, "base_failed", "kept")
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05) -> DataFrame:

@@ -395,6 +395,22 @@ def test_quality_cutoffs_keep_their_promise(spark):
     assert few.where("not kept").count() == 0
 
 
+def test_quality_rejects_labelled_junk_at_production_parameters(spark):
+    """500 good labels in each of four languages: symbols inside words, which no good document has, are rejected."""
+    rows, labels = [], []
+    for i in range(2_400):
+        bad, lang = i % 6 == 0, ("de", "en", "es", "fr")[i // 6 % 4]
+        digits = 300 if i % 600 == 1 else 0  # one good document in each hundred or so lies far out by another rule
+        rows.append((i, lang, 200, 1000, 100 if bad else 0, 0, 0, 10, digits, 190))
+        labels.append((i, 0 if bad else 1, 0))
+    few = [(10_000 + i, "it", 200, 1000, 100 if i % 6 == 0 else 0, 0, 0, 10, 0, 190) for i in range(300)]
+    counts = spark.createDataFrame(rows + few, Q.SCHEMA)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    done = {r.doc_id: r.kept for r in Q.apply_cutoffs(counts, Q.choose_cutoffs(counts, marks)).collect()}
+    assert not any(done[i] for i, q, _ in labels if q == 0) and all(done[i] for i, q, _ in labels if q)
+    assert all(done[i] for i, *_ in few)  # a language without labels certifies nothing
+
+
 def test_binomial_tail():
     for k, n, p in ((0, 10, 0.1), (3, 20, 0.2), (20, 20, 0.5)):
         assert Q.binomial_at_most(k, n, p) == pytest.approx(sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)))
