@@ -4,8 +4,10 @@ Base kinds are regular expressions, leftmost and without overlap: assign (a keyw
 characters), access (AKIA and 16 or more) and hex (24 or more). The entropy kind adds candidate strings: whole runs of
 20 or more letters, digits and +/_-. A window of 20 characters slides along a candidate; counts per character are
 updated as one leaves and one enters, and with them the sum of c*log2(c), so that each window's Shannon entropy costs
-one step. A candidate counts when some window reaches the threshold of its character class (hexadecimal, or letters
-and digits mixed) and no allow-list pattern matches it. Candidates inside a base span are not reported again.
+one step. A candidate counts when some window reaches the threshold of the window's character class (hexadecimal, or
+letters and digits mixed) and is harmless by no pattern itself. The whole candidate is let go only where a pattern
+describes it from its first to its last character, so a secret behind a path, a key's prefix or a sample word counts.
+Candidates inside a base span are not reported again.
 
 Positions are code points, end exclusive. Null or empty text: no spans. Repeated rows each give a row; an empty table
 gives an empty result; other columns of the input pass through redact() and are ignored elsewhere.
@@ -32,16 +34,16 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])"
 _ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-"
 #: Bits per character that a window must reach: random hexadecimal has about 3.4 in 20 characters, random letters and digits 4.1.
 THRESHOLD = {"hex": 3.0, "mixed": 3.8}
-#: Never secrets: numbers alone, one class of letters alone, UUIDs, paths and URLs' tails, runs of one character, samples.
+#: Candidates that are no secrets as a whole: numbers, words (of one case, capitalised, or joined in camel case), UUIDs, paths of short words.
 ALLOW = (
     r"^[0-9_/+-]+$",
-    r"^[A-Za-z_/+-]+$",
+    r"^[_/+-]*+(?:(?:[A-Z]?[a-z]++|[A-Z]++|(?:[A-Z]?[a-z]{3,}+)+)(?:[_/+-]++|$))+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|dummy|placeholder|changeme|lorem|your[_-]",
-    r"(.)\1{5,}",
-    r"(?i)abcdefgh|0123456789|qwertyuiop",
-    r"^[a-z0-9]{1,12}(?:[/_-][a-z]{2,12}){2,}",
+    r"^[a-z0-9]{1,12}(?:[/_-][a-z]{2,12}){2,}$",
 )
+#: Windows that do not count: numbers, letters of one case, samples, runs of one character, alphabets.
+HARMLESS = r"^[0-9_/+-]+$|^[a-z_/+-]+$|^[A-Z_/+-]+$|(?i:example|sample|dummy|placeholder|changeme|lorem|your[_-])|(.)\1{5,}|(?i:abcdefgh|0123456789|qwertyuiop)"
+HEXADECIMAL = r"^(?:[0-9a-f]+|[0-9A-F]+)$"
 
 
 def _located(text: Column, pattern: str, group: int) -> Column:
@@ -67,25 +69,37 @@ def _kind(text: Column, kind: str, pattern: str, group: int, least: int) -> Colu
     return F.when(text.rlike(_GATE[kind]), spans).otherwise(F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)"))
 
 
-def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
-    """The greatest Shannon entropy, in bits per character, of any window of the candidate."""
+def _slide(candidate: Column, window: int = WINDOW) -> Column:
+    """(best, hot): the greatest entropy of any window, and whether one that is not harmless reaches its threshold."""
     codes = F.transform(F.filter(F.split(candidate, ""), lambda c: c != ""), lambda c: F.instr(F.lit(_ALPHABET), c))
     at = lambda i: F.element_at(codes, (i + 1).cast("int"))
-    enter = lambda i: F.struct(at(i).alias("code"), F.lit(1).alias("by"))
-    leave = lambda i: F.struct(at(i - window).alias("code"), F.lit(-1).alias("by"))
+    enter = lambda i: F.struct(at(i).alias("code"), F.lit(1).alias("by"), i.alias("last"))
+    leave = lambda i: F.struct(at(i - window).alias("code"), F.lit(-1).alias("by"), i.alias("last"))
     events = F.flatten(F.transform(F.sequence(F.lit(0), F.size(codes) - 1), lambda i: F.when(i >= window, F.array(leave(F.greatest(i, F.lit(window))), enter(i))).otherwise(F.array(enter(i)))))
     weigh = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
-    none = F.struct(F.array_repeat(F.lit(0), len(_ALPHABET) + 1).alias("counts"), F.lit(0).alias("held"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+    none = F.struct(F.array_repeat(F.lit(0), len(_ALPHABET) + 1).alias("counts"), F.lit(0).alias("held"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"), F.lit(False).alias("hot"))
+
+    def counts(text: Column, entropy: Column) -> Column:
+        high = F.when(entropy >= THRESHOLD["mixed"], F.lit(True)).otherwise(text.rlike(HEXADECIMAL))
+        return F.when(high, ~text.rlike(HARMLESS)).otherwise(F.lit(False))
 
     def step(acc: Column, e: Column) -> Column:
         before = F.element_at(acc["counts"], e["code"] + 1)
         total = acc["total"] - F.element_at(weigh, before + 1) + F.element_at(weigh, before + e["by"] + 1)
         held = acc["held"] + e["by"]
-        best = F.when(held == window, F.greatest(acc["best"], F.lit(math.log2(window)) - total / window)).otherwise(acc["best"])
-        counts = F.transform(acc["counts"], lambda v, k: F.when(k == e["code"], v + e["by"]).otherwise(v))
-        return F.struct(counts.alias("counts"), held.alias("held"), total.alias("total"), best.alias("best"))
+        entropy = F.lit(math.log2(window)) - total / window
+        best = F.when(held == window, F.greatest(acc["best"], entropy)).otherwise(acc["best"])
+        open_ = ~acc["hot"] & (held == window) & (entropy >= THRESHOLD["hex"])
+        hot = F.when(open_, counts(F.substring(candidate, e["last"] - (window - 2), window), entropy)).otherwise(acc["hot"])
+        left = F.transform(acc["counts"], lambda v, k: F.when(k == e["code"], v + e["by"]).otherwise(v))
+        return F.struct(left.alias("counts"), held.alias("held"), total.alias("total"), best.alias("best"), hot.alias("hot"))
+
+    return F.aggregate(events, none, step)
 
-    return F.aggregate(events, none, step)["best"]
+
+def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
+    """The greatest Shannon entropy, in bits per character, of any window of the candidate."""
+    return _slide(candidate, window)["best"]
 
 
 def _candidates(text: Column) -> Column:
@@ -97,8 +111,7 @@ def _candidates(text: Column) -> Column:
         allowed = F.lit(False)
         for p in ALLOW:
             allowed = allowed | x["c"].rlike(p)
-        hexadecimal = x["c"].rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")
-        return ~allowed & F.when(~allowed, window_entropy(x["c"]) >= F.when(hexadecimal, THRESHOLD["hex"]).otherwise(THRESHOLD["mixed"])).otherwise(F.lit(False))
+        return F.when(allowed, F.lit(False)).otherwise(_slide(x["c"])["hot"])
 
     out = F.transform(F.filter(spans, hot), lambda x: F.struct(x["at"]["start"].alias("start"), F.lit(rank).alias("rank"), x["at"]["end"].alias("end"), F.lit("entropy").alias("kind")))
     return F.when(text.rlike(CANDIDATE), out).otherwise(F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)"))

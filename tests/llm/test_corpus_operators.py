@@ -98,6 +98,22 @@ def test_secret_entropy_and_redaction(spark):
     assert clean == {1: "send [SECRET] now", 2: rows[1][1], 3: rows[2][1], 4: '[SECRET]" and [SECRET]', 5: "ü[SECRET]", 6: None}
 
 
+def test_secrets_behind_prefixes(spark):
+    made = "Zq3xV9tLm2Kc8RwYp5Hd7Bn4"
+    secrets = [
+        f"deploy/prod/keys/{made}", "sk-proj-abX9Zq3xV9tLm2Kc8RwYp5Hd7Bn4", "gh_pat_xyZq3xV9tLm2Kc8RwYp5Hd7", "QzXvTlmKcRwYpHdBnGjSfaEu", f"sample-{made}", f"0123456789-{made}", f"{made}-xxxxxxxx",
+        "deploy/prod/keys/9F86D081884C7D659A2F",
+    ]
+    harmless = [
+        "deploy/prod/keys/config/main", "k8s/prod/config/maps", "incomprehensibilities-everywhere", "Customer-Relations-Department", "CUSTOMER_RELATIONS_DEPARTMENT", "getCustomerAccountDetailsList", "2024-01-02-2024-01-03-11",
+        "550e8400-e29b-41d4-a716-446655440000", "x" * 5000, "abcdefgh0123456789ij",
+    ]
+    df = spark.createDataFrame(list(enumerate(secrets + harmless)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in X.redact(df).collect()}
+    assert [got[i] for i in range(len(secrets))] == ["[SECRET]"] * len(secrets)
+    assert [got[i + len(secrets)] for i in range(len(harmless))] == harmless
+
+
 def test_window_entropy_matches_direct(spark):
     rng = random.Random(3)
     strings = ["".join(rng.choice("abcdef0123456789XYZ_-") for _ in range(rng.randint(20, 70))) for _ in range(30)]
