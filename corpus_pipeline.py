@@ -6,7 +6,7 @@ one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm.common import staged, table
@@ -17,17 +17,19 @@ from framelake.llm.secret_scan import redact
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows that share an id go or stay together; rows without one are judged alike."""
-    rejected = judge_quality(docs, table(spark, sf_dir, "labels")).where("not kept").select("doc_id").distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti")
+    """Documents that the quality rules keep. Every row carries its own verdict, whatever its id."""
+    return judge_quality(docs, table(spark, sf_dir, "labels"), carry=True).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by shingle likeness: the one with the least id. Rows without an id stay."""
-    first = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
-    once = kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1").drop("__n")
-    return once.unionByName(docs.where("doc_id is null"))
+    """One row of each group linked by shingle likeness: the one with the least id (none comes last), then by its text.
+
+    Rows are linked by a key of their own, written with them, so that an id may be missing or repeated."""
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
+    linked = jaccard_components(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text"), F.col("__row").alias("row"))
+    first = rows.select("__row", order.alias("place")).join(linked, "__row").groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.row").alias("__row"))
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

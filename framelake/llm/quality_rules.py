@@ -21,12 +21,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import byte_set, span_hashes, staged, windows, words_of
 
@@ -99,10 +101,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[:, i]) for i in range(len(_COUNTS)))], schema=_SCHEMA)
 
 
-def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """One row of counts per document. Symbols are the characters #*$%&|<> anywhere; words end at ASCII blanks."""
+def _count_rows(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """As _count, with the text inside the struct column that is handed on."""
+    for batch in batches:
+        texts = batch.column(2).field(text_col).cast(pa.string()).to_pylist()
+        got = np.array([count_text(t or "") for t in texts], np.int64).reshape(-1, len(_COUNTS))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[:, i]) for i in range(len(_COUNTS))), batch.column(2)], names=[*_SCHEMA.names, "row"])
+
+
+def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", carry: bool = False) -> DataFrame:
+    """One row of counts per document. Symbols are the characters #*$%&|<> anywhere; words end at ASCII blanks.
+    With carry, the document itself follows in the struct column row."""
     clean = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), clean(stratum_col).alias("stratum"), clean(text_col).alias("text")).mapInArrow(_count, SCHEMA)
+    key, stratum = F.col(f"`{id_col}`").cast("long").alias("doc_id"), clean(stratum_col).alias("stratum")
+    if not carry:
+        return docs.select(key, stratum, clean(text_col).alias("text")).mapInArrow(_count, SCHEMA)
+    whole = docs.select(key, stratum, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return whole.mapInArrow(partial(_count_rows, text_col=text_col), StructType([*StructType.fromDDL(SCHEMA).fields, whole.schema["row"]]))
 
 
 def binomial_at_most(k: int, n: int, p: float) -> float:
@@ -162,9 +177,9 @@ def apply_cutoffs(counts: DataFrame, cutoffs: DataFrame, rules: tuple[Rule, ...]
     return joined.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & ~bad).select(*counts.columns, "base_failed", "kept")
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05, carry: bool = False) -> DataFrame:
     """Counts, base verdict and final verdict per document. The counts are written once and read by both passes."""
-    counts = staged(text_counts(docs))
+    counts = staged(text_counts(docs, carry=carry))
     return apply_cutoffs(counts, choose_cutoffs(counts, labels, risk, level))
 
 

@@ -459,3 +459,16 @@ def test_pipeline_on_awkward_rows(spark, awkward, sf):
     for _, stage in W.STAGES:
         docs = W.staged(stage(spark, docs, sf))
     assert [r.doc_id for r in docs.collect()] == [77]
+
+
+def test_pipeline_judges_each_row_by_its_own_text(spark, sf):
+    """Clean rows stay beside bad or unrelated ones with their id, or without an id; copies go whatever their ids."""
+    import corpus_pipeline as W
+
+    a, b, c, d = (" ".join(f"{x}word{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (1, "bad"), (1, b), (None, c), (None, "bad"), (None, None), (None, c), (2, a), (None, d), (3, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    key = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    judged = W.staged(W.quality_rules(spark, docs, sf))
+    assert judged.columns == docs.columns and key(judged) == sorted((x for x in rows if x[1] in (a, b, c, d)), key=repr)
+    assert key(W.near_duplicates(spark, judged, sf)) == sorted([(1, a), (1, b), (None, c), (3, d)], key=repr)
