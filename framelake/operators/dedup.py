@@ -74,19 +74,24 @@ def ingest_decisions(found: DataFrame, known: DataFrame, listing: DataFrame, for
     """
     rank = F.when(F.col("status") == "done", 0).when(F.col("status").isin("pending", "processing"), 1).otherwise(2)
     paths = known.groupBy("file_path").agg(F.min(rank).alias("path_rank"))
-    contents = known.groupBy("file_hash").agg(F.min("file_path").alias("old_path"), F.collect_set("file_path").alias("old_paths"))
+    contents = known.groupBy("file_hash").agg(F.min("file_path").alias("old_path"))
+    own = known.select("file_hash", "file_path").distinct().withColumn("__same", F.lit(True))
     there = listing.select(F.col("file_path").alias("old_path"), F.lit(True).alias("old_exists")).distinct()
-    joined = found.join(paths, "file_path", "left").join(contents, "file_hash", "left").join(there, "old_path", "left")
-    same = F.coalesce(F.array_contains("old_paths", F.col("file_path")), F.lit(False))
+    joined = found.join(paths, "file_path", "left").join(own, ["file_hash", "file_path"], "left").join(contents, "file_hash", "left").join(there, "old_path", "left")
+    same = F.coalesce(F.col("__same"), F.lit(False))
     stays = F.coalesce(F.col("old_exists"), F.lit(False)) & F.lit(not force_relocate and not object_store)
     plain = (
         F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("path_rank") == 0, "already_ingested").when(F.col("path_rank") == 1, "redispatched")
         .when(F.col("old_path").isNotNull() & ~same & stays, "duplicate_copy").when(F.col("old_path").isNotNull() & ~same, "relocated").when(same, "duplicate_hash").otherwise("inserted")
     )
     decided = joined.withColumn("action", plain)
-    first = F.row_number().over(Window.partitionBy("file_hash", "action").orderBy("file_path"))
-    again = F.when((F.col("action") == "inserted") & (first > 1), "duplicate_copy").otherwise(F.col("action"))
-    return decided.withColumn("action", again).select("file_path", "file_hash", F.when(F.col("action") == "relocated", F.col("old_path")).alias("old_path"), "action")
+    # The least path of each new content, and one row of it: no window holds all copies of a content.
+    heads = decided.where("action = 'inserted'").groupBy(F.col("file_hash").alias("__hash")).agg(F.min(F.struct("file_path")).alias("__head"))
+    placed = decided.join(heads, F.col("file_hash").eqNullSafe(F.col("__hash")), "left")
+    nth = F.row_number().over(Window.partitionBy("file_hash", "file_path", "action").orderBy("file_path"))
+    first = F.col("file_path").eqNullSafe(F.col("__head.file_path")) & (nth == 1)
+    again = F.when((F.col("action") == "inserted") & ~first, "duplicate_copy").otherwise(F.col("action"))
+    return placed.withColumn("action", again).select("file_path", "file_hash", F.when(F.col("action") == "relocated", F.col("old_path")).alias("old_path"), "action")
 
 
 def relocate(frames: DataFrame, moves: DataFrame) -> DataFrame:

@@ -163,3 +163,15 @@ def test_browse_needs_something(spark, sf):
 
     with pytest.raises(ValueError, match="filter"):
         S.browse(frames(spark, sf), None)
+
+
+def test_ingest_decisions_hold_no_group_of_copies(spark):
+    """Many copies of one content: right actions, and no array or window over all paths of a content."""
+    found = spark.createDataFrame([(f"n{i:03}", "new", None) for i in range(50)] + [("n000", "new", None)] + [(f"k{i:03}", "old", None) for i in range(60)], "file_path string, file_hash string, reason string")
+    known = spark.createDataFrame([(f"k{i:03}", "old", "error") for i in range(50)] * 2, "file_path string, file_hash string, status string")
+    df = D.ingest_decisions(found, known, found.select("file_path"))
+    got = sorted((r.file_path, r.action) for r in df.collect())
+    want = [("n000", "inserted")] + [("n000", "duplicate_copy")] + [(f"n{i:03}", "duplicate_copy") for i in range(1, 50)] + [(f"k{i:03}", "duplicate_hash" if i < 50 else "duplicate_copy") for i in range(60)]
+    assert got == sorted(want)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
