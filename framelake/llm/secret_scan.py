@@ -2,12 +2,16 @@
 
 Base kinds are regular expressions, leftmost and without overlap: assign (a keyword, = or :, a value of 6 or more
 characters), access (AKIA and 16 or more) and hex (24 or more). The entropy kind adds candidate strings: whole runs of
-20 or more letters, digits and +/_-. A window of 20 characters slides along a candidate; counts per character are
-updated as one leaves and one enters, and with them the sum of c*log2(c), so that each window's Shannon entropy costs
-one step. A candidate counts when some window reaches the threshold of the window's character class (hexadecimal, or
-letters and digits mixed) and is harmless by no pattern itself. The whole candidate is let go only where a pattern
-describes it from its first to its last character, so a secret behind a path, a key's prefix or a sample word counts.
-Candidates inside a base span are not reported again.
+20 or more letters, digits and +/_-. A window of 20 characters slides along a candidate. Counts per character (packed
+into six longs of twelve counts each) are updated as one leaves and one enters, and with them the sum of c*log2(c), so
+each step costs the same. Long candidates are cut into pieces of PIECE characters that overlap by a window less one,
+so no window is lost and no step looks at more than its piece. A candidate counts when some window reaches the threshold
+of the window's character class (hexadecimal, or letters and digits mixed) and is harmless by no pattern itself. The
+whole candidate is let go only where a pattern describes it from its first to its last character, so a secret behind a
+path, a key's prefix or a sample word counts. Candidates inside a base span are not reported again.
+
+Positions are running sums over matches and the gaps between them, and what covers a candidate is a running maximum;
+both are taken by doubling steps, so a text of n matches costs n log n, and a text's length counts once.
 
 Positions are code points, end exclusive. Null or empty text: no spans. Repeated rows each give a row; an empty table
 gives an empty result; other columns of the input pass through redact() and are ignored elsewhere.
@@ -16,6 +20,7 @@ gives an empty result; other columns of the input pass through redact() and are
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,115 +34,162 @@ BASE = (
 _GATE = {"assign": r"(?i)password|passwd|secret|token|api_?key", "access": "AKIA", "hex": r"[0-9a-f]{24}"}
 KINDS = ("assign", "access", "hex", "entropy")
 
-WINDOW = 20
+WINDOW, PIECE, CHUNK = 20, 512, 1024
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])"
 _ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_-"
 #: Bits per character that a window must reach: random hexadecimal has about 3.4 in 20 characters, random letters and digits 4.1.
 THRESHOLD = {"hex": 3.0, "mixed": 3.8}
-#: Candidates that are no secrets as a whole: numbers, words (of one case, capitalised, or joined in camel case), UUIDs, paths of short words.
+#: Candidates that are no secrets as a whole: numbers, words (of one case, capitalised, or joined in camel case), UUIDs,
+#: paths of short words. Repeated groups are possessive, as others cost the regex engine a stack frame each time.
 ALLOW = (
     r"^[0-9_/+-]+$",
-    r"^[_/+-]*+(?:(?:[A-Z]?[a-z]++|[A-Z]++|(?:[A-Z]?[a-z]{3,}+)+)(?:[_/+-]++|$))+$",
+    r"^[_/+-]*+(?:(?:[A-Z]?[a-z]++|[A-Z]++|(?:[A-Z]?[a-z]{3,}+)++)(?:[_/+-]++|$))++$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[a-z0-9]{1,12}(?:[/_-][a-z]{2,12}){2,}$",
+    r"^[a-z0-9]{1,12}(?:[/_-][a-z]{2,12}){2,}+$",
 )
 #: Windows that do not count: numbers, letters of one case, samples, runs of one character, alphabets.
 HARMLESS = r"^[0-9_/+-]+$|^[a-z_/+-]+$|^[A-Z_/+-]+$|(?i:example|sample|dummy|placeholder|changeme|lorem|your[_-])|(.)\1{5,}|(?i:abcdefgh|0123456789|qwertyuiop)"
 HEXADECIMAL = r"^(?:[0-9a-f]+|[0-9A-F]+)$"
 
 
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is worked out once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running sums, maxima or the like: every entry takes in the one 1, 2, 4, ... places before it."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda s: s < F.size(values))
+    return F.aggregate(steps, values, lambda acc, s: F.transform(acc, lambda x, i: F.when(i >= s, join(x, F.get(acc, i - s))).otherwise(x)))
+
+
 def _located(text: Column, pattern: str, group: int) -> Column:
-    """Array of (start, end, n) of all matches; n is the length of the group. Pieces between matches give positions."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    rows = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), part.alias("part"))
-    none = F.expr("struct(0 as at, cast(array() as array<struct<start:int,end:int,n:int>>) as found)")
+    """Array of (start, end, whole, n) of all matches; n is the length of the group. Pieces between matches give positions."""
+
+    def places(whole: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
+        sizes = F.zip_with(gaps, whole, lambda g, w: F.length(g) + F.length(w))
+        part = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda p: F.length(p)) if group else F.transform(whole, lambda w: F.length(w))
+        rows = F.arrays_zip(_let(sizes, lambda s: _running(s, lambda x, y: x + y)).alias("end"), whole.alias("whole"), part.alias("n"))
+        return F.transform(rows, lambda r: F.struct((r["end"] - F.length(r["whole"])).alias("start"), r["end"].alias("end"), r["whole"].alias("whole"), r["n"].alias("n")))
 
-    def step(acc: Column, row: Column) -> Column:
-        start = acc["at"] + F.length(row["gap"])
-        end = start + F.length(row["whole"])
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), F.length(row["part"]).alias("n")))).alias("found"))
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), places)
 
-    return F.aggregate(rows, none, step)["found"]
+
+def _spans(found: Column, kind: str) -> Column:
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
 def _kind(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
     """Array of (start, rank, end, kind) of one base kind; texts that can't match are not searched for positions."""
-    rank = KINDS.index(kind)
     found = F.filter(_located(text, pattern, group), lambda x: x["n"] >= least)
-    spans = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
-    return F.when(text.rlike(_GATE[kind]), spans).otherwise(F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)"))
+    return F.when(text.rlike(_GATE[kind]), _spans(found, kind)).otherwise(F.expr(f"cast(array() as {SPANS})"))
+
 
+def _pieces(candidate: Column, window: int) -> Column:
+    """Pieces that overlap by a window less one, so that every window lies in one of them."""
+    return F.regexp_extract_all(candidate, F.lit(f"(?=(.{{1,{PIECE + window - 1}}})).{{1,{PIECE}}}"), F.lit(1))
 
-def _slide(candidate: Column, window: int = WINDOW) -> Column:
-    """(best, hot): the greatest entropy of any window, and whether one that is not harmless reaches its threshold."""
-    codes = F.transform(F.filter(F.split(candidate, ""), lambda c: c != ""), lambda c: F.instr(F.lit(_ALPHABET), c))
-    at = lambda i: F.element_at(codes, (i + 1).cast("int"))
-    enter = lambda i: F.struct(at(i).alias("code"), F.lit(1).alias("by"), i.alias("last"))
-    leave = lambda i: F.struct(at(i - window).alias("code"), F.lit(-1).alias("by"), i.alias("last"))
-    events = F.flatten(F.transform(F.sequence(F.lit(0), F.size(codes) - 1), lambda i: F.when(i >= window, F.array(leave(F.greatest(i, F.lit(window))), enter(i))).otherwise(F.array(enter(i)))))
+
+def _slide(piece: Column, window: int, skip: bool = False) -> Column:
+    """(best, hot): the greatest entropy of any window, and whether one that is not harmless reaches its threshold.
+    With skip, pieces of so few characters that none can are not slid over."""
     weigh = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
-    none = F.struct(F.array_repeat(F.lit(0), len(_ALPHABET) + 1).alias("counts"), F.lit(0).alias("held"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"), F.lit(False).alias("hot"))
+    words = range(-(-len(_ALPHABET) // 12))
+    shift = lambda code: F.pmod(code, F.lit(12)) * 5
+    one = lambda code, k: F.when((code >= 12 * k) & (code < 12 * k + 12), F.call_function("shiftleft", F.lit(1).cast("long"), shift(code))).otherwise(F.lit(0).cast("long"))
+
+    def count(acc: Column, code: Column) -> Column:
+        word = acc[f"w{words[-1]}"]
+        for k in reversed(words[:-1]):
+            word = F.when(code < 12 * k + 12, acc[f"w{k}"]).otherwise(word)
+        return F.call_function("shiftright", word, shift(code)).bitwiseAND(F.lit(31).cast("long")).cast("int")
 
     def counts(text: Column, entropy: Column) -> Column:
         high = F.when(entropy >= THRESHOLD["mixed"], F.lit(True)).otherwise(text.rlike(HEXADECIMAL))
         return F.when(high, ~text.rlike(HARMLESS)).otherwise(F.lit(False))
 
-    def step(acc: Column, e: Column) -> Column:
-        before = F.element_at(acc["counts"], e["code"] + 1)
-        total = acc["total"] - F.element_at(weigh, before + 1) + F.element_at(weigh, before + e["by"] + 1)
-        held = acc["held"] + e["by"]
-        entropy = F.lit(math.log2(window)) - total / window
-        best = F.when(held == window, F.greatest(acc["best"], entropy)).otherwise(acc["best"])
-        open_ = ~acc["hot"] & (held == window) & (entropy >= THRESHOLD["hex"])
-        hot = F.when(open_, counts(F.substring(candidate, e["last"] - (window - 2), window), entropy)).otherwise(acc["hot"])
-        left = F.transform(acc["counts"], lambda v, k: F.when(k == e["code"], v + e["by"]).otherwise(v))
-        return F.struct(left.alias("counts"), held.alias("held"), total.alias("total"), best.alias("best"), hot.alias("hot"))
+    def judged(acc: Column) -> list[Column]:
+        """best and hot with the window that ends at the last character so far."""
+        entropy = F.lit(math.log2(window)) - acc["total"] / window
+        full = acc["n"] >= window
+        best = F.when(full, F.greatest(acc["best"], entropy)).otherwise(acc["best"])
+        hot = F.when(~acc["hot"] & full & (entropy >= THRESHOLD["hex"]), counts(F.substring(piece, acc["n"] - (window - 1), F.lit(window)), entropy)).otherwise(acc["hot"])
+        return [best.alias("best"), hot.alias("hot")]
 
-    return F.aggregate(events, none, step)
+    def step(acc: Column, e: Column) -> Column:
+        gone, come = e["gone"], e["come"]
+        had = count(acc, gone)
+        has = count(acc, come) - F.when(gone == come, F.lit(1)).otherwise(F.lit(0))
+        lost = F.when(gone >= 0, F.element_at(weigh, had) - F.element_at(weigh, had + 1)).otherwise(F.lit(0.0))
+        total = acc["total"] + lost + F.element_at(weigh, has + 2) - F.element_at(weigh, has + 1)
+        return F.struct(*[(acc[f"w{k}"] - one(gone, k) + one(come, k)).alias(f"w{k}") for k in words], (acc["n"] + 1).alias("n"), total.alias("total"), *judged(acc))
+
+    none = F.struct(*[F.lit(0).cast("long").alias(f"w{k}") for k in words], F.lit(0).alias("n"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"), F.lit(False).alias("hot"))
+    codes = F.transform(F.filter(F.split(piece, ""), lambda c: c != ""), lambda c: F.instr(F.lit(_ALPHABET), c) - 1)
+    events = lambda c: F.zip_with(c, F.slice(F.concat(F.array_repeat(F.lit(-1), window), c), F.lit(1), F.size(c)), lambda x, y: F.struct(x.alias("come"), y.alias("gone")))
+    slid = lambda c: F.aggregate(events(c), none, step, lambda acc: F.struct(*judged(acc)))
+    few = lambda c: F.size(F.array_distinct(c)) < 2 ** THRESHOLD["hex"]  # noqa: E731  # then no window can be hot
+    still = F.struct(F.lit(0.0).alias("best"), F.lit(False).alias("hot"))
+    return _let(codes, lambda c: F.when(few(c) if skip else F.lit(False), still).otherwise(slid(c)))
 
 
 def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
     """The greatest Shannon entropy, in bits per character, of any window of the candidate."""
-    return _slide(candidate, window)["best"]
+    return F.array_max(F.transform(_pieces(candidate, window), lambda p: _slide(p, window)["best"]))
 
 
 def _candidates(text: Column) -> Column:
     """Array of (start, rank, end, kind) of high-entropy candidates."""
-    rank = KINDS.index("entropy")
-    spans = F.transform(F.arrays_zip(_located(text, CANDIDATE, 0).alias("at"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("c")), lambda x: x)
 
     def hot(x: Column) -> Column:
         allowed = F.lit(False)
         for p in ALLOW:
-            allowed = allowed | x["c"].rlike(p)
-        return F.when(allowed, F.lit(False)).otherwise(_slide(x["c"])["hot"])
+            allowed = allowed | x["whole"].rlike(p)
+        return F.when(allowed, F.lit(False)).otherwise(F.exists(_pieces(x["whole"], WINDOW), lambda p: _slide(p, WINDOW, skip=True)["hot"]))
+
+    found = _spans(F.filter(_located(text, CANDIDATE, 0), hot), "entropy")
+    return F.when(text.rlike(CANDIDATE), found).otherwise(F.expr(f"cast(array() as {SPANS})"))
 
-    out = F.transform(F.filter(spans, hot), lambda x: F.struct(x["at"]["start"].alias("start"), F.lit(rank).alias("rank"), x["at"]["end"].alias("end"), F.lit("entropy").alias("kind")))
-    return F.when(text.rlike(CANDIDATE), out).otherwise(F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)"))
+
+def _uncovered(spans: Column) -> Column:
+    """Sorted spans without entropy spans that lie inside a base span: one that starts no later and ends no earlier."""
+    ends = F.transform(spans, lambda x: F.when(x["kind"] != "entropy", x["end"]).otherwise(F.lit(0)))
+    return _let(_let(ends, lambda e: _running(e, F.greatest)), lambda far: F.filter(spans, lambda x, i: (x["kind"] != "entropy") | (F.get(far, i) < x["end"])))
 
 
 def secret_spans(docs: DataFrame, text_col: str = "text", into: str = "secret_spans") -> DataFrame:
     """The input with one more column: array of (start, rank, end, kind), in the order of starts, then kinds."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    base = docs.withColumn(into, F.concat(*[_kind(text, *k) for k in BASE]))
-    found = F.filter(_candidates(text), lambda c: ~F.exists(F.col(f"`{into}`"), lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"])))
-    return base.withColumn(into, F.array_sort(F.concat(F.col(f"`{into}`"), found)))
+    found = F.array_sort(F.concat(*[_kind(text, *k) for k in BASE], _candidates(text)))
+    return docs.withColumn(into, _let(found, lambda s: F.when(F.size(s) > 1, _uncovered(s)).otherwise(s)))
+
+
+def _between(chunks: Column, a: Column, b: Column) -> Column:
+    """Code points a to b of a text in chunks of CHUNK code points."""
+
+    def part(k: Column) -> Column:
+        first = F.greatest(a - k * CHUNK, F.lit(0))
+        return F.substring(F.get(chunks, k), first + 1, F.least(b - k * CHUNK, F.lit(CHUNK)) - first)
+
+    return F.when(b > a, F.array_join(F.transform(F.sequence(F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int")), part), "")).otherwise(F.lit(""))
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The input with every span in its text replaced by the mark; overlapping spans become one. Null text stays null."""
-    spans, text = "__secret_spans", F.col(f"`{text_col}`")
-    none = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
+    spans, text = F.col("__secret_spans"), F.col(f"`{text_col}`")
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        parts = F.when((x["start"] < acc["at"]) & (acc["at"] > 0), acc["parts"]).otherwise(F.concat(acc["parts"], F.array(F.concat(gap, F.lit(mark)))))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), parts.alias("parts"))
+    def clean(chunks: Column, far: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(far, i - 1)).otherwise(F.lit(0))
+        marked = F.transform(spans, lambda x, i: F.when(x["start"] >= before(i), F.concat(_between(chunks, before(i), x["start"]), F.lit(mark))))
+        return F.concat(F.array_join(marked, ""), _between(chunks, F.element_at(far, -1), F.length(text)))
 
-    done = F.aggregate(F.col(spans), none, step)
-    clean = F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text)))
-    return secret_spans(docs, text_col, spans).withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop(spans)
+    ends = F.transform(spans, lambda x: x["end"])
+    done = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), lambda c: _let(_let(ends, lambda e: _running(e, F.greatest)), lambda far: clean(c, far)))
+    return secret_spans(docs, text_col, "__secret_spans").withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text)).drop("__secret_spans")
 
 
 def op1_secret_scan(docs: DataFrame) -> DataFrame:

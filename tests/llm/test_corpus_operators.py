@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -123,6 +124,56 @@ def test_window_entropy_matches_direct(spark):
         assert abs(best - r.h) < 1e-9
 
 
+def _spans_by_steps(text):
+    """All spans, directly: the same patterns in Python, every window counted anew."""
+    base, found = [], []
+    for k, (name, p, g, least) in enumerate(X.BASE):
+        p = p.replace("((?i)password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))")
+        base += [(m.start(), k, m.end(), name) for m in re.finditer(p, text) if len(m[g]) >= least]
+    for m in re.finditer(X.CANDIDATE, text):
+        c, hot = m[0], False
+        for i in range(len(c) - 19):
+            w = c[i : i + 20]
+            h = -sum(n / 20 * math.log2(n / 20) for n in collections.Counter(w).values())
+            hot |= (h >= X.THRESHOLD["mixed"] - 1e-9 or (h >= X.THRESHOLD["hex"] - 1e-9 and bool(re.search(X.HEXADECIMAL, w)))) and not re.search(X.HARMLESS, w)
+        if hot and not any(re.search(p, c) for p in X.ALLOW) and not any(s <= m.start() and e >= m.end() for s, _, e, _ in base):
+            found.append((m.start(), 3, m.end(), "entropy"))
+    return sorted(base + found)
+
+
+def test_secret_spans_match_direct(spark, docs, texts):
+    rng = random.Random(8)
+    kinds = ["abcdef0123456789", "ABCDEF0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-", "abc", "aB3/"]
+    part = lambda: "".join(rng.choice(rng.choice(kinds)) for _ in range(rng.choice([5, 20, 25, 60, 600, 1100])))
+    rows = [(i, "".join(rng.choice([part(), "password: ", 'token="', " ", "\n", "é", "AKIA", "/deploy/keys/"]) for _ in range(12))) for i in range(150)]
+    made = {r.doc_id: r.spans for r in X.op1_secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    made |= {10_000 + r.doc_id: r.spans for r in X.op1_secret_scan(docs).collect()}
+    whole = dict(rows) | {10_000 + d: t for d, t in texts.items()}
+    for d, spans in made.items():
+        want = _spans_by_steps(whole[d])
+        assert spans == ",".join(f"{k}:{s}:{e}" for s, _, e, k in want)
+    clean = {r.doc_id: r.text for r in X.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, t in rows:
+        out, at = [], 0
+        for s, _, e, _ in _spans_by_steps(t):
+            if s >= at:
+                out += [t[at:s], "[SECRET]"]
+            at = max(at, e)
+        assert clean[d] == "".join(out) + t[at:]
+
+
+def test_secret_scan_is_linear(spark):
+    """A candidate of a megabyte, one whose only secret stands at its end, and 100,000 matches."""
+    made = "Zq3xV9tLm2Kc8RwYp5Hd7Bn4"
+    rows = [(1, "Abc" * 350_000), (2, "0123456789abcdefghij" * 50_000 + made), (3, "token=abc123 " * 100_000), (4, (made + " ") * 20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    began = time.monotonic()
+    got = {r.doc_id: (r.n_assign, r.n_entropy) for r in X.op1_secret_scan(df).collect()}
+    assert got == {1: (0, 0), 2: (0, 1), 3: (100_000, 0), 4: (0, 20_000)}
+    assert {r.doc_id: r.n for r in X.redact(df).select("doc_id", F.length("text").alias("n")).collect()} == {1: 1_050_000, 2: 8, 3: 900_000, 4: 180_000}
+    assert time.monotonic() - began < 120
+
+
 def test_native_plans_have_no_python(spark, docs, sf):
     for df in (X.op1_secret_scan(docs), C.op9_chat_format(spark.read.parquet(f"{sf}/conversations.parquet"))):
         plan = df._jdf.queryExecution().toString()
@@ -174,6 +225,31 @@ def test_pieces_equal_the_library(text):
     assert model.decode(ids) == text.replace("▁", " ")
 
 
+def test_pieces_long_runs_and_many_alphabets():
+    import sentencepiece
+
+    model, rng = T.transducer(T.default_model()), random.Random(4)
+    library = sentencepiece.SentencePieceProcessor(model_file=T.default_model())
+    alphabets = ["etaoin shrdlu.,!?'()-_=+*/#<>{}[]", "abcdefghijklmnopqrstuvwxyz", "  \n\n\t ab", "привет мир как дела", "AaBbCcDdEeTtHh 0123456789", "中文字日本語🙂ﬁ\x00\u200b"]
+    texts = ["".join(rng.choice(a) for _ in range(rng.randint(0, 90))) for a in alphabets for _ in range(150)]
+    texts += ["x" * 30_000, "".join(rng.choice("abcdef") for _ in range(30_000)), " " * 5_000, "\n" * 5_000, "é" * 5_000 + "🙂" * 5_000]
+    assert [np.frombuffer(x, "<u2").tolist() for x in model.encode_packed(texts)] == library.encode(texts)
+    assert [model.decode(i) for i in library.encode(texts)] == texts
+
+
+def test_pieces_refuse_other_models(tmp_path):
+    with open(T.default_model(), "rb") as f:
+        raw = f.read()
+    assert T.read_model(T.default_model()).prefix
+    fields = [(n, v) for n, v in T._fields(raw)]
+    size = lambda n: bytes((n & 127 | 128, n >> 7)) if n > 127 else bytes((n,))
+    message = lambda n, v: bytes((n << 3 | 2,)) + size(len(v)) + v
+    for spec in (b"\x20\x01", message(2, b"map"), b"\x20\x00\x28\x00"):  # blanks removed, a character map, blanks kept
+        (tmp_path / "m").write_bytes(b"".join(message(n, v) for n, v in fields if n == 2) + message(3, spec))
+        with pytest.raises(ValueError, match="normalisers"):
+            T.read_model(str(tmp_path / "m"))
+
+
 def test_pieces_query(spark, docs, texts):
     rows = T.op3_pieces(docs).collect()
     assert all(r.round_trip and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
