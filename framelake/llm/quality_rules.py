@@ -11,9 +11,12 @@ bound of the false rejection rate is at most the risk. So with probability 1 - l
 risk in good documents to all rules together, beyond those that the base rules reject anyway. A stratum needs
 log(level / strata) / log(1 - risk) good labels, 437 in each of four; with fewer nothing more is rejected.
 
+Any number of strata is judged alike. What belongs to a stratum (order of rules, cutoffs) is broadcast up to STRATA_SENT
+strata; beyond, it is joined by shuffle, a stratum's documents dealt over SALTS keys.
+
 Null or empty text: all counts 0 (it fails the base rule on length). Null language: a stratum of its own, ''. Labels
-that are null are left out; a document with several labels is good if all are. Languages beyond the max_strata most
-labelled ones share one stratum. Repeated rows each give a row; other columns of the input are ignored.
+that are null are left out; a document with several labels is good if all are. Repeated rows each give a row; an empty
+table gives an empty result, and without labels only the base rules reject. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -63,6 +66,7 @@ RULES = (
 #: The fixed base rules, and a step past the end of every sequence.
 BASE_FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
 END = 1 << 20
+STRATA_SENT, SALTS = 50_000, 64
 
 
 def repeat_words(hashes: np.ndarray, width: int = 8) -> int:
@@ -120,60 +124,89 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return whole.mapInArrow(partial(_count_rows, text_col=text_col), StructType([*StructType.fromDDL(SCHEMA).fields, whole.schema["row"]]))
 
 
+def _fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of the incomplete beta function, from its front to where it no longer moves."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1.0 / (d if abs(d) > tiny else tiny)
+    out = d
+    for m in range(1, 100_000):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1.0 + top * d, 1.0 + top / c
+            d = 1.0 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            out *= d * c
+        if abs(d * c - 1.0) < 1e-15:
+            break
+    return out
+
+
 def binomial_at_most(k: int, n: int, p: float) -> float:
-    """P[Bin(n, p) <= k], summed in logarithms."""
+    """P[Bin(n, p) <= k], by the regularised incomplete beta function I(1 - p; n - k, k + 1)."""
+    if k < 0:
+        return 0.0
     if k >= n:
         return 1.0
-    log = math.lgamma(n + 1)
-    terms = (log - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p) for j in range(k + 1))
-    return min(1.0, math.fsum(map(math.exp, terms)))
+    a, b, x = float(n - k), float(k + 1), 1.0 - p
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log1p(-p) + b * math.log(p))
+    return front * _fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1.0 - front * _fraction(b, a, p) / b
+
+
+def most_rejected(n: int, risk: float, share: float) -> int:
+    """The most good documents of n that may be rejected: the greatest k with P[Bin(n, risk) <= k] <= share, -1 if none."""
+    low, high = -1, n
+    while high - low > 1:
+        k = (low + high) // 2
+        low, high = (k, high) if binomial_at_most(k, n, risk) <= share else (low, k)
+    return low
+
 
+def _beside(rows: DataFrame, facts: DataFrame, few: bool) -> DataFrame:
+    """rows with their stratum's facts (one row a stratum, null where it has none)."""
+    if few:
+        return rows.join(F.broadcast(facts), "stratum", "left")
+    salted = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["stratum", "__salt"], "left").drop("__salt")
 
-def choose_cutoffs(counts: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05, rules: tuple[Rule, ...] = RULES, max_strata: int = 256) -> DataFrame:
-    """(stratum, rule, cutoff): where the sequence of each stratum ends; at most max_strata + 1 strata by the rules."""
+
+def choose_cutoffs(counts: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(stratum, rule, cutoff): where the sequence of each stratum ends."""
+    n = len(rules)
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    held = counts.join(marks, "doc_id")
-    large = held.where("quality = 1").groupBy("stratum").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "stratum").limit(max_strata).select("stratum")
     values = [F.expr(f"cast(least(1000, greatest(0, floor({r.value}))) as int)").alias(f"v{i}") for i, r in enumerate(rules)]
-    held = held.join(F.broadcast(large.withColumn("own", F.lit(True))), "stratum", "left").select(F.when(F.col("own"), F.col("stratum")).alias("stratum"), "quality", F.expr(BASE_FAILED).alias("base_failed"), *values)
-
-    beyond = [F.sum(F.expr(f"1000 * greatest(0, v{i} - {r.lowest}) div {1001 - r.lowest}")).alias(f"s{i}") for i, r in enumerate(rules)]
-    junk = held.where("quality = 0 and not base_failed").groupBy("stratum").agg(*beyond)
-    sums = [F.coalesce(F.col(f"s{i}"), F.lit(0)) for i in range(len(rules))]  # without junk, the order of the rules
-    ranks = [sum((((sums[j] >= sums[i]) if j < i else (sums[j] > sums[i])).cast("int") for j in range(len(rules)) if j != i), F.lit(0)).alias(f"r{i}") for i in range(len(rules))]
-
-    good = held.where("quality = 1").withColumnRenamed("stratum", "of")
-    good = good.join(F.broadcast(junk), good["of"].eqNullSafe(junk["stratum"]), "left").select(F.col("of").alias("stratum"), "base_failed", *[f"v{i}" for i in range(len(rules))], *ranks)
-    first = F.least(*[F.when(F.col(f"v{i}") >= r.lowest, F.col(f"r{i}") * 1001 + 1000 - F.col(f"v{i}")) for i, r in enumerate(rules)], F.lit(END))
-    hist = good.select("stratum", F.array(*[f"r{i}" for i in range(len(rules))]).alias("ranks"), F.when(F.col("base_failed"), F.lit(END)).otherwise(first).alias("step")).groupBy("stratum", "ranks", "step").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("stratum")
-    along = by.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    strata = hist.agg(F.greatest(F.lit(1), F.count_distinct(F.coalesce("stratum", F.lit("\0")))).alias("strata"))
-
-    @F.pandas_udf("double")
-    def tail(k: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([binomial_at_most(int(a), int(b), risk) for a, b in zip(k, n, strict=True)])
-
-    share = F.lit(level) / F.col("strata")
-    tested = hist.select("stratum", "ranks", "step", F.sum("n").over(along).alias("rejected"), F.sum("n").over(by).alias("n_good")).crossJoin(F.broadcast(strata))
+    held = staged(counts.join(marks, "doc_id").select("doc_id", "stratum", "quality", F.expr(BASE_FAILED).alias("base_failed"), *values))
+
+    junk = F.expr("quality = 0 and not base_failed")
+    sums = held.groupBy("stratum").agg(*[F.coalesce(F.sum(F.when(junk, F.expr(f"1000 * greatest(0, v{i} - {r.lowest}) div {1001 - r.lowest}"))), F.lit(0)).alias(f"s{i}") for i, r in enumerate(rules)])
+    rank = lambda i: sum((((F.col(f"s{j}") >= F.col(f"s{i}")) if j < i else (F.col(f"s{j}") > F.col(f"s{i}"))).cast("int") for j in range(n) if j != i), F.lit(0))
+    order = staged(sums.select("stratum", F.array(*[rank(i) for i in range(n)]).alias("ranks")))
+    few = order.count() <= STRATA_SENT
+
+    good = _beside(held.where("quality = 1"), order, few)
+    first = F.least(*[F.when(F.col(f"v{i}") >= r.lowest, F.element_at("ranks", i + 1) * 1001 + 1000 - F.col(f"v{i}")) for i, r in enumerate(rules)], F.lit(END))
+    hist = staged(good.select("stratum", F.when(F.col("base_failed"), F.lit(END)).otherwise(first).alias("step")).groupBy("stratum", "step").agg(F.count("*").alias("n")))
+    share = level / max(1, hist.select("stratum").distinct().count())
+
+    @F.pandas_udf("long")
+    def most(n_good: pd.Series) -> pd.Series:
+        return pd.Series([most_rejected(int(x), risk, share) for x in n_good], dtype="int64")
+
+    bounds = hist.groupBy("stratum").agg(F.sum("n").alias("n_good")).select("stratum", most("n_good").alias("most")).where("most >= 0")
+    along = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most 1001 steps a rule
     # Steps without a good document of their own pass as the one before them does; the very first ones reject none.
-    tested = tested.select("stratum", "ranks", "step", (tail(F.lit(0).cast("long"), "n_good") <= share).alias("enough"), (tail("rejected", "n_good") <= share).alias("ok"))
-    stops = tested.where("enough").groupBy("stratum", "ranks").agg(F.coalesce(F.min(F.when(~F.col("ok"), F.col("step"))), F.lit(END)).alias("stop"))
+    tested = hist.select("stratum", "step", F.sum("n").over(along).alias("rejected")).join(bounds, "stratum")
+    stops = tested.groupBy("stratum").agg(F.coalesce(F.min(F.when(F.col("rejected") > F.col("most"), F.col("step"))), F.lit(END)).alias("stop")).join(order, "stratum")
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.lowest).alias("lowest"), (1001 * (F.element_at("ranks", i + 1) + 1) - F.col("stop")).alias("cutoff")) for i, r in enumerate(rules)])).alias("x")
     return stops.select("stratum", each).select("stratum", "x.rule", F.greatest("x.cutoff", "x.lowest").alias("cutoff")).where("cutoff <= 1000")
 
 
 def apply_cutoffs(counts: DataFrame, cutoffs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds base_failed and kept. cutoffs is bounded: strata times rules."""
-    wide = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == i, F.col("cutoff"))).alias(f"cut_{r.name}") for i, r in enumerate(rules)])
-    own = wide.where("stratum is not null").withColumn("own", F.lit(True))
-    rest = wide.where("stratum is null").select(*[F.col(f"cut_{r.name}").alias(f"rest_{r.name}") for r in rules])
-    rest = rest.agg(*[F.max(f"rest_{r.name}").alias(f"rest_{r.name}") for r in rules])
-    joined = counts.join(F.broadcast(own), "stratum", "left").crossJoin(F.broadcast(rest))
+    """Adds base_failed and kept; cutoffs: (stratum, rule, cutoff)."""
+    wide = staged(cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == i, F.col("cutoff"))).alias(f"cut_{r.name}") for i, r in enumerate(rules)]))
+    joined = _beside(counts, wide, wide.count() <= STRATA_SENT)
     bad = F.lit(False)
     for r in rules:
-        cut = F.when(F.col("own"), F.col(f"cut_{r.name}")).otherwise(F.col(f"rest_{r.name}"))
-        bad = bad | F.coalesce(F.expr(f"floor({r.value})") >= cut, F.lit(False))
+        bad = bad | F.coalesce(F.expr(f"floor({r.value})") >= F.col(f"cut_{r.name}"), F.lit(False))
     return joined.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & ~bad).select(*counts.columns, "base_failed", "kept")
 
 

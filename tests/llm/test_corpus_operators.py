@@ -504,8 +504,28 @@ def test_quality_rejects_labelled_junk_at_production_parameters(spark):
 
 
 def test_binomial_tail():
-    for k, n, p in ((0, 10, 0.1), (3, 20, 0.2), (20, 20, 0.5)):
-        assert Q.binomial_at_most(k, n, p) == pytest.approx(sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)))
+    for n, p in ((10, 0.1), (20, 0.5), (300, 0.01), (3000, 0.002)):
+        below = 0.0
+        for k in range(n + 1):
+            below += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
+            assert Q.binomial_at_most(k, n, p) == pytest.approx(below, rel=1e-9)
+            if below > 1 - 1e-12:
+                break
+    for n, share in ((298, 0.05), (299, 0.05), (5000, 0.01), (0, 0.05)):
+        assert Q.most_rejected(n, 0.01, share) == max((k for k in range(-1, n) if Q.binomial_at_most(k, n, 0.01) <= share), default=-1)
+    assert -1 < Q.most_rejected(10**9, 0.01, 0.05) < 10**7
+
+
+@pytest.mark.parametrize("sent", [50_000, 20])
+def test_quality_many_strata_have_cutoffs_of_their_own(spark, monkeypatch, sent):
+    """300 languages, each with its own level of symbols in good documents, by both kinds of join."""
+    monkeypatch.setattr(Q, "STRATA_SENT", sent)
+    rows = spark.range(300 * 250).selectExpr("id doc_id", "concat('l', id % 300) stratum", "300L n_words", "1000L word_chars", "if(id div 300 < 200, id % 300, id % 300 + 10) n_symbols", "0L n_dup_lines", "0L n_repeat_words", "10L n_lines", "0L n_digits", "290L n_distinct")
+    labels = rows.selectExpr("doc_id", "if(doc_id div 300 < 200, 1, 0) quality")
+    done = Q.apply_cutoffs(rows, Q.choose_cutoffs(rows, labels, risk=0.05))
+    assert done.count() == 75_000 and done.where("kept <> (doc_id div 300 < 200)").where("n_symbols >= 50").count() == 0
+    cutoffs = {r.stratum: r.cutoff for r in Q.choose_cutoffs(rows, labels, risk=0.05).where("rule = 0").collect()}
+    assert cutoffs == {f"l{i}": max(5, i + 1) for i in range(300)}
 
 
 def test_pipeline(spark, sf, texts):
