@@ -8,7 +8,8 @@ sequence has padding. Global offsets come from a range partition of the keys alo
 plus the totals of those before it. The ids are then joined to their offsets and cut.
 
 A worker keeps the ids of runs between ASCII blanks (the tokenizer drops blanks and never joins across them), at most
-MEMORY of them; then it starts anew.
+MEMORY of them; then it starts anew. The vocabulary's special tokens, which a text may spell out in exactly their
+letters, are single ids: texts are cut at them before anything is put in lower case.
 
 Null or empty text: the end id alone. Repeated ids stay separate rows. Other columns are ignored; an empty table gives
 an empty result.
@@ -17,6 +18,7 @@ an empty result.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -53,18 +55,37 @@ class RunEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(x.normalized or x.lstrip or x.rstrip or x.single_word for x in added.values()):
+            raise ValueError("special tokens are found as they are spelt, with nothing around them")
+        self.tokenizer.encode_special_tokens = True  # runs are in lower case, where a special token's letters are no special token
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        self.known: dict[bytes, bytes] = {}
+        self.special = re.compile("(" + "|".join(re.escape(x.content) for x in sorted(added.values(), key=lambda x: -len(x.content))) + ")") if added else None
+        self.marked = {self._mark(x.content): _packed([i]) for i, x in added.items()}
+        self.known: dict[bytes, bytes] = dict(self.marked)
+
+    @staticmethod
+    def _mark(special: str) -> bytes:
+        """A key that no run has."""
+        return b" " + special.encode()
+
+    def runs(self, text: str) -> list[bytes]:
+        if not self.special or not self.special.search(text):
+            return text.encode("utf-8", "surrogatepass").lower().split()
+        out: list[bytes] = []
+        for i, part in enumerate(self.special.split(text)):
+            out += [self._mark(part)] if i % 2 else part.encode("utf-8", "surrogatepass").lower().split()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Runs are looked up in lower case, as the tokenizer takes them. A run that ends in one mark after a letter is
         its parts' ids, one after the other: the tokenizer cuts there too."""
-        runs = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        runs = [self.runs(t) for t in texts]
         known = self.known
         if len(known) > MEMORY:
             known.clear()
+            known.update(self.marked)
         new = set().union(*runs).difference(known)
         marked = [r for r in new if r[-1] in _MARKS and len(r) > 1 and 97 <= r[-2] <= 122]
         plain = new.difference(marked)

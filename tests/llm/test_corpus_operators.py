@@ -378,6 +378,14 @@ def test_token_histogram(docs, texts):
     assert {r.share: r.n_tokens for r in N.length_quantiles(hist, [0.5, 0.9]).collect()} == {q: lengths[math.ceil(q * len(lengths)) - 1] for q in (0.5, 0.9)}
 
 
+def test_token_counts_on_awkward_rows(spark, awkward):
+    encode = N.encoder(N.default_vocabulary()).encode_ordinary
+    want = collections.Counter(len(encode(t or "")) for _, t in AWKWARD)
+    got = N.op7_token_counts(awkward)
+    assert {r.n_tokens: r.n_docs for r in got.collect()} == want and got.agg(F.max("docs_from")).first()[0] == len(AWKWARD)
+    assert N.op7_token_counts(awkward.where("false")).count() == 0
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
@@ -400,17 +408,28 @@ def test_packing(docs, texts):
     assert all(n == 4096 for k, n in sizes.items() if k != max(sizes)) and sum(sizes.values()) == sum(map(len, ids.values()))
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.text(st.sampled_from("abthe'sé .,;!?012́\t İK<|>endoftxu"), max_size=30), min_size=1, max_size=4))
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"abthe'sé .,;!?012́\t İK<|>endoftxu", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext"]), max_size=30).map("".join), min_size=1, max_size=4))
 def test_run_encoder_equals_tokenizer(batch):
+    """The plain tokenizer, special tokens included."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(P.default_vocabulary())
-    tokenizer.encode_special_tokens = True
     made = P.encoder(P.default_vocabulary()).encode(batch)
     assert [np.frombuffer(x, "<u2").tolist() for x in made] == [tokenizer.encode(t, add_special_tokens=False).ids for t in batch]
 
 
+def test_packing_special_tokens(spark):
+    rows = [(1, "one <|endoftext|> two"), (2, "a<|startoftext|>B"), (3, "<|ENDOFTEXT|>")]
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in P.op8_packing(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.default_vocabulary())
+    ids = {d: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for d, t in rows}
+    assert 49407 in ids[1] and 49406 in ids[2] and 49407 not in ids[3]
+    assert got == {d: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in ids.items()}
+
+
 def test_hilbert_neighbours():
     points = np.array([(x, y, z) for x in range(4) for y in range(4) for z in range(4)])
     order = points[np.argsort(P.hilbert(points, 2))]
