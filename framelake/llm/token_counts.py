@@ -3,7 +3,7 @@
 The histogram has one row for each length that occurs. With the number of documents at least that long and the tokens
 in them, every context limit L is answered at once: tokens kept when texts are cut at L = tokens of the shorter ones
 + L * documents at least L long. Suffix sums are taken within blocks of lengths and over the blocks' totals, so no
-task holds more than a block.
+task holds more than a block. The histogram is written once, as three passes read it: texts are encoded once.
 
 Null or empty text: length 0. Repeated rows count each. An empty table gives an empty histogram. Other columns are
 ignored.
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, staged
 
 BLOCK = 1024
 _encoders: dict[str, object] = {}
@@ -57,7 +57,7 @@ def token_lengths(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
 def length_histogram(lengths: DataFrame) -> DataFrame:
     """(n_tokens, n_docs, docs_from, tokens_from, tokens_cut): the last three for the limit L = n_tokens are the
     documents with at least L tokens, the tokens in those, and all tokens left when every document is cut at L."""
-    hist = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", F.expr(f"n_tokens div {BLOCK}"))
+    hist = staged(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", F.expr(f"n_tokens div {BLOCK}")))
     by = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # one row for each block of lengths
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.expr("n_docs * n_tokens")).alias("t"))
     total = blocks.agg(F.sum("t").alias("total"))
