@@ -6,37 +6,45 @@ reach the threshold share a shingle among the first |A| - ceil(t|A|) + 1 of each
 by no more than the factor t. One shuffle brings the heads' shingles together. Lists of up to SMALL classes give pairs,
 whose overlap in the heads is counted; what else two sets may share is bounded by the longer tail plus the shingles of
 the heads that stand in longer lists, and pairs that can't reach the threshold even so are dropped. In longer lists, in
-the order of sizes, classes are tied to the first of their run until a step in size exceeds the factor. Both kinds of
-ties join classes into families. The overlap counts of a family are the product of its incidence matrix with its
-transpose. It is computed block by block: a family of many classes is dealt into blocks, every pair of blocks is a task
-of its own, stripes of rows meet only the rows whose sizes allow the threshold, and columns that one row alone has are
-left out. Only what ties linked classes together, and each class's number of links, leaves a task, so rows never grow
-with the square of a group.
+the order of sizes, classes are tied to the first of their run until a step in size exceeds the factor. Shingles known
+to be very frequent are dealt into lists of about HOT classes where they are read, and the runs of such lists are
+chained afterwards, so no list grows with the corpus. Both kinds of ties join classes into families.
+
+The overlap counts of a family are the product of its incidence matrix with its transpose, computed block by block. A
+family that is too large for one block is dealt into bands of sizes, each a factor t wide, and bands into blocks: only
+blocks of one band or of two neighbouring ones can hold linked sets, and each such pair of blocks is a task of its own,
+where stripes of rows meet only the rows whose sizes allow the threshold, and columns that one row alone has are left
+out. Only what ties linked classes together, and each class's number of links, leaves a task, so rows never grow with
+the square of a group. A set travels once for every block of its own and the neighbouring bands, which the count of
+links of a large family of like texts and sizes needs.
 
 The order of shingles only saves work; any order gives the same links. Its frequent ones are found by counting, in
 every task, shingles that occur again among the texts it reads, and the most frequent FREQUENT of the sums are sent
 to all tasks (8 MB at most).
 
 Null or empty text: an empty set, linked with nothing. Documents without an id are not linked and have no component.
-Rows that share an id count as one document's. An empty table gives an empty result; other columns are ignored.
+Rows that share id and text count as one document; one that has several texts stands in the class of each, and its
+texts share a component. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import U64, id_text, mix, span_hashes, staged, windows, words_of
 from .graph import components
 
 WIDTH, PERCENT = 5, 80
 FREQUENT = 1 << 19
-SMALL = 16
+SMALL, HOT = 16, 1000
 BLOCK_ROWS, BLOCK_CELLS = 1024, 2_000_000
 
 
@@ -89,12 +97,12 @@ def _profile(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
     yield again()
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, frequent) -> Iterator[pa.RecordBatch]:
-    """(shingle, cls, size) of each set's first shingles in the global order."""
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, hot: int, frequent) -> Iterator[pa.RecordBatch]:
+    """(shingle, salt, cls, size) of each set's first shingles in the global order; salt is -1 where a list is not dealt."""
     hashes, ranks = frequent.value
     met: set[tuple[int, int]] = set()
     for batch in batches:
-        out: list[tuple[np.ndarray, int, int]] = []
+        out: list[tuple[np.ndarray, np.ndarray, int, int]] = []
         for text in batch.column(0).to_pylist():
             s = shingles(text, width)
             n = len(s)
@@ -104,22 +112,27 @@ def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, frequ
             if len(met) < 1 << 18:
                 met.add(cls)
             keep = n - (percent * n + 99) // 100 + 1
+            salt = np.full(keep, -1, np.int32)
             if len(hashes):
                 at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
                 rank = np.where(hashes[at] == s, ranks[at], 0)
-                s = s[np.argsort(rank, kind="stable")]
-            out.append((s[:keep], cls[0], n))
+                order = np.argsort(rank, kind="stable")[:keep]
+                s, rank = s[order], rank[order]
+                salt = np.where(rank > hot, np.int64(cls[1]) % (rank // hot + 1), -1).astype(np.int32)
+            out.append((s[:keep], salt, cls[0], n))
         sizes = [len(x[0]) for x in out]
-        cat = np.concatenate([x[0] for x in out]) if out else np.zeros(0, U64)
-        yield pa.RecordBatch.from_arrays([pa.array(cat.view(np.int64)), pa.array(np.repeat(np.array([x[1] for x in out], np.int64), sizes)), pa.array(np.repeat(np.array([x[2] for x in out], np.int32), sizes))], names=["shingle", "cls", "size"])
+        cat, salts = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, t) for k, t in ((0, U64), (1, np.int32)))
+        cls, size = (np.repeat(np.array([x[k] for x in out], t), sizes) for k, t in ((2, np.int64), (3, np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(cat.view(np.int64)), pa.array(salts), pa.array(cls), pa.array(size)], names=["shingle", "salt", "cls", "size"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The set of each row whose text is one of the class that it is asked for."""
     for batch in batches:
-        sets = [shingles(t, width) for t in batch.column(0).to_pylist()]
-        keys = [class_keys(s) for s in sets]
-        same = [k == (a, b) for k, a, b in zip(keys, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        made = pa.RecordBatch.from_arrays([*(batch.column(i) for i in (1, 4, 5, 6)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "family", "blocks", "copies", "hashes"])
+        sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
+        same = [class_keys(s) == (a, b) for s, a, b in zip(sets, batch.column("cls").to_pylist(), batch.column("check").to_pylist(), strict=True)]
+        kept = [n for n in batch.schema.names if n not in ("text", "check")]
+        made = pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*kept, "hashes"])
         yield made.filter(pa.array(same, pa.bool_()))
 
 
@@ -147,19 +160,19 @@ def overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> n
 
 
 def _linked(key: tuple, table: pa.Table, percent: int) -> pa.Table:
-    """Ties (rep, root) and numbers of links of one pair of blocks; key: family, i, j."""
-    reps = table.column("rep").to_numpy()
-    copies = table.column("copies").to_numpy()
-    block = table.column("block").to_numpy()
+    """Ties (rep, root) and numbers of links of one pair of blocks; key: family, band, step to the other band, i, j."""
+    _, once = np.unique(np.stack([table.column(c).to_numpy() for c in ("rep", "cls")], axis=1), axis=0, return_index=True)
+    table = table.take(pa.array(once))  # rows that share id and text
+    reps, copies, band, block = (table.column(c).to_numpy() for c in ("rep", "copies", "band", "block"))
     sets = [np.frombuffer(x, U64) for x in table.column("hashes").to_pylist()]
     size = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(size, kind="stable")
-    i, j = key[1].as_py(), key[2].as_py()
+    low, step, i, j = (k.as_py() for k in key[1:])
     root = np.arange(len(sets))
     links = np.zeros(len(sets), np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    left = order[block[order] == i]
-    right = order[block[order] == j]
+    left = order[(band[order] == low) & (block[order] == i)]
+    right = order[(band[order] == low + step) & (block[order] == j)]
     for at in range(0, len(left), 256):
         rows = left[at : at + 256]
         lo, hi = np.searchsorted(size[right], [-(-percent * size[rows[0]] // 100), 100 * size[rows[-1]] // percent + 1])
@@ -170,7 +183,7 @@ def _linked(key: tuple, table: pa.Table, percent: int) -> pa.Table:
         union = size[rows][:, None] + size[columns][None, :] - both
         ok = (100 * both >= percent * union) & (rows[:, None] != columns[None, :])
         links[rows] += (ok * copies[columns][None, :]).sum(1)
-        if i != j:
+        if step or i != j:
             links[columns] += (ok * copies[rows][:, None]).sum(0)
         a, b = np.nonzero(ok)
         found.append((rows[a], columns[b]))
@@ -186,7 +199,7 @@ def _linked(key: tuple, table: pa.Table, percent: int) -> pa.Table:
                 break
             root = new
     use = links > 0
-    return pa.table({"rep": reps[use], "root": reps[root[use]], "links": links[use]})
+    return pa.table({"rep": reps[use], "root": reps[root[use]], "links": links[use], "cls": table.column("cls").to_numpy()[use]})
 
 
 def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -203,28 +216,62 @@ def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     hashes = top["shingle"].to_numpy(np.int64).view(U64) if len(top) else np.zeros(0, U64)
     order = np.argsort(hashes)
     times = top["times"].to_numpy(np.int64) if len(top) else np.zeros(0, np.int64)
-    return hashes[order], times[order].astype(np.int32)
+    return hashes[order], times[order]
 
 
 def _ties(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): classes that may be linked, or stand in one chain of such classes. lists: (shingle, cls, size)."""
-    shared = staged(lists.withColumn("members", F.count("*").over(Window.partitionBy("shingle"))).where("members > 1"))
-    inside = shared.where(F.col("members") <= SMALL).groupBy("shingle").agg(F.array_sort(F.collect_set(F.struct("size", "cls"))).alias("s"))
+    """(a, b): classes that may be linked, or stand in one chain of such classes. lists: (shingle, salt, cls, size)."""
+    shared = staged(lists.withColumn("members", F.count("*").over(Window.partitionBy("shingle", "salt"))).where("members > 1 or salt >= 0"))
+    inside = shared.where((F.col("members") <= SMALL) & (F.col("salt") < 0)).groupBy("shingle").agg(F.array_sort(F.collect_set(F.struct("size", "cls"))).alias("s"))
     two = F.flatten(F.transform("s", lambda x, i: F.transform(F.filter(F.slice("s", i + 2, F.size("s")), lambda y: x["size"] * 100 >= y["size"] * percent), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     pairs = inside.where(F.size("s") > 1).select(F.explode(two).alias("p")).groupBy("p.x", "p.y").agg(F.count("*").alias("both"))
     pairs = pairs.select(F.col("x.cls").alias("a"), F.col("x.size").alias("na"), F.col("y.cls").alias("b"), F.col("y.size").alias("nb"), "both")
 
-    long = shared.where(F.col("members") > SMALL)
+    long = shared.where((F.col("members") > SMALL) | (F.col("salt") >= 0))
     extra = long.groupBy("cls").agg(F.count_distinct("shingle").alias("q"))
     pairs = pairs.join(extra.select(F.col("cls").alias("a"), F.col("q").alias("qa")), "a", "left").join(extra.select(F.col("cls").alias("b"), F.col("q").alias("qb")), "b", "left")
     tail = lambda n: F.ceil(F.col(n) * percent / 100) - 1
     most = F.col("both") + F.least(F.coalesce("qa", F.lit(0)), F.coalesce("qb", F.lit(0))) + F.greatest(tail("na"), tail("nb"))
     close = pairs.where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
 
-    along = Window.partitionBy("shingle").orderBy("size", "cls")
+    along = Window.partitionBy("shingle", "salt").orderBy("size", "cls")
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = (F.lag("size").over(along) * 100 < F.col("size") * percent) | F.lag("size").over(along).isNull()
-    runs = long.withColumn("start", F.when(step, F.col("cls"))).withColumn("first", F.last("start", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return close.unionByName(runs.where("first <> cls").select(F.col("first").alias("a"), F.col("cls").alias("b"))).distinct()
+    runs = staged(long.withColumn("start", F.when(step, F.col("cls"))).withColumn("first", F.last("start", ignorenulls=True).over(so_far)).select("shingle", "salt", "cls", "size", "first"))
+    # Runs of the lists that one shingle is dealt into, chained in the same way.
+    dealt = runs.where("salt >= 0").groupBy("shingle", "salt", "first").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    over = Window.partitionBy("shingle").orderBy("low", "first")
+    reach = F.max("high").over(over.rowsBetween(Window.unboundedPreceding, -1))
+    chained = dealt.withColumn("start", F.when(reach.isNull() | (reach * 100 < F.col("low") * percent), F.col("first"))).withColumn("chain", F.last("start", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    tied = runs.where("first <> cls").select(F.col("first").alias("a"), F.col("cls").alias("b")).unionByName(chained.where("chain <> first").select(F.col("chain").alias("a"), F.col("first").alias("b")))
+    return close.unionByName(tied).distinct()
+
+
+def _blocks(members: DataFrame, percent: int) -> DataFrame:
+    """Members of families of two or more with their band, the number of its blocks, and of those of the bands beside it."""
+    whole = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("cells")).where("n > 1").select("family", ((F.col("n") <= BLOCK_ROWS) & (F.col("cells") <= BLOCK_CELLS)).alias("one"))
+    width = math.log(100 / percent) * (1 + 1e-9)
+    banded = staged(members.join(whole, "family").withColumn("band", F.when(F.col("one"), 0).otherwise(F.floor(F.log("size") / width)).cast("int")).drop("one"))
+    load = banded.groupBy("family", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_CELLS)).cast("int").alias("blocks"))
+    beside = lambda by, name: load.select("family", (F.col("band") - by).alias("band"), F.col("blocks").alias(name))
+    return banded.join(load.join(beside(1, "up"), ["family", "band"], "left").join(beside(-1, "down"), ["family", "band"], "left").na.fill(0, ["up", "down"]), ["family", "band"])
+
+
+def _block_pairs(sets: DataFrame) -> DataFrame:
+    """Every set once for each pair of blocks that it belongs to."""
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+
+    def pairs(n: str, band: Column, step: int, i, j) -> Column:
+        others = F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(others, lambda o: F.struct(band.alias("low"), F.lit(step).alias("step"), i(o).alias("i"), j(o).alias("j")))
+
+    own, band = F.col("block"), F.col("band")
+    to = F.concat(
+        pairs("blocks", band, 0, lambda o: F.least(own, o), lambda o: F.greatest(own, o)),
+        pairs("up", band, 1, lambda o: own, lambda o: o),
+        pairs("down", band - 1, 1, lambda o: o, lambda o: own),
+    )
+    return sets.withColumn("to", F.explode(to)).select("rep", "cls", "copies", "band", "block", "hashes", "family", "to.low", "to.step", "to.i", "to.j")
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,27 +283,25 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     rows = profile.where("times is null").select("doc_id", "size", "cls", "check")
     classes = rows.where("size > 0 and doc_id is not null").groupBy("cls", "check", "size").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
 
-    lists = texts.where("doc_id is not null").select("text").mapInArrow(partial(_prefixes, width=width, percent=percent, frequent=frequent), "shingle long, cls long, size int")
+    lists = texts.where("doc_id is not null").select("text").mapInArrow(partial(_prefixes, width=width, percent=percent, hot=HOT, frequent=frequent), "shingle long, salt int, cls long, size int")
     families = components(_ties(lists, percent))
 
     members = classes.join(families.select(F.col("node").alias("cls"), F.col("component").alias("family")), "cls")
-    load = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("cells")).where("n > 1")
-    load = load.select("family", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("cells") / BLOCK_CELLS)).cast("int").alias("blocks"))
-    members = members.join(load, "family").select(F.col("rep").alias("doc_id"), "cls", "check", "family", "blocks", "copies")
-    sets = texts.join(members, "doc_id").select("text", "doc_id", "cls", "check", "family", "blocks", "copies").mapInArrow(partial(_sets, width=width), "rep long, family long, blocks int, copies long, hashes binary")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = sets.select("*", other).select("rep", "copies", "block", "hashes", "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    members = _blocks(members, percent).select(F.col("rep").alias("doc_id"), "rep", "cls", "check", "family", "copies", "band", "blocks", "up", "down")
+    asked = texts.join(members, "doc_id").drop("doc_id")
+    kept = [f for f in asked.schema.fields if f.name not in ("text", "check")]
+    sets = asked.mapInArrow(partial(_sets, width=width), StructType([*kept, StructField("hashes", BinaryType())]))
 
     def product(key: tuple, table: pa.Table) -> pa.Table:
         return _linked(key, table, percent)
 
-    linked = staged(pairs.groupBy("family", "i", "j").applyInArrow(product, "rep long, root long, links long"))
+    linked = staged(_block_pairs(sets).groupBy("family", "low", "step", "i", "j").applyInArrow(product, "rep long, root long, links long, cls long"))
     joined = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
-    degree = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-    found = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
+    degree = linked.groupBy("rep", "cls").agg(F.sum("links").alias("links"))
+    found = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, ["rep", "cls"], "left")
     found = found.select("cls", "check", "size", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.join(found, ["cls", "check", "size"], "left")
+    empty = rows.where("size = 0").select("*", F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("n_links"))  # one key, so not joined
+    out = rows.where("size > 0").join(found, ["cls", "check", "size"], "left").select(*empty.columns).unionByName(empty)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), component.alias("component_id"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"))
 

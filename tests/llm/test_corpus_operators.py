@@ -338,6 +338,20 @@ def test_jaccard_join(docs, texts):
     assert got == _brute_components(texts)
 
 
+def test_jaccard_repeated_rows_and_sizes(spark, monkeypatch):
+    """Rows given twice count once; a family whose sizes range over many bands, in blocks of eight."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(600)]
+    texts = {i: " ".join(words[: 5 + i * 3 + rng.randint(0, 2)]) for i in range(150)}
+    texts |= {200 + i: texts[i] for i in range(0, 150, 7)}
+    rows = list(texts.items())
+    monkeypatch.setattr(J, "BLOCK_ROWS", 8)
+    for more in ([], rows[::2], rows + rows[::3]):
+        got = J.op6_jaccard_join(spark.createDataFrame(rows + more, "doc_id long, text string")).collect()
+        assert len(got) == len(rows + more)
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == _brute_components(texts)
+
+
 def test_jaccard_hot_group_in_blocks(spark, monkeypatch):
     """A large group of near copies, a common line and long lists, with small blocks."""
     rng = random.Random(5)
@@ -354,6 +368,7 @@ def test_jaccard_hot_group_in_blocks(spark, monkeypatch):
     texts |= {i: texts[i - 150] for i in range(150, 165)}
     monkeypatch.setattr(J, "BLOCK_ROWS", 20)
     monkeypatch.setattr(J, "SMALL", 4)
+    monkeypatch.setattr(J, "HOT", 8)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in J.op6_jaccard_join(df).collect()}
     assert got == _brute_components(texts)
