@@ -9,6 +9,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import date_from_name
+from .joins import PHASES
+
 
 def with_class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     """Adds weight = n / (classes * n of the class)."""
@@ -40,6 +43,13 @@ def predict(model: PipelineModel, rows: DataFrame, vector: str = "vector", revie
     return out.withColumn("needs_review", F.col("confidence") < review_below).select(*rows.columns, "predicted", "confidence", "needs_review")
 
 
+def prediction_scope(rows: DataFrame, path_text: str, first: str = PHASES[0][1], last: str = PHASES[-1][2]) -> DataFrame:
+    """Rows under a path text whose file name carries a date among the phases, both ends included. Unlike in training no
+    other date stands in for one that is missing."""
+    day = date_from_name(F.col("file_path"))
+    return rows.where(F.col("file_path").contains(path_text) & day.between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+
+
 def apply_predictions(frames: DataFrame, predictions: DataFrame) -> DataFrame:
     """Old labels cleared everywhere, new ones set where there is a prediction."""
     new = predictions.select("id", F.col("predicted").alias("construction_phase"), F.round("confidence", 4).alias("phase_confidence"), F.col("needs_review").alias("phase_needs_review"))

@@ -16,14 +16,31 @@ from .joins import segment_for_frame
 Encoder = Callable[[list], list]  # of texts or bytes; None for what can't be read
 
 
-def hash_encoder(dim: int = 8) -> Encoder:
-    """A repeatable stand-in for a model: a vector out of a digest."""
+def hash_encoder(dim: int = 64) -> Encoder:
+    """A text encoder without training: every run of three letters adds +1 or -1 to one of dim places, which its digest
+    picks, and the sums are scaled to length 1. Texts that share most of their runs have a cosine near 1. Bytes are
+    taken as Latin-1 text; null or empty content can't be read."""
+    places: dict[str, tuple[int, int]] = {}
+
+    def place(gram: str) -> tuple[int, int]:
+        if gram not in places:
+            if len(places) > 1 << 20:
+                places.clear()
+            h = int.from_bytes(hashlib.sha256(gram.encode("utf-8", "surrogatepass")).digest()[:8], "little")
+            places[gram] = (h >> 1) % dim, 1 if h & 1 else -1
+        return places[gram]
 
     def encode(items: list) -> list:
         out = []
         for x in items:
-            raw = x.encode() if isinstance(x, str) else x
-            out.append(None if raw is None or not len(raw) else [b / 255.0 for b in hashlib.sha256(raw).digest()[:dim]])
+            text = x.decode("latin-1") if isinstance(x, (bytes, bytearray)) else x
+            if not text:
+                out.append(None)
+                continue
+            text = f" {text} "
+            at, sign = zip(*(place(text[i : i + 3]) for i in range(len(text) - 2)), strict=True)
+            v = np.bincount(at, sign, dim)
+            out.append(v / max(float(np.linalg.norm(v)), 1e-12))
         return out
 
     return encode
@@ -108,9 +125,14 @@ def summary(decided: DataFrame, action: str = "action") -> DataFrame:
     return decided.agg(F.count("*").alias("total"), count("processed"), count("skipped"), count("failed"))
 
 
-def run_steps(df: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFrame]]], error_col: str = "error") -> tuple[DataFrame, list[tuple[str, float]]]:
-    """Steps in turn over the rows without an error; a row that a step marks passes the later ones by. Also the seconds
-    that declaring each step took."""
+def run_steps(
+    df: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFrame]]], error_col: str = "error", settle: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, list[tuple[str, float]]]:
+    """Steps in turn over the rows without an error; a row that a step marks passes the later ones by.
+
+    With settle, which writes a DataFrame and reads it back, each step's rows are worked out before the next step, so the
+    seconds beside each name are those that the step ran, and a later failure does not repeat it. Without it all steps
+    make one plan, and the seconds are only what declaring them took."""
     if error_col not in df.columns:
         df = df.withColumn(error_col, F.lit(None).cast("string"))
     failed, took = None, []
@@ -119,7 +141,6 @@ def run_steps(df: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFr
         bad = df.where(F.col(error_col).isNotNull())
         failed = bad if failed is None else failed.unionByName(bad, allowMissingColumns=True)
         df = step(df.where(F.col(error_col).isNull()))
+        df = settle(df) if settle else df
         took.append((name, time.perf_counter() - began))
     return (df if failed is None else df.unionByName(failed, allowMissingColumns=True)), took
-
-

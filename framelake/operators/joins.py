@@ -72,13 +72,25 @@ def enrich(frames: DataFrame, results: DataFrame, columns: list[str], key: str =
 
 def nearest_label(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, label_index, similarity): the most similar of a fixed, small vocabulary (label_index, label_vector), the
-    first of equals. All pairs are one matrix product in a batch; see search.cosine_scores."""
-    from .search import cosine_scores
-
-    asked = labels.select(F.col("label_index").cast("long").alias("query_id"), F.col("label_vector").alias("query_vector"))
-    pairs = cosine_scores(vectors, asked, -2.0).select("id", F.col("query_id").alias("label_index"), "score")
-    best = F.max_by(F.struct("label_index", "score"), F.struct("score", -F.col("label_index")))
-    return pairs.groupBy("id").agg(best.alias("b")).select("id", "b.label_index", F.col("b.score").alias("similarity"))
+    first of equals. See search.nearest."""
+    from .search import nearest
+
+    near = nearest(vectors, labels.select(F.col("label_index").cast("long").alias("target_id"), F.col("label_vector").alias("target_vector")))
+    return near.select("id", F.col("target_id").alias("label_index"), F.col("score").alias("similarity"))
+
+
+def topic_tags(vectors: DataFrame, labels: DataFrame, k: int = 10, sample: int = 400) -> DataFrame:
+    """(place, label_index, n): the k labels that are nearest to most of a sample of rows, the first in the order of a
+    digest of their ids; of equal counts the label that the sample meets first. Without rows the vocabulary's first k."""
+    order = [F.md5(F.col("id").cast("string")), F.col("id")]
+    picked = vectors.where("vector IS NOT NULL").orderBy(*order).limit(sample).select("id", "vector")
+    near = nearest_label(picked, labels).withColumn("met", F.struct(F.md5(F.col("id").cast("string")), F.col("id")))
+    counts = near.groupBy("label_index").agg(F.count("*").alias("n"), F.min("met").alias("met"))
+    placed = counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "met"))).where(F.col("place") <= k)  # at most as many rows as labels
+    head = labels.select(F.col("label_index").cast("long").alias("label_index")).withColumn("place", F.row_number().over(Window.orderBy("label_index"))).where(F.col("place") <= k)
+    none = counts.agg((F.count("*") == 0).alias("none"))
+    instead = head.crossJoin(F.broadcast(none)).where("none").select("place", "label_index", F.lit(0).cast("long").alias("n"))  # one row beside the head
+    return placed.select("place", "label_index", "n").unionByName(instead)
 
 
 def missing_artefacts(listing: DataFrame, artefacts: DataFrame, suffix: str = ".moov") -> DataFrame:

@@ -9,10 +9,27 @@ from pyspark.sql import functions as F
 def gap_sessions(df: DataFrame, ts: str, minutes: int = 10, by: list[str] | None = None) -> DataFrame:
     """(by, start, end, n, minutes): a session ends where the next time is more than the gap away; an exact gap joins.
 
-    session_window merges by partial sessions, so no task needs all times of a key in one sorted run.
+    Sessions are first taken inside each day (session_window, summed up in part before its shuffle). Only a day's first
+    and last one can go on in another day, so two rows for each day with rows, and key, are put in order to be chained;
+    no task sorts all times, whether there is a key or not.
     """
-    rows = df.where(F.col(ts).isNotNull()).groupBy(*(by or []), F.session_window(ts, f"{minutes} minutes").alias("w")).agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"))
-    return rows.select(*(by or []), "start", "end", "n", F.round((F.unix_micros("end") - F.unix_micros("start")) / 6e7, 1).alias("minutes"))
+    own = by or []
+    micros = 60_000_000 * minutes
+    day = F.floor(F.unix_micros(ts) / F.lit(max(86_400_000_000, micros))).cast("long")
+    rows = df.where(F.col(ts).isNotNull()).groupBy(*own, day.alias("__day"), F.session_window(ts, f"{minutes} minutes").alias("w"))
+    inside = rows.agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n")).drop("w")
+    one = F.struct("start", "end", "n")
+    ends = inside.groupBy(*own, "__day").agg(F.min(one).alias("first"), F.max(one).alias("last"))
+    edges = ends.select(*own, F.explode(F.array_distinct(F.array("first", "last"))).alias("s")).select(*own, "s.*")
+    along = Window.partitionBy(*own).orderBy("start")
+    new = F.coalesce(F.unix_micros("start") - F.unix_micros(F.lag("end").over(along)) > micros, F.lit(True))
+    chains = edges.withColumn("__chain", F.sum(new.cast("int")).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    chained = chains.groupBy(*own, "__chain").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+    named = ends.select(F.col("first.start").alias("__first"), F.col("last.start").alias("__last"), *[F.col(c).alias(f"__{i}") for i, c in enumerate([*own, "__day"])])
+    same = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate([*own, "__day"])]
+    within = inside.join(named, same).where((F.col("start") != F.col("__first")) & (F.col("start") != F.col("__last"))).select(*own, "start", "end", "n")
+    out = chained.select(*own, "start", "end", "n").unionByName(within)
+    return out.select(*own, "start", "end", "n", F.round((F.unix_micros("end") - F.unix_micros("start")) / 6e7, 1).alias("minutes"))
 
 
 def last_sessions(sessions: DataFrame, n: int = 10) -> DataFrame:
@@ -92,11 +109,12 @@ def source_holdout(rows: DataFrame, path: str, test: str) -> DataFrame:
     return rows.withColumn("part", F.when(F.col(path).contains(test), "test").otherwise("train"))
 
 
-def with_fallback(split: DataFrame, fallback: DataFrame, label: str, least: int = 10) -> tuple[DataFrame, bool]:
-    """The split, or the fallback when the test side is small or a class is missing from training; and whether it fell back."""
+def with_fallback(split: DataFrame, fallback: DataFrame, label: str, least: int = 10, least_train: int = 0) -> tuple[DataFrame, bool]:
+    """The split, or the fallback when either side has fewer rows than its least or a tested class is missing from
+    training; and whether it fell back."""
     counts = split.groupBy(label).agg(F.count_if(F.col("part") == "test").alias("t"), F.count_if(F.col("part") == "train").alias("n"))
-    test, missing = counts.agg(F.sum("t"), F.count_if((F.col("n") == 0) & (F.col("t") > 0))).first()
-    bad = (test or 0) < least or missing > 0
+    test, train, missing = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count_if((F.col("n") == 0) & (F.col("t") > 0))).first()
+    bad = test < least or train < least_train or missing > 0
     return (fallback if bad else split), bad
 
 

@@ -189,3 +189,23 @@ def classifier_report(pred: DataFrame) -> DataFrame:
     for x in (macro, weighted, accuracy):
         out = out.unionByName(x.select("label", *scores, "support"))
     return out.select("label", *[F.round(c, 6).alias(c) for c in scores], "support")
+
+
+def confusion_matrix(pred: DataFrame) -> DataFrame:
+    """(label, prediction, n, share): a row for each pair that occurs, and its share of the label's rows."""
+    pairs = pred.groupBy("label", "prediction").agg(F.count("*").alias("n"))
+    total = pairs.groupBy("label").agg(F.sum("n").alias("__total"))
+    return pairs.join(total, "label").select("label", "prediction", "n", F.round(F.col("n") / F.col("__total"), 6).alias("share"))
+
+
+def review_counts(pred: DataFrame, least: float = 0.85) -> DataFrame:
+    """(prediction, automatic, review): rows sure enough to be labelled, and those that someone has to look at."""
+    sure = F.col("confidence") >= least
+    return pred.groupBy("prediction").agg(F.count_if(sure).alias("automatic"), F.count_if(~sure).alias("review"))
+
+
+def report_change(report: DataFrame, baseline: DataFrame, score: str = "f1", most: float = 0.10) -> DataFrame:
+    """(label, change, warn): a score less the baseline's, and whether it fell by more than the most allowed."""
+    both = report.select("label", F.col(score).alias("__a")).join(baseline.select("label", F.col(score).alias("__b")), "label")
+    change = F.col("__a") - F.col("__b")
+    return both.select("label", F.round(change, 6).alias("change"), (change < -most).alias("warn"))

@@ -52,13 +52,13 @@ def b07(spark, sf_dir):
     return media_files(spark, sf_dir).where(F.col("created_at") >= _as_of() - F.expr("INTERVAL 72 HOURS")).select("id", "created_at")
 
 
-_ASKED = """asked AS (SELECT conv_id * 1000 + turn AS question_id, text || CASE conv_id % 4 WHEN 0 THEN ' in 2024' WHEN 1 THEN ' in January 2024' WHEN 2 THEN ' in summer' ELSE '' END AS question FROM conversations WHERE role = 'user' AND turn < 2),
+_ASKED = """asked AS (SELECT conv_id * 1000 + turn AS question_id, text || CASE conv_id % 4 WHEN 0 THEN ' in 2024' WHEN 1 THEN ' in January 2024' WHEN 2 THEN ' in summer' ELSE '' END AS question FROM conversations WHERE role = 'user'),
   parsed AS (SELECT question_id, nullif(regexp_extract(question, '\\b(199\\d|20[012]\\d)\\b', 1), '') AS y, lower(question) AS q FROM asked)"""
 _MONTHS_SQL = "CASE " + " ".join(f"WHEN contains(q, '{s}') THEN {list(m)}" for s, m in S.SEASONS) + " " + " ".join(f"WHEN contains(q, '{m}') THEN [{i + 1}]" for i, m in enumerate(S.MONTHS)) + " END"
 
 
 def _questions(spark, sf_dir):
-    asked = read(spark, sf_dir, "conversations").where("role = 'user' AND turn < 2")
+    asked = read(spark, sf_dir, "conversations").where("role = 'user'")
     tail = F.expr("CASE conv_id % 4 WHEN 0 THEN ' in 2024' WHEN 1 THEN ' in January 2024' WHEN 2 THEN ' in summer' ELSE '' END")
     return asked.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.concat("text", tail).alias("question"))
 
@@ -185,10 +185,10 @@ def i11(spark, sf_dir):
 
 @query(
     "i12_segment_typing",
-    """SELECT doc_id, cast(CASE WHEN t = '' THEN 0 ELSE len(string_split_regex(t, '\\s+')) END AS int) AS n_words, CASE WHEN t <> '' AND len(string_split_regex(t, '\\s+')) >= 4 THEN 'speech' ELSE 'music' END AS segment_type FROM (SELECT doc_id, regexp_replace(substr(text, 1, 30), '^\\s+|\\s+$', '', 'g') AS t FROM documents)""",
+    """SELECT doc_id, cast(CASE WHEN t = '' THEN 0 ELSE len(string_split_regex(t, '\\s+')) END AS int) AS n_words, CASE WHEN t <> '' AND len(string_split_regex(t, '\\s+')) >= 4 THEN 'speech' ELSE 'music' END AS segment_type FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)""",
 )
 def i12(spark, sf_dir):
-    made = S.segment_typing(F.substring("text", 1, 30), F.lit("Music"), F.array().cast("array<string>"))
+    made = S.segment_typing(F.col("text"), F.lit("Music"), F.array().cast("array<string>"))
     return read(spark, sf_dir, "documents").select("doc_id", made.alias("s")).select("doc_id", "s.n_words", "s.segment_type")
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import enrich as K
 from ..operators import joins as J
-from ..sources.stores import upsert
+from ..sources.stores import upsert, write_report
 from ..sources.tables import frames, media_files, query_vectors, read, segments
 from .catalog import query
 from .filter_queries import _as_of
 from .search_queries import _HITS, hits
+from .stream_queries import scratch
 
 _AT = "TIMESTAMP '2024-01-31 00:00:00'"
 _SEG = """(SELECT s.segment_index FROM segments s WHERE s.file_path = f.file_path AND f.ts IS NOT NULL ORDER BY CASE WHEN f.ts BETWEEN s.start_sec AND s.end_sec THEN 0 ELSE 1 END,
@@ -154,7 +155,7 @@ def h05(spark, sf_dir):
 
 @query("k01_batch_encode")
 def k01(spark, sf_dir):
-    """Documents that can be read, encoded by the stand-in model; every seventh is unreadable and left out."""
+    """Documents that can be read, encoded by their runs of three letters; every seventh is unreadable and left out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("text")).otherwise("").alias("text"))
     made = K.batch_encode(docs, "doc_id", "text", K.hash_encoder)
     return made.select("doc_id", F.size("vector").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total"))
@@ -221,7 +222,13 @@ def k08(spark, sf_dir):
 def k11(spark, sf_dir):
     mark = lambda cond, text: lambda df: df.withColumn("error", F.when(cond, text))
     steps = [("embed", mark(F.col("id") % 9 == 0, "no vector")), ("guard", mark(F.col("label") == "c3", "blocked")), ("answer", lambda df: df.withColumn("answer", F.concat(F.lit("ok "), "label")))]
-    return K.run_steps(frames(spark, sf_dir).select("id", "label"), steps)[0].select("id", "error", "answer")
+
+    def settle(df):
+        path = scratch(spark)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return K.run_steps(frames(spark, sf_dir).select("id", "label"), steps, settle=settle)[0].select("id", "error", "answer")
 
 
 @query("f24_detection_rollup", "SELECT l_orderkey, coalesce(array_to_string(list_sort(list_distinct(list(l_returnflag) FILTER (l_discount >= 0.05))), ','), '') AS labels, cast(count(*) FILTER (l_discount >= 0.05) AS int) AS n FROM lineitem GROUP BY 1")
@@ -234,5 +241,8 @@ def f24(spark, sf_dir):
 @query("a15_upsert_report", "SELECT status, count(*) AS n FROM (SELECT id, CASE WHEN id % 5 = 0 THEN 'done' ELSE status END AS status FROM media_files) GROUP BY 1", "media_files")
 def a15(spark, sf_dir):
     files = media_files(spark, sf_dir).select("id", "status")
-    return upsert(files, files.where("id % 5 = 0").withColumn("status", F.lit("done")), ["id"]).groupBy("status").agg(F.count("*").alias("n"))
+    report = upsert(files, files.where("id % 5 = 0").withColumn("status", F.lit("done")), ["id"]).groupBy("status").agg(F.count("*").alias("n"))
+    path = scratch(spark)
+    write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
 

@@ -25,17 +25,39 @@ def _split(spark, sf_dir):
 def k09(spark, sf_dir):
     """Hold-out report of a forest trained on four fifths of the frames."""
     rows = _split(spark, sf_dir)
-    model = M.train(rows.where("part = 'train'").select("id", "label", "vector"), trees=20, depth=6)
+    model = M.train(rows.where("part = 'train'").select("id", "label", "vector"))
     tested = M.predict(model, rows.where("part = 'test'").select("id", "label", "vector"))
     return A.classifier_report(tested.select("label", F.col("predicted").alias("prediction")))
 
 
+def _dated(spark, sf_dir):
+    """The split frames under names with a camera's date: every third before the phases, after them, or among them."""
+    date = F.when(F.col("id") % 3 == 0, "20250820").when(F.col("id") % 3 == 1, "20251015").otherwise("20270101")
+    named = F.concat(F.regexp_replace("file_path", "[^/]*$", ""), F.lit("PXL_"), date, F.lit("_"), F.col("id").cast("string"), F.lit(".jpg"))
+    return _split(spark, sf_dir).withColumn("file_path", named)
+
+
+@query("k10_prediction_scope", "SELECT id FROM frames WHERE contains(file_path, '/d2/') AND id % 3 = 1", "frames")
+def k10_scope(spark, sf_dir):
+    return M.prediction_scope(_dated(spark, sf_dir), "/d2/").select("id")
+
+
+@query("k10_cleared_labels", "SELECT id, contains(file_path, '/d2/') AND id % 3 = 1 AS predicted FROM frames", "frames")
+def k10_cleared(spark, sf_dir):
+    """Which frames have a label after the run: those in scope; old labels are gone everywhere else."""
+    return _predicted(spark, sf_dir).select("id", F.col("construction_phase").isNotNull().alias("predicted"))
+
+
 @query("k10_batch_predict")
 def k10(spark, sf_dir):
-    """Labels of all frames under one folder, confidence and review flag; old labels are gone everywhere."""
-    rows = _split(spark, sf_dir)
-    model = M.train(rows.where("part = 'train'").select("id", "label", "vector"), trees=20, depth=6)
-    scope = rows.where(F.col("file_path").contains("/d2/")).select("id", "vector")
+    """Labels of all frames under one folder whose names carry a date among the phases, confidence and review flag."""
+    return _predicted(spark, sf_dir)
+
+
+def _predicted(spark, sf_dir):
+    rows = _dated(spark, sf_dir)
+    model = M.train(rows.where("part = 'train'").select("id", "label", "vector"))
+    scope = M.prediction_scope(rows, "/d2/").select("id", "vector")
     done = M.apply_predictions(frames(spark, sf_dir).drop("vector"), M.predict(model, scope))
     return done.select("id", "construction_phase", "phase_confidence", "phase_needs_review")
 

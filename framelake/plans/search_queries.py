@@ -80,6 +80,24 @@ def c05(spark, sf_dir):
     return near.join(exact, ["query_id", "id"], "left").withColumn("in_exact", F.coalesce("in_exact", F.lit(False)))
 
 
+@query("c05_cell_candidates")
+def c05_cells(spark, sf_dir):
+    """The best ten by cells, their scores, and whether the exact search has them among its best ten."""
+    f, q = frames(spark, sf_dir), query_vectors(spark, sf_dir)
+    exact = S.cosine_topk(f, q, 10, THRESHOLD).select("query_id", "id", F.lit(True).alias("in_exact"))
+    near = S.cell_topk(f, q, S.fit_cells(f), 10, THRESHOLD)
+    return near.join(exact, ["query_id", "id"], "left").withColumn("in_exact", F.coalesce("in_exact", F.lit(False)))
+
+
+@query("c05_cell_recall", f"WITH {_SCORED}, {_hits_sql(10, THRESHOLD)} SELECT count(*) AS wanted, true AS reached FROM hits", "frames queries")
+def c05_recall(spark, sf_dir):
+    """How many rows the exact search returns, and whether nine tenths of them come by cells too."""
+    f, q = frames(spark, sf_dir), query_vectors(spark, sf_dir)
+    near = S.cell_topk(f, q, S.fit_cells(f), 10, THRESHOLD).select("query_id", "id", F.lit(1).alias("found"))
+    both = S.cosine_topk(f, q, 10, THRESHOLD).join(near, ["query_id", "id"], "left")
+    return both.agg(F.count("*").alias("wanted"), (F.count("found") >= 0.9 * F.count("*")).alias("reached"))
+
+
 @query("c06_l2_normalise", "SELECT id, round(list_dot_product(u, u), 6) AS norm, round(list_sum(u), 6) AS total FROM (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM (SELECT id, cast(vector AS double[]) AS v FROM frames))", "frames")
 def c06(spark, sf_dir):
     unit = frames(spark, sf_dir).select("id", S.l2_normalise(F.col("vector")).alias("u"))
@@ -152,10 +170,10 @@ def d04(spark, sf_dir):
     return D.last_kept_dedup(hits(spark, sf_dir)).select("query_id", "id")
 
 
-@query("d05_exact_dedup", "SELECT sha256(CASE WHEN doc_id % 2 = 0 THEN text ELSE substr(text, 1, 64) END) AS file_hash, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY 1")
+@query("d05_exact_dedup", "SELECT sha256(CASE WHEN doc_id % 2 = 0 THEN text ELSE substr(text, 1, 8192) END) AS file_hash, min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY 1")
 def d05(spark, sf_dir):
     """Documents stand for files: even ones for images, hashed whole, odd ones for videos, hashed by their head."""
-    digest = F.when(F.col("doc_id") % 2 == 0, F.sha2("text", 256)).otherwise(F.sha2(F.substring("text", 1, 64), 256))
+    digest = D.content_hash(F.col("text"), F.col("doc_id") % 2 != 0)
     return D.exact_dedup(read(spark, sf_dir, "documents").select("doc_id", digest.alias("file_hash")), order="doc_id")
 
 

@@ -10,6 +10,7 @@ from ..operators import predicates
 from ..sources import listing, stores
 from ..sources.tables import audit_logs, frames, media_files, read
 from .catalog import query
+from .stream_queries import scratch
 
 _MEDIA = "regexp_matches(lower(file_path), '\\.(jpg|jpeg|png|heic|webp|bmp|gif|mp4|mov|mkv|avi|flv|wmv|webm|m4v)$')"
 _TYPE = "CASE WHEN regexp_matches(lower(file_path), '\\.(jpg|jpeg|png|heic|webp|bmp|gif)$') THEN 'image' ELSE 'video' END"
@@ -63,6 +64,15 @@ def a07(spark, sf_dir):
     return frames(spark, sf_dir).where("file_type = 'video' AND caption IS NOT NULL").select("id", "file_path", "caption")
 
 
+@query("a07_scroll_pages", "SELECT id, file_path, caption, 100 AS page_size FROM frames WHERE file_type = 'video' AND caption IS NOT NULL AND id >= 40 ORDER BY id LIMIT 100", "frames")
+def a07_pages(spark, sf_dir):
+    """Two pages of 50 rows, the second from where the first one ends."""
+    f, wanted = frames(spark, sf_dir), F.expr("file_type = 'video' AND caption IS NOT NULL")
+    first, then = stores.scroll(f, wanted, ["file_path", "caption"], offset=40, limit=50)
+    second, _ = stores.scroll(f, wanted, ["file_path", "caption"], offset=then, limit=50)
+    return first.unionByName(second).withColumn("page_size", F.lit(100))
+
+
 @query("a08_lookup_by_ids", "SELECT id, file_path, label FROM frames WHERE id IN (SELECT doc_id * 3 FROM labels WHERE quality = 1)", "frames")
 def a08(spark, sf_dir):
     ids = read(spark, sf_dir, "labels").where("quality = 1").select((F.col("doc_id") * 3).alias("id"))
@@ -125,12 +135,15 @@ def b14(spark, sf_dir):
     return media_files(spark, sf_dir).select("id", extension(F.col("file_path")).alias("ext"), listing.file_type(F.col("file_path")).alias("media_type"))
 
 
-def _side_files(df: DataFrame, kind: str) -> str:
-    """A derived side file written to a new shared folder."""
-    from .stream_queries import _scratch
-
-    path = _scratch(df.sparkSession)
-    (df.write.option("header", True).csv(path) if kind == "csv" else df.write.json(path))
+def _side_files(df: DataFrame, kind: str, key: str = "id") -> str:
+    """A derived side file written to a new shared folder; JSON as files that hold one array each."""
+    path = scratch(df.sparkSession)
+    if kind == "csv":
+        df.write.option("header", True).csv(path)
+    else:
+        part = F.pmod(F.xxhash64(key), F.lit(16))
+        arrays = df.groupBy(part.alias("part")).agg(F.to_json(F.collect_list(F.struct(*df.columns)), {"pretty": "true"}).alias("value"))
+        arrays.write.partitionBy("part").text(path)
     return path
 
 
@@ -145,11 +158,11 @@ def a09(spark, sf_dir):
 @query("a10_detection_json", "SELECT 'v' || id AS id, cast(id % 4 AS int) AS yolo_object_count, label AS first_label FROM frames WHERE id % 3 = 0", "frames")
 def a10(spark, sf_dir):
     rows = frames(spark, sf_dir).where("id % 3 = 0").select(F.concat(F.lit("v"), F.col("id")).alias("id"), F.array("label").alias("yolo_labels"), (F.col("id") % 4).cast("int").alias("yolo_object_count"), F.lit("m").alias("yolo_model"))
-    back = spark.read.schema(stores.DETECTION_SCHEMA).json(_side_files(rows, "json"))
+    back = stores.read_detections(spark, _side_files(rows, "json"))
     return back.select("id", "yolo_object_count", F.col("yolo_labels")[0].alias("first_label"))
 
 
-@query("a11_question_json", "SELECT cast(item_id AS varchar) AS id, substr(text, 1, 40) AS question FROM benchmark")
+@query("a11_question_json", "SELECT cast(item_id AS varchar) AS id, text AS question FROM benchmark")
 def a11(spark, sf_dir):
-    rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.substring("text", 1, 40).alias("question"), F.col("text").alias("ground_truth"), F.array().cast("array<string>").alias("relevant_file_ids"))
-    return spark.read.schema(stores.QUESTION_SCHEMA).json(_side_files(rows, "json")).select("id", "question")
+    rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.col("text").alias("ground_truth"), F.array().cast("array<string>").alias("relevant_file_ids"))
+    return stores.read_questions(spark, _side_files(rows, "json")).select("id", "question")

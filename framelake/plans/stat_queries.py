@@ -12,7 +12,7 @@ from ..sources.stores import latest
 from ..sources.tables import audit_logs, frames, media_files, query_vectors, read
 from .catalog import query
 from .filter_queries import _as_of
-from .search_queries import _HITS, hits
+from .search_queries import _HITS, _SCORED, _hits_sql, hits
 
 _AT = "TIMESTAMP '2024-01-31 00:00:00'"
 _EXT = "lower(regexp_extract(file_path, '\\.[^.]+$'))"
@@ -147,13 +147,12 @@ def f21(spark, sf_dir):
 
 @query(
     "f22_topic_tags",
-    "WITH l AS (SELECT id AS label_index, vector AS v FROM frames WHERE id < 36), p AS (SELECT f.id, l.label_index, round(list_dot_product(cast(f.vector AS double[]), cast(v AS double[])) / (sqrt(list_dot_product(cast(f.vector AS double[]), cast(f.vector AS double[]))) * sqrt(list_dot_product(cast(v AS double[]), cast(v AS double[])))), 9) AS s FROM frames f CROSS JOIN l WHERE f.id >= 36) SELECT label_index, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, label_index) AS k FROM p) WHERE k = 1 GROUP BY 1 ORDER BY n DESC, label_index LIMIT 10",
+    "WITH l AS (SELECT id AS label_index, vector AS v FROM frames WHERE id < 36), p AS (SELECT f.id, l.label_index, round(list_dot_product(cast(f.vector AS double[]), cast(v AS double[])) / (sqrt(list_dot_product(cast(f.vector AS double[]), cast(f.vector AS double[]))) * sqrt(list_dot_product(cast(v AS double[]), cast(v AS double[])))), 9) AS s FROM (SELECT * FROM frames WHERE id >= 36 ORDER BY md5(cast(id AS varchar)), id LIMIT 400) f CROSS JOIN l) SELECT cast(row_number() OVER (ORDER BY n DESC, met) AS int) AS place, label_index, n FROM (SELECT label_index, count(*) AS n, min(row(md5(cast(id AS varchar)), id)) AS met FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, label_index) AS k FROM p) WHERE k = 1 GROUP BY 1) ORDER BY place LIMIT 10",
     "frames",
 )
 def f22(spark, sf_dir):
     f = frames(spark, sf_dir)
-    near = J.nearest_label(f.where("id >= 36"), f.where("id < 36").select(F.col("id").alias("label_index"), F.col("vector").alias("label_vector")))
-    return near.groupBy("label_index").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label_index").limit(10)
+    return J.topic_tags(f.where("id >= 36"), f.where("id < 36").select(F.col("id").alias("label_index"), F.col("vector").alias("label_vector")))
 
 
 @query("f23_version_census", "SELECT model_version, count(*) AS n, min(processed_at) AS first, max(processed_at) AS last FROM media_files GROUP BY 1", "media_files")
@@ -182,17 +181,28 @@ def f25_quantile(spark, sf_dir):
     return A.histogram_quantile(A.histogram(audit_logs(spark, sf_dir), ["endpoint"], F.col("response_ms") / 1000.0, A.LATENCY_BUCKETS), ["endpoint"], 0.95)
 
 
+_RESULTS = " UNION ALL ".join(f"SELECT {b}::double AS le" for b in A.RESULT_BUCKETS) + " UNION ALL SELECT NULL"
+
+
+@query("f25_result_histogram", f"WITH {_SCORED}, {_hits_sql(40, 0.3)}, r AS (SELECT q.query_id, count(h.id) AS n FROM queries q LEFT JOIN hits h USING (query_id) GROUP BY 1) SELECT le, count(*) FILTER (le IS NULL OR r.n <= le) AS n FROM r CROSS JOIN ({_RESULTS}) GROUP BY 1", "frames queries")
+def f25_results(spark, sf_dir):
+    """Queries by the number of their results; the last bucket has no bound: null here."""
+    found = hits(spark, sf_dir, 40, 0.3).groupBy("query_id").agg(F.count("*").alias("n"))
+    counts = query_vectors(spark, sf_dir).select("query_id").join(found, "query_id", "left").na.fill(0, ["n"])
+    return A.histogram(counts, [], F.col("n"), A.RESULT_BUCKETS).withColumn("le", F.when(F.col("le") != float("inf"), F.col("le")))
+
+
 @query("f26_request_metrics", "SELECT time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01') AS window_start, endpoint, count(*) AS requests, round(count(*) / 600.0::double, 6) AS rate, round(avg(CASE WHEN response_status >= 400 THEN 1.0::double ELSE 0.0::double END), 6) AS error_rate, round(quantile_cont(response_ms, 0.5), 3) AS p50_ms, round(quantile_cont(response_ms, 0.95), 3) AS p95_ms FROM audit_logs GROUP BY 1, 2", "audit_logs")
 def f26(spark, sf_dir):
     return A.request_metrics(audit_logs(spark, sf_dir), 10)
 
 
-_METRICS = f"""m AS (SELECT query_id, count(*) AS n, avg(score) AS mean, stddev_pop(score) AS std, min(score) AS low, max(score) AS high, count(*) FILTER (score >= 0.5 AND score < 1.01) AS exact, count(*) FILTER (score >= 0.4 AND score < 0.5) AS strong, count(*) FILTER (score >= 0.3 AND score < 0.4) AS fair, count(*) FILTER (score >= 0.22 AND score < 0.3) AS weak FROM hits WHERE query_id % 100 = 0 AND score >= 0.22 AND rank <= 10 GROUP BY 1),
+_METRICS = f"""m AS (SELECT query_id, count(*) AS n, avg(score) AS mean, stddev_pop(score) AS std, min(score) AS low, max(score) AS high, count(*) FILTER (score >= 0.5 AND score < 1.01) AS exact, count(*) FILTER (score >= 0.4 AND score < 0.5) AS strong, count(*) FILTER (score >= 0.3 AND score < 0.4) AS fair, count(*) FILTER (score >= 0.22 AND score < 0.3) AS weak FROM hits WHERE score >= 0.22 AND rank <= 10 GROUP BY 1),
   r AS (SELECT q.query_id, coalesce(n, 0) AS n, round(coalesce(mean, 0), 6) AS mean, round(coalesce(std, 0), 6) AS std, round(coalesce(low, 0), 6) AS low, round(coalesce(high, 0), 6) AS high, round(coalesce(mean / greatest(std, 1e-6), 0), 6) AS snr, round(coalesce(mean - 0.22, 0), 6) AS separation, coalesce(exact, 0) AS exact, coalesce(strong, 0) AS strong, coalesce(fair, 0) AS fair, coalesce(weak, 0) AS weak FROM queries q LEFT JOIN m USING (query_id))"""
 
 
 def _retrieval(spark, sf_dir):
-    return A.retrieval_metrics(query_vectors(spark, sf_dir), hits(spark, sf_dir).where("query_id % 100 = 0 AND score >= 0.22 AND rank <= 10"), 0.22)
+    return A.retrieval_metrics(query_vectors(spark, sf_dir), hits(spark, sf_dir).where("score >= 0.22 AND rank <= 10"), 0.22)
 
 
 @query("f27_retrieval_metrics", f"WITH {_HITS}, {_METRICS} SELECT * FROM r", "frames queries")
@@ -228,6 +238,27 @@ def f30(spark, sf_dir):
     return A.classifier_report(frames(spark, sf_dir).select(F.col("class_id").cast("string").alias("label"), wrong.cast("string").alias("prediction")))
 
 
+@query("f30_confusion_matrix", f"WITH {_PRED} SELECT label, prediction, count(*) AS n, round(count(*) * 1.0::double / sum(count(*)) OVER (PARTITION BY label), 6) AS share FROM p GROUP BY 1, 2", "frames")
+def f30_confusion(spark, sf_dir):
+    wrong = F.when(F.col("id") % 4 == 0, (F.col("class_id") + 1) % 10).otherwise(F.col("class_id"))
+    return A.confusion_matrix(frames(spark, sf_dir).select(F.col("class_id").alias("label"), wrong.alias("prediction")))
+
+
+@query("f30_review_counts", "SELECT prediction, count(*) FILTER (c >= 0.85) AS automatic, count(*) FILTER (c < 0.85) AS review FROM (SELECT class_id AS prediction, (id * 37 % 1000) / 1000.0::double AS c FROM frames) GROUP BY 1", "frames")
+def f30_review(spark, sf_dir):
+    return A.review_counts(frames(spark, sf_dir).select(F.col("class_id").alias("prediction"), (F.col("id") * 37 % 1000 / F.lit(1000.0)).alias("confidence")))
+
+
+@query("f30_baseline_drop", f"""WITH a AS (SELECT class_id AS label, round(avg(CASE WHEN id % 4 = 0 THEN 0.0::double ELSE 1.0::double END), 6) AS hit FROM frames GROUP BY 1), b AS (SELECT class_id AS label, round(avg(CASE WHEN id % 10 = 0 THEN 0.0::double ELSE 1.0::double END), 6) AS hit FROM frames GROUP BY 1)
+  SELECT cast(label AS varchar) AS label, round(a.hit - b.hit, 6) AS change, a.hit - b.hit < -0.10 AS warn FROM a JOIN b USING (label)""", "frames")
+def f30_drop(spark, sf_dir):
+    """Recall of one split against another one's; a fall of more than ten points is a warning."""
+    wrong = lambda n: F.when(F.col("id") % n == 0, (F.col("class_id") + 1) % 10).otherwise(F.col("class_id")).cast("string").alias("prediction")
+    f = frames(spark, sf_dir)
+    report = lambda n: A.classifier_report(f.select(F.col("class_id").cast("string").alias("label"), wrong(n)))
+    return A.report_change(report(4), report(10), "recall").where("label NOT IN ('macro', 'weighted', 'accuracy')")
+
+
 @query("f31_drop_small_classes", "SELECT id, file_path FROM frames WHERE file_path IN (SELECT file_path FROM frames WHERE class_id < 5 GROUP BY 1 HAVING count(*) >= 5) AND class_id < 5", "frames")
 def f31(spark, sf_dir):
     return G.drop_small_classes(frames(spark, sf_dir).where("class_id < 5"), "file_path").select("id", "file_path")
@@ -324,12 +355,26 @@ def g10(spark, sf_dir):
 def g11(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
     split = G.boundary_holdout(rows, ["1995-06-01", "1997-01-01"], "o_orderdate")
-    return split.select("o_orderkey", "part")
+    used, _ = G.with_fallback(split, G.stratified_holdout(rows, "o_orderpriority", "o_orderkey"), "o_orderpriority")
+    return used.select("o_orderkey", "part")
 
 
 @query("g12_source_holdout", "SELECT id, CASE WHEN contains(file_path, '/d2/') THEN 'test' ELSE 'train' END AS part FROM frames", "frames")
 def g12(spark, sf_dir):
-    return G.source_holdout(frames(spark, sf_dir), "file_path", "/d2/").select("id", "part")
+    f = frames(spark, sf_dir)
+    used, _ = G.with_fallback(G.source_holdout(f, "file_path", "/d2/"), G.stratified_holdout(f, "class_id", "id"), "class_id", least_train=10)
+    return used.select("id", "part")
+
+
+_STRATIFIED = "row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(cast(o_orderkey AS varchar)), o_orderkey) <= floor(count(*) OVER (PARTITION BY o_orderpriority) * 0.8)"
+
+
+@query("g11_holdout_falls_back", f"SELECT o_orderkey, CASE WHEN {_STRATIFIED} THEN 'train' ELSE 'test' END AS part FROM orders")
+def g11_fallback(spark, sf_dir):
+    """No order lies near the boundary asked for, so the classes are split at random instead."""
+    rows = read(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    used, _ = G.with_fallback(G.boundary_holdout(rows, ["2030-06-01"], "o_orderdate"), G.stratified_holdout(rows, "o_orderpriority", "o_orderkey"), "o_orderpriority")
+    return used.select("o_orderkey", "part")
 
 
 @query("g13_stratified_holdout", "SELECT id, CASE WHEN row_number() OVER (PARTITION BY class_id ORDER BY md5(cast(id AS varchar)), id) <= floor(count(*) OVER (PARTITION BY class_id) * 0.8) THEN 'train' ELSE 'test' END AS part FROM frames", "frames")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,14 @@ from ..streaming import streams as S
 from .catalog import query
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='framelake-')}"
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share. Without a named one a local session, as in tests, gets a temporary one; a
+    cluster is refused, as its executors would each write to a disk of their own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='framelake-')}"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -28,16 +32,20 @@ def _events(df: DataFrame) -> DataFrame:
     return df.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), F.expr("CASE WHEN event_type = 'purchase' THEN event_id * 10 END").alias("point_id"))
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files, whether it is one file or a folder of them."""
-    path = f"{sf_dir}/events.parquet"
+def _files_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of files, whether it is one file or a folder of them."""
+    path = f"{sf_dir}/{name}.parquet"
     batch = spark.read.parquet(path)
-    folder = any("/events.parquet/" in f for f in batch.inputFiles()[:1])
-    return _events(spark.readStream.schema(batch.schema).parquet(path if folder else f"{sf_dir}/event[s].parquet"))
+    folder = any(f"/{name}.parquet/" in f for f in batch.inputFiles()[:1])
+    return spark.readStream.schema(batch.schema).parquet(path if folder else f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(_files_stream(spark, sf_dir, "events"))
 
 
 def _ended(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
-    at = _scratch(spark)
+    at = scratch(spark)
     S.run_to_end(df, f"{at}/out", f"{at}/checkpoint", mode)
     return spark.read.schema(df.schema).parquet(f"{at}/out")
 
@@ -57,6 +65,11 @@ def j02(spark, sf_dir):
     return S.first_indexed_batch(_events(read(spark, sf_dir, "events"))).select("id", "seq", "point_id")
 
 
+@query("j02_first_indexed_stream", f"WITH {_EVENTS}, l AS (SELECT *, count(*) OVER w AS rows_before, count(point_id) OVER w AS points_before FROM ev WINDOW w AS (PARTITION BY id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT id, seq, point_id FROM l WHERE point_id IS NOT NULL AND rows_before > 0 AND points_before = 0")
+def j02_stream(spark, sf_dir):
+    return _ended(spark, S.first_indexed(_stream(spark, sf_dir))).select("id", "seq", "point_id")
+
+
 @query("j03_fan_out", f"WITH {_EVENTS} SELECT 'media_updates' AS channel, count(*) AS n FROM ev UNION ALL SELECT 'vector_indexed', count(point_id) FROM ev")
 def j03(spark, sf_dir):
     return S.fan_out(_events(read(spark, sf_dir, "events"))).groupBy("channel").agg(F.count("*").alias("n"))
@@ -68,14 +81,23 @@ def j04(spark, sf_dir):
     return newest.groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query("j04_status_snapshot_stream", f"WITH {_EVENTS} SELECT status, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, seq DESC) AS k FROM ev) WHERE k = 1 GROUP BY 1")
+def j04_stream(spark, sf_dir):
+    """Every micro-batch's changed ids go to a folder of its own; a snapshot takes each id's newest."""
+    at = scratch(spark)
+    newest = S.latest_status(_stream(spark, sf_dir))
+    S.run_to_end(newest, "", f"{at}/checkpoint", "update", lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}"))
+    rows = spark.read.schema(newest.schema).parquet(f"{at}/out")
+    return rows.groupBy("id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
 @query("j05_incremental_ingest", "SELECT doc_id, sha256(text) AS file_hash, CASE WHEN row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1 THEN 'inserted' ELSE 'duplicate_copy' END AS action FROM documents")
 def j05(spark, sf_dir):
-    """Files as a stream, decided batch by batch against a keyed store of contents."""
-    from ..operators.dedup import exact_dedup
-
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash"))
-    first = exact_dedup(docs, "file_hash", "doc_id")
-    return docs.join(first, "file_hash").select("doc_id", "file_hash", F.when(F.col("doc_id") == F.col("first"), "inserted").otherwise("duplicate_copy").alias("action"))
+    """Documents as a stream of files, decided batch by batch against the log of contents decided before. All there is
+    comes in one batch here; tests take several."""
+    files = _files_stream(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash"))
+    at = scratch(spark)
+    return S.ingest_contents(files, f"{at}/decided", f"{at}/checkpoint", "doc_id", "file_hash")
 
 
 @query("j06_tumbling_requests", "SELECT time_bucket(INTERVAL 60 MINUTE, ts, TIMESTAMP '1970-01-01') AS window_start, endpoint, count(*) AS requests, count(*) FILTER (response_status >= 400) AS errors FROM audit_logs GROUP BY 1, 2", "audit_logs")

@@ -53,6 +53,17 @@ def set_columns(base: DataFrame, condition: Column, **values: object) -> DataFra
     return base.withColumns({c: F.when(hit, v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(c)) for c, v in values.items()})
 
 
+def scroll(table: DataFrame, condition: Column, columns: list[str], offset: int | None = None, limit: int = 100, key: str = "id", vectors: str | None = None) -> tuple[DataFrame, int | None]:
+    """One page of the rows that hold: the key, the named columns (and the vectors, if their column is named) of the first
+    rows from the offset on, in the order of the key; and the key that the next page starts from, None at the end. The
+    order is by key, so a page costs one filtered scan that keeps limit + 1 rows a task, wherever it stands."""
+    wanted = table.where(condition if offset is None else condition & (F.col(key) >= offset))
+    rows = wanted.select(key, *columns, *([vectors] if vectors else [])).orderBy(key)
+    ends = rows.select(key).limit(limit + 1).agg(F.count("*").alias("n"), F.max(key).alias("last")).first()
+    more = ends.n > limit
+    return rows.limit(limit), (ends.last if more else None)
+
+
 def lookup(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return table.join(ids.select(key).distinct(), key, "left_semi")
 

@@ -7,9 +7,9 @@ stats, ranking or below, and agrees with it on windows that the watermark has cl
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -31,17 +31,17 @@ def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
 
 def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Rows of one file in the order of ts and seq that are first or whose status differs from the one before."""
-    last = state.get[0] if state.exists else None
-    known = state.exists
+    known, last = state.exists, state.get[0] if state.exists else None
     rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-    out: list[dict[str, Any]] = []
-    for r in rows.itertuples(index=False):
-        status = None if pd.isna(r.status) else r.status
-        if not known or status != last:
-            out.append({"id": key[0], "seq": r.seq, "ts": r.ts, "old_status": last, "status": status})
-        known, last = True, status
-    state.update((last,))
-    yield pd.DataFrame(out, columns=["id", "seq", "ts", "old_status", "status"])
+    status = rows["status"].astype(object).where(rows["status"].notna(), None)
+    old = status.shift(1)
+    old.iloc[0] = last
+    old = old.astype(object).where(old.notna(), None)
+    changed = (status != old) & ~(status.isna() & old.isna())
+    changed.iloc[0] |= not known
+    state.update((status.iloc[-1],))
+    out = pd.DataFrame({"id": key[0], "seq": rows["seq"], "ts": rows["ts"], "old_status": old, "status": status})
+    yield out[changed.to_numpy(bool)]
 
 
 def status_changes(events: DataFrame) -> DataFrame:
@@ -61,15 +61,11 @@ def _first_indexed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     """The update that gives a file its first point; an insert with a point counts as indexed without a word."""
     seen, done = state.get if state.exists else (False, False)
     rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-    out: list[dict[str, Any]] = []
-    for r in rows.itertuples(index=False):
-        if not done and not pd.isna(r.point_id):
-            if seen:
-                out.append({"id": key[0], "seq": r.seq, "ts": r.ts, "point_id": int(r.point_id)})
-            done = True
-        seen = True
-    state.update((seen, done))
-    yield pd.DataFrame(out, columns=["id", "seq", "ts", "point_id"])
+    has = rows["point_id"].notna().to_numpy()
+    first = int(has.argmax())
+    state.update((True, bool(done or has.any())))
+    news = rows.iloc[first : first + 1] if not done and has.any() and (seen or first) else rows.iloc[:0]
+    yield pd.DataFrame({"id": key[0], "seq": news["seq"], "ts": news["ts"], "point_id": news["point_id"].astype("int64")})
 
 
 def first_indexed(events: DataFrame) -> DataFrame:
@@ -82,7 +78,6 @@ def first_indexed_batch(events: DataFrame) -> DataFrame:
     return events.withColumn("__before", before).where(F.col("point_id").isNotNull() & (F.col("__before") == F.lit(False))).select("id", "seq", "ts", "point_id")
 
 
-
 def channel(status: Column, point_id: Column) -> Column:
     """The channels a row goes to: status news to media_updates, new points to vector_indexed as well."""
     return F.filter(F.array(F.when(status.isNotNull(), F.lit("media_updates")), F.when(point_id.isNotNull(), F.lit("vector_indexed"))), lambda x: x.isNotNull())
@@ -130,6 +125,30 @@ def ingest_stream(found: DataFrame, decide: Callable[[DataFrame], DataFrame], ap
     run_to_end(found, "", checkpoint, each=each)
 
 
+def ingest_contents(found: DataFrame, path: str, checkpoint: str, key: str = "file_path", content: str = "file_hash") -> DataFrame:
+    """(key, content, action) of all files so far: inserted for the least key of a content that no earlier batch holds,
+    duplicate_copy for the rest. path is a log of decisions with a folder for each micro-batch; a batch is decided
+    against the batches before it and overwrites its own folder, so one that comes again after a failure does no harm."""
+    spark = found.sparkSession
+    kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
+    log = f"`{key}` {kinds[key]}, `{content}` {kinds[content]}, action string, batch bigint"
+
+    def decide(batch: DataFrame, number: int) -> None:
+        rows = batch.select(key, content).dropDuplicates([key])
+        first = rows.groupBy(content).agg(F.min(key).alias("__first"))
+        if number:
+            known = spark.read.schema(log).parquet(path).where(F.col("batch") < number).select(content).distinct()
+            first = first.join(known, content, "left_anti")
+        action = F.when(F.col(key) == F.col("__first"), "inserted").otherwise("duplicate_copy")
+        rows.join(first, content, "left").select(key, content, action.alias("action")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    run_to_end(found, "", checkpoint, each=decide)
+    try:
+        return spark.read.schema(log).parquet(path).drop("batch")
+    except AnalysisException:  # no file has come yet
+        return spark.createDataFrame([], log).drop("batch")
+
+
 def tumbling_requests(log: DataFrame, minutes: int = 10, lateness: str = "1 hour") -> DataFrame:
     rows = log.withWatermark("ts", lateness) if log.isStreaming else log
     made = rows.groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "endpoint").agg(F.count("*").alias("requests"), F.count_if(F.col("response_status") >= 400).alias("errors"), F.percentile_approx("response_ms", 0.95, 10_000).alias("p95_ms"))
@@ -156,30 +175,39 @@ def once(events: DataFrame, keys: list[str], lateness: str = "1 hour") -> DataFr
     return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
+#: How long a file may be in processing, in hours of event time.
+STUCK_HOURS = 2
+
+
 def _stuck(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Event-time timers: one is set when a file starts processing and goes when its status changes."""
-    columns = ["id", "since"]
+    """Every processing row, the one kept from before included, whose next row comes too late; the last row waits for an
+    event-time timer if it is one of processing. A row that is older than the kept one leaves that in place."""
     if state.hasTimedOut:
         since = state.get[0]
         state.remove()
-        yield pd.DataFrame([{"id": key[0], "since": since}], columns=columns)
+        yield pd.DataFrame({"id": [key[0]], "since": [since]})
         return
-    last = pd.concat(list(frames)).sort_values(["ts", "seq"]).iloc[-1]
+    kept = [pd.DataFrame({"ts": [pd.Timestamp(state.get[0])], "seq": [state.get[1]], "status": ["processing"]})] if state.exists else []
+    rows = pd.concat([*kept, *(f[["ts", "seq", "status"]] for f in frames)]).sort_values(["ts", "seq"])
+    wait = pd.Timedelta(hours=STUCK_HOURS)
+    late = (rows["status"] == "processing") & (rows["ts"].shift(-1) - rows["ts"] > wait)
+    last = rows.iloc[-1]
     if last.status == "processing":
-        state.update((last.ts,))
-        due = int(last.ts.timestamp() * 1000) + 2 * 3600 * 1000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        state.update((last.ts, int(last.seq)))
+        state.setTimeoutTimestamp(max(int((last.ts + wait).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
     elif state.exists:
         state.remove()
-    yield pd.DataFrame([], columns=columns)
+    since = rows.loc[late.to_numpy(bool), "ts"]
+    yield pd.DataFrame({"id": [key[0]] * len(since), "since": since})
 
 
 def stuck_alerts(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """(id, since) of files whose processing has gone on for two hours of event time."""
-    return events.withWatermark("ts", lateness).groupBy("id").applyInPandasWithState(_stuck, "id long, since timestamp", "since timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+    """(id, since) of files whose processing has gone on for two hours of event time, as stuck_batch has them once the
+    watermark has passed those hours."""
+    return events.withWatermark("ts", lateness).groupBy("id").applyInPandasWithState(_stuck, "id long, since timestamp", "since timestamp, seq long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stuck_batch(events: DataFrame, hours: int = 2) -> DataFrame:
+def stuck_batch(events: DataFrame, hours: int = STUCK_HOURS) -> DataFrame:
     """Ends of processing that came later than that, or not by the last event of all."""
     by = Window.partitionBy("id").orderBy("ts", "seq")
     end = events.agg(F.max("ts").alias("__end"))

@@ -175,3 +175,142 @@ def test_ingest_decisions_hold_no_group_of_copies(spark):
     assert got == sorted(want)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan and "collect_list" not in plan
+
+
+def test_sessions_without_a_key_are_not_sorted_in_one_task(spark):
+    """Sessions over midnight, a chain over several days, and days between; the lone partition sees days, not rows."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng, at, times = random.Random(2), datetime(2024, 1, 1), []
+    for _ in range(600):
+        at += timedelta(minutes=rng.choice([1, 5, 10, 11, 200, 3000]))
+        times += [at] * rng.randint(1, 2)
+    at += timedelta(days=2)
+    times += [at + timedelta(minutes=9 * i) for i in range(800)]  # five days in one session
+    for by in (None, ["k"]):
+        df = spark.createDataFrame([(i % 3, t) for i, t in enumerate(times)], "k int, ts timestamp")
+        made = G.gap_sessions(df, "ts", 10, by)
+        want = []
+        for k in range(3) if by else [None]:
+            own = sorted(t for i, t in enumerate(times) if k is None or i % 3 == k)
+            runs = [[own[0]]]
+            for t in own[1:]:
+                runs[-1].append(t) if t - runs[-1][-1] <= timedelta(minutes=10) else runs.append([t])
+            want += [(*([k] if by else []), r[0], r[-1], len(r)) for r in runs]
+        assert sorted(tuple(r) for r in made.drop("minutes").collect()) == sorted(want)
+    plan = G.gap_sessions(df, "ts")._jdf.queryExecution().executedPlan().toString()
+    lone = [x for x in plan.splitlines() if "SinglePartition" in x]
+    assert len(lone) == 1 and "session" not in plan.split("SinglePartition")[0].split("Window")[-1]
+    below = plan[plan.index("SinglePartition") :]
+    assert below.index("explode") < below.index("session_window")  # what is sorted alone are the days' ends
+
+
+def test_holdouts_fall_back(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2], f"/x/{'DJI' if i % 2 else 'PXL'}{i}") for i in range(40)], "id int, label string, path string")
+    other = G.stratified_holdout(rows, "label", "id")
+    assert G.with_fallback(G.source_holdout(rows, "path", "DJI"), other, "label", least_train=10)[1]  # a class is missing
+    mixed = rows.withColumn("label", F.lit("a"))
+    assert not G.with_fallback(G.source_holdout(mixed, "path", "DJI"), other, "label", least_train=10)[1]
+    assert G.with_fallback(G.source_holdout(mixed, "path", "DJI3"), other, "label", least=6)[1] is False
+    assert G.with_fallback(G.source_holdout(mixed, "path", "DJI39"), other, "label")[0] is other
+    assert G.with_fallback(G.source_holdout(mixed, "path", "X"), other, "label", least=0, least_train=50)[1]
+    assert G.with_fallback(rows.where("false").withColumn("part", F.lit("test")), other, "label")[1]
+
+
+def test_topic_tags(spark):
+    labels = spark.createDataFrame([(i, [float(i == j) for j in range(4)]) for i in range(4)], "label_index long, label_vector array<float>")
+    rows = spark.createDataFrame([(i, [float(i % 3 == j) for j in range(4)]) for i in range(30)], "id long, vector array<float>")
+    import hashlib
+
+    order = sorted(range(30), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    met = list(dict.fromkeys(i % 3 for i in order))
+    assert [(r.place, r.label_index, r.n) for r in J.topic_tags(rows, labels).orderBy("place").collect()] == [(k + 1, x, 10) for k, x in enumerate(met)]
+    some = order[:7]
+    counts = {x: sum(i % 3 == x for i in some) for x in range(3)}
+    want = sorted((x for x in counts if counts[x]), key=lambda x: (-counts[x], [i % 3 for i in some].index(x)))
+    assert [r.label_index for r in J.topic_tags(rows, labels, sample=7).orderBy("place").collect()] == want
+    assert [(r.label_index, r.n) for r in J.topic_tags(rows.where("false"), labels, k=2).orderBy("place").collect()] == [(0, 0), (1, 0)]
+
+
+@pytest.mark.parametrize("sent", [2_000, 3])
+def test_cosine_paths_agree(spark, monkeypatch, sent):
+    """Sent or shuffled queries: mixed dimensions, null and empty vectors on both sides."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    vector = lambda d: [float(x) for x in rng.normal(size=d)]
+    frames = [(i, vector(8 if i % 3 else 5)) for i in range(300)] + [(300, None), (301, []), (302, [0.0] * 8)]
+    asked = [(i, vector(8 if i % 2 else 5)) for i in range(12)] + [(20, None), (21, []), (22, vector(3))]
+    want = set()
+    for q, v in asked:
+        scored = []
+        for i, w in frames:
+            if v and w and len(v) == len(w):
+                size = np.linalg.norm(v) * np.linalg.norm(w)
+                scored.append((-round(float(np.dot(np.float32(v).astype(float), np.float32(w).astype(float)) / size), 5) if size else 0.0, i))
+        want |= {(q, i, -s) for s, i in sorted(scored)[:5] if -s >= 0.2}
+    monkeypatch.setattr(S, "BROADCAST_QUERIES", sent)
+    monkeypatch.setattr(S, "PART_ROWS", 70)
+    f = spark.createDataFrame(frames, "id long, vector array<float>")
+    got = S.cosine_topk(f, spark.createDataFrame(asked, "query_id long, query_vector array<float>"), 5, 0.2)
+    assert {(r.query_id, r.id, round(r.score, 5)) for r in got.collect()} == want
+    assert S.cosine_topk(f, spark.createDataFrame([], "query_id long, query_vector array<float>"), 5, 0.2).count() == 0
+
+
+def test_cells_reach_the_recall(spark, sf):
+    """At the thresholds that searches use, nine tenths of what the exact search finds come by cells."""
+    from framelake.sources.tables import frames, query_vectors
+
+    f, q = frames(spark, sf.replace("sf0.001", "sf0.01")), query_vectors(spark, sf.replace("sf0.001", "sf0.01"))
+    index = S.fit_cells(f)
+    for threshold in (0.2, 0.3):
+        exact = {(r.query_id, r.id): r.score for r in S.cosine_topk(f, q, 10, threshold).collect()}
+        near = {(r.query_id, r.id): r.score for r in S.cell_topk(f, q, index, 10, threshold).collect()}
+        both = exact.keys() & near.keys()
+        assert len(both) >= 0.9 * len(exact) and all(abs(exact[x] - near[x]) < 1e-6 for x in both)
+    assert S.cell_topk(f, q, index, 1 << 20, -1.0).select("id").distinct().count() == f.count()  # every row is indexed
+    assert S.cell_topk(f.where("false"), q, S.fit_cells(f.where("false"))).count() == 0
+
+
+def test_encoder_and_steps(spark, tmp_path):
+    import numpy as np
+
+    a, b, c, none = K.hash_encoder()(["the red house on the hill", "the red house on a hill", "quantum chromodynamics", ""])
+    assert none is None and abs(np.linalg.norm(a) - 1) < 1e-9 and a @ b > 0.7 > 0.4 > a @ c
+    grams = [" the red house on the hill "[i : i + 3] for i in range(25)]
+    import hashlib
+
+    want = np.zeros(64)
+    for g in grams:
+        h = int.from_bytes(hashlib.sha256(g.encode()).digest()[:8], "little")
+        want[(h >> 1) % 64] += 1 if h & 1 else -1
+    assert np.allclose(a, want / np.linalg.norm(want))
+
+    ran = []
+
+    def settle(df):
+        path = str(tmp_path / f"s{len(ran)}")
+        df.write.parquet(path)
+        ran.append(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    steps = [("one", lambda d: d.withColumn("error", F.when(F.col("id") == 1, "bad"))), ("two", lambda d: d.withColumn("x", F.col("id") * 2))]
+    out, took = K.run_steps(spark.range(3), steps, settle=settle)
+    assert sorted((r.id, r.error, r.x) for r in out.collect()) == [(0, None, 0), (1, "bad", None), (2, None, 4)]
+    assert [n for n, _ in took] == ["one", "two"] and len(ran) == 2 and all(t > 0 for _, t in took)
+
+
+def test_scroll_pages(spark):
+    from framelake.sources.stores import scroll
+
+    df = spark.range(100).withColumn("v", F.col("id") * 2)
+    got, offset, pages = [], None, 0
+    while True:
+        page, offset = scroll(df, F.col("id") % 3 != 0, ["v"], offset, 20)
+        got += [r.id for r in page.collect()]
+        pages += 1
+        if offset is None:
+            break
+    assert got == [i for i in range(100) if i % 3] and pages == 4
+    assert scroll(df, F.lit(False), ["v"])[1] is None

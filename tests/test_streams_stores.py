@@ -89,3 +89,76 @@ def test_folder_scan_and_rules(spark, tmp_path):
     found = listing.scan_folder(spark, str(tmp_path)).withColumn("file_path", F.regexp_replace("file_path", f".*{tmp_path.name}/", ""))
     assert rows(listing.keep_media(found), "file_path", "media_type") == [("a.JPG", "image"), ("d/e.mp4", "video")]
     assert listing.glob_to_regex("IMG_[!0]?*.jpg") == r"(?is)^IMG_[^0]..*\.jpg$"
+
+
+def _events_of(spark, data):
+    return spark.createDataFrame(data, "id long, seq long, t string, status string").select("id", "seq", F.to_timestamp("t").alias("ts"), "status")
+
+
+def test_stuck_inside_a_batch_and_over_batches(spark, tmp_path):
+    """Every late end counts, wherever batches are cut, and an older row that comes late changes nothing."""
+    first = [(1, 0, "2024-01-01 00:00:00", "processing"), (1, 1, "2024-01-01 05:00:00", "done"), (2, 2, "2024-01-01 00:00:00", "processing"), (2, 3, "2024-01-01 01:00:00", "processing"), (2, 4, "2024-01-01 04:00:00", "processing")]
+    second = [(2, 5, "2024-01-01 03:30:00", "done"), (2, 6, "2024-01-01 05:30:00", "done"), (3, 7, "2024-01-01 05:20:00", "processing"), (4, 8, "2024-01-01 09:00:00", "done")]
+    for name, batches in (("one", [first + second]), ("two", [first, second])):
+        for b in batches:
+            _events_of(spark, b).repartition(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+        S.run_to_end(S.stuck_alerts(S.read_stream(spark, str(tmp_path / name / "in"), _events_of(spark, first).schema)), str(tmp_path / name / "out"), str(tmp_path / name / "cp"))
+        got = rows(spark.read.parquet(str(tmp_path / name / "out")), "id", F.date_format("since", "HH:mm"))
+        assert got == rows(S.stuck_batch(_events_of(spark, first + second)), "id", F.date_format("since", "HH:mm"))
+
+
+def test_stuck_stream_equals_batch_on_events(spark, sf, tmp_path):
+    e = _events(read(spark, sf, "events")).select("id", "seq", "ts", "status")
+    e.repartition(1).write.parquet(str(tmp_path / "in"))
+    S.run_to_end(S.stuck_alerts(S.read_stream(spark, str(tmp_path / "in"), e.schema)), str(tmp_path / "out"), str(tmp_path / "cp"))
+    closed = e.agg((F.max("ts") - F.expr("INTERVAL 131 MINUTES")).alias("t")).first().t
+    keep = F.col("since") < F.lit(closed)
+    want = rows(S.stuck_batch(e).where(keep), "id", "since")
+    assert want and rows(spark.read.parquet(str(tmp_path / "out")).where(keep), "id", "since") == want
+
+
+def test_status_streams_over_batches(spark, sf, tmp_path):
+    """Changes, first points and the newest status, with the events cut into batches by time."""
+    e = _events(read(spark, sf, "events"))
+    cut = e.agg(F.percentile_approx("ts", [0.3, 0.7])).first()[0]
+    part = F.when(F.col("ts") < F.lit(cut[0]), 0).when(F.col("ts") < F.lit(cut[1]), 1).otherwise(2)
+    for i in range(3):
+        e.where(part == i).repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = lambda: S.read_stream(spark, str(tmp_path / "in"), e.schema)
+    S.run_to_end(S.status_changes(source()), str(tmp_path / "changes"), str(tmp_path / "cp1"))
+    columns = ("id", "seq", "old_status", "status")
+    assert rows(spark.read.parquet(str(tmp_path / "changes")), *columns) == rows(S.status_changes_batch(e), *columns)
+    S.run_to_end(S.first_indexed(source()), str(tmp_path / "first"), str(tmp_path / "cp2"))
+    assert rows(spark.read.parquet(str(tmp_path / "first")), "id", "seq", "point_id") == rows(S.first_indexed_batch(e), "id", "seq", "point_id")
+    S.run_to_end(S.latest_status(source()), "", str(tmp_path / "cp3"), "update", lambda b, n: b.write.mode("overwrite").parquet(str(tmp_path / f"newest/batch={n}")))
+    newest = spark.read.parquet(str(tmp_path / "newest")).groupBy("id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status"))
+    assert rows(newest, "id", "status") == rows(e.groupBy("id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status")), "id", "status")
+
+
+def test_limit_breaches_stream(spark, sf, tmp_path):
+    log = audit_logs(spark, sf).select("ts", "endpoint", "client_ip")
+    log.repartition(1).write.parquet(str(tmp_path / "in"))
+    for slide in (None, 360):
+        breaches = lambda df: S.limit_breaches(df, {"/api/click": 1, "default": 0}, 720, slide)  # noqa: B023, E731
+        at = str(tmp_path / f"out{slide}")
+        S.run_to_end(breaches(S.read_stream(spark, str(tmp_path / "in"), log.schema)), at, f"{at}-cp")
+        closed = log.agg((F.max("ts") - F.expr("INTERVAL 13 HOURS")).alias("t")).first().t
+        keep, columns = F.col("window_start") < F.lit(closed), ("window_start", "client_ip", "endpoint", "n", "allowed")
+        want = rows(breaches(log).where(keep), *columns)
+        assert want and rows(spark.read.parquet(at).where(keep), *columns) == want
+
+
+def test_ingest_contents_over_batches(spark, tmp_path):
+    """A content counts once over batches, and a batch that comes again decides as before."""
+    batches = [[("a", "h1"), ("b", "h1"), ("c", "h2")], [("d", "h2"), ("e", "h3"), ("e", "h3")], [("f", None), ("g", "h3")]]
+    make = lambda b: spark.createDataFrame(b, "file_path string, file_hash string")
+    for b in batches:
+        make(b).repartition(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = S.read_stream(spark, str(tmp_path / "in"), make(batches[0]).schema)
+    done = S.ingest_contents(source, str(tmp_path / "log"), str(tmp_path / "cp"))
+    assert done.count() == 7
+    assert rows(done.where("action = 'inserted'").groupBy("file_hash").agg(F.count("*").alias("n")), "file_hash", "n") == [("h1", 1), ("h2", 1), ("h3", 1)]
+    before = rows(done, "file_path", "action")
+    again = S.ingest_contents(source, str(tmp_path / "log"), str(tmp_path / "cp2"))  # all batches anew over the same log
+    assert rows(again, "file_path", "action") == before
+    assert S.ingest_contents(S.read_stream(spark, str(tmp_path / "in"), make(batches[0]).schema).where("false"), str(tmp_path / "none"), str(tmp_path / "cp4")).count() == 0
