@@ -1,10 +1,12 @@
 """License scans: ordered signature rules behind a keyword gate, overlaps resolved by priority and containment.
 
 Texts are reduced to lower-case words (runs of digits, letters a-z and non-ASCII characters), joined by one space.
-Each rule is a regular expression over that form with a keyword; it runs only where its keyword is among the words.
-Of two detections of which one lies inside the other's interval, the one with the higher priority stays (the longer
-one, then the earlier rule, at equal priority). The three base phrases are reported at all their places and are
-never suppressed.
+Each rule is a regular expression over that form with a keyword that all its alternatives hold; it runs only where its
+keyword is among the words. About 180 written entries (names, identifiers, sentences, links) make some 450 rules: a name
+gives one for each of its versions, after words of grant and alone, and an identifier one as a tag and one in passing.
+Detections are taken in the order of priority (then the longer one, then the earlier rule): one stays unless one taken
+before lies inside its interval or holds it. The three base phrases are reported at all their places and are never
+suppressed.
 
 Null or empty text: no words, no labels, score 0, null positions. Repeated rows each give a row; an empty table
 gives an empty result; other columns of the input are ignored.
@@ -13,6 +15,7 @@ gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -59,7 +62,8 @@ FAMILIES: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
     ("bsd-2-clause", "bsd", r"(?:2|two) clause bsd(?: licen[cs]e)?|bsd 2 clause(?: licen[cs]e)?", ("",)),
     ("bsd-3-clause", "bsd", r"(?:3|three) clause bsd(?: licen[cs]e)?|bsd 3 clause(?: licen[cs]e)?", ("",)),
     ("bsd-4-clause", "bsd", r"(?:4|four) clause bsd(?: licen[cs]e)?|bsd 4 clause(?: licen[cs]e)?", ("",)),
-    ("python", "python", r"python software foundation licen[cs]e|psf licen[cs]e", ("2", "")),
+    ("python", "python", r"python software foundation licen[cs]e", ("2", "")),
+    ("python", "psf", r"psf licen[cs]e", ("2", "")),
     ("php", "php", r"php licen[cs]e", ("3 0", "3 01", "")),
     ("ruby", "ruby", r"ruby licen[cs]e", ("",)),
     ("postgresql", "postgresql", r"postgresql licen[cs]e", ("",)),
@@ -68,14 +72,39 @@ FAMILIES: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
     ("wtfpl", "wtfpl", r"wtfpl", ("2", "")),
     ("upl", "universal", r"universal permissive licen[cs]e", ("1 0", "")),
     ("cecill", "cecill", r"cecill(?: free software)?(?: licen[cs]e)?", ("1 1", "2 0", "2 1", "")),
-    ("cc0", "cc0", r"cc0|creative commons zero", ("1 0", "")),
+    ("cc0", "cc0", r"cc0", ("1 0", "")),
+    ("cc0", "zero", r"creative commons zero", ("1 0", "")),
     ("cc-by", "attribution", r"creative commons attribution(?: licen[cs]e)?", ("2 0", "2 5", "3 0", "4 0", "")),
     ("cc-by-sa", "sharealike", r"creative commons attribution sharealike(?: licen[cs]e)?", ("2 0", "2 5", "3 0", "4 0", "")),
     ("cc-by-nd", "noderivatives", r"creative commons attribution noderivatives(?: licen[cs]e)?", ("3 0", "4 0", "")),
     ("cc-by-nc", "noncommercial", r"creative commons attribution noncommercial(?: licen[cs]e)?", ("2 0", "3 0", "4 0", "")),
     ("cc-by-nc-sa", "noncommercial", r"creative commons attribution noncommercial sharealike(?: licen[cs]e)?", ("2 0", "3 0", "4 0", "")),
     ("cc-by-nc-nd", "noncommercial", r"creative commons attribution noncommercial noderivatives(?: licen[cs]e)?", ("3 0", "4 0", "")),
-)
+    ("aal", "assurance", r"attribution assurance licen[cs]e", ("",)), ("apl", "adaptive", r"adaptive public licen[cs]e", ("",)), ("apsl", "apple", r"apple public source licen[cs]e", ("",)),
+    ("beerware", "beerware", r"beerware licen[cs]e|beerware", ("",)), ("bittorrent", "bittorrent", r"bittorrent open source licen[cs]e", ("",)), ("blueoak", "oak", r"blue oak model licen[cs]e", ("",)),
+    ("busl", "business", r"business source licen[cs]e", ("",)), ("catosl", "trusted", r"computer associates trusted open source licen[cs]e", ("",)),
+    ("cdla", "community", r"community data licen[cs]e agreement(?: permissive| sharing)?", ("",)), ("commons-clause", "clause", r"commons clause(?: licen[cs]e)?", ("",)),
+    ("cpal", "attribution", r"common public attribution licen[cs]e", ("",)), ("cua-opl", "cua", r"cua office public licen[cs]e", ("",)), ("curl", "curl", r"curl licen[cs]e", ("",)),
+    ("efl", "eiffel", r"eiffel forum licen[cs]e", ("",)), ("elastic", "elastic", r"elastic licen[cs]e", ("",)), ("entessa", "entessa", r"entessa public licen[cs]e", ("",)),
+    ("fair", "fair", r"fair licen[cs]e", ("",)), ("frameworx", "frameworx", r"frameworx(?: open)? licen[cs]e", ("",)), ("free-art", "art", r"free art licen[cs]e", ("",)),
+    ("freetype", "freetype", r"freetype(?: project)? licen[cs]e", ("",)), ("hippocratic", "hippocratic", r"hippocratic licen[cs]e", ("",)),
+    ("hpnd", "historical", r"historical permission notice and disclaimer", ("",)), ("ibm-pl", "ibm", r"ibm public licen[cs]e", ("",)), ("imagemagick", "imagemagick", r"imagemagick licen[cs]e", ("",)),
+    ("info-zip", "zip", r"info zip licen[cs]e", ("",)), ("intel", "intel", r"intel open source licen[cs]e", ("",)), ("ipa", "ipa", r"ipa font licen[cs]e", ("",)), ("json", "json", r"json licen[cs]e", ("",)),
+    ("lppl", "latex", r"latex project public licen[cs]e", ("",)), ("libpng", "libpng", r"libpng licen[cs]e", ("",)), ("lucent", "lucent", r"lucent public licen[cs]e", ("",)),
+    ("miros", "miros", r"miros licen[cs]e", ("",)), ("motosoto", "motosoto", r"motosoto open source licen[cs]e", ("",)), ("mulan", "mulan", r"mulan permissive software licen[cs]e", ("",)),
+    ("multics", "multics", r"multics licen[cs]e", ("",)), ("nasa", "nasa", r"nasa open source agreement", ("",)), ("naumen", "naumen", r"naumen public licen[cs]e", ("",)),
+    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa open source licen[cs]e", ("",)), ("netscape", "netscape", r"netscape public licen[cs]e", ("",)),
+    ("ngpl", "nethack", r"nethack general public licen[cs]e", ("",)), ("nokia", "nokia", r"nokia open source licen[cs]e", ("",)), ("nposl", "profit", r"non profit open software licen[cs]e", ("",)),
+    ("oclc", "oclc", r"oclc research public licen[cs]e", ("",)), ("ogl", "government", r"open government licen[cs]e", ("",)), ("oldap", "openldap", r"openldap public licen[cs]e", ("",)),
+    ("openrail", "openrail", r"(?:creativeml )?openrail(?: m| s| d)?(?: licen[cs]e)?", ("",)), ("pddl", "dedication", r"public domain dedication and licen[cs]e", ("",)),
+    ("polyform", "polyform", r"polyform (?:noncommercial|small business|free trial|shield|strict) licen[cs]e", ("",)), ("prosperity", "prosperity", r"prosperity public licen[cs]e", ("",)),
+    ("qpl", "q", r"q public licen[cs]e", ("",)), ("ricoh", "ricoh", r"ricoh source code public licen[cs]e", ("",)), ("rpl", "reciprocal", r"reciprocal public licen[cs]e", ("",)),
+    ("sendmail", "sendmail", r"sendmail(?: open source)? licen[cs]e", ("",)), ("simpl", "simple", r"simple public licen[cs]e", ("",)), ("sleepycat", "sleepycat", r"sleepycat licen[cs]e", ("",)),
+    ("spl", "sun", r"sun public licen[cs]e", ("",)), ("sspl", "server", r"server side public licen[cs]e", ("",)), ("vim", "vim", r"vim licen[cs]e", ("",)),
+    ("vovida", "vovida", r"vovida software licen[cs]e", ("",)), ("w3c", "w3c", r"w3c software(?: notice and| and document)? licen[cs]e", ("",)),
+    ("watcom", "watcom", r"sybase open watcom public licen[cs]e", ("",)), ("wxwindows", "wxwindows", r"wxwindows library licen[cs]e", ("",)), ("xnet", "xnet", r"xnet licen[cs]e", ("",)),
+    ("zpl", "zope", r"zope public licen[cs]e", ("",)),
+)
 
 #: Spellings of identifiers, as words.
 IDENTIFIERS: tuple[tuple[str, str, str], ...] = (
@@ -182,32 +211,28 @@ def base_places(joined: bytes) -> list[tuple[int, int, str]]:
 
 
 def detections(present: set[bytes], joined: bytes) -> list[tuple[int, int, Rule]]:
-    """Surviving (start, end, rule) in bytes of the joined words: nothing inside a stronger detection's interval."""
+    """Surviving (start, end, rule) in bytes of the joined words."""
     found = []
     gate = _by_keyword()
     for keyword in present & gate.keys():
         for rule in gate[keyword]:
             found += [(m.start(), m.end(), rule) for m in rule.find.finditer(joined)]
-    found.sort(key=lambda d: (d[0], -d[1], -PRIORITY[d[2].kind], d[2].order))
+    found.sort(key=lambda d: (-PRIORITY[d[2].kind], d[0] - d[1], d[2].order, d[0]))
+    # None of those taken lies inside another, so in the order of starts they are in the order of ends too.
+    starts: list[int] = []
+    ends: list[int] = []
     out: list[tuple[int, int, Rule]] = []
-    best_end: dict[int, int] = {}  # by priority: the furthest end of what starts at or before here
-    taken: set[tuple[int, int]] = set()
-    stronger = sorted(set(PRIORITY.values()))
     for start, end, rule in found:
-        p = PRIORITY[rule.kind]
-        if any(best_end.get(q, -1) >= end for q in stronger if q >= p):
+        at = bisect_right(starts, start)
+        if at and ends[at - 1] >= end:
+            continue
+        at = bisect_left(starts, start)
+        if at < len(starts) and ends[at] <= end:
             continue
-        best_end[p] = max(best_end.get(p, -1), end)
+        starts.insert(at, start)
+        ends.insert(at, end)
         out.append((start, end, rule))
-        taken.add((start, end))
-    # A wide weak detection gives way to a stronger one inside it.
-    keep, right = [], {}
-    for start, end, rule in sorted(out, key=lambda d: (-d[0], d[1])):
-        p = PRIORITY[rule.kind]
-        if not any(right.get(q, 1 << 62) <= end for q in stronger if q > p):
-            keep.append((start, end, rule))
-        right[p] = min(right.get(p, 1 << 62), end)
-    return sorted(keep, key=lambda d: (d[0], d[1], d[2].order))
+    return sorted(out, key=lambda d: (d[0], d[1], d[2].order))
 
 
 _SPAN = pa.struct([("label", pa.string()), ("kind", pa.string()), ("start_word", pa.int64()), ("n_words", pa.int64())])
