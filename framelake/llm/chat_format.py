@@ -11,6 +11,8 @@ character; those that have backslashes there already get one more, so taking one
 mask is an array parallel to the template's parts (head, text, end of each turn): the length of each part and whether
 it counts; only assistant texts do.
 
+The query's records come in seven layouts (records_of), and nothing but the fingerprint tells them apart.
+
 Records whose fingerprint no mapping knows keep a row with null turns and a null text. A null record, or one that is
 no object, counts as such. Null texts are empty, null roles ''. An empty table gives an empty result.
 """
@@ -135,11 +137,34 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(halves, lambda h: F.struct(unescape(F.substring(h[0], len(TURN) + 1, 1 << 30)).alias("role"), unescape(h[1]).alias("text")))
 
 
+#: Layouts of records that records_of makes, by the remainder of conv_id.
+MIXED = ("messages", "from_value", "dialog", "prompt_response", "prompt_completion", "instruction", "question_answer")
+
+
 def records_of(rows: DataFrame) -> DataFrame:
-    """One record in the messages layout for each conv_id, turns in the order of turn, role and text (null turns last)."""
+    """(conv_id, record): one JSON record for each conv_id, turns in the order of turn, role and text (null turns last).
+
+    Records come in the layout of MIXED that the remainder of conv_id by their number says, as a corpus from many
+    sources would: the prompt layouts take a user's turn and an assistant's and nothing else, and layouts that rename
+    roles take none of the names they rename. What a layout can't take, and a null conv_id, comes as messages."""
     turn = F.struct(F.col("turn").isNull().alias("a"), F.col("turn").alias("b"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     listed = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("rows"))
-    return listed.select("conv_id", F.to_json(F.struct(F.transform("rows", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))).alias("record"))
+    names = {a: b for b, a in reversed(ALIASES)}  # the first alias of each canonical role
+    renamed = lambda c: F.coalesce(*[F.when(c == a, F.lit(b)) for a, b in names.items()], c)
+    free = ~F.exists("rows", lambda x: x["role"].isin([a for a, _ in ALIASES]))
+    pair = (F.size("rows") == 2) & (F.get("rows", F.lit(0))["role"] == "user") & (F.get("rows", F.lit(1))["role"] == "assistant")
+    turns = lambda role, text, name: F.transform("rows", lambda x: F.struct(name(x["role"]).alias(role), x["content"].alias(text)))
+    record = F.to_json(F.struct(turns("role", "content", lambda c: c).alias("messages")))
+    for n, layout in enumerate(x for name in MIXED[1:] for x in LAYOUTS if x.name == name):
+        if layout.listed:
+            key, role, text = layout.listed
+            made, fits = F.struct(turns(role, text, renamed).alias(key)), free
+        else:
+            keys = {role: keys[-1] for role, keys in layout.fixed if role in ("user", "assistant")}
+            keys["user"] = next(k[0] if layout.name == "instruction" else k[-1] for r, k in layout.fixed if r == "user")
+            made, fits = F.struct(F.get("rows", F.lit(0))["content"].alias(keys["user"]), F.get("rows", F.lit(1))["content"].alias(keys["assistant"])), pair
+        record = F.when((F.pmod("conv_id", F.lit(len(MIXED))) == n + 1) & fits, F.to_json(made)).otherwise(record)
+    return listed.select("conv_id", record.alias("record"))
 
 
 def op9_chat_format(conversations: DataFrame) -> DataFrame:
