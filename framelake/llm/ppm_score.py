@@ -7,11 +7,14 @@ D / 2T, and symbols that the longer context has seen are excluded below it: thei
 order 0 the symbols left share evenly. Bytes 0xFF, which no UTF-8 text has, stand before a text (ORDER of them) and end it.
 
 Documents are dealt into blocks, packed and compressed together for the shuffle. A block asks for the distinct grams
-and words it holds: for every part of the key space (a hash of the key) it sends one packed list of keys with their
-training counts. A part adds up the lists of all blocks, so the model is a table spread by key; the log probability of
-every gram, with all escapes settled, is worked out by joins of that table. Each part then answers each block's list,
-and the block scores its documents. Nothing is broadcast, no task holds more than a block or a part, and a key travels
-once for each block, however often it occurs. A word's key is a 62-bit hash.
+and words it holds, with its own counts of them, by letters: one packed list of keys for each of at most FAN values of
+the first digit of a hash of the key. Where that is not enough to spread the keys, the letters of FAN blocks with one
+digit are merged and dealt again by the next digit, and so on, so the number of letters grows with the blocks (times
+the digits, 2 up to 0.9 TB), not with their square. A part (all keys with the same digits) adds up the lists it gets, so
+the model is a table spread by key; the log probability of every gram, with all escapes settled, is worked out by joins
+of that table. Each part then answers its letters, the answers go back the way that the letters came, and the block
+scores its documents. Nothing is broadcast, no task holds more than a block, the letters merged at once, or a part. A
+word's key is a 62-bit hash.
 
 Texts are scored with A-Z in lower case. Null or empty text: the end alone. Repeated rows count and score each. Null
 ids count as the id ''. Without training documents all symbols are equally likely. Other columns are ignored.
@@ -22,7 +25,7 @@ from __future__ import annotations
 import math
 import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import groupby
 
@@ -36,6 +39,7 @@ from .common import BLANK, LOWER_BYTES, U64, id_text, mix, span_hashes, spans, s
 ORDER = 5
 END_WORD = 1  # the key of the end, counted as a word
 BLOCK_BYTES = 14_000_000
+FAN = 256
 GRAM, WORD = 0, 1
 _PAD = b"\xff" * ORDER
 
@@ -118,7 +122,7 @@ def _bundles(batches: Iterator[pa.RecordBatch], size: int = 2_000_000) -> Iterat
 
     def flush() -> pa.RecordBatch:
         rows = [(block, _squeeze(pickle.dumps(docs, 5))) for block, docs in pool.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "docs"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "docs"])
 
     for batch in batches:
         for doc_id, text, held_out, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -174,70 +178,115 @@ class Index:
         return self.order[at]
 
 
-def _dealt(keys: np.ndarray, parts: int) -> list[np.ndarray]:
-    """Positions of the keys of each part, in order."""
-    part = (mix(keys) >> U64(20)) % U64(parts)
+def _dealt(keys: np.ndarray, fan: int, digit: int = 0) -> list[np.ndarray]:
+    """Positions of the keys with each value of a digit of their hash, in order."""
+    part = (mix(keys) >> U64(20)) // U64(fan**digit) % U64(fan)
     order = np.argsort(part, kind="stable")
-    return np.split(order, np.searchsorted(part[order], np.arange(1, parts, dtype=U64)))
+    return np.split(order, np.searchsorted(part[order], np.arange(1, fan, dtype=U64)))
 
 
-ASKED = "block int, part int, grams binary, gram_counts binary, words binary, word_counts binary"
+#: Lists from a sender (a block, or where letters were merged) to all keys with the digits of "to".
+LETTERS = "sender long, to long, grams binary, gram_counts binary, words binary, word_counts binary"
+ANSWERS = "sender long, to long, gram_values binary, word_values binary"
+_KINDS = (("grams", "gram_counts", "gram_values"), ("words", "word_counts", "word_values"))
 
 
-def _ask(table: pa.Table, parts: int) -> pa.Table:
-    (grams, gc), (words, wc) = _distinct(_documents(table))
-    block = table.column("block")[0].as_py()
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table([pa.array(c, pa.int64() if k == "long" else pa.binary()) for c, (_, k) in zip(zip(*rows, strict=True) if rows else [()] * len(fields), fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _letters(sender: int, to: int, lists: list[tuple[np.ndarray, np.ndarray]], fan: int, digit: int) -> pa.Table:
+    """A letter for each value of the digit that occurs. lists: keys and counts of grams, then of words."""
+    (grams, gc), (words, wc) = lists
     rows = []
-    for p, (g, w) in enumerate(zip(_dealt(grams, parts), _dealt(words, parts), strict=True)):
+    for d, (g, w) in enumerate(zip(_dealt(grams, fan, digit), _dealt(words, fan, digit), strict=True)):
         if len(g) or len(w):
-            rows.append((block, p, _pack_sorted(grams[g]), _pack(gc[g]), _pack_sorted(words[w]), _pack(wc[w])))
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=["block", "part", "grams", "gram_counts", "words", "word_counts"])
+            rows.append((sender, to * fan + d, _pack_sorted(grams[g]), _pack(gc[g]), _pack_sorted(words[w]), _pack(wc[w])))
+    return _table(rows, LETTERS)
+
+
+def _ask(table: pa.Table, fan: int) -> pa.Table:
+    return _letters(table.column("block")[0].as_py(), 0, _distinct(_documents(table)), fan, 0)
+
+
+def _sums(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys of all lists, and their counts added up."""
+    out = []
+    for keys, counts, _ in _KINDS:
+        u, inverse = np.unique(np.concatenate([_unpack_sorted(x) for x in table.column(keys).to_pylist()]), return_inverse=True)
+        out.append((u.astype(U64), np.bincount(inverse, np.concatenate([_unpack(x) for x in table.column(counts).to_pylist()]), len(u)).astype(np.int64)))
+    return out
+
+
+def _merger(fan: int, digit: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """The letters of one place and bundle of senders as one sender's, dealt by the next digit."""
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        return _letters(key[1].as_py(), key[0].as_py(), _sums(table), fan, digit)
+
+    return merge
 
 
 def _add_up(table: pa.Table) -> pa.Table:
     """Total training counts of a part's keys."""
-    out = []
-    for kind, (a, b) in ((GRAM, ("grams", "gram_counts")), (WORD, ("words", "word_counts"))):
-        keys = np.concatenate([_unpack_sorted(x) for x in table.column(a).to_pylist()])
-        counts = np.concatenate([_unpack(x) for x in table.column(b).to_pylist()])
-        u, inverse = np.unique(keys, return_inverse=True)
-        out.append((kind, u, np.bincount(inverse, counts, len(u)).astype(np.int64)))
-    part = table.column("part")[0].as_py()
-    n = sum(len(u) for _, u, _ in out)
-    return pa.table({"part": pa.array(np.full(n, part), pa.int32()), "kind": pa.array(np.concatenate([np.full(len(u), k) for k, u, _ in out]), pa.int8()), "key": pa.array(np.concatenate([u for _, u, _ in out]), pa.int64()), "c": pa.array(np.concatenate([c for _, _, c in out]), pa.int64())})
+    sums = _sums(table)
+    n = sum(len(u) for u, _ in sums)
+    return pa.table({
+        "part": pa.array(np.full(n, table.column("to")[0].as_py()), pa.int64()), "kind": pa.array(np.concatenate([np.full(len(u), k) for k, (u, _) in zip((GRAM, WORD), sums, strict=True)]), pa.int8()),
+        "key": pa.array(np.concatenate([u for u, _ in sums]).view(np.int64), pa.int64()), "c": pa.array(np.concatenate([c for _, c in sums]), pa.int64()),
+    })
+
+
+def _replies(asked: pa.Table, tables: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """For each letter its grams' log probabilities and its words' counts, in the order of its lists."""
+    rows = []
+    for sender, to, grams, words in zip(*(asked.column(c).to_pylist() for c in ("sender", "to", "grams", "words")), strict=True):
+        g, w = (v[np.searchsorted(k, _unpack_sorted(x))] if len(k) else np.zeros(0) for (k, v), x in zip(tables, (grams, words), strict=True))
+        rows.append((sender, to, g.astype(np.float32).tobytes(), zlib.compress(w.astype(np.int64).tobytes(), 1)))
+    return _table(rows, ANSWERS)
 
 
 def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
-    """For each block's list of a part: the grams' log probabilities and the words' counts, in the order of the list."""
     tables = []
     for kind in (GRAM, WORD):
         at = model.column("kind").to_numpy() == kind
         keys, values = model.column("key").to_numpy()[at], model.column("value").to_numpy()[at]
         order = np.argsort(keys)
         tables.append((keys[order], values[order]))
-    rows = []
-    for block, part, grams, words in zip(*(asked.column(c).to_pylist() for c in ("block", "part", "grams", "words")), strict=True):
-        g, w = (v[np.searchsorted(k, _unpack_sorted(x))] for (k, v), x in zip(tables, (grams, words), strict=True))
-        rows.append((block, part, g.astype(np.float32).tobytes(), zlib.compress(w.astype(np.int64).tobytes(), 1)))
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], names=["block", "part", "gram_values", "word_values"])
+    return _replies(asked, tables)
+
+
+def _values(lists: list[np.ndarray], answers: pa.Table, fan: int, digit: int) -> list[np.ndarray]:
+    """Values of grams and words, put together from the answers to the letters that they were dealt into."""
+    out = [np.zeros(len(lists[0])), np.zeros(len(lists[1]), np.int64)]
+    dealt = [_dealt(keys, fan, digit) for keys in lists]
+    for to, g, w in zip(*(answers.column(c).to_pylist() for c in ("to", "gram_values", "word_values")), strict=True):
+        out[GRAM][dealt[GRAM][to % fan]] = np.frombuffer(g, np.float32)
+        out[WORD][dealt[WORD][to % fan]] = np.frombuffer(zlib.decompress(w), np.int64)
+    return out
+
+
+def _pass_back(fan: int, digit: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Answers to merged letters as answers to those that they were merged from."""
+
+    def back(asked: pa.Table, answers: pa.Table) -> pa.Table:
+        keys = [u for u, _ in _sums(asked)]
+        return _replies(asked, [(k.view(np.int64), v) for k, v in zip(keys, _values(keys, answers, fan, digit), strict=True)])
+
+    return back
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scored(docs: pa.Table, answers: pa.Table, parts: int, tokens: int, distinct: int) -> pa.Table:
+def _scored(docs: pa.Table, answers: pa.Table, fan: int, tokens: int, distinct: int) -> pa.Table:
     """A block's documents with the values of their keys."""
     rows: list[tuple] = []
     if docs.num_rows:
         own = _documents(docs)
         (grams, _), (words, _) = _distinct(own)
-        gv, wv = np.zeros(len(grams)), np.zeros(len(words), np.int64)
-        dealt = list(zip(_dealt(grams, parts), _dealt(words, parts), strict=True))
-        for p, g, w in zip(*(answers.column(c).to_pylist() for c in ("part", "gram_values", "word_values")), strict=True):
-            gv[dealt[p][0]] = np.frombuffer(g, np.float32)
-            wv[dealt[p][1]] = np.frombuffer(zlib.decompress(w), np.int64)
+        gv, wv = _values([grams, words], answers, fan, 0)
         base = np.log10((wv + 0.1) / (tokens + 0.1 * (distinct + 1)))
         gram_index, word_index = Index(grams), Index(words)
         for held, part, texts in _slices(own):
@@ -297,20 +346,29 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     texts = id_text(docs, id_col, text_col).withColumn("held", F.coalesce(held_out, F.lit(False)))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(2, math.ceil(size / block_bytes))
-    parts = max(n, 12)
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).mapInArrow(_bundles, "block int, docs binary")
+    digits = next(d for d in range(1, 64) if FAN**d >= n)
+    fan = max(2, math.ceil(max(n, 12) ** (1 / digits)))
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("long")).mapInArrow(_bundles, "block long, docs binary")
     blocks = dealt.repartition(n, "block").groupBy("block")
-    asked = staged(blocks.applyInArrow(lambda table: _ask(table, parts), ASKED))
-    by_part = asked.repartition(parts, "part").groupBy("part")
-    counts = staged(by_part.applyInArrow(_add_up, "part int, kind byte, key long, c long"))
+    letters = [staged(blocks.applyInArrow(lambda table: _ask(table, fan), LETTERS))]
+    bundle = F.floor(F.col("sender") / fan).cast("long").alias("bundle")
+    for digit in range(1, digits):
+        places = letters[-1].withColumn("bundle", bundle).repartition(n, "to", "bundle").groupBy("to", "bundle")
+        letters.append(staged(places.applyInArrow(_merger(fan, digit), LETTERS)))
+    parts = max(n, 12)
+    counts = staged(letters[-1].repartition(parts, "to").groupBy("to").applyInArrow(_add_up, "part long, kind byte, key long, c long"))
     words = counts.where(F.col("kind") == WORD)
     tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     grams = counts.where(F.col("kind") == GRAM)
     values = grams.select("part", "kind", "key").join(gram_values(grams.select("key", "c")), "key").select("part", "kind", "key", "value")
     model = values.unionByName(words.select("part", "kind", "key", F.col("c").cast("double").alias("value"))).repartition(parts, "part")
-    answers = asked.select("block", "part", "grams", "words").repartition(parts, "part").groupBy("part").cogroup(model.groupBy("part")).applyInArrow(_answer, "block int, part int, gram_values binary, word_values binary")
-    score = partial(_scored, parts=parts, tokens=int(tokens), distinct=int(distinct))
-    scored = blocks.cogroup(answers.repartition(n, "block").groupBy("block")).applyInArrow(lambda a, b: score(a, b), SCORES)
+    answers = letters[-1].select("sender", "to", "grams", "words").repartition(parts, "to").groupBy("to").cogroup(model.groupBy("part")).applyInArrow(_answer, ANSWERS)
+    for digit in range(digits - 1, 0, -1):
+        asked = letters[digit - 1].withColumn("bundle", bundle).repartition(n, "to", "bundle").groupBy("to", "bundle")
+        got = answers.withColumn("place", F.floor(F.col("to") / fan).cast("long")).repartition(n, "place", "sender").groupBy("place", "sender")
+        answers = asked.cogroup(got).applyInArrow(_pass_back(fan, digit), ANSWERS)
+    score = partial(_scored, fan=fan, tokens=int(tokens), distinct=int(distinct))
+    scored = blocks.cogroup(answers.repartition(n, "sender").groupBy("sender")).applyInArrow(lambda a, b: score(a, b), SCORES)
     return scored.withColumn("train_tokens", F.lit(int(tokens)).cast("long"))
 
 

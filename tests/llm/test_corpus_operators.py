@@ -276,6 +276,64 @@ def test_license_rules():
     assert labels("the grass is green and the sky is blue") == []
 
 
+def _samples(pattern):
+    """One text for each alternative of an expression, at every level."""
+    import re._constants as K
+    import re._parser as parser
+
+    def made(tree):
+        out = [""]
+        for op, arg in tree:
+            if op is K.LITERAL:
+                part = [chr(arg)]
+            elif op is K.IN:
+                part = [chr(arg[0][1] if arg[0][0] is K.LITERAL else arg[0][1][0])]
+            elif op is K.ANY:
+                part = ["x"]
+            elif op is K.MAX_REPEAT:
+                part = [x * arg[0] for x in made(arg[2])] if arg[0] else ["", *made(arg[2])]
+            elif op is K.SUBPATTERN:
+                part = made(arg[3])
+            elif op is K.BRANCH:
+                part = [x for t in arg[1] for x in made(t)]
+            else:
+                raise AssertionError(op)
+            out = [a + b for a in out for b in dict.fromkeys(part)]
+        return out
+
+    return made(parser.parse(pattern))
+
+
+def test_license_alternatives_fire_alone():
+    """No alternative of an entry stands behind a keyword that it lacks."""
+    for label, _, name, versions in L.FAMILIES:
+        for v in versions:
+            for text in _samples(name):
+                found = [d["label"] for d in L.scan_text(f"see {text} {v} now")[2]]
+                assert any(x.split("-")[0] == label.split("-")[0] for x in found), (label, text, v, found)
+    for label, keyword, text in (*L.TEXTS, *L.LINKS):
+        assert all(keyword in x.split() for x in _samples(text)), (label, keyword)
+    for label, keyword, text in L.IDENTIFIERS:
+        for x in _samples(text):
+            assert any(d["label"] == label for d in L.scan_text(f"SPDX-License-Identifier: {x}")[2]), (label, x, keyword)
+
+
+def test_license_overlaps_by_direct_comparison():
+    """Detections by a plain reading of the rule: in the order of strength, none inside or around one taken before."""
+    rng = random.Random(6)
+    parts = ["licensed under", "the terms of the", "gnu general public license", "version 3", "apache license 2 0", "spdx license identifier", "mit", "license", "creative commons zero", "cc0 1 0", "all rights reserved", "under", "cc by 4 0", "word"]
+    for _ in range(200):
+        ws = L.words(" ".join(rng.choice(parts) for _ in range(rng.randint(1, 14))))
+        joined = b" " + b" ".join(ws) + b" "
+        every = [(m.start(), m.end(), r) for r in L.rules() if r.keyword in ws for m in r.find.finditer(joined)]
+        every.sort(key=lambda d: (-L.PRIORITY[d[2].kind], d[0] - d[1], d[2].order, d[0]))
+        taken = []
+        for s, e, r in every:
+            if not any((a <= s and e <= b) or (s <= a and b <= e) for a, b, _ in taken):
+                taken.append((s, e, r))
+        assert L.detections(set(ws), joined) == sorted(taken, key=lambda d: (d[0], d[1], d[2].order))
+
+
 def test_scores_by_brute_force(docs, texts):
     got = {r.doc_id: r for r in M.op5_lm_score(docs).collect()}
     train = [lower(t) for d, t in texts.items() if zlib.crc32(str(d).encode()) % 10]
@@ -315,6 +373,18 @@ def test_scores_by_brute_force(docs, texts):
         assert got[d].score == pytest.approx(want, rel=1e-5)
 
 
+def test_scores_by_letters_of_several_digits(spark, docs, monkeypatch):
+    """Many small blocks, whose letters are merged twice on their way, give the scores that two blocks give."""
+    held = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    want = {r.doc_id: r for r in M.score_documents(docs, held).collect()}
+    monkeypatch.setattr(M, "FAN", 4)
+    got = {r.doc_id: r for r in M.score_documents(docs, held, block_bytes=30_000).collect()}
+    assert len(got) == len(want)
+    for d, r in want.items():
+        assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens) == (r.n_tokens, r.n_known, r.train_tokens)
+        assert got[d].score == pytest.approx(r.score, rel=1e-5) and got[d].base_score == pytest.approx(r.base_score, rel=1e-9)
+
+
 def _brute_components(texts, percent=80):
     sets = {}
     for d, t in texts.items():
@@ -457,6 +527,28 @@ def test_chat_sql(spark, duck, sf):
     assert table([tuple(r) for r in df.collect()], df.columns) == table(want.fetchall(), want.columns)
 
 
+def test_chat_records_come_in_all_layouts(spark, sf):
+    """The query's records differ in layout, and their fingerprints alone bring the turns back."""
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    pairs = spark.range(1000, 1070).selectExpr("id conv_id", "explode(sequence(0L, 1L)) turn").selectExpr("conv_id", "turn", "if(turn = 0, 'user', 'assistant') role", "if(conv_id % 5 = 0, null, concat('t', conv_id, '-', turn)) text")
+    named = spark.createDataFrame([(2001, 0, "human", "h"), (2001, 1, "gpt", "g")], "conv_id long, turn long, role string, text string")
+    made = C.canonical_turns(C.records_of(rows.unionByName(pairs).unionByName(named))).collect()
+    assert {r.layout for r in made} == set(C.MIXED)
+    assert {r.layout for r in made if r.conv_id < 1000} >= {"messages", "from_value", "dialog"}
+    for r in made:
+        if 1000 <= r.conv_id < 1070:
+            assert [(t.role, t.text) for t in r.turns] == [(w, "" if r.conv_id % 5 == 0 else f"t{r.conv_id}-{i}") for i, w in enumerate(("user", "assistant"))]
+    assert [(t.role, t.text) for r in made if r.conv_id == 2001 for t in r.turns] == [("human", "h"), ("gpt", "g")]
+
+
+def test_chat_empty_and_long(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    assert [r.conv_id for r in C.op9_chat_format(spark.createDataFrame([], schema)).collect()] == [-7]
+    long = "</s>[INST] wörd " * 100_000
+    got = {r.conv_id: r for r in C.op9_chat_format(spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long)], schema)).collect()}
+    assert (got[1].loss_chars, got[1].loss_sha256) == (len(long), hashlib.sha256(long.encode()).hexdigest())
+
+
 def test_chat_layouts(spark):
     records = [
         '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":null}]}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}],"system":"s"}', '{"instruction":"do","input":"this","output":"done"}',
