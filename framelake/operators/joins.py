@@ -6,17 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def segment_for_frame(frames: DataFrame, segments: DataFrame, id_col: str = "id") -> DataFrame:
+def segment_for_frame(frames: DataFrame, segments: DataFrame, id_col: str = "id", width: float = 60.0) -> DataFrame:
     """(id, segment_index): the segment of the frame's file that holds its time, both ends included; in a gap the one
     whose middle is nearest. Of several the one with the least index. Null for files without segments and for images.
 
-    The file is the join key, and a file's segments travel as one array, so the range test stays inside a row.
+    Time falls into buckets of width seconds, and file and bucket are the join keys, so no file's segments meet in one
+    row or task. In a gap a frame compares the middles in its own bucket with the last one of earlier buckets and the
+    first one of later ones; those are carried along each file's buckets, of which there is one row each.
     """
-    parts = segments.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct(F.col("segment_index").alias("i"), F.col("start_sec").alias("a"), F.col("end_sec").alias("b")))).alias("__s"))
-    joined = frames.select(id_col, "file_path", "ts").join(parts, "file_path", "left")
-    inside = F.try_element_at(F.filter("__s", lambda s: (s["a"] <= F.col("ts")) & (F.col("ts") <= s["b"])), F.lit(1))["i"]
-    near = F.array_min(F.transform("__s", lambda s: F.struct(F.abs(F.col("ts") - (s["a"] + s["b"]) / 2).alias("d"), s["i"].alias("i"))))["i"]
-    return joined.select(id_col, F.when(F.col("ts").isNotNull(), F.coalesce(inside, near)).alias("segment_index"))
+    bucket = lambda c: F.floor(c / width).cast("long")
+    asked = frames.select(id_col, "file_path", "ts", bucket(F.col("ts")).alias("__b"))
+    timed = asked.where("ts IS NOT NULL")
+    covered = segments.where("end_sec >= start_sec").select("file_path", "segment_index", "start_sec", "end_sec", F.explode(F.sequence(bucket(F.col("start_sec")), bucket(F.col("end_sec")))).alias("__b"))
+    inside = timed.join(covered, ["file_path", "__b"]).where("start_sec <= ts AND ts <= end_sec").groupBy(id_col).agg(F.min("segment_index").alias("__inside"))
+    rest = timed.join(inside.select(id_col), id_col, "left_anti")
+
+    middle = (F.col("start_sec") + F.col("end_sec")) / 2
+    mids = segments.select("file_path", F.col("segment_index").alias("i"), middle.alias("mid"), bucket(middle).alias("__b"))
+    ends = mids.groupBy("file_path", "__b").agg(F.min(F.struct("mid", "i")).alias("low"), F.max(F.struct(F.col("mid").alias("mid"), (-F.col("i")).alias("i"))).alias("high"))
+    grid = rest.select("file_path", "__b").distinct().join(ends, ["file_path", "__b"], "full")
+    along = Window.partitionBy("file_path").orderBy("__b")
+    carried = grid.select(
+        "file_path", "__b", F.last("high", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.first("low", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
+    )
+    off = lambda mid, i: F.when(mid.isNotNull(), F.struct(F.abs(F.col("ts") - mid).alias("d"), i.alias("i")))
+    own = rest.join(mids, ["file_path", "__b"]).groupBy(id_col).agg(F.min(off(F.col("mid"), F.col("i"))).alias("__own"))
+    far = rest.join(carried, ["file_path", "__b"]).select(id_col, off(F.col("before.mid"), -F.col("before.i")).alias("__before"), off(F.col("after.mid"), F.col("after.i")).alias("__after"))
+    near = far.join(own, id_col, "left").select(id_col, F.array_min(F.filter(F.array("__own", "__before", "__after"), lambda x: x.isNotNull()))["i"].alias("__near"))
+    return asked.select(id_col).join(inside, id_col, "left").join(near, id_col, "left").select(id_col, F.coalesce("__inside", "__near").alias("segment_index"))
 
 
 def window_readings(points: DataFrame, readings: DataFrame, seconds: int = 30, by: str = "source", digits: tuple[int, int] = (1, 3)) -> DataFrame:

@@ -12,8 +12,8 @@ from ..operators import stats as A
 from ..operators.predicates import temporal_search
 from ..sources.tables import frames, media_files
 from .catalog import query
-from .filter_queries import _questions
-from .search_queries import hits
+from .filter_queries import _A, _ASKED, _MONTHS_SQL, _SEG, _SPEECH, _T, _V, _questions
+from .search_queries import _HITS, _LAST, hits
 
 
 def _split(spark, sf_dir):
@@ -62,7 +62,22 @@ def _predicted(spark, sf_dir):
     return done.select("id", "construction_phase", "phase_confidence", "phase_needs_review")
 
 
-@query("k12_multi_source_answers")
+_of_question = lambda sql: sql.replace("lower(text)", "lower(question)")
+
+
+@query(
+    "k12_multi_source_answers",
+    f"""WITH RECURSIVE {_HITS}, {_LAST}, found AS (SELECT * FROM hits WHERE ts IS NULL OR (query_id, id) IN (SELECT query_id, id FROM walk WHERE keep)),
+      visual AS (SELECT query_id, count(*) AS n_visual, string_agg(line, chr(10) || chr(10) ORDER BY rank) AS context FROM (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank, id) AS k, concat_ws(' ', '[' || rank || ']', file_path, 'at ' || cast(ts AS varchar) || 's', '- ' || nullif(caption, ''), '(' || construction_phase || ')') AS line FROM found) WHERE k <= 5 GROUP BY 1),
+      {_ASKED}, dated AS (SELECT question_id, cast(y AS int) AS y, {_MONTHS_SQL} AS m FROM parsed), years AS (SELECT year(created_at) AS yy, count(*) AS n FROM media_files WHERE status = 'done' GROUP BY 1),
+      temporal AS (SELECT question_id, cast(least(5, sum(n)) AS bigint) AS n_temporal FROM dated JOIN years ON y IS NULL OR y = yy WHERE y IS NOT NULL OR m IS NOT NULL GROUP BY 1),
+      heard AS (SELECT query_id, audio_segment_type, count(*) AS n FROM found GROUP BY 1, 2), wanted AS (SELECT question_id, question_id % 10 * 50 AS query_id, CASE {_of_question(_SEG)} WHEN {_of_question(_SPEECH)} THEN 'speech' END AS audio_segment_type FROM asked),
+      audio AS (SELECT question_id, cast(least(10, sum(n)) AS bigint) AS n_audio FROM wanted JOIN heard USING (query_id, audio_segment_type) GROUP BY 1)
+      SELECT question_id, CASE WHEN ({_of_question(_A)} AND ({_of_question(_T)} OR {_of_question(_V)})) OR ({_of_question(_T)} AND {_of_question(_V)}) THEN 'mixed' WHEN {_of_question(_A)} THEN 'audio' WHEN {_of_question(_T)} THEN 'temporal' ELSE 'visual' END AS intent,
+        coalesce(n_visual, 0) AS n_visual, coalesce(n_temporal, 0) AS n_temporal, coalesce(n_audio, 0) AS n_audio, context
+      FROM asked LEFT JOIN visual ON visual.query_id = question_id % 10 * 50 LEFT JOIN temporal USING (question_id) LEFT JOIN audio USING (question_id)""",
+    "frames queries media_files",
+)
 def k12(spark, sf_dir):
     """For every question its intent, the rows of the visual, temporal and audio branches, and the visual context.
 

@@ -314,3 +314,48 @@ def test_scroll_pages(spark):
             break
     assert got == [i for i in range(100) if i % 3] and pages == 4
     assert scroll(df, F.lit(False), ["v"])[1] is None
+
+
+def test_segment_for_frame_over_buckets(spark):
+    """Long and overlapping segments, wide gaps, equal distances and files without segments, in buckets of seven seconds."""
+    import random
+
+    rng = random.Random(12)
+    segments = [(f"f{f}", i, a, a + rng.choice([0, 3, 40])) for f in range(4) for i, a in enumerate(sorted(rng.randint(-20, 400) for _ in range(8)))]
+    segments += [("f9", 1, 0.0, 4.0), ("f9", 0, 6.0, 10.0)]
+    frames = [(n, f"f{n % 5}", float(rng.randint(-30, 460))) for n in range(400)] + [(900, "f0", None), (901, "f9", 5.0), (902, "none", 3.0)]
+    want = {}
+    for n, f, t in frames:
+        own = [(i, a, b) for g, i, a, b in segments if g == f]
+        held = [i for i, a, b in own if t is not None and a <= t <= b]
+        want[n] = None if t is None or not own else min(held) if held else min((abs(t - (a + b) / 2), i) for i, a, b in own)[1]
+    made = J.segment_for_frame(spark.createDataFrame(frames, "id long, file_path string, ts double"), spark.createDataFrame([(f, i, float(a), float(b)) for f, i, a, b in segments], "file_path string, segment_index int, start_sec double, end_sec double"), width=7.0)
+    assert {r.id: r.segment_index for r in made.collect()} == want and want[901] == 0
+
+
+def test_queries_without_sql(spark, sf):
+    """What no SQL can say: encoded documents, forests' reports and predictions, against direct computation."""
+    import numpy as np
+
+    from framelake.plans.registry import queries
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    encode = K.hash_encoder()
+    got = {r.doc_id: (r.dim, r.total) for r in queries()["k01_batch_encode"](spark, sf).collect()}
+    want = {d: (64, round(float(sum(np.float64(np.float32(x)) for x in encode([t])[0])), 5)) for d, t in docs.items() if d % 7 and t}
+    assert got.keys() == want.keys() and all(got[d][0] == 64 and abs(got[d][1] - want[d][1]) < 2e-5 for d in want)
+
+    report = {r.label: r for r in queries()["k09_train_report"](spark, sf).collect()}
+    labels = [x for x in report if x.startswith("g")]
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("label % 3 g").groupBy("g").count().collect()
+    assert {x: report[x].support for x in labels} == {f"g{r.g}": r["count"] - int(r["count"] * 0.8) for r in rows}
+    assert abs(report["macro"].f1 - np.mean([report[x].f1 for x in labels])) < 1e-5
+    assert abs(report["accuracy"].recall - sum(report[x].recall * report[x].support for x in labels) / sum(report[x].support for x in labels)) < 1e-5
+
+    for r in queries()["k10_batch_predict"](spark, sf).collect():
+        assert (r.construction_phase is None) == (r.phase_confidence is None) == (r.phase_needs_review is None)
+        assert r.phase_confidence is None or (1 / 3 - 1e-6 <= r.phase_confidence <= 1 and r.construction_phase in ("g0", "g1", "g2"))
+        assert r.phase_confidence is None or abs(r.phase_confidence - 0.85) < 1e-3 or r.phase_needs_review == (r.phase_confidence < 0.85)
+
+    near = queries()["c05_cell_candidates"](spark, sf).collect()
+    assert all(r.rank <= 10 and r.score >= 0.2 - 1e-9 for r in near) and np.mean([r.in_exact for r in near]) > 0.8
