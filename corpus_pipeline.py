@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents.
+
+In every stage a row stands or falls by its own text, whatever its id: ids may be missing or repeated, and other columns
+pass through. An empty table gives an empty result. Whole texts are read, however long.
 """
 
 from __future__ import annotations
@@ -17,14 +20,16 @@ from framelake.llm.secret_scan import redact
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Every row carries its own verdict, whatever its id."""
+    """Documents that the quality rules keep. Every row carries its own verdict, whatever its id. A null or empty text has
+    no words and goes; a null language is a stratum of its own; repeated rows get one verdict each, all the same."""
     return judge_quality(docs, table(spark, sf_dir, "labels"), carry=True).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group linked by shingle likeness: the one with the least id (none comes last), then by its text.
 
-    Rows are linked by a key of their own, written with them, so that an id may be missing or repeated."""
+    Rows are linked by a key of their own, written with them, so that an id may be missing or repeated. Repeated rows are
+    copies, of which one stays; null and empty texts are linked with nothing, so all of them stay."""
     rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
     linked = jaccard_components(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text"), F.col("__row").alias("row"))
@@ -33,13 +38,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark."""
+    """All documents, secrets in their texts replaced by a mark; a null text stays null. n_chars is that of the new text."""
     done = redact(docs)
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens along the curve."""
+    """Pieces of sequences of 4096 tokens along the curve; a null or empty text is its end id, and repeated rows are packed
+    each by itself."""
     return pack_along_curve(docs)
 
 

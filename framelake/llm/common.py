@@ -25,12 +25,16 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none, as in tests."""
+    """The folder that all executors share, with one of its own for this application, which may go when the application
+    has ended. Where the session names none, a local one, as in tests, gets a temporary folder; a cluster is refused, as
+    its executors would each write to a disk of their own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='framelake-')}"
         spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame) -> DataFrame:

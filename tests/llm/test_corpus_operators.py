@@ -196,6 +196,31 @@ def test_fingerprints(docs, texts):
     assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()]) + 0.3
 
 
+def test_fingerprint_likeness_by_exact_counts(docs, texts):
+    """near_edited and near_next against the same measure over exact counts of word triples inside lines."""
+
+    def triples(text):
+        out = collections.Counter()
+        for line in text.split("\n"):
+            w = blank_words(lower(line))
+            out.update(tuple(w[i : i + 3]) for i in range(len(w)))
+        return out
+
+    def likeness(a, b):
+        norm = sum(v * v for v in a.values()) + sum(v * v for v in b.values())
+        return 2 * sum(n * b[k] for k, n in a.items()) / norm if norm else float(a == b)
+
+    order = sorted(texts, reverse=True)
+    counts = {d: triples(texts[d]) for d in texts}
+    got = {r.doc_id: r for r in G.op2_fingerprints(docs).collect()}
+    off = []
+    for i, d in enumerate(order):
+        follower = order[(i + 1) % len(order)]
+        off.append(abs(got[d].near_edited - likeness(counts[d], triples(G.edit(texts[d], texts[follower])))))
+        off.append(abs(got[d].near_next - likeness(counts[d], counts[follower])))
+    assert np.mean(off) < 0.04 and max(off) < 0.25
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.text("ab \n", max_size=12), min_size=1, max_size=6), st.randoms())
 def test_fingerprint_is_homomorphic(parts, rng):
@@ -683,6 +708,16 @@ def test_pipeline_on_awkward_rows(spark, awkward, sf):
     assert [r.doc_id for r in docs.collect()] == [77]
 
 
+def test_pipeline_on_an_empty_table(spark, docs, sf):
+    import corpus_pipeline as W
+
+    rows = docs.where("false")
+    for name, stage in W.STAGES:
+        made = W.staged(stage(spark, rows, sf))
+        assert made.count() == 0 and (name == "packing" or made.columns == rows.columns)
+        rows = made
+
+
 def test_pipeline_judges_each_row_by_its_own_text(spark, sf):
     """Clean rows stay beside bad or unrelated ones with their id, or without an id; copies go whatever their ids."""
     import corpus_pipeline as W
