@@ -45,7 +45,7 @@ from .graph import components
 WIDTH, PERCENT = 5, 80
 FREQUENT = 1 << 19
 SMALL, HOT = 16, 1000
-BLOCK_ROWS, BLOCK_CELLS = 1024, 2_000_000
+BLOCK_ROWS, BLOCK_CELLS, SALTS = 1024, 2_000_000, 32
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
@@ -248,13 +248,18 @@ def _ties(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Members of families of two or more with their band, the number of its blocks, and of those of the bands beside it."""
-    whole = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("cells")).where("n > 1").select("family", ((F.col("n") <= BLOCK_ROWS) & (F.col("cells") <= BLOCK_CELLS)).alias("one"))
+    """Members with their band, the number of its blocks, and of those of the bands beside it. What belongs to a large
+    family meets its members under SALTS keys; a small one is a block of its own and joins nothing."""
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+    spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    whole = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("cells"))
+    large = whole.where((F.col("n") > BLOCK_ROWS) | (F.col("cells") > BLOCK_CELLS)).select("family", F.lit(True).alias("large"))
     width = math.log(100 / percent) * (1 + 1e-9)
-    banded = staged(members.join(whole, "family").withColumn("band", F.when(F.col("one"), 0).otherwise(F.floor(F.log("size") / width)).cast("int")).drop("one"))
-    load = banded.groupBy("family", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_CELLS)).cast("int").alias("blocks"))
+    banded = staged(salted.join(spread(large), ["family", "salt"], "left").withColumn("band", F.when(F.col("large"), F.floor(F.log("size") / width)).otherwise(0).cast("int")))
+    load = banded.where("large").groupBy("family", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_CELLS)).cast("int").alias("blocks"))
     beside = lambda by, name: load.select("family", (F.col("band") - by).alias("band"), F.col("blocks").alias(name))
-    return banded.join(load.join(beside(1, "up"), ["family", "band"], "left").join(beside(-1, "down"), ["family", "band"], "left").na.fill(0, ["up", "down"]), ["family", "band"])
+    near = load.join(beside(1, "up"), ["family", "band"], "left").join(beside(-1, "down"), ["family", "band"], "left")
+    return banded.join(spread(near), ["family", "band", "salt"], "left").na.fill(1, ["blocks"]).na.fill(0, ["up", "down"])
 
 
 def _block_pairs(sets: DataFrame) -> DataFrame:
