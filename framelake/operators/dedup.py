@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import parent_dir
-from ..sources.listing import file_type
 
 
 def _fold(keep) -> Column:
@@ -99,9 +98,13 @@ def relocate(frames: DataFrame, moves: DataFrame) -> DataFrame:
     return frames.join(moves.withColumnRenamed("old_path", "file_path"), "file_path", "left").withColumn("file_path", F.coalesce("new_path", "file_path")).drop("new_path")
 
 
+#: Forms of names that hold an id, in their order.
+NAME_FORMS = (r"^pexels-[a-z]+-([0-9]+)\.mp4$", r"^pexels-([0-9]+)\.mp4$", r"_([0-9]+)\.mp4$")
+
+
 def external_id(name: Column) -> Column:
     """The id in a name, by three forms in their order; null if there is none."""
-    found = [F.regexp_extract(name, p, 1) for p in (r"^pexels-[a-z]+-([0-9]+)\.mp4$", r"^pexels-([0-9]+)\.mp4$", r"_([0-9]+)\.mp4$")]
+    found = [F.regexp_extract(name, p, 1) for p in NAME_FORMS]
     return F.coalesce(*[F.when(x != "", x) for x in found])
 
 
@@ -120,7 +123,3 @@ def merge_sources(visual: DataFrame, audio: DataFrame, limit: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("source"), "rank", "id"))
     both = v.unionByName(own).withColumn("place", place)
     return both.where((F.col("source") == "visual") | (F.col("place") <= limit))
-
-
-def typed(paths: DataFrame) -> DataFrame:
-    return paths.withColumn("media_type", file_type(F.col("file_path")))

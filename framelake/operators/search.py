@@ -45,14 +45,17 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank"
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def _best(unit: np.ndarray, frames: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query index, frame index and score of each query's best k frames of a batch, ties included."""
+CELLS = 4_000_000
+
+
+def _best(unit: np.ndarray, frames: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query index, frame index and score of each query's best k frames of a few, ties included, that reach its least;
+    where there are k of them, their last becomes the least."""
     wide = frames.astype(np.float64)
     size = np.linalg.norm(wide, axis=1)
     scores = (wide / np.where(size == 0, 1, size)[:, None]) @ unit.T
-    least = np.full(len(unit), threshold - 1e-9)
     if len(wide) > k:
-        least = np.maximum(least, np.partition(scores, len(wide) - k, axis=0)[len(wide) - k] - 1e-9)
+        np.maximum(least, np.partition(scores, len(wide) - k, axis=0)[len(wide) - k] - 1e-9, out=least)
     frame, query = np.nonzero(scores >= least)
     return query, frame, scores[frame, query]
 
@@ -83,9 +86,13 @@ def _matched(asked: dict[int, tuple[np.ndarray, np.ndarray]], batches: Iterator[
 
 
 def _product(asked: dict[int, tuple[np.ndarray, np.ndarray]], batches: Iterator[pa.RecordBatch], k: int, threshold: float, digits: int) -> Iterator[pa.RecordBatch]:
+    """Some CELLS scores at once. A query's k-th best so far is the least that later frames of the task have to reach."""
+    least = {d: np.full(len(unit), threshold - 1e-9) for d, (_, unit) in asked.items()}
     for ids, unit, frame_ids, vectors in _matched(asked, batches):
-        query, frame, score = _best(unit, vectors, k, threshold)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[query]), frame_ids.take(pa.array(frame)), pa.array(np.round(score, digits))], schema=PAIR)
+        step = max(64, CELLS // len(unit))
+        for at in range(0, len(vectors), step):
+            query, frame, score = _best(unit, vectors[at : at + step], k, least[unit.shape[1]])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), frame_ids.take(pa.array(frame + at)), pa.array(np.round(score, digits))], schema=PAIR)
 
 
 def block_scores(frames: DataFrame, queries: DataFrame, threshold: float, k: int, digits: int) -> DataFrame:
@@ -134,11 +141,13 @@ def nearest(frames: DataFrame, targets: DataFrame, digits: int = 9) -> DataFrame
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, unit, frame_ids, vectors in _matched(sent.value, batches):
-            wide = vectors.astype(np.float64)
-            size = np.linalg.norm(wide, axis=1)
-            scores = np.round((wide / np.where(size == 0, 1, size)[:, None]) @ unit.T, digits)
-            at = scores.argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([frame_ids, pa.array(ids[at]), pa.array(scores[np.arange(len(at)), at])], names=["id", "target_id", "score"])
+            step = max(64, CELLS // len(unit))
+            for first in range(0, len(vectors), step):
+                wide = vectors[first : first + step].astype(np.float64)
+                size = np.linalg.norm(wide, axis=1)
+                scores = np.round((wide / np.where(size == 0, 1, size)[:, None]) @ unit.T, digits)
+                at = scores.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([frame_ids.slice(first, len(wide)), pa.array(ids[at]), pa.array(scores[np.arange(len(at)), at])], names=["id", "target_id", "score"])
 
     return frames.select(F.col("id").cast("long").alias("id"), "vector").where("vector IS NOT NULL").mapInArrow(best, "id long, target_id long, score double")
 

@@ -141,7 +141,7 @@ def _side_files(df: DataFrame, kind: str, key: str = "id") -> str:
     if kind == "csv":
         df.write.option("header", True).csv(path)
     else:
-        part = F.pmod(F.xxhash64(key), F.lit(16))
+        part = F.pmod(F.xxhash64(key), F.lit(max(16, df.count() // 5_000)))  # some 5,000 records a file
         arrays = df.groupBy(part.alias("part")).agg(F.to_json(F.collect_list(F.struct(*df.columns)), {"pretty": "true"}).alias("value"))
         arrays.write.partitionBy("part").text(path)
     return path
