@@ -8,7 +8,7 @@ sequence has padding. Global offsets come from a range partition of the keys alo
 plus the totals of those before it. The ids are then joined to their offsets and cut.
 
 A worker keeps the ids of runs between ASCII blanks (the tokenizer drops blanks and never joins across them), at most
-MEMORY of them; then it starts anew. The vocabulary's special tokens, which a text may spell out in exactly their
+MEMORY of them; then only those of the batch at hand stay. The vocabulary's special tokens, which a text may spell out in exactly their
 letters, are single ids: texts are cut at them before anything is put in lower case.
 
 Null or empty text: the end id alone. Repeated ids stay separate rows. Other columns are ignored; an empty table gives
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import U64, id_text, mix, staged
 
 DIMS, BITS = 3, 16
-MEMORY = 1_600_000
+MEMORY = 1_200_000
 _MARKS = b".,;:!?"
 _encoders: dict[str, RunEncoder] = {}
 
@@ -59,6 +59,8 @@ class RunEncoder:
         if any(x.normalized or x.lstrip or x.rstrip or x.single_word for x in added.values()):
             raise ValueError("special tokens are found as they are spelt, with nothing around them")
         self.tokenizer.encode_special_tokens = True  # runs are in lower case, where a special token's letters are no special token
+        self.splitter = Tokenizer.from_file(path)
+        self.between, self.end = next(((x.content, i) for i, x in added.items()), (None, None))
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
         self.special = re.compile("(" + "|".join(re.escape(x.content) for x in sorted(added.values(), key=lambda x: -len(x.content))) + ")") if added else None
@@ -78,23 +80,39 @@ class RunEncoder:
             out += [self._mark(part)] if i % 2 else part.encode("utf-8", "surrogatepass").lower().split()
         return out
 
+    def tokenize(self, runs: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Runs and their ids. Many go to the tokenizer as one text, with a special token between them, at which it cuts
+        before it does anything else; runs that spell a special token go one by one."""
+        told = [r.decode("utf-8", "replace") for r in runs]
+        if self.between is None or any(self.special.search(t) for t in told):
+            plain = [i for i, t in enumerate(told) if self.between is not None and not self.special.search(t)]
+            alone = sorted(set(range(len(runs))).difference(plain))
+            for i, e in zip(alone, self.tokenizer.encode_batch_fast([told[i] for i in alone], add_special_tokens=False), strict=True):
+                yield runs[i], _packed(e.ids)
+            runs, told = [runs[i] for i in plain], [told[i] for i in plain]
+        if not runs:
+            return
+        ids = np.array(self.splitter.encode(self.between.join(told), add_special_tokens=False).ids, "<u2")
+        ends = np.append(np.flatnonzero(ids == self.end), len(ids))
+        raw = ids.tobytes()
+        yield from zip(runs, (raw[a:b] for a, b in zip([0, *(2 * ends[:-1] + 2).tolist()], (2 * ends).tolist(), strict=True)), strict=True)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Runs are looked up in lower case, as the tokenizer takes them. A run that ends in one mark after a letter is
         its parts' ids, one after the other: the tokenizer cuts there too."""
         runs = [self.runs(t) for t in texts]
-        known = self.known
+        known, met = self.known, set().union(*runs)
         if len(known) > MEMORY:
+            kept = {r: known[r] for r in met if r in known}
             known.clear()
-            known.update(self.marked)
-        new = set().union(*runs).difference(known)
+            known.update(kept | self.marked)
+        new = met.difference(known)
         marked = [r for r in new if r[-1] in _MARKS and len(r) > 1 and 97 <= r[-2] <= 122]
         plain = new.difference(marked)
         plain.update(x for r in marked for x in (r[:-1], r[-1:]) if x not in known)
         plain = list(plain)
         for at in range(0, len(plain), 1 << 14):
-            part = plain[at : at + (1 << 14)]
-            for r, e in zip(part, self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in part], add_special_tokens=False), strict=True):
-                known[r] = _packed(e.ids)
+            known.update(self.tokenize(plain[at : at + (1 << 14)]))
         for r in marked:
             known[r] = known[r[:-1]] + known[r[-1:]]
         out = [b"".join(map(known.__getitem__, rs)) for rs in runs]
