@@ -230,13 +230,13 @@ def fit_cells(frames: DataFrame, cells: int = 32, sample: int = 20_000, recall:
 
 def cell_topk(frames: DataFrame, queries: DataFrame, index: CellIndex, k: int = 10, threshold: float = 0.2, digits: int = 9) -> DataFrame:
     """(query_id, id, score, rank) as cosine_topk, from the cells that each query looks into: approximate, with exact
-    scores. Every frame is in the index, in the cell of its nearest centre."""
+    scores. Every frame of the index's dimension is in it, in the cell of its nearest centre."""
     sent = frames.sparkSession.sparkContext.broadcast(index)
 
     def placed(id_col: str, vector_col: str, probes: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             centres = sent.value.centres
-            for _, unit, ids, vectors in _matched({centres.shape[1]: (np.arange(len(centres)), centres)}, batches):
+            for _, unit, ids, vectors in _matched({centres.shape[1]: (np.arange(len(centres)), centres)} if len(centres) else {}, batches):
                 n = min(probes, len(unit))
                 cells = np.argsort(-(vectors.astype(np.float64) @ unit.T), axis=1, kind="stable")[:, :n].ravel()
                 at = pa.array(np.repeat(np.arange(len(ids)), n))
