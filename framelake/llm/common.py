@@ -37,13 +37,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged_path(spark: SparkSession) -> str:
+    """A new folder name below the shared one."""
+    return f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    path = path or staged_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession, path: str) -> None:
+    """Remove a staged folder whose last reader is done."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on an array of 64-bit words."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
