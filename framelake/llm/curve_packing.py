@@ -207,9 +207,11 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def curve_offsets(keys: DataFrame) -> DataFrame:
-    """(row, global_at) for rows of (row, key, n): tokens before each row in the order of key, then row."""
+    """(row, global_at) for rows of (row, key, n): tokens before each row in the order of key, then row. The running sums are
+    written once, so that partitions' totals and rows come from the same bounds, which each planning would sample anew."""
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    local = keys.select("row", "key", "n").repartitionByRange(parts, "key", "row").sortWithinPartitions("key", "row").mapInArrow(_running, "row long, at long, n long, part_key long, part_row long")
+    ordered = keys.select("row", "key", "n").repartitionByRange(parts, "key", "row").sortWithinPartitions("key", "row")
+    local = staged(ordered.mapInArrow(_running, "row long, at long, n long, part_key long, part_row long"))
     before = Window.orderBy("part_key", "part_row").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     totals = local.groupBy("part_key", "part_row").agg(F.sum("n").alias("tokens")).select("part_row", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
     return local.join(F.broadcast(totals), "part_row").select("row", (F.col("at") + F.col("base")).alias("global_at"))
