@@ -20,6 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,6 +139,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return id_text(docs, id_col, text_col).mapInArrow(_vectors, "doc_id long, fingerprint string")
 
 
+_PLACE = [("none", "i1"), ("down", "i8"), ("hash", "i8")]
+SAMPLED = 20
+
+
+def in_descending_ranges(rows: DataFrame, n: int) -> DataFrame:
+    """rows of (doc_id, hash, ...) in n partitions by descending doc_id (none last), then hash. The bounds are numbers that
+    the driver holds, SAMPLED sampled keys for each partition, so every reader of the result sees the same partitions,
+    whether or not Spark shuffles it once."""
+    key = [F.col("doc_id").isNull().cast("tinyint").alias("none"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("down"), F.col("hash")]
+    drawn = rows.select(*key).orderBy(F.xxhash64("none", "down", "hash", F.monotonically_increasing_id())).limit(SAMPLED * n).collect()
+    sample = np.sort(np.array([tuple(r) for r in drawn], _PLACE))
+    bounds = np.unique(sample[SAMPLED::SAMPLED])
+
+    @F.pandas_udf("int")
+    def part(none: pd.Series, down: pd.Series, hashed: pd.Series) -> pd.Series:
+        keys = np.empty(len(none), _PLACE)
+        keys["none"], keys["down"], keys["hash"] = none, down, hashed
+        return pd.Series(np.searchsorted(bounds, keys, side="right").astype(np.int32))
+
+    return rows.withColumn("part", part(*key)).repartitionById(n, "part").drop("part")
+
+
 def op2_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document against its edited text and its follower in descending doc_id.
 
@@ -146,7 +169,7 @@ def op2_fingerprints(docs: DataFrame) -> DataFrame:
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.desc("doc_id"), F.col("hash"), F.col("text")]
-    ranged = id_text(docs).withColumn("hash", F.xxhash64("text")).repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
+    ranged = in_descending_ranges(id_text(docs).withColumn("hash", F.xxhash64("text")), n).sortWithinPartitions(*order)
     ends = ranged.mapInArrow(_ends, ENDS).withColumn("key", F.concat_ws(":", F.coalesce(F.col("head_id").cast("string"), F.lit("")), "head_hash"))
     by = Window.orderBy(F.desc("head_id"), "head_hash")  # keys only, one row for each partition
     turn = ends.select("key", F.lead("key").over(by).alias("follower"), F.first("key").over(by).alias("top"))
