@@ -7,8 +7,8 @@ by no more than the factor t. One shuffle brings the heads' shingles together. L
 whose overlap in the heads is counted; what else two sets may share is bounded by the longer tail plus the shingles of
 the heads that stand in longer lists, and pairs that can't reach the threshold even so are dropped. In longer lists, in
 the order of sizes, classes are tied to the first of their run until a step in size exceeds the factor. Shingles known
-to be very frequent are dealt into lists of about HOT classes where they are read, and the runs of such lists are
-chained afterwards, so no list grows with the corpus. Both kinds of ties join classes into families.
+to be very frequent (FREQUENT at most) are dealt into lists of about HOT classes where they are read, and the runs of such
+lists are chained afterwards; lists of others are as long as they occur, below the count at which that table ends. Both kinds of ties join classes into families.
 
 The overlap counts of a family are the product of its incidence matrix with its transpose, computed block by block. A
 family that is too large for one block is dealt into bands of sizes, each a factor t wide, and bands into blocks: only
@@ -23,7 +23,8 @@ every task, shingles that occur again among the texts it reads, and the most fre
 to all tasks (8 MB at most).
 
 Null or empty text: an empty set, linked with nothing. Documents without an id are not linked and have no component.
-Rows that share id and text count as one document; one that has several texts stands in the class of each, and its
+Rows that share id and text count as one document; a set is made from the rows that have its first id and that text's
+digest. One id that has several texts stands in the class of each, and its
 texts share a component. An empty table gives an empty result; other columns are ignored.
 """
 
@@ -68,8 +69,8 @@ def class_keys(s: np.ndarray) -> tuple[int, int]:
 
 def _profile(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """A row for each document (size and class), and rows of shingles that occur again here, with their counts."""
-    names = ["doc_id", "size", "cls", "check", "shingle", "times"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["doc_id", "size", "cls", "check", "digest", "shingle", "times"]
+    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
     met: set[tuple[int, int]] = set()
     pool: list[np.ndarray] = []
     held = 0
@@ -77,14 +78,14 @@ def _profile(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
     def again() -> pa.RecordBatch:
         u, c = np.unique(np.concatenate(pool) if pool else np.zeros(0, U64), return_counts=True)
         u, c = u[c > 1], c[c > 1]
-        return pa.RecordBatch.from_arrays([*(pa.nulls(len(u), k) for k in kinds[:4]), pa.array(u.view(np.int64)), pa.array(c, pa.int64())], names=names)
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(u), k) for k in kinds[:5]), pa.array(u.view(np.int64)), pa.array(c, pa.int64())], names=names)
 
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc_id, text, digest in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             s = shingles(text, width)
             cls = class_keys(s)
-            rows.append((doc_id, len(s), *cls))
+            rows.append((doc_id, len(s), *cls, digest))
             if cls not in met:
                 if len(met) < 1 << 18:
                     met.add(cls)
@@ -93,7 +94,7 @@ def _profile(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
                 if held > 4_000_000:
                     yield again()
                     pool, held = [], 0
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=False)), *(pa.nulls(len(rows), k) for k in kinds[4:])], names=names)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=False)), *(pa.nulls(len(rows), k) for k in kinds[5:])], names=names)
     yield again()
 
 
@@ -283,17 +284,21 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     """(doc_id, n_shingles, component_id, n_links) of every document; n_links counts linked documents, copies included."""
     spark = docs.sparkSession
     texts = id_text(docs, id_col, text_col)
-    profile = staged(texts.mapInArrow(partial(_profile, width=width), "doc_id long, size int, cls long, check long, shingle long, times long"))
+    digested = texts.withColumn("digest", F.xxhash64("text"))
+    profile = staged(digested.mapInArrow(partial(_profile, width=width), "doc_id long, size int, cls long, check long, digest long, shingle long, times long"))
     frequent = spark.sparkContext.broadcast(_frequent(profile))
-    rows = profile.where("times is null").select("doc_id", "size", "cls", "check")
-    classes = rows.where("size > 0 and doc_id is not null").groupBy("cls", "check", "size").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
+    rows = profile.where("times is null").select("doc_id", "size", "cls", "check", "digest")
+    grouped = rows.where("size > 0 and doc_id is not null").groupBy("cls", "check", "size")
+    classes = grouped.agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count_distinct("doc_id").alias("copies"))
+    classes = classes.select("cls", "check", "size", F.col("first.doc_id").alias("rep"), F.col("first.digest").alias("digest"), "copies")
 
     lists = texts.where("doc_id is not null").select("text").mapInArrow(partial(_prefixes, width=width, percent=percent, hot=HOT, frequent=frequent), "shingle long, salt int, cls long, size int")
     families = components(_ties(lists, percent))
 
     members = classes.join(families.select(F.col("node").alias("cls"), F.col("component").alias("family")), "cls")
-    members = _blocks(members, percent).select(F.col("rep").alias("doc_id"), "rep", "cls", "check", "family", "copies", "band", "blocks", "up", "down")
-    asked = texts.join(members, "doc_id").drop("doc_id")
+    members = _blocks(members, percent).select(F.col("rep").alias("doc_id"), "digest", "rep", "cls", "check", "family", "copies", "band", "blocks", "up", "down")
+    # By the text's digest too: an id with many texts has a class for each of them, and each asks for its own text alone.
+    asked = digested.join(members, ["doc_id", "digest"]).drop("doc_id", "digest")
     kept = [f for f in asked.schema.fields if f.name not in ("text", "check")]
     sets = asked.mapInArrow(partial(_sets, width=width), StructType([*kept, StructField("hashes", BinaryType())]))
 
@@ -305,6 +310,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     degree = linked.groupBy("rep", "cls").agg(F.sum("links").alias("links"))
     found = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, ["rep", "cls"], "left")
     found = found.select("cls", "check", "size", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    rows = rows.drop("digest")
     empty = rows.where("size = 0").select("*", F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("n_links"))  # one key, so not joined
     out = rows.where("size > 0").join(found, ["cls", "check", "size"], "left").select(*empty.columns).unionByName(empty)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
