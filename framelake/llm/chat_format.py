@@ -26,6 +26,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Control strings that are escaped: <|name|>, <s>, </s>, [INST], [/INST], <SYS>>, </SYS>>.
 _TAIL = r"(\|[a-z_]+\|>|/?s>|/?INST\]|/?SYS>>)"
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -109,25 +111,27 @@ def _turns(r: Column, layout: Layout) -> Column:
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """The input with fingerprint, layout and turns (array of role and text)."""
-    record = F.col(f"`{record_col}`")
+    """The input with fingerprint, layout and turns (array of role and text), in place of columns of these names."""
+    record, fields = F.col(f"`{record_col}`"), unused(records, "fields")
     names = F.create_map(*[F.lit(x) for pair in known_fingerprints(layouts).items() for x in pair])
     marked = records.withColumn("fingerprint", schema_fingerprint(record)).withColumn("layout", F.when(F.col("fingerprint").isNotNull(), F.try_element_at(names, F.col("fingerprint"))))
-    parsed = marked.withColumn("__record", F.from_json(record, _superset(layouts)))
+    parsed = marked.withColumn(fields, F.from_json(record, _superset(layouts)))
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
     for x in layouts:
-        turns = F.when(F.col("layout") == x.name, _turns(F.col("__record"), x)).otherwise(turns)
-    return parsed.withColumn("turns", turns).drop("__record")
+        turns = F.when(F.col("layout") == x.name, _turns(F.col(fields), x)).otherwise(turns)
+    return parsed.withColumn("turns", turns).drop(fields)
 
 
 def format_turns(turned: DataFrame) -> DataFrame:
-    """Adds formatted (the text in the template) and mask (length and loss of each part, three to a turn)."""
+    """Adds formatted (the text in the template) and mask (length and loss of each part, three to a turn), in place of
+    columns of these names."""
+    safe = unused(turned, "safe")
     part = lambda c, loss: F.struct(F.length(c).alias("length"), loss.alias("loss"))
-    escaped = turned.withColumn("__turns", F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss"))))
+    escaped = turned.withColumn(safe, F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss"))))
     head = lambda t: F.concat(F.lit(TURN), t["role"], F.lit(TEXT))
-    formatted = F.array_join(F.transform("__turns", lambda t: F.concat(head(t), t["text"], F.lit(END))), "")
-    mask = F.flatten(F.transform("__turns", lambda t: F.array(part(head(t), F.lit(False)), part(t["text"], t["loss"]), part(F.lit(END), F.lit(False)))))
-    return escaped.withColumn("formatted", formatted).withColumn("mask", mask).drop("__turns")
+    formatted = F.array_join(F.transform(safe, lambda t: F.concat(head(t), t["text"], F.lit(END))), "")
+    mask = F.flatten(F.transform(safe, lambda t: F.array(part(head(t), F.lit(False)), part(t["text"], t["loss"]), part(F.lit(END), F.lit(False)))))
+    return escaped.withColumn("formatted", formatted).withColumn("mask", mask).drop(safe)
 
 
 def read_turns(formatted: Column) -> Column:

@@ -25,6 +25,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Fixed values of the base kinds: pattern, group whose length counts, least length.
 BASE = (
     ("assign", r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -180,7 +182,8 @@ def _between(chunks: Column, a: Column, b: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The input with every span in its text replaced by the mark; overlapping spans become one. Null text stays null."""
-    spans, text = F.col("__secret_spans"), F.col(f"`{text_col}`")
+    found = unused(docs, "secret_spans")
+    spans, text = F.col(found), F.col(f"`{text_col}`")
 
     def clean(chunks: Column, far: Column) -> Column:
         before = lambda i: F.when(i > 0, F.get(far, i - 1)).otherwise(F.lit(0))
@@ -189,7 +192,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
 
     ends = F.transform(spans, lambda x: x["end"])
     done = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), lambda c: _let(_let(ends, lambda e: _running(e, F.greatest)), lambda far: clean(c, far)))
-    return secret_spans(docs, text_col, "__secret_spans").withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text)).drop("__secret_spans")
+    return secret_spans(docs, text_col, found).withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text)).drop(found)
 
 
 def op1_secret_scan(docs: DataFrame) -> DataFrame:
