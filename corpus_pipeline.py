@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm.common import staged, table
+from framelake.llm.common import staged, table, unused
 from framelake.llm.curve_packing import pack_along_curve
 from framelake.llm.jaccard_join import jaccard_components
 from framelake.llm.quality_rules import judge_quality
@@ -30,11 +30,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are linked by a key of their own, written with them, so that an id may be missing or repeated. Repeated rows are
     copies, of which one stays; null and empty texts are linked with nothing, so all of them stay."""
-    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
-    linked = jaccard_components(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text"), F.col("__row").alias("row"))
-    first = rows.select("__row", order.alias("place")).join(linked, "__row").groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.row").alias("__row"))
-    return rows.join(first, "__row", "left_semi").select(*docs.columns)
+    key = unused(docs, "row")
+    rows = staged(docs.withColumn(key, F.monotonically_increasing_id()))
+    linked = jaccard_components(rows, id_col=key).select(F.col("doc_id").alias(key), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text"), F.col(key).alias("row"))
+    first = rows.select(key, order.alias("place")).join(linked, key).groupBy("component_id").agg(F.min("place").alias("place")).select(F.col("place.row").alias(key))
+    return rows.join(first, key, "left_semi").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
