@@ -79,15 +79,25 @@ def a08(spark, sf_dir):
     return stores.lookup(frames(spark, sf_dir).select("id", "file_path", "label"), ids)
 
 
-_BASE = "SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS p, o_orderdate AS t FROM orders"
+#: Rows that a bucket of a stored table is meant to hold.
+BUCKET_ROWS = 1_000_000
+
+
+def _stored(rows: DataFrame, keys: list[str]) -> stores.Store:
+    """A new store on a shared folder with these rows as its first version."""
+    buckets = max(4, rows.count() // BUCKET_ROWS)
+    store = stores.Store(rows.sparkSession, scratch(rows.sparkSession), keys, buckets)
+    store.upsert(rows)
+    return store
 
 
 @query("a12_vector_upsert", "SELECT id, label, round(list_sum(list_transform(vector, lambda x: cast(x AS double))), 6) AS total FROM (SELECT id, label, CASE WHEN id % 5 = 0 THEN list_transform(vector, lambda x: cast(-x AS float)) ELSE vector END AS vector FROM frames)", "frames")
 def a12(spark, sf_dir):
     base = frames(spark, sf_dir).select("id", "label", "vector")
     changed = base.where("id % 5 = 0").withColumn("vector", F.transform("vector", lambda x: -x))
-    merged = stores.upsert(base, changed, ["id"])
-    return merged.select("id", "label", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
+    store = _stored(base, ["id"])
+    store.upsert(changed)
+    return store.read().select("id", "label", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
 
 
 @query("a13_row_upsert", "SELECT o_orderkey, CASE WHEN m IS NULL THEN o_orderstatus ELSE 'X' END AS status, coalesce(m, o_totalprice) AS price FROM orders LEFT JOIN (SELECT l_orderkey, max(l_extendedprice) AS m FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON o_orderkey = l_orderkey")
@@ -95,21 +105,27 @@ def a13(spark, sf_dir):
     base = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
     changes = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.lit("X").alias("status"), F.col("l_extendedprice").alias("price"))
     changes = changes.join(base.select("o_orderkey"), "o_orderkey", "left_semi").groupBy("o_orderkey", "status").agg(F.max("price").alias("price"))
-    return stores.upsert(base, changes, ["o_orderkey"])
+    store = _stored(base, ["o_orderkey"])
+    store.upsert(changes)
+    return store.read()
 
 
 @query("a14_delete_by_key", "SELECT id, status FROM media_files WHERE NOT (status = 'error' AND user_id % 3 = 0) AND id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)", "media_files")
 def a14(spark, sf_dir):
     keys = read(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
-    kept = media_files(spark, sf_dir).where("NOT (status = 'error' AND user_id % 3 = 0)").select("id", "status")
-    return stores.delete(kept, keys, ["id"])
+    store = _stored(media_files(spark, sf_dir).select("id", "status", "user_id"), ["id"])
+    store.delete_where(F.expr("status = 'error' AND user_id % 3 = 0"))
+    store.delete(keys)
+    return store.read().select("id", "status")
 
 
 @query("a16_partial_update", "SELECT id, CASE WHEN class_id = 3 THEN 'seen' ELSE caption END AS caption, CASE WHEN file_path LIKE '%/d1/%' THEN NULL ELSE construction_phase END AS construction_phase, label FROM frames", "frames")
 def a16(spark, sf_dir):
     base = frames(spark, sf_dir).select("id", "caption", "construction_phase", "label", "file_path", "class_id")
-    done = stores.set_columns(stores.set_columns(base, F.col("class_id") == 3, caption="seen"), F.col("file_path").contains("/d1/"), construction_phase=None)
-    return done.select("id", "caption", "construction_phase", "label")
+    store = _stored(base, ["id"])
+    store.set_where(F.col("class_id") == 3, caption="seen")
+    store.set_where(F.col("file_path").contains("/d1/"), construction_phase=None)
+    return store.read().select("id", "caption", "construction_phase", "label")
 
 
 @query("b12_relativise_paths", "SELECT id, CASE WHEN starts_with(file_path, '/mnt/source/') THEN substr(file_path, 13) ELSE file_path END AS file_path, starts_with(file_path, '/mnt/source/') AS changed FROM media_files", "media_files")

@@ -1,15 +1,12 @@
-"""Keyed stores on Parquet folders, and typed readers of side files.
-
-A store is a folder of numbered versions. A change reads the newest version, merges and writes the next one, so no
-path is overwritten while it is read and a failed write leaves the store as it was.
-"""
+"""Keyed changes of tables, pages of rows, and typed readers of side files. Store keeps a table that changes on disk."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .keyed_store import KeyedStore as Store  # noqa: F401
+
 SENSOR_SCHEMA = "timestamp timestamp, heart_rate_bpm double, activity_level string, stress_index double"
 DETECTION_SCHEMA = "id string, yolo_labels array<string>, yolo_object_count int, yolo_model string"
 QUESTION_SCHEMA = "id string, question string, ground_truth string, relevant_file_ids array<string>"
@@ -66,37 +63,3 @@ def scroll(table: DataFrame, condition: Column, columns: list[str], offset: int
 
 def lookup(table: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return table.join(ids.select(key).distinct(), key, "left_semi")
-
-
-class Store:
-    """Numbered versions under a folder that Spark can read and write."""
-
-    def __init__(self, spark: SparkSession, path: str, keys: list[str]):
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
-
-    def version(self) -> int:
-        """The newest complete version, 0 if there is none."""
-        try:
-            marks = self.spark.read.schema("version int").json(f"{self.path}/_versions")
-        except AnalysisException:
-            return 0
-        return marks.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version()}")
-
-    def write(self, df: DataFrame, partition_by: list[str] | None = None) -> int:
-        """The next version. It counts from the moment its mark is written."""
-        n = self.version() + 1
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/v{n}")
-        self.spark.range(1).select(F.lit(n).alias("version")).write.mode("append").json(f"{self.path}/_versions")
-        return n
-
-    def upsert(self, changes: DataFrame, order: list[Column] | None = None, partition_by: list[str] | None = None) -> int:
-        if not self.version():
-            return self.write(latest(changes, self.keys, order) if order else changes.dropDuplicates(self.keys), partition_by)
-        return self.write(upsert(self.read(), changes, self.keys, order), partition_by)
-
-    def delete(self, keys: DataFrame) -> int:
-        return self.write(delete(self.read(), keys, self.keys))
