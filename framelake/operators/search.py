@@ -1,10 +1,11 @@
 """Exact similarity search for tables of queries: scores, top-k, second pass, groups, reranking and envelopes.
 
 Queries come as (query_id, query_vector). How they meet the frames follows the queries' number: up to BROADCAST_QUERIES
-of them are sent to every task; more are dealt into blocks and shuffled against parts of at most PART_ROWS frames, so
-that no task holds more than a block and a part. Either way each task keeps only k rows of a query (a partial and a
-final window limit), so k rows a task are shuffled, and the answers are the same: a query meets the frames of its own
-dimension, and one whose vector is null or empty, or has a dimension that no frame has, gets no rows.
+of them are sent to every task; more are shuffled to parts of about PART_ROWS frames and stream past each part, so that a
+task holds a part and one batch of queries. Frames are shuffled once for every TURN_QUERIES queries. Either way each task
+keeps only k rows of a query (a partial and a final window limit), so k rows a task are shuffled, and the answers are the
+same: a query meets the frames of its own dimension, and one whose vector is null or empty, or has a dimension that no frame
+has, gets no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_QUERIES, PART_ROWS = 2_000, 50_000
+BROADCAST_QUERIES, PART_ROWS, TURN_QUERIES = 2_000, 50_000, 200_000
 PAIR = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
 
@@ -95,18 +96,59 @@ def _product(asked: dict[int, tuple[np.ndarray, np.ndarray]], batches: Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(ids[query]), frame_ids.take(pa.array(frame + at)), pa.array(np.round(score, digits))], schema=PAIR)
 
 
-def block_scores(frames: DataFrame, queries: DataFrame, threshold: float, k: int, digits: int) -> DataFrame:
-    """Scores of frames (block, id, vector) with queries (block, query_id, query_vector) of their block. A block's frames
-    are dealt into parts of about PART_ROWS, and its queries go to each of them."""
-    parts = frames.groupBy("block").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))  # one row a block
-    left = frames.join(F.broadcast(parts), "block").select("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "vector")
-    right = queries.join(F.broadcast(parts), "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "query_vector")
+def _streamed(batches: Iterator[pa.RecordBatch], k: int, threshold: float, digits: int) -> Iterator[pa.RecordBatch]:
+    """Rows of (block, part, turn, asks, id, vector) in that order: the frames of a part are held while its queries pass."""
+    at: tuple | None = None
+    held: list[pa.RecordBatch] = []
+    frames: dict[int, tuple[np.ndarray, np.ndarray]] | None = None
+    for batch in batches:
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else [0]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            rows, (*place, asks) = batch.slice(lo, hi - lo).select(["id", "vector"]), keys[lo].tolist()
+            if place != at:
+                at, held, frames = place, [], None
+            if not asks:
+                held.append(rows)
+                continue
+            if frames is None:
+                whole = pa.Table.from_batches(held).combine_chunks() if held else None
+                frames, held = _grouped(whole), []
+            for d, (ids, unit) in _by_dimension(rows.column(0).to_pylist(), rows.column(1).to_pylist()).items():
+                if d in frames:
+                    frame_ids, vectors = frames[d]
+                    least = np.full(len(unit), threshold - 1e-9)
+                    step = max(64, CELLS // len(unit))
+                    for first in range(0, len(vectors), step):
+                        query, frame, score = _best(unit, vectors[first : first + step], k, least)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(frame_ids[frame + first]), pa.array(np.round(score, digits))], schema=PAIR)
+
+
+def _grouped(frames: pa.Table | None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of each dimension, as they are."""
+    out = {}
+    if frames is not None and frames.num_rows:
+        ids, vectors = (frames.column(i).combine_chunks() for i in range(2))
+        lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        for d in np.unique(lengths[lengths > 0]).tolist():
+            fits = pa.array(np.flatnonzero(lengths == d))
+            out[d] = (ids.take(fits).to_numpy(), vectors.take(fits).flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
+    return out
 
-    def join(own: pa.Table, asked: pa.Table) -> pa.Table:
-        by = _by_dimension(asked.column("query_id").to_pylist(), asked.column("query_vector").to_pylist())
-        return pa.Table.from_batches(list(_product(by, own.select(["id", "vector"]).combine_chunks().to_batches(max_chunksize=10_000), k, threshold, digits)), PAIR)
 
-    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(join, "query_id long, id long, score double")
+def block_scores(frames: DataFrame, queries: DataFrame, threshold: float, k: int, digits: int) -> DataFrame:
+    """Scores of frames (block, id, vector) with queries (block, query_id, query_vector) of their block. A block's frames
+    are dealt into parts of about PART_ROWS, and its queries, in turns of about TURN_QUERIES, go to each of them."""
+    parts = frames.groupBy("block").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    turns = queries.groupBy("block").agg(F.ceil(F.count("*") / TURN_QUERIES).cast("int").alias("turns"))
+    sizes = F.broadcast(parts.join(turns, "block"))  # one row a block
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    vector = lambda c: F.col(c).cast("array<double>").alias("vector")
+    own = frames.join(sizes, "block").select(F.col("block").cast("int").alias("block"), dealt("id", "parts").alias("part"), every("turns").alias("turn"), F.lit(0).alias("asks"), F.col("id").cast("long").alias("id"), vector("vector"))
+    asked = queries.join(sizes, "block").select(F.col("block").cast("int").alias("block"), every("parts").alias("part"), dealt("query_id", "turns").alias("turn"), F.lit(1).alias("asks"), F.col("query_id").cast("long").alias("id"), vector("query_vector"))
+    met = own.unionByName(asked).repartition("block", "part", "turn").sortWithinPartitions("block", "part", "turn", "asks")
+    return met.mapInArrow(lambda batches: _streamed(batches, k, threshold, digits), "query_id long, id long, score double")
 
 
 def cosine_scores(frames: DataFrame, queries: DataFrame, threshold: float, k: int = 1 << 30, id_col: str = "id", vector_col: str = "vector", digits: int = 9) -> DataFrame:
@@ -124,9 +166,8 @@ def cosine_scores(frames: DataFrame, queries: DataFrame, threshold: float, k: in
         sent = spark.sparkContext.broadcast(_by_dimension([r.query_id for r in rows], [r.query_vector for r in rows]))
         scored = pairs.mapInArrow(lambda batches: _product(sent.value, batches, k, threshold, digits), schema)
     else:
-        blocks = -(-n // BROADCAST_QUERIES)
-        dealt = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.col("query_id").cast("long").alias("query_id"), "query_vector")
-        scored = block_scores(pairs.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "vector"), dealt, threshold, k, digits)
+        whole = F.lit(0).alias("block")
+        scored = block_scores(pairs.select(whole, "id", "vector"), queries.select(whole, "query_id", "query_vector"), threshold, k, digits)
     return scored.where(F.col("score") >= threshold)
 
 
