@@ -6,13 +6,19 @@ stats, ranking or below, and agrees with it on windows that the watermark has cl
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType
+
+#: State lives in an embedded store on the executors' disks, of which checkpoints hold the changes; memory does not bound it.
+_PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 #: Calls a minute for each kind of route.
 LIMITS = {"search": 30, "search-vector": 60, "stream": 60, "thumbnail": 120, "ask": 10, "playlist": 5, "default": 200}
@@ -24,30 +30,130 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
 
 def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> None:
     """All that is there now, in micro-batches; then stop. With each, batches go to it instead of a Parquet folder."""
-    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    query = writer.foreachBatch(each).start() if each else writer.format("parquet").start(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_PROVIDER[0], None)
+    conf.set(*_PROVIDER)
+    try:
+        writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        query = writer.foreachBatch(each).start() if each else writer.format("parquet").start(path)
+    finally:
+        conf.unset(_PROVIDER[0]) if before is None else conf.set(_PROVIDER[0], before)
     query.awaitTermination()
 
 
-def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of one file in the order of ts and seq that are first or whose status differs from the one before."""
-    known, last = state.exists, state.get[0] if state.exists else None
-    rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-    status = rows["status"].astype(object).where(rows["status"].notna(), None)
-    old = status.shift(1)
-    old.iloc[0] = last
-    old = old.astype(object).where(old.notna(), None)
-    changed = (status != old) & ~(status.isna() & old.isna())
-    changed.iloc[0] |= not known
-    state.update((status.iloc[-1],))
-    out = pd.DataFrame({"id": key[0], "seq": rows["seq"], "ts": rows["ts"], "old_status": old, "status": status})
-    yield out[changed.to_numpy(bool)]
+class _InOrder(StatefulProcessor):
+    """Rows (ts, seq, ...) of one key in the order of ts and seq, however they come: they wait in a list until the watermark
+    has passed their ts, so that rows late by less than the watermark's delay change the outcome as they would in a batch.
+    What a key needs of its past is one row of state; it leaves when no row has come for the idle time, and rows after such
+    a rest count as those of a new key, wherever batches are cut. Timers are in event time."""
+
+    waits = "ts timestamp, seq long, status string, point_id long"
+    keeps = ""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.waits)
+        self.past = handle.getValueState("past", self.keeps + ", last_ms long")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        columns = [new[c].astype(object).where(new[c].notna(), None) if c in new else pd.Series([None] * len(new), dtype=object) for c in ("status", "point_id")]
+        told = list(zip([t.to_pydatetime() for t in new["ts"]], [int(x) for x in new["seq"]], columns[0], [None if x is None else int(x) for x in columns[1]], strict=True))
+        self.waiting.appendList(told)
+        for at in {_ms(t[0]) for t in told}:
+            self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs() + 1))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(self.waiting.get(), key=lambda r: (r[0], r[1])) if self.waiting.exists() else []
+        due = [r for r in waiting if _ms(r[0]) <= now]
+        past = self.past.get() if self.past.exists() else None
+        if due:
+            late = waiting[len(due) :]
+            self.waiting.put(late) if late else self.waiting.clear()
+            last = past[-1] if past else None
+            begun = 0
+            for i, r in enumerate(due):  # runs of rows without a rest of the idle time between them
+                if last is not None and _ms(r[0]) - last > self.idle_ms:
+                    if i > begun:
+                        yield self.step(key, past, due[begun:i])[0]
+                    past, begun = None, i
+                last = max(_ms(r[0]), last or 0)
+            made, kept = self.step(key, past, due[begun:])
+            self.past.update((*kept, last))
+            self.handle.registerTimer(last + self.idle_ms)
+            yield made
+        elif past and not waiting and past[-1] + self.idle_ms <= now:
+            self.past.clear()
+
+    def step(self, key, past: tuple | None, due: list[tuple]) -> tuple[pd.DataFrame, tuple]:
+        """The output of rows that are due, and what is kept."""
+        raise NotImplementedError
+
+
+def _ms(t) -> int:
+    """Whole milliseconds since the epoch, in which the watermark counts, of a time without a zone in UTC or with one."""
+    t = pd.Timestamp(t)
+    return (t.tz_convert("UTC").tz_localize(None) if t.tz else t).value // 1_000_000
+
+
+class _Changes(_InOrder):
+    """Rows that are a key's first or whose status differs from the one before."""
+
+    keeps = "status string"
+
+    def step(self, key, past, due):
+        known, last, out = past is not None, past[0] if past else None, []
+        for ts, seq, status, _ in due:
+            if not known or status != last:
+                out.append((key[0], seq, pd.Timestamp(ts), last, status))
+            known, last = True, status
+        return pd.DataFrame(out, columns=["id", "seq", "ts", "old_status", "status"]), (last,)
+
 
+class _First(_InOrder):
+    """The update that gives a key its first point; an insert with a point counts as indexed without a word."""
 
-def status_changes(events: DataFrame) -> DataFrame:
-    """(id, seq, ts, old_status, status) of (id, seq, ts, status), by state for each id."""
-    schema = "id long, seq long, ts timestamp, old_status string, status string"
-    return events.groupBy("id").applyInPandasWithState(_changes, schema, "status string", "append", GroupStateTimeout.NoTimeout)
+    keeps = "done boolean"
+
+    def step(self, key, past, due):
+        seen, done, out = past is not None, bool(past and past[0]), []
+        for ts, seq, _, point in due:
+            if point is not None and not done:
+                done = True
+                if seen:
+                    out.append((key[0], seq, pd.Timestamp(ts), point))
+            seen = True
+        return pd.DataFrame(out, columns=["id", "seq", "ts", "point_id"]), (done,)
+
+
+class _Newest(_InOrder):
+    """Every change of a key's newest row."""
+
+    keeps = "status string"
+
+    def step(self, key, past, due):
+        ts, seq, status, _ = due[-1]
+        return pd.DataFrame([(key[0], pd.Timestamp(ts), seq, status)], columns=["id", "ts", "seq", "status"]), (status,)
+
+
+def _keyed(events: DataFrame, processor: type[_InOrder], schema: str, mode: str, lateness: str, idle_days: float) -> DataFrame:
+    columns = [c for c in ("id", "ts", "seq", "status", "point_id") if c in events.columns]
+    rows = events.select(*columns).withWatermark("ts", lateness)
+    return rows.groupBy("id").transformWithStateInPandas(processor(int(idle_days * 86_400_000)), schema, mode, "EventTime")
+
+
+def status_changes(events: DataFrame, lateness: str = "0 seconds", idle_days: float = 365) -> DataFrame:
+    """(id, seq, ts, old_status, status) of (id, seq, ts, status): first rows and changes of status, in the order of event
+    time for rows at most so late. State of an id that rests for the idle days goes."""
+    return _keyed(events, _Changes, "id long, seq long, ts timestamp, old_status string, status string", "append", lateness, idle_days)
 
 
 def status_changes_batch(events: DataFrame) -> DataFrame:
@@ -57,19 +163,8 @@ def status_changes_batch(events: DataFrame) -> DataFrame:
     return events.select("id", "seq", "ts", old.alias("old_status"), "status", first.alias("__first")).where(F.col("__first") | ~F.col("status").eqNullSafe(F.col("old_status"))).drop("__first")
 
 
-def _first_indexed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The update that gives a file its first point; an insert with a point counts as indexed without a word."""
-    seen, done = state.get if state.exists else (False, False)
-    rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-    has = rows["point_id"].notna().to_numpy()
-    first = int(has.argmax())
-    state.update((True, bool(done or has.any())))
-    news = rows.iloc[first : first + 1] if not done and has.any() and (seen or first) else rows.iloc[:0]
-    yield pd.DataFrame({"id": key[0], "seq": news["seq"], "ts": news["ts"], "point_id": news["point_id"].astype("int64")})
-
-
-def first_indexed(events: DataFrame) -> DataFrame:
-    return events.groupBy("id").applyInPandasWithState(_first_indexed, "id long, seq long, ts timestamp, point_id long", "seen boolean, done boolean", "append", GroupStateTimeout.NoTimeout)
+def first_indexed(events: DataFrame, lateness: str = "0 seconds", idle_days: float = 365) -> DataFrame:
+    return _keyed(events, _First, "id long, seq long, ts timestamp, point_id long", "append", lateness, idle_days)
 
 
 def first_indexed_batch(events: DataFrame) -> DataFrame:
@@ -100,19 +195,9 @@ def fan_out_to(paths: dict[str, str]) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def _newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    ts, seq, status = state.get if state.exists else (None, None, None)
-    for frame in frames:
-        r = frame.sort_values(["ts", "seq"]).iloc[-1]
-        if ts is None or (r.ts, r.seq) > (pd.Timestamp(ts), seq):
-            ts, seq, status = r.ts, int(r.seq), r.status
-    state.update((ts, seq, status))
-    yield pd.DataFrame([{"id": key[0], "ts": ts, "seq": seq, "status": status}])
-
-
-def latest_status(events: DataFrame) -> DataFrame:
+def latest_status(events: DataFrame, lateness: str = "0 seconds", idle_days: float = 365) -> DataFrame:
     """Update-mode stream of each id's newest row; count by status over its sink for a snapshot."""
-    return events.groupBy("id").applyInPandasWithState(_newest, "id long, ts timestamp, seq long, status string", "ts timestamp, seq long, status string", "update", GroupStateTimeout.NoTimeout)
+    return _keyed(events, _Newest, "id long, ts timestamp, seq long, status string", "update", lateness, idle_days)
 
 
 def ingest_stream(found: DataFrame, decide: Callable[[DataFrame], DataFrame], apply: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -125,6 +210,25 @@ def ingest_stream(found: DataFrame, decide: Callable[[DataFrame], DataFrame], ap
     run_to_end(found, "", checkpoint, each=each)
 
 
+@F.pandas_udf(StringType())
+def file_digest(paths: pd.Series, kinds: pd.Series) -> pd.Series:
+    """SHA-256 of files that the executors see: all bytes of an image, the first 8192 of a video; null where a file cannot
+    be read."""
+    out = []
+    for path, kind in zip(paths, kinds, strict=True):
+        digest = hashlib.sha256()
+        try:
+            with open(path, "rb") as f:
+                while block := f.read(8192):
+                    digest.update(block)
+                    if kind == "video":
+                        break
+            out.append(digest.hexdigest())
+        except (OSError, TypeError):
+            out.append(None)
+    return pd.Series(out, dtype=object)
+
+
 def ingest_contents(found: DataFrame, path: str, checkpoint: str, key: str = "file_path", content: str = "file_hash") -> DataFrame:
     """(key, content, action) of all files so far: inserted for the least key of a content that no earlier batch holds,
     duplicate_copy for the rest. path is a log of decisions with a folder for each micro-batch; a batch is decided
@@ -149,10 +253,18 @@ def ingest_contents(found: DataFrame, path: str, checkpoint: str, key: str = "fi
         return spark.createDataFrame([], log).drop("batch")
 
 
+#: The width of a quantile sketch: windows of up to as many rows are exact, larger ones within about 1.5 / width in rank.
+SKETCH = 4_096
+
+
 def tumbling_requests(log: DataFrame, minutes: int = 10, lateness: str = "1 hour") -> DataFrame:
+    """(window_start, endpoint, requests, rate, errors, p95_ms): requests a second, and the least duration that 95 in 100
+    do not exceed, from a sketch that merges."""
     rows = log.withWatermark("ts", lateness) if log.isStreaming else log
-    made = rows.groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "endpoint").agg(F.count("*").alias("requests"), F.count_if(F.col("response_status") >= 400).alias("errors"), F.percentile_approx("response_ms", 0.95, 10_000).alias("p95_ms"))
-    return made.select(F.col("w.start").alias("window_start"), "endpoint", "requests", "errors", "p95_ms")
+    sketch = F.kll_sketch_agg_bigint(F.col("response_ms").cast("long"), F.lit(SKETCH))
+    made = rows.groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "endpoint").agg(F.count("*").alias("requests"), F.count_if(F.col("response_status") >= 400).alias("errors"), F.count("response_ms").alias("timed"), sketch.alias("sketch"))
+    p95 = F.when(F.col("timed") > 0, F.kll_sketch_get_quantile_bigint("sketch", F.lit(0.95)))
+    return made.select(F.col("w.start").alias("window_start"), "endpoint", "requests", F.round(F.col("requests") / F.lit(60.0 * minutes), 6).alias("rate"), "errors", p95.alias("p95_ms"))
 
 
 def limit_breaches(log: DataFrame, limits: dict[str, int], minutes: int = 1, slide: int | None = None, lateness: str = "10 minutes") -> DataFrame:
