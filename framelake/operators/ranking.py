@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+from .quantiles import beside
+
 
 def gap_sessions(df: DataFrame, ts: str, minutes: int = 10, by: list[str] | None = None) -> DataFrame:
     """(by, start, end, n, minutes): a session ends where the next time is more than the gap away; an exact gap joins.
@@ -86,14 +89,36 @@ def best_rendition(files: DataFrame, qualities: tuple[str, ...] = ("hd", "sd", "
     return fit.withColumn("__n", F.row_number().over(Window.partitionBy("item").orderBy("__q", F.desc("width"), "key"))).where("__n = 1").drop("__n", "__q")
 
 
+def _first_share(rows: DataFrame, label: str, bucket: Column, order: list[Column], share: float, whole: bool) -> DataFrame:
+    """Adds part: the first floor(share * n) rows of each class in the order, which goes by bucket first, are train, the
+    rest test; with whole, a class that would be cut to nothing on either side is train altogether. Counts by class and
+    bucket find the bucket with the cut, and only the rows of that one are numbered."""
+    placed = rows.withColumn("__bucket", bucket)
+    counts = settled(placed.groupBy(F.col(label).alias("__class"), "__bucket").agg(F.count("*").alias("__n")))
+    along = Window.partitionBy("__class").orderBy(F.asc_nulls_first("__bucket"))  # one row for each bucket
+    upto = counts.withColumn("__upto", F.sum("__n").over(along)).withColumn("__all", F.sum("__n").over(Window.partitionBy("__class")))
+    cut = F.floor(F.col("__all") * F.lit(share))
+    train = F.when((cut == 0) | (cut == F.col("__all")), F.col("__all")).otherwise(cut) if whole else cut
+    # The bucket in which the last row of train stands, and how many of its rows are train.
+    marked = upto.withColumn("__train", train)
+    last = marked.where("__train > 0 and __upto >= __train and __upto - __n < __train")
+    facts = marked.select("__class").distinct().join(
+        last.select(F.col("__class").alias("__of"), F.struct("__bucket").alias("__last"), (F.col("__train") - F.col("__upto") + F.col("__n")).alias("__take")), F.col("__class").eqNullSafe(F.col("__of")), "left"
+    ).drop("__of").withColumnRenamed("__class", label)
+    with_facts = beside(placed, settled(facts), [label])
+    bucket_, edge = F.col("__bucket"), F.col("__last.__bucket")
+    inside = F.col("__last").isNotNull() & bucket_.eqNullSafe(edge)
+    before = F.coalesce(F.when(F.col("__last").isNull(), F.lit(False)).when(edge.isNull(), F.lit(False)).when(bucket_.isNull(), F.lit(True)).otherwise(bucket_ < edge), F.lit(False))
+    cut_rows = with_facts.where(inside).withColumn("__i", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
+    part = lambda hit: F.when(hit, "train").otherwise("test")
+    columns = rows.columns
+    return cut_rows.select(*columns, part(F.col("__i") <= F.col("__take")).alias("part")).unionByName(with_facts.where(~inside).select(*columns, part(before).alias("part")))
+
+
 def temporal_holdout(rows: DataFrame, label: str, ts: str, key: str, share: float = 0.8) -> DataFrame:
     """Adds part: the earliest share of each class is train, the rest test; a class that would be cut to nothing on
-    either side is train as a whole."""
-    by = Window.partitionBy(label)
-    cut = F.floor(F.count("*").over(by) * share)
-    n = F.row_number().over(by.orderBy(ts, key))
-    whole = (cut == 0) | (cut == F.count("*").over(by))
-    return rows.withColumn("part", F.when(whole | (n <= cut), "train").otherwise("test"))
+    either side is train as a whole. Hours of ts are the buckets in which classes are cut."""
+    return _first_share(rows, label, F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / 3600), [F.col(ts), F.col(key)], share, True)
 
 
 def boundary_holdout(rows: DataFrame, ends: list[str], ts: str, days: int = 14) -> DataFrame:
@@ -119,10 +144,9 @@ def with_fallback(split: DataFrame, fallback: DataFrame, label: str, least: int
 
 
 def stratified_holdout(rows: DataFrame, label: str, key: str, share: float = 0.8) -> DataFrame:
-    """Adds part by a hash order inside each class; repeatable."""
-    by = Window.partitionBy(label)
-    n = F.row_number().over(by.orderBy(F.md5(F.col(key).cast("string")), key))
-    return rows.withColumn("part", F.when(n <= F.floor(F.count("*").over(by) * share), "train").otherwise("test"))
+    """Adds part by a hash order inside each class; repeatable. The hash's first four digits are the buckets."""
+    digest = F.md5(F.col(key).cast("string"))
+    return _first_share(rows, label, F.substring(digest, 1, 4), [digest, F.col(key)], share, False)
 
 
 def drop_small_classes(rows: DataFrame, label: str, least: int = 5) -> DataFrame:

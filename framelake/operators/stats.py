@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 STATUSES = ("pending", "processing", "done", "error")
 
 
@@ -50,11 +52,19 @@ def timing(df: DataFrame, since: Column | None = None, by: list[str] | None = No
     rows = df.where("status = 'done' AND embedding_ms IS NOT NULL")
     if since is not None:
         rows = rows.where(F.col("processed_at") >= since)
+    own = by or []
     sec = F.col("embedding_ms") / 1000.0
     value = lambda c: F.nullif(F.round(c, digits), F.lit(0.0))
-    return rows.groupBy(*(by or [])).agg(
-        F.count("*").alias("total"), value(F.avg(sec)).alias("avg_sec"), value(F.percentile(sec, 0.5)).alias("median_sec"), value(F.percentile(sec, 0.95)).alias("p95_sec"), value(F.min(sec)).alias("min_sec"), value(F.max(sec)).alias("max_sec")
-    )
+    made = rows.groupBy(*own).agg(F.count("*").alias("total"), value(F.avg(sec)).alias("avg_sec"), value(F.min(sec)).alias("min_sec"), value(F.max(sec)).alias("max_sec"))
+    exact = quantiles(rows, own, sec, median_sec=0.5, p95_sec=0.95)
+    return _with(made, exact, own).select(*own, "total", "avg_sec", value(F.col("median_sec")).alias("median_sec"), value(F.col("p95_sec")).alias("p95_sec"), "min_sec", "max_sec")
+
+
+def _with(made: DataFrame, more: DataFrame, by: list[str]) -> DataFrame:
+    """made with the columns of more for the same group, null where that has none."""
+    names = {c: f"__more_{i}" for i, c in enumerate(by)}
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()] or [F.lit(True)]  # without groups: one row each
+    return made.join(more.withColumnsRenamed(names), same, "left").drop(*names.values())
 
 
 def worker_load(df: DataFrame, since: Column) -> DataFrame:
@@ -140,11 +150,13 @@ def histogram_quantile(hist: DataFrame, by: list[str], q: float) -> DataFrame:
 
 def request_metrics(log: DataFrame, minutes: int, by: str = "endpoint") -> DataFrame:
     """Requests a second, share of errors (400 and up), median and p95 by endpoint and tumbling window."""
-    rows = log.groupBy(F.window("ts", f"{minutes} minutes").alias("w"), by).agg(
-        F.count("*").alias("requests"), F.round(F.count("*") / F.lit(60.0 * minutes), 6).alias("rate"), F.round(F.avg((F.col("response_status") >= 400).cast("double")), 6).alias("error_rate"),
-        F.round(F.percentile("response_ms", 0.5), 3).alias("p50_ms"), F.round(F.percentile("response_ms", 0.95), 3).alias("p95_ms"),
-    )
-    return rows.select(F.col("w.start").alias("window_start"), by, "requests", "rate", "error_rate", "p50_ms", "p95_ms")
+    rows = log.select(F.window("ts", f"{minutes} minutes")["start"].alias("window_start"), by, "response_status", "response_ms")
+    key = ["window_start", by]
+    made = rows.groupBy(*key).agg(
+        F.count("*").alias("requests"), F.round(F.count("*") / F.lit(60.0 * minutes), 6).alias("rate"), F.round(F.avg((F.col("response_status") >= 400).cast("double")), 6).alias("error_rate")
+    )
+    exact = quantiles(rows, key, F.col("response_ms"), p50_ms=0.5, p95_ms=0.95)
+    return _with(made, exact, key).select(*key, "requests", "rate", "error_rate", F.round("p50_ms", 3).alias("p50_ms"), F.round("p95_ms", 3).alias("p95_ms"))
 
 
 def retrieval_metrics(queries: DataFrame, hits: DataFrame, threshold: float) -> DataFrame:
@@ -161,9 +173,14 @@ def retrieval_metrics(queries: DataFrame, hits: DataFrame, threshold: float) ->
     return queries.select("query_id").join(made, "query_id", "left").select("query_id", zero("n"), *[real(c) for c in ("mean", "std", "low", "high", "snr", "separation")], *[zero(c) for c in ("exact", "strong", "fair", "weak")])
 
 
-def retrieval_gates(metrics: DataFrame) -> DataFrame:
-    """Averages over queries and whether the gates hold: signal to noise 2, separation 0.05, half of the queries with hits."""
-    made = metrics.agg(F.count("*").alias("queries"), F.round(F.avg("snr"), 6).alias("snr"), F.round(F.avg("separation"), 6).alias("separation"), F.round(F.avg((F.col("n") > 0).cast("double")), 6).alias("hit_rate"))
+def retrieval_gates(metrics: DataFrame, consistency: DataFrame | None = None) -> DataFrame:
+    """Averages over queries and whether the gates hold: signal to noise 2, separation 0.05, half of the queries with hits.
+    With consistency (query_id, mean, std) of paraphrases also its averages, over the queries that have any; no gate."""
+    if consistency is not None:
+        more = consistency.select("query_id", F.col("mean").alias("__c"), F.col("std").alias("__s"))
+        metrics = metrics.join(more, "query_id", "left")
+    extra = [F.round(F.avg("__c"), 6).alias("consistency"), F.round(F.avg("__s"), 6).alias("consistency_std")] if consistency is not None else []
+    made = metrics.agg(*extra, F.count("*").alias("queries"), F.round(F.avg("snr"), 6).alias("snr"), F.round(F.avg("separation"), 6).alias("separation"), F.round(F.avg((F.col("n") > 0).cast("double")), 6).alias("hit_rate"))
     return made.withColumn("passed", (F.col("snr") >= 2.0) & (F.col("separation") >= 0.05) & (F.col("hit_rate") >= 0.5))
 
 
