@@ -97,6 +97,11 @@ def needs_vision(n_results: Column) -> Column:
     return F.when(n_results < 3, "vision").otherwise("aggregate")
 
 
+def vision_inputs(results: Column, most: int = 3) -> Column:
+    """Of an array of results (with file_type) in their order the images, the first three at most."""
+    return F.slice(F.filter(results, lambda r: r["file_type"] == "image"), 1, most)
+
+
 #: Labels of audio events and their segment type.
 EVENT_TYPES = {
     "Speech": "speech", "Male speech, man speaking": "speech", "Female speech, woman speaking": "speech", "Child speech, kid speaking": "speech",
@@ -120,10 +125,14 @@ def word_count(transcript: Column) -> Column:
     return F.when(clean == "", 0).otherwise(F.size(F.split(clean, r"\s+")))
 
 
-def segment_typing(transcript: Column, top: Column, labels: Column, threshold: int = 4) -> Column:
-    """Struct of n_words, segment_type and the transcript, which only speech keeps."""
+def segment_typing(transcript: Column, top: Column, labels: Column, threshold: int = 4, rms: Column | None = None) -> Column:
+    """Struct of n_words, segment_type, the transcript, which only speech keeps, and has_speech: enough words, or an energy
+    above 0.01."""
     n = word_count(transcript)
-    return F.struct(n.alias("n_words"), F.when(n >= threshold, F.lit("speech")).otherwise(segment_type_of(top, labels)).alias("segment_type"), F.when(n >= threshold, transcript).alias("transcript"))
+    said = F.coalesce(n >= threshold, F.lit(False))
+    loud = F.coalesce(rms > 0.01, F.lit(False)) if rms is not None else F.lit(False)
+    kind = F.when(said, F.lit("speech")).otherwise(segment_type_of(top, labels))
+    return F.struct(n.alias("n_words"), kind.alias("segment_type"), F.when(said, transcript).alias("transcript"), (said | loud).alias("has_speech"))
 
 
 def activity(rate: Column) -> Column:
@@ -184,6 +193,11 @@ def frame_seconds(index: Column, fps: float = 0.5) -> Column:
     return index / F.lit(fps)
 
 
+def valid_index(index: Column, frame_count: Column) -> Column:
+    """Whether a video of so many frames has that one."""
+    return F.coalesce((index >= 0) & (index < frame_count), F.lit(False))
+
+
 def half_even(c: Column, digits: int) -> Column:
     return F.bround(c, digits)
 

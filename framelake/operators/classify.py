@@ -33,6 +33,15 @@ def train(rows: DataFrame, label: str = "label", vector: str = "vector", tags: s
     return Pipeline(stages=stages).fit(data)
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """The fitted pipeline with its labels, in place of what the folder held."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def predict(model: PipelineModel, rows: DataFrame, vector: str = "vector", review_below: float = 0.85) -> DataFrame:
     """rows with predicted, confidence and needs_review."""
     data = rows.withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))

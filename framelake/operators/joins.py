@@ -11,30 +11,36 @@ def segment_for_frame(frames: DataFrame, segments: DataFrame, id_col: str = "id"
     whose middle is nearest. Of several the one with the least index. Null for files without segments and for images.
 
     Time falls into buckets of width seconds, and file and bucket are the join keys, so no file's segments meet in one
-    row or task. In a gap a frame compares the middles in its own bucket with the last one of earlier buckets and the
-    first one of later ones; those are carried along each file's buckets, of which there is one row each.
+    row or task. A bucket's rows are the segments that it meets, the middles that lie in it, and one that carries the last
+    middle of earlier buckets and the first one of later ones along the file. So frames are shuffled once, meet these rows
+    in one join, and are summed up where the join has put them.
     """
     bucket = lambda c: F.floor(c / width).cast("long")
     asked = frames.select(id_col, "file_path", "ts", bucket(F.col("ts")).alias("__b"))
     timed = asked.where("ts IS NOT NULL")
-    covered = segments.where("end_sec >= start_sec").select("file_path", "segment_index", "start_sec", "end_sec", F.explode(F.sequence(bucket(F.col("start_sec")), bucket(F.col("end_sec")))).alias("__b"))
-    inside = timed.join(covered, ["file_path", "__b"]).where("start_sec <= ts AND ts <= end_sec").groupBy(id_col).agg(F.min("segment_index").alias("__inside"))
-    rest = timed.join(inside.select(id_col), id_col, "left_anti")
-
     middle = (F.col("start_sec") + F.col("end_sec")) / 2
-    mids = segments.select("file_path", F.col("segment_index").alias("i"), middle.alias("mid"), bucket(middle).alias("__b"))
-    ends = mids.groupBy("file_path", "__b").agg(F.min(F.struct("mid", "i")).alias("low"), F.max(F.struct(F.col("mid").alias("mid"), (-F.col("i")).alias("i"))).alias("high"))
-    grid = rest.select("file_path", "__b").distinct().join(ends, ["file_path", "__b"], "full")
+    one = segments.select("file_path", F.col("segment_index").alias("i"), "start_sec", "end_sec", middle.alias("mid"), bucket(middle).alias("__b"))
+    covered = F.when(F.col("end_sec") >= F.col("start_sec"), F.sequence(bucket(F.col("start_sec")), bucket(F.col("end_sec"))))
+    met = F.explode(F.array_distinct(F.concat(F.coalesce(covered, F.array().cast("array<bigint>")), F.array("__b"))))
+    none = F.lit(None).cast("double")
+    near = one.select("file_path", met.alias("__b"), "i", "start_sec", "end_sec", "mid")
+
+    ends = one.groupBy("file_path", "__b").agg(F.min(F.struct("mid", "i")).alias("low"), F.max(F.struct(F.col("mid").alias("mid"), (-F.col("i")).alias("i"))).alias("high"))
+    grid = timed.select("file_path", "__b").distinct().join(ends, ["file_path", "__b"], "full")
     along = Window.partitionBy("file_path").orderBy("__b")
-    carried = grid.select(
-        "file_path", "__b", F.last("high", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.first("low", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
-    )
-    off = lambda mid, i: F.when(mid.isNotNull(), F.struct(F.abs(F.col("ts") - mid).alias("d"), i.alias("i")))
-    own = rest.join(mids, ["file_path", "__b"]).groupBy(id_col).agg(F.min(off(F.col("mid"), F.col("i"))).alias("__own"))
-    far = rest.join(carried, ["file_path", "__b"]).select(id_col, off(F.col("before.mid"), -F.col("before.i")).alias("__before"), off(F.col("after.mid"), F.col("after.i")).alias("__after"))
-    near = far.join(own, id_col, "left").select(id_col, F.array_min(F.filter(F.array("__own", "__before", "__after"), lambda x: x.isNotNull()))["i"].alias("__near"))
-    return asked.select(id_col).join(inside, id_col, "left").join(near, id_col, "left").select(id_col, F.coalesce("__inside", "__near").alias("segment_index"))
+    before = F.last("high", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before")
+    after = F.first("low", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("after")
+    carried = grid.select("file_path", "__b", before, after).select(
+        "file_path", "__b", F.explode(F.array(F.struct((-F.col("before.i")).alias("i"), F.col("before.mid").alias("mid")), F.struct(F.col("after.i").alias("i"), F.col("after.mid").alias("mid")))).alias("x")
+    )
+    far = carried.where("x.mid IS NOT NULL").select("file_path", "__b", "x.i", none.alias("start_sec"), none.alias("end_sec"), "x.mid")
+
+    pairs = timed.join(near.unionByName(far), ["file_path", "__b"], "left")
+    inside = F.min(F.when((F.col("start_sec") <= F.col("ts")) & (F.col("ts") <= F.col("end_sec")), F.col("i")))
+    nearest = F.min(F.when(F.col("mid").isNotNull(), F.struct(F.abs(F.col("ts") - F.col("mid")).alias("d"), "i")))
+    found = pairs.groupBy("file_path", "__b", id_col).agg(F.coalesce(inside, nearest["i"]).alias("segment_index")).select(id_col, "segment_index")
+    kind = found.schema["segment_index"].dataType
+    return found.unionByName(asked.where("ts IS NULL").select(id_col, F.lit(None).cast(kind).alias("segment_index")))
 
 
 def window_readings(points: DataFrame, readings: DataFrame, seconds: int = 30, by: str = "source", digits: tuple[int, int] = (1, 3)) -> DataFrame:

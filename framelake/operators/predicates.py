@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import any_of, extension, months_of, year_of
@@ -65,23 +65,22 @@ def temporal_search(files: DataFrame, questions: DataFrame, limit: int = 20, mon
     """Finished files of the year that each question names, newest first, at most limit for each.
 
     months: "ignored" takes a question that names only a month as one about all years; "applied" filters by month too.
+    Files are ranked once for every year, every month of any year and so on (0 stands for any), and a question meets the
+    newest of those that it asks for by equal keys.
     """
-    from pyspark.sql import Window
-
-    asked = questions.select("question_id", year_of(F.col("question")).alias("year"), months_of(F.col("question")).alias("months")).where("year is not null or months is not null")
-    done = files.where("status = 'done'").select("id", "file_path", "created_at", F.year("created_at").alias("file_year"), F.month("created_at").alias("file_month"))
-    # Few years and months occur, so files are ranked within them once; each question then takes limit rows of each.
-    top = lambda by: done.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("created_at"), "id"))).where(F.col("__n") <= limit).drop("__n")
-    if months == "applied":
-        pool = top(["file_year", "file_month"])
-        fits = (F.col("year").isNull() | (F.col("year") == F.col("file_year"))) & (F.col("months").isNull() | F.array_contains("months", F.col("file_month")))
-    else:
-        pool = top(["file_year"])
-        fits = F.col("year").isNull() | (F.col("year") == F.col("file_year"))
-    # pool holds limit rows for each year (and month) that occurs: a few thousand at most.
-    hits = asked.join(F.broadcast(pool), fits)
+    year, names = year_of(F.col("question")), months_of(F.col("question"))
+    asked = questions.select("question_id", year.alias("year"), names.alias("months")).where("year is not null or months is not null")
+    every = F.array(F.lit(0))
+    named = F.coalesce(F.col("months").cast("array<int>"), every) if months == "applied" else every
+    asked = asked.select("question_id", F.coalesce(F.col("year").cast("int"), F.lit(0)).alias("__y"), F.explode(F.array_distinct(named)).alias("__m"))
+    done = files.where("status = 'done'").select("id", "file_path", "created_at")
+    kinds = F.array(F.year("created_at"), F.lit(0)), F.array(F.month("created_at"), F.lit(0)) if months == "applied" else every
+    keyed = done.select("*", F.explode(kinds[0]).alias("__y")).select("*", F.explode(kinds[1]).alias("__m"))
+    newest = Window.partitionBy("__y", "__m").orderBy(F.desc("created_at"), "id")
+    pool = keyed.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= limit).drop("__n")  # limit rows of each key, pruned in every task
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("created_at"), "id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= limit).select("question_id", "rank", "id", "file_path", "created_at")
+    hits = asked.join(pool, ["__y", "__m"]).withColumn("rank", rank).where(F.col("rank") <= limit)
+    return hits.select("question_id", "rank", "id", "file_path", "created_at")
 
 
 def clean_files(df: DataFrame) -> DataFrame:

@@ -172,11 +172,6 @@ def i09(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", S.audio_filters(F.col("text")).alias("f")).select("conv_id", "turn", "f.*")
 
 
-@query("i10_route", "SELECT file_path, count(*) AS n, CASE WHEN count(*) < 3 THEN 'vision' ELSE 'aggregate' END AS route FROM frames WHERE class_id = 1 GROUP BY 1", "frames")
-def i10(spark, sf_dir):
-    return frames(spark, sf_dir).where("class_id = 1").groupBy("file_path").agg(F.count("*").alias("n")).withColumn("route", S.needs_vision(F.col("n")))
-
-
 @query("i11_label_type", "SELECT id, CASE audio_event_top WHEN 'Speech' THEN 'speech' WHEN 'Music' THEN 'music' ELSE CASE WHEN class_id % 2 = 0 THEN 'event' ELSE 'non_verbal' END END AS segment_type FROM frames", "frames")
 def i11(spark, sf_dir):
     others = F.when(F.col("class_id") % 2 == 0, F.array(F.lit("Unknown"), F.lit("Siren"))).otherwise(F.array(F.lit("Unknown")))
@@ -185,11 +180,14 @@ def i11(spark, sf_dir):
 
 @query(
     "i12_segment_typing",
-    """SELECT doc_id, cast(CASE WHEN t = '' THEN 0 ELSE len(string_split_regex(t, '\\s+')) END AS int) AS n_words, CASE WHEN t <> '' AND len(string_split_regex(t, '\\s+')) >= 4 THEN 'speech' ELSE 'music' END AS segment_type FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)""",
+    """SELECT doc_id, n_words, CASE WHEN n_words >= 4 THEN 'speech' ELSE 'music' END AS segment_type, n_words >= 4 OR rms > 0.01 AS has_speech FROM (
+      SELECT doc_id, rms, cast(CASE WHEN t = '' THEN 0 ELSE len(string_split_regex(t, '\\s+')) END AS int) AS n_words FROM (
+        SELECT doc_id, (doc_id * 37 % 1000) / 50000.0::double AS rms, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents))""",
 )
 def i12(spark, sf_dir):
-    made = S.segment_typing(F.col("text"), F.lit("Music"), F.array().cast("array<string>"))
-    return read(spark, sf_dir, "documents").select("doc_id", made.alias("s")).select("doc_id", "s.n_words", "s.segment_type")
+    rms = F.pmod(F.col("doc_id") * 37, F.lit(1000)) / F.lit(50000.0)
+    made = S.segment_typing(F.col("text"), F.lit("Music"), F.array().cast("array<string>"), rms=rms)
+    return read(spark, sf_dir, "documents").select("doc_id", made.alias("s")).select("doc_id", "s.n_words", "s.segment_type", "s.has_speech")
 
 
 @query("i13_activity", "SELECT event_id, CASE WHEN value >= 40 AND value < 70 THEN 'rest' WHEN value >= 70 AND value < 100 THEN 'light' WHEN value >= 100 AND value < 140 THEN 'moderate' ELSE 'vigorous' END AS activity, round(least(1.0, abs(value - 75) / 60.0::double), 6) AS stress FROM events")
@@ -243,9 +241,17 @@ def i21(spark, sf_dir):
     return per.crossJoin(F.broadcast(top)).select("file_path", hot[0].alias("c1"), hot[1].alias("c2"), F.round(F.col("n") / F.col("top"), 6).alias("share"))
 
 
-@query("i22_frame_seconds", "SELECT id, frame_index / 0.5::double AS sec FROM frames WHERE frame_index < 8", "frames")
+@query(
+    "i22_frame_seconds",
+    "SELECT id, frame_index / 0.5::double AS sec, frame_index < n AS valid FROM frames JOIN (SELECT file_path, count(*) - max(file_id) % 3 AS n FROM frames GROUP BY 1) USING (file_path) WHERE frame_index IS NOT NULL",
+    "frames",
+)
 def i22(spark, sf_dir):
-    return frames(spark, sf_dir).where("frame_index < 8").select("id", S.frame_seconds(F.col("frame_index")).alias("sec"))
+    """Seconds of every video frame, and whether its file still has that many frames."""
+    f = frames(spark, sf_dir)
+    counts = f.groupBy("file_path").agg((F.count("*") - F.max("file_id") % 3).alias("n"))
+    rows = f.where("frame_index IS NOT NULL").select("id", "file_path", "frame_index").join(counts, "file_path")
+    return rows.select("id", S.frame_seconds(F.col("frame_index")).alias("sec"), S.valid_index(F.col("frame_index"), F.col("n")).alias("valid"))
 
 
 @query("i23_caption_pairs", "SELECT id, caption, cast(('0x' || substr(md5(cast(id AS varchar)), 1, 4)) AS bigint) % 5 > 0 AS train FROM frames WHERE length(caption) >= 10 AND file_path <> ''", "frames")

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import enrich as K
 from ..operators import joins as J
+from ..sources.shared import scratch, settled
 from ..sources.stores import upsert, write_report
 from ..sources.tables import frames, media_files, query_vectors, read, segments
 from .catalog import query
 from .filter_queries import _as_of
-from .search_queries import _HITS, hits
-from .stream_queries import scratch
+from .search_queries import _HITS, PARAPHRASES_SQL, hits, paraphrases
 
 _AT = "TIMESTAMP '2024-01-31 00:00:00'"
 _SEG = """(SELECT s.segment_index FROM segments s WHERE s.file_path = f.file_path AND f.ts IS NOT NULL ORDER BY CASE WHEN f.ts BETWEEN s.start_sec AND s.end_sec THEN 0 ELSE 1 END,
@@ -116,19 +116,9 @@ def h01(spark, sf_dir):
     return J.paraphrase_jaccard(sets("rank <= 10"), sets("rank > 5 AND rank <= 20")).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query(
-    "h02_paraphrase_consistency",
-    f"WITH {_HITS}, v AS (SELECT query_id, k, list(id) AS y FROM hits CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) WHERE id % 4 <> k AND rank <= 10 GROUP BY 1, 2), a AS (SELECT query_id, list(id) AS x FROM hits WHERE rank <= 10 GROUP BY 1), j AS (SELECT query_id, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS jac FROM a JOIN v USING (query_id)) SELECT q.query_id, round(avg(jac), 6) AS mean, round(stddev_pop(jac), 6) AS std FROM queries q LEFT JOIN j USING (query_id) GROUP BY 1",
-    "frames queries",
-)
+@query("h02_paraphrase_consistency", f"WITH {_HITS}, c AS ({PARAPHRASES_SQL}) SELECT * FROM c", "frames queries")
 def h02(spark, sf_dir):
-    h = hits(spark, sf_dir).where("rank <= 10")
-    variants = h.select("query_id", "id", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("k")).where("id % 4 <> k")
-    own = h.groupBy("query_id").agg(F.collect_set("id").alias("ids"))
-    each = variants.groupBy("query_id", "k").agg(F.collect_set("id").alias("ids"))
-    scored = J.paraphrase_jaccard(own, each)
-    means = scored.groupBy("query_id").agg(F.round(F.avg("jaccard"), 6).alias("mean"), F.round(F.stddev_pop("jaccard"), 6).alias("std"))
-    return query_vectors(spark, sf_dir).select("query_id").join(means, "query_id", "left")
+    return paraphrases(spark, sf_dir)
 
 
 @query("h03_tagged_union", "SELECT source, count(*) AS n, count(DISTINCT key) AS keys FROM (SELECT 'files' AS source, file_path AS key FROM media_files UNION ALL SELECT 'frames', file_path FROM frames UNION ALL SELECT 'pages', url FROM pages) GROUP BY 1", "media_files frames")
@@ -144,12 +134,12 @@ def h04(spark, sf_dir):
     return f.select("label").distinct().join(f.where("id < 12").select("label").distinct(), "label", "left_anti")
 
 
-_LABELS = "SELECT file_path, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM frames WHERE id % 3 = 0 GROUP BY 1"
+_LABELS = "SELECT file_path, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM frames GROUP BY 1"
 
 
 @query("h05_equal_label_sets", f"SELECT labels, count(*) AS files FROM ({_LABELS}) GROUP BY 1", "frames")
 def h05(spark, sf_dir):
-    sets = frames(spark, sf_dir).where("id % 3 = 0").groupBy("file_path").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    sets = frames(spark, sf_dir).groupBy("file_path").agg(F.array_sort(F.collect_set("label")).alias("labels"))
     return sets.groupBy(F.array_join("labels", ",").alias("labels")).agg(F.count("*").alias("files"))
 
 
@@ -193,9 +183,9 @@ def k04(spark, sf_dir):
     return K.segment_backfill(f, segments(spark, sf_dir))
 
 
-@query("k05_file_feature_backfill", f"SELECT id, CASE WHEN id % 2 = 0 THEN true ELSE file_id % 3 = 1 END AS has_speech, CASE WHEN id % 2 = 0 THEN 1.0 WHEN file_id % 5 = 0 THEN 0.0 ELSE cast(file_id % 7 AS double) END AS energy, CASE WHEN id % 2 <> 0 THEN {_AT} END AS updated_at FROM frames WHERE NOT (file_id % 5 = 0 AND file_id % 3 = 1 AND id % 2 <> 0)", "frames")
+@query("k05_file_feature_backfill", f"SELECT id, CASE WHEN id % 2 = 0 THEN true WHEN file_id % 5 = 0 THEN false ELSE file_id % 3 = 1 END AS has_speech, CASE WHEN id % 2 = 0 THEN 1.0 WHEN file_id % 5 = 0 THEN 0.0 ELSE cast(file_id % 7 AS double) END AS energy, CASE WHEN id % 2 <> 0 THEN {_AT} END AS updated_at FROM frames", "frames")
 def k05(spark, sf_dir):
-    f = frames(spark, sf_dir).where("NOT (file_id % 5 = 0 AND file_id % 3 = 1 AND id % 2 <> 0)")
+    f = frames(spark, sf_dir)
     f = f.select("id", "file_path", "file_id", F.when(F.col("id") % 2 == 0, F.lit(True)).alias("has_speech"), F.when(F.col("id") % 2 == 0, 1.0).alias("energy"), F.lit(None).cast("timestamp").alias("updated_at"))
     features = f.where("file_id % 5 <> 0").groupBy("file_path").agg((F.max("file_id") % 3 == 1).alias("has_speech"), (F.max("file_id") % 7).cast("double").alias("energy"))
     return K.file_feature_backfill(f, features, _as_of()).select("id", "has_speech", "energy", "updated_at")
@@ -218,17 +208,27 @@ def k08(spark, sf_dir):
     return K.default_version(media_files(spark, sf_dir)).select("id", "model_version")
 
 
-@query("k11_step_chain", "SELECT id, CASE WHEN id % 9 = 0 THEN 'no vector' WHEN label = 'c3' THEN 'blocked' END AS error, CASE WHEN id % 9 = 0 OR label = 'c3' THEN NULL ELSE 'ok ' || label END AS answer FROM frames", "frames")
-def k11(spark, sf_dir):
+def _chain(spark, sf_dir):
     mark = lambda cond, text: lambda df: df.withColumn("error", F.when(cond, text))
     steps = [("embed", mark(F.col("id") % 9 == 0, "no vector")), ("guard", mark(F.col("label") == "c3", "blocked")), ("answer", lambda df: df.withColumn("answer", F.concat(F.lit("ok "), "label")))]
+    return K.run_observed_steps(frames(spark, sf_dir).select("id", "label"), steps, settled)
+
+
+@query("k11_step_chain", "SELECT id, CASE WHEN id % 9 = 0 THEN 'no vector' WHEN label = 'c3' THEN 'blocked' END AS error, CASE WHEN id % 9 = 0 OR label = 'c3' THEN NULL ELSE 'ok ' || label END AS answer FROM frames", "frames")
+def k11(spark, sf_dir):
+    return _chain(spark, sf_dir)[0].select("id", "error", "answer")
 
-    def settle(df):
-        path = scratch(spark)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
 
-    return K.run_steps(frames(spark, sf_dir).select("id", "label"), steps, settle=settle)[0].select("id", "error", "answer")
+@query(
+    "k11_step_metrics",
+    """SELECT 'embed' AS step, count(*) AS n_rows, count(*) FILTER (id % 9 = 0) AS failed, true AS timed FROM frames UNION ALL SELECT 'guard', count(*) FILTER (id % 9 <> 0), count(*) FILTER (id % 9 <> 0 AND label = 'c3'), true FROM frames
+      UNION ALL SELECT 'answer', count(*) FILTER (id % 9 <> 0 AND label <> 'c3'), 0, true FROM frames""",
+    "frames",
+)
+def k11_metrics(spark, sf_dir):
+    """Rows and failures of every step as its run told them, and whether it was timed."""
+    told = _chain(spark, sf_dir)[1]
+    return spark.createDataFrame([(t.name, t.rows, t.failed, t.seconds > 0) for t in told], "step string, n_rows long, failed long, timed boolean")
 
 
 @query("f24_detection_rollup", "SELECT l_orderkey, coalesce(array_to_string(list_sort(list_distinct(list(l_returnflag) FILTER (l_discount >= 0.05))), ','), '') AS labels, cast(count(*) FILTER (l_discount >= 0.05) AS int) AS n FROM lineitem GROUP BY 1")

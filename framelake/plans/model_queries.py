@@ -10,6 +10,7 @@ from ..operators import dedup as D
 from ..operators import ranking as G
 from ..operators import stats as A
 from ..operators.predicates import temporal_search
+from ..sources.shared import scratch
 from ..sources.tables import frames, media_files
 from .catalog import query
 from .filter_queries import _A, _ASKED, _MONTHS_SQL, _SEG, _SPEECH, _T, _V, _questions
@@ -30,6 +31,18 @@ def k09(spark, sf_dir):
     return A.classifier_report(tested.select("label", F.col("predicted").alias("prediction")))
 
 
+@query("a15_model_sink", "SELECT count(*) AS n, true AS same FROM frames", "frames")
+def a15_model(spark, sf_dir):
+    """A forest that is saved and loaded says of every frame what it said before."""
+    rows = _split(spark, sf_dir).select("id", "label", "vector")
+    model = M.train(rows, trees=20, depth=6)
+    path = scratch(spark)
+    M.save_model(model, path)
+    before, after = (M.predict(m, rows).select("id", "predicted", F.round("confidence", 9).alias("confidence")) for m in (model, M.load_model(path)))
+    both = before.join(after.withColumnsRenamed({"predicted": "__p", "confidence": "__c"}), "id")
+    return both.agg(F.count("*").alias("n"), (F.count_if((F.col("predicted") != F.col("__p")) | (F.col("confidence") != F.col("__c"))) == 0).alias("same"))
+
+
 def _dated(spark, sf_dir):
     """The split frames under names with a camera's date: every third before the phases, after them, or among them."""
     date = F.when(F.col("id") % 3 == 0, "20250820").when(F.col("id") % 3 == 1, "20251015").otherwise("20270101")

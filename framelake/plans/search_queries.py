@@ -6,9 +6,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import needs_vision, vision_inputs
+from ..operators import cell_index as X
 from ..operators import dedup as D
+from ..operators import drift as V
+from ..operators import joins as J
 from ..operators import search as S
 from ..operators.predicates import scene_window
+from ..sources.shared import scratch
 from ..sources.tables import frames, media_files, query_vectors, read
 from .catalog import query
 
@@ -41,6 +46,23 @@ def hits(spark: SparkSession, sf_dir: str, k: int = K, threshold: float = THRESH
     return S.cosine_topk(f, query_vectors(spark, sf_dir), k, threshold).join(f.drop("vector"), "id")
 
 
+PARAPHRASES_SQL = """WITH v AS (SELECT query_id, k, list(id) AS y FROM hits CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) WHERE id % 4 <> k AND rank <= 10 GROUP BY 1, 2),
+  a AS (SELECT query_id, list(id) AS x FROM hits WHERE rank <= 10 GROUP BY 1),
+  j AS (SELECT query_id, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) AS jac FROM a JOIN v USING (query_id))
+  SELECT q.query_id, round(avg(jac), 6) AS mean, round(stddev_pop(jac), 6) AS std FROM queries q LEFT JOIN j USING (query_id) GROUP BY 1"""
+
+
+def paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, mean, std) of the Jaccard likeness of each query's best ten to those of three variants, which each lack
+    every fourth row; null where there are no rows."""
+    h = hits(spark, sf_dir).where("rank <= 10")
+    variants = h.select("query_id", "id", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("k")).where("id % 4 <> k")
+    own = h.groupBy("query_id").agg(F.collect_set("id").alias("ids"))
+    each = variants.groupBy("query_id", "k").agg(F.collect_set("id").alias("ids"))
+    means = J.paraphrase_jaccard(own, each).groupBy("query_id").agg(F.round(F.avg("jaccard"), 6).alias("mean"), F.round(F.stddev_pop("jaccard"), 6).alias("std"))
+    return query_vectors(spark, sf_dir).select("query_id").join(means, "query_id", "left")
+
+
 @query("c01_cosine_topk", f"WITH {_SCORED}, {_hits_sql(20, 0.3)} SELECT query_id, id, score, rank FROM hits", "frames queries")
 def c01(spark, sf_dir):
     return S.cosine_topk(frames(spark, sf_dir), query_vectors(spark, sf_dir), 20, 0.3)
@@ -98,6 +120,45 @@ def c05_recall(spark, sf_dir):
     return both.agg(F.count("*").alias("wanted"), (F.count("found") >= 0.9 * F.count("*")).alias("reached"))
 
 
+def _indexed(spark: SparkSession, sf_dir: str, k: int, threshold: float) -> X.Found:
+    """Four fifths of the frames make the index, the last fifth is inserted into its cells, and all queries search it."""
+    f = frames(spark, sf_dir).select("id", "vector")
+    index = X.CellIndex.build(f.where("id % 5 <> 0"), scratch(spark))
+    index.insert(f.where("id % 5 = 0"))
+    return index.search(query_vectors(spark, sf_dir), k, threshold)
+
+
+@query("c05_index_topk", f"WITH {_SCORED}, {_hits_sql(20, 0.3)} SELECT query_id, id, score, rank FROM hits", "frames queries")
+def c05_index(spark, sf_dir):
+    return _indexed(spark, sf_dir, 20, 0.3).hits
+
+
+@query("c05_index_report", f"WITH {_SCORED}, {_hits_sql(10, 0.35)} SELECT query_id, count(h.id) AS hits, true AS within FROM queries LEFT JOIN hits h USING (query_id) GROUP BY 1", "frames queries")
+def c05_report(spark, sf_dir):
+    """Hits of every query, and whether it read no more cells than there are; the number that it read is in visits."""
+    found = _indexed(spark, sf_dir, 10, 0.35)
+    read_ = found.visits.groupBy("query_id").agg(F.count("*").alias("cells_read"))
+    hits_ = found.hits.groupBy("query_id").agg(F.count("*").alias("hits"))
+    every = query_vectors(spark, sf_dir).select("query_id").join(read_, "query_id", "left").join(hits_, "query_id", "left")
+    return every.select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"), (F.coalesce("cells_read", F.lit(0)) <= found.cells).alias("within"))
+
+
+@query(
+    "i10_route",
+    f"""WITH {_SCORED}, {_hits_sql(10, 0.385)}, found AS (SELECT query_id, count(*) AS n, list(id ORDER BY rank) FILTER (file_type = 'image') AS images FROM hits GROUP BY 1)
+      SELECT query_id, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) < 3 THEN 'vision' ELSE 'aggregate' END AS route, CASE WHEN coalesce(n, 0) < 3 THEN coalesce(array_to_string(images[1:3], ','), '') ELSE '' END AS looked_at FROM queries LEFT JOIN found USING (query_id)""",
+    "frames queries",
+)
+def i10(spark, sf_dir):
+    """The route of every query by the number of its results, and the images that the vision route looks at."""
+    h = hits(spark, sf_dir, 10, 0.385)
+    found = h.groupBy("query_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", "id", "file_type"))).alias("results"))  # ten at most
+    every = query_vectors(spark, sf_dir).select("query_id").join(found, "query_id", "left")
+    route = needs_vision(F.coalesce("n", F.lit(0)))
+    looked = F.when(route == "vision", F.array_join(F.transform(vision_inputs(F.col("results")), lambda r: r["id"].cast("string")), ","))
+    return every.select("query_id", F.coalesce("n", F.lit(0)).alias("n"), route.alias("route"), F.coalesce(looked, F.lit("")).alias("looked_at"))
+
+
 @query("c06_l2_normalise", "SELECT id, round(list_dot_product(u, u), 6) AS norm, round(list_sum(u), 6) AS total FROM (SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM (SELECT id, cast(vector AS double[]) AS v FROM frames))", "frames")
 def c06(spark, sf_dir):
     unit = frames(spark, sf_dir).select("id", S.l2_normalise(F.col("vector")).alias("u"))
@@ -265,6 +326,34 @@ def search_end_to_end(spark, sf_dir):
     return search(spark, sf_dir)
 
 
-@query("e09_store_drift", "SELECT count(*) FILTER (status = 'done') AS done_files, count(point_id) AS points, count(*) FILTER (status = 'done') - count(point_id) AS drift FROM media_files", "media_files")
+@query(
+    "e09_store_drift",
+    "SELECT done_files, points, vectors, vectors - done_files AS drift FROM (SELECT count(*) FILTER (status = 'done') AS done_files, count(point_id) AS points FROM media_files) CROSS JOIN (SELECT count(*) AS vectors FROM frames)",
+    "media_files frames",
+)
 def e09(spark, sf_dir):
-    return media_files(spark, sf_dir).agg(F.count_if(F.col("status") == "done").alias("done_files"), F.count("point_id").alias("points")).withColumn("drift", F.col("done_files") - F.col("points"))
+    """Vectors in the frame store less files that are done; below zero some done files have no vector."""
+    files = media_files(spark, sf_dir).agg(F.count_if(F.col("status") == "done").alias("done_files"), F.count("point_id").alias("points"))
+    vectors = frames(spark, sf_dir).agg(F.count("*").alias("vectors"))
+    return files.crossJoin(vectors).withColumn("drift", F.col("vectors") - F.col("done_files"))  # one row each
+
+
+@query(
+    "e09_missing_rows",
+    "SELECT coalesce(f.id, m.id) AS id, cast(f.id IS NOT NULL AS bigint) AS left_n, coalesce(m.n, 0) AS right_n FROM frames f FULL JOIN (SELECT point_id AS id, count(*) AS n FROM media_files WHERE point_id IS NOT NULL GROUP BY 1) m ON f.id = m.id WHERE f.id IS NULL OR m.id IS NULL OR m.n <> 1",
+    "media_files frames",
+)
+def e09_missing(spark, sf_dir):
+    """Points of files that the frame store lacks, and frames that no file points at, by digests of both stores."""
+    points = media_files(spark, sf_dir).where("point_id IS NOT NULL").select(F.col("point_id").alias("id"))
+    return V.compare(frames(spark, sf_dir).select("id"), points, "id").rows
+
+
+@query(
+    "e09_frames_per_file",
+    """SELECT coalesce(f.file_id, m.id) AS file_id, coalesce(f.n, 0) AS n_frames, coalesce(m.status, 'unknown') AS status, m.status IS NOT DISTINCT FROM 'done' AND f.n IS NULL AS lacks_vectors
+      FROM (SELECT file_id, count(*) AS n FROM frames GROUP BY 1) f FULL JOIN media_files m ON f.file_id = m.id""",
+    "media_files frames",
+)
+def e09_frames(spark, sf_dir):
+    return V.frames_per_file(frames(spark, sf_dir), media_files(spark, sf_dir).select(F.col("id").alias("file_id"), "status"), "file_id")
\ No newline at end of file

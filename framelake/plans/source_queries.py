@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import extension
 from ..operators import predicates
 from ..sources import listing, stores
+from ..sources.shared import scratch
 from ..sources.tables import audit_logs, frames, media_files, read
 from .catalog import query
-from .stream_queries import scratch
 
 _MEDIA = "regexp_matches(lower(file_path), '\\.(jpg|jpeg|png|heic|webp|bmp|gif|mp4|mov|mkv|avi|flv|wmv|webm|m4v)$')"
 _TYPE = "CASE WHEN regexp_matches(lower(file_path), '\\.(jpg|jpeg|png|heic|webp|bmp|gif)$') THEN 'image' ELSE 'video' END"
@@ -171,9 +171,9 @@ def a09(spark, sf_dir):
     return back.groupBy("activity_level").agg(F.count("*").alias("n"), F.round(F.avg("heart_rate_bpm"), 6).alias("rate"), F.round(F.avg("stress_index"), 6).alias("stress"), F.max("timestamp").alias("last"))
 
 
-@query("a10_detection_json", "SELECT 'v' || id AS id, cast(id % 4 AS int) AS yolo_object_count, label AS first_label FROM frames WHERE id % 3 = 0", "frames")
+@query("a10_detection_json", "SELECT 'v' || id AS id, cast(id % 4 AS int) AS yolo_object_count, label AS first_label FROM frames", "frames")
 def a10(spark, sf_dir):
-    rows = frames(spark, sf_dir).where("id % 3 = 0").select(F.concat(F.lit("v"), F.col("id")).alias("id"), F.array("label").alias("yolo_labels"), (F.col("id") % 4).cast("int").alias("yolo_object_count"), F.lit("m").alias("yolo_model"))
+    rows = frames(spark, sf_dir).select(F.concat(F.lit("v"), F.col("id")).alias("id"), F.array("label").alias("yolo_labels"), (F.col("id") % 4).cast("int").alias("yolo_object_count"), F.lit("m").alias("yolo_model"))
     back = stores.read_detections(spark, _side_files(rows, "json"))
     return back.select("id", "yolo_object_count", F.col("yolo_labels")[0].alias("first_label"))
 

@@ -12,7 +12,7 @@ from ..sources.stores import latest
 from ..sources.tables import audit_logs, frames, media_files, query_vectors, read
 from .catalog import query
 from .filter_queries import _as_of
-from .search_queries import _HITS, _SCORED, _hits_sql, hits
+from .search_queries import _HITS, _SCORED, PARAPHRASES_SQL, _hits_sql, hits, paraphrases
 
 _AT = "TIMESTAMP '2024-01-31 00:00:00'"
 _EXT = "lower(regexp_extract(file_path, '\\.[^.]+$'))"
@@ -210,9 +210,9 @@ def f27(spark, sf_dir):
     return _retrieval(spark, sf_dir)
 
 
-@query("f28_retrieval_gates", f"WITH {_HITS}, {_METRICS} SELECT *, snr >= 2.0 AND separation >= 0.05 AND hit_rate >= 0.5 AS passed FROM (SELECT count(*) AS queries, round(avg(snr), 6) AS snr, round(avg(separation), 6) AS separation, round(avg(CASE WHEN n > 0 THEN 1.0::double ELSE 0.0::double END), 6) AS hit_rate FROM r)", "frames queries")
+@query("f28_retrieval_gates", f"WITH {_HITS}, {_METRICS}, c AS ({PARAPHRASES_SQL}) SELECT *, snr >= 2.0 AND separation >= 0.05 AND hit_rate >= 0.5 AS passed FROM (SELECT (SELECT round(avg(mean), 6) FROM c) AS consistency, (SELECT round(avg(std), 6) FROM c) AS consistency_std, count(*) AS queries, round(avg(snr), 6) AS snr, round(avg(separation), 6) AS separation, round(avg(CASE WHEN n > 0 THEN 1.0::double ELSE 0.0::double END), 6) AS hit_rate FROM r)", "frames queries")
 def f28(spark, sf_dir):
-    return A.retrieval_gates(_retrieval(spark, sf_dir))
+    return A.retrieval_gates(_retrieval(spark, sf_dir), paraphrases(spark, sf_dir))
 
 
 @query("f29_answer_proxies", "SELECT *, faithfulness >= 0.70 AND relevancy >= 0.75 AS passed FROM (SELECT round(avg(CASE WHEN length(text) > 20 THEN 1.0::double ELSE 0.0::double END), 6) AS relevancy, round(avg(CASE WHEN conv_id % 3 > 0 THEN 1.0::double ELSE 0.0::double END), 6) AS faithfulness FROM conversations WHERE role = 'assistant')")
@@ -259,9 +259,9 @@ def f30_drop(spark, sf_dir):
     return A.report_change(report(4), report(10), "recall").where("label NOT IN ('macro', 'weighted', 'accuracy')")
 
 
-@query("f31_drop_small_classes", "SELECT id, file_path FROM frames WHERE file_path IN (SELECT file_path FROM frames WHERE class_id < 5 GROUP BY 1 HAVING count(*) >= 5) AND class_id < 5", "frames")
+@query("f31_drop_small_classes", "SELECT id, file_path FROM frames WHERE file_path IN (SELECT file_path FROM frames GROUP BY 1 HAVING count(*) >= 5)", "frames")
 def f31(spark, sf_dir):
-    return G.drop_small_classes(frames(spark, sf_dir).where("class_id < 5"), "file_path").select("id", "file_path")
+    return G.drop_small_classes(frames(spark, sf_dir), "file_path").select("id", "file_path")
 
 
 _SESSIONS = """s AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 600 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
