@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+from .quantiles import beside
+
 
 def segment_for_frame(frames: DataFrame, segments: DataFrame, id_col: str = "id", width: float = 60.0) -> DataFrame:
     """(id, segment_index): the segment of the frame's file that holds its time, both ends included; in a gap the one
@@ -43,21 +46,80 @@ def segment_for_frame(frames: DataFrame, segments: DataFrame, id_col: str = "id"
     return found.unionByName(asked.where("ts IS NULL").select(id_col, F.lit(None).cast(kind).alias("segment_index")))
 
 
+def _window_edges(points: DataFrame, readings: DataFrame, seconds: int, by: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of buckets as wide as the window: (id, by, n, sums, first rank) of each point, (by, rank, activity) of each reading in
+    the order of time, and (by, ordered): whether seq rises with time in a source.
+
+    A point's window is the end of the bucket before its own, its own bucket, and the beginning of the next one. Running
+    counts, sums and maxima of a bucket, from both sides, tell each of the three parts where a row that asks stands among the
+    readings, so the work is linear in points plus readings, and a source is split by time.
+    """
+    bucket = lambda c: F.floor(c / F.lit(seconds)).cast("long")
+    none = {"seq": "long", "rate": "double", "activity": "string", "stress": "double"}
+    kinds = {f.name: f.dataType for f in readings.schema.fields}
+    held = readings.where(F.col("t").isNotNull() & F.col(by).isNotNull()).select(by, bucket(F.col("t")).alias("bucket"), "t", *none, F.lit(0).alias("part"), F.lit(None).cast(points.schema["id"].dataType).alias("id"))
+    part = lambda p, d, edge: F.struct((bucket(F.col("t")) + d).alias("bucket"), edge.alias("t"), F.lit(p).alias("part"))
+    three = F.array(part(1, -1, F.col("t") - seconds), part(2, 0, F.col("t")), part(3, 1, F.col("t") + seconds))
+    asks = points.where(F.col("t").isNotNull() & F.col(by).isNotNull()).select("id", by, F.explode(three).alias("a"))
+    asks = asks.select(by, "a.bucket", "a.t", *[F.lit(None).cast(kinds[c]).alias(c) for c in none], "a.part", "id")
+    rows = held.unionByName(asks)
+
+    reading = F.col("part") == 0
+    facts = rows.groupBy(by, "bucket").agg(F.count_if(reading).alias("size"), F.min("seq").alias("low"), F.max("seq").alias("high"))
+    along = Window.partitionBy(by).orderBy("bucket")  # one row for each bucket
+    behind = along.rowsBetween(Window.unboundedPreceding, -1)
+    facts = facts.select(by, "bucket", "size", F.coalesce(F.sum("size").over(behind), F.lit(0)).alias("base"), (F.col("low") <= F.max("high").over(behind)).alias("back"))
+    inside = Window.partitionBy(by, "bucket")
+    placed = rows.join(facts.drop("back"), [by, "bucket"])
+    forth, back = inside.orderBy("t", "part", "seq"), inside.orderBy(F.desc("t"), "part", "seq")
+    upto = {"n": F.count(F.when(reading, 1)), "n_rate": F.count("rate"), "rate": F.sum("rate"), "top": F.max("rate"), "n_stress": F.count("stress"), "stress": F.sum("stress")}
+    frame = lambda over, whole: over if whole else over.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = {c: F.when(F.col("part") == 1, x.over(frame(back, False))).when(F.col("part") == 2, x.over(frame(inside, True))).otherwise(x.over(frame(forth, False))) for c, x in upto.items()}
+    counted = placed.select(by, "bucket", "id", "part", "seq", "activity", "base", "size", *[x.alias(f"w_{c}") for c, x in sides.items()], F.count(F.when(reading, 1)).over(frame(forth, False)).alias("rank"))
+    per_point = counted.where("part > 0").groupBy("id", by).agg(
+        F.sum("w_n").alias("n"), F.sum("w_n_rate").alias("n_rate"), F.sum("w_rate").alias("rate"), F.max("w_top").alias("top"), F.sum("w_n_stress").alias("n_stress"), F.sum("w_stress").alias("stress"),
+        F.max(F.when(F.col("part") == 1, F.col("base") + F.col("size") - F.col("w_n"))).alias("first"),
+    )
+    ranks = counted.where(reading).select(by, (F.col("base") + F.col("rank")).alias("rank"), "activity")
+    falls = held.withColumn("fell", F.coalesce(F.col("seq") < F.lag("seq").over(inside.orderBy("t", "seq")), F.lit(False))).groupBy(by).agg(F.max("fell").alias("fell"))
+    order = falls.join(facts.groupBy(by).agg(F.max(F.coalesce("back", F.lit(False))).alias("back")), by).select(by, (~(F.col("fell") | F.col("back"))).alias("ordered"))
+    return per_point, ranks, order
+
+
 def window_readings(points: DataFrame, readings: DataFrame, seconds: int = 30, by: str = "source", digits: tuple[int, int] = (1, 3)) -> DataFrame:
     """For each point (id, source, t) the readings (source, t, seq, rate, activity, stress) of its source at most that
     many seconds away, both ends included: their number, average and maximum rate, the middle one's activity in the
     order of seq, and average stress; nulls where there are none. Times are in seconds.
 
-    Times fall into buckets as wide as the window and a point asks three of them, so this is an equi-join.
+    Where seq rises with time, as in files that a device wrote, the middle reading is looked up by its rank, and the rest
+    comes from running sums; no point meets its readings. A source whose seq does not rise has its points meet the readings
+    of three buckets, as the middle of any subset has no rank to look up.
     """
-    width = F.lit(seconds)
-    bucket = lambda c: F.floor(c / width).cast("long")
+    per_point, ranks, order = _window_edges(points, readings, seconds, by)
+    order = settled(order)
+    rising = order.where("ordered").select(by)
+    middle = (F.col("first") + F.floor(F.col("n") / 2) + 1).alias("rank")
+    # The rank is a key of its own beside the source, so a large source is spread over it.
+    found = per_point.where("n > 0").withColumn("rank", middle).join(ranks, [by, "rank"])
+    found = beside(found, rising, [by]).select(
+        "id", "n", F.round(F.col("rate") / F.col("n_rate"), digits[0]).alias("avg_rate"), F.round("top", digits[0]).alias("max_rate"), "activity", F.round(F.col("stress") / F.col("n_stress"), digits[1]).alias("avg_stress")
+    )
+    other = order.where("NOT ordered").select(by)
+    if other.count():
+        found = found.unionByName(_met_readings(beside(points, other, [by]), beside(readings, other, [by]), seconds, by, digits))
+    return points.select("id").join(found, "id", "left")
+
+
+def _met_readings(points: DataFrame, readings: DataFrame, seconds: int, by: str, digits: tuple[int, int]) -> DataFrame:
+    """Points joined with the readings of three buckets."""
+    bucket = lambda c: F.floor(c / F.lit(seconds)).cast("long")
     asked = points.select("id", by, F.col("t").alias("pt"), F.explode(F.array(*[bucket(F.col("t")) + d for d in (-1, 0, 1)])).alias("bucket"))
-    held = readings.withColumn("bucket", bucket(F.col("t")))
-    near = asked.join(held, [by, "bucket"]).where(F.abs(F.col("t") - F.col("pt")) <= seconds)
+    near = asked.join(readings.withColumn("bucket", bucket(F.col("t"))), [by, "bucket"]).where(F.abs(F.col("t") - F.col("pt")) <= seconds)
     rows = F.array_sort(F.collect_list(F.struct("seq", "activity")))
-    found = near.groupBy("id").agg(F.count("*").alias("n"), F.round(F.avg("rate"), digits[0]).alias("avg_rate"), F.round(F.max("rate"), digits[0]).alias("max_rate"), F.element_at(rows, (F.floor(F.count("*") / 2) + 1).cast("int"))["activity"].alias("activity"), F.round(F.avg("stress"), digits[1]).alias("avg_stress"))
-    return points.select("id").join(found, "id", "left")
+    return near.groupBy("id").agg(
+        F.count("*").alias("n"), F.round(F.avg("rate"), digits[0]).alias("avg_rate"), F.round(F.max("rate"), digits[0]).alias("max_rate"),
+        F.element_at(rows, (F.floor(F.count("*") / 2) + 1).cast("int"))["activity"].alias("activity"), F.round(F.avg("stress"), digits[1]).alias("avg_stress"),
+    )
 
 
 #: Phases with their first and last day. The last day counts up to its midnight.
