@@ -17,6 +17,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StringType
 
+from ..sources.shared import settled
+from .known import KnownContents
+
 #: State lives in an embedded store on the executors' disks, of which checkpoints hold the changes; memory does not bound it.
 _PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -229,22 +232,29 @@ def file_digest(paths: pd.Series, kinds: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def ingest_contents(found: DataFrame, path: str, checkpoint: str, key: str = "file_path", content: str = "file_hash") -> DataFrame:
+def ingest_contents(found: DataFrame, path: str, checkpoint: str, key: str = "file_path", content: str = "file_hash", opened: Callable[[int, list[str]], None] | None = None) -> DataFrame:
     """(key, content, action) of all files so far: inserted for the least key of a content that no earlier batch holds,
-    duplicate_copy for the rest. path is a log of decisions with a folder for each micro-batch; a batch is decided
-    against the batches before it and overwrites its own folder, so one that comes again after a failure does no harm."""
+    duplicate_copy for the rest. path is a log of decisions with a folder for each micro-batch, and beside it are the known
+    contents by prefix, of which a batch opens the folders that may hold one of its own; opened is told their names. A
+    batch is decided against the batches before it and overwrites its own folders, so one that comes again after a failure
+    does no harm."""
     spark = found.sparkSession
     kinds = {f.name: f.dataType.simpleString() for f in found.schema.fields}
     log = f"`{key}` {kinds[key]}, `{content}` {kinds[content]}, action string, batch bigint"
+    known = KnownContents(spark, f"{path.rstrip('/')}-known")
 
     def decide(batch: DataFrame, number: int) -> None:
-        rows = batch.select(key, content).dropDuplicates([key])
+        known.merge(number)
+        rows = batch.select(key, content).dropDuplicates([key]).persist()
         first = rows.groupBy(content).agg(F.min(key).alias("__first"))
-        if number:
-            known = spark.read.schema(log).parquet(path).where(F.col("batch") < number).select(content).distinct()
-            first = first.join(known, content, "left_anti")
+        before, names = known.probe(first.select(content), number, content)
+        if opened:
+            opened(number, names)
+        first = settled(first.join(before, content, "left_anti"))
         action = F.when(F.col(key) == F.col("__first"), "inserted").otherwise("duplicate_copy")
         rows.join(first, content, "left").select(key, content, action.alias("action")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        known.add(first.select(content), number, content)
+        rows.unpersist()
 
     run_to_end(found, "", checkpoint, each=decide)
     try:
