@@ -138,6 +138,65 @@ TEXTS: tuple[tuple[str, str, str], ...] = (
     ("non-commercial", "commercial", "for non commercial (?:use|purposes) only|not for commercial use"),
     ("research-only", "research", "for research (?:use|purposes) only"),
     ("copyright", "copyright", "copyright (?:c |© )?(?:19|20)[0-9][0-9]"),
+    ("mit", "sublicense", "to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "substantial", "shall be included in all copies or substantial portions of the software"),
+    ("mit", "liable", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("isc", "appear", "provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd", "fee", "modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("bsd", "incidental", "be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("bsd", "modification", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "derived", "to endorse or promote products derived from this software without specific prior written permission"),
+    ("apache-2.0", "compliance", "you may not use this file except in compliance with the licen[cs]e"),
+    ("apache-2.0", "agreed", "unless required by applicable law or agreed to in writing software distributed under the licen[cs]e"),
+    ("apache-2.0", "perpetual", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+    ("apache-2.0", "patent", "if you institute patent litigation against any entity including a cross claim or counterclaim"),
+    ("apache-1.1", "apache", "this product includes software developed by the apache software foundation"),
+    ("gpl", "freedom", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl", "temple", "free software foundation inc 59 temple place"),
+    ("gpl", "franklin", "free software foundation inc 51 franklin st(?:reet)?"),
+    ("gpl", "verbatim", "everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document but changing it is not allowed"),
+    ("gpl-2.0", "derivative", "the program or any derivative work under copyright law that is to say a work containing the program or a portion"),
+    ("gpl-3.0", "convey", "you may convey verbatim copies of the program s source code as you receive it"),
+    ("gpl-3.0", "installation", "installation information for a user product means any methods procedures authorization keys"),
+    ("lgpl", "library", "a program that contains no derivative of any portion of the library but is designed to work with the library"),
+    ("lgpl-3.0", "combined", "a combined work is a work produced by combining or linking an application with the library"),
+    ("agpl-3.0", "remotely", "must prominently offer all users interacting with it remotely through a computer network"),
+    ("gfdl", "invariant", "with no invariant sections(?: with)? no front cover texts and(?: with)? no back cover texts"),
+    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public licen[cs]e"),
+    ("mpl-2.0", "obtain", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1.1", "initial", "the initial developer of the original code is"),
+    ("mpl-1.1", "basis", "software distributed under the licen[cs]e is distributed on an as is basis without warranty of any kind"),
+    ("epl", "accompanying", "the accompanying program is provided under the terms of this eclipse public licen[cs]e"),
+    ("epl", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e"),
+    ("cddl", "cddl", "when distributing covered code include this cddl header in each file"),
+    ("eupl", "eupl", "licensed under the eupl version 1 [12] or as soon they will be approved by the european commission"),
+    ("boost-1.0", "machine", "are solely in the form of machine executable object code generated by a source language processor"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "altered", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "successors", "we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors"),
+    ("wtfpl", "fuck", "you just do what the fuck you want to"),
+    ("cc0", "affirmer", "to the greatest extent permitted by but not in contravention of applicable law affirmer hereby overtly fully permanently irrevocably and unconditionally waives"),
+    ("cc0", "waived", "has waived all copyright and related or neighboring rights to"),
+    ("cc-by", "attribution", "(?:is |are )?licensed under a creative commons attribution(?: [1-4] [05])?(?: international| unported| generic)? licen[cs]e"),
+    ("cc-by-sa", "alike", "licensed under a creative commons attribution share ?alike(?: [1-4] [05])?(?: international| unported| generic)? licen[cs]e"),
+    ("cc-by-nc", "noncommercial", "licensed under a creative commons attribution noncommercial(?: [1-4] [05])?(?: international| unported| generic)? licen[cs]e"),
+    ("ofl", "font", "the font software including any derivative works can be bundled embedded redistributed and or sold with any software"),
+    ("ofl", "reserved", "no modified version of the font software may use the reserved font name"),
+    ("artistic", "semblance", "the package s copyright holder maintains some semblance of artistic control over the development"),
+    ("artistic-2.0", "package", "you are always permitted to make arbitrary changes to the package"),
+    ("python", "beopen", "beopen com is making the software in source or binary form available|beopen com license agreement for python"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("lppl", "maintained", "this work has the lppl maintenance status maintained"),
+    ("proprietary", "strictly", "(?:reproduction|distribution|copying)(?: of this .{1,40})? is strictly (?:prohibited|forbidden)"),
+    ("proprietary", "trade", "contains (?:confidential information and )?trade secrets"),
+    ("proprietary", "internal", "for internal use only"),
+    ("proprietary", "consent", "without the (?:prior |express |prior written |express written )consent of"),
+    ("eula", "end", "end user licen[cs]e agreement"),
+    ("eula", "installing", "by installing copying or otherwise using the (?:software|product) you agree to be bound by"),
+    ("no-derivatives", "derivative", "you may not create derivative works"),
+    ("no-derivatives", "alter", "you may not alter transform or build upon this work"),
+    ("reserved", "reserved", "all other rights(?: not expressly granted)?(?: herein)? are reserved"),
 )
 
 #: Pages on the web that hold a licence, as words.
@@ -176,7 +235,7 @@ def rules() -> tuple[Rule, ...]:
             at = f"(?:{name})" + (f"(?: licen[cs]e)?(?: as published by the free software foundation)?(?: either)?(?: version| v)? (?:v)?{v}" if v else "")
             found += [(full, "granted", keyword, _GRANT + at), (full, "title", keyword, at)]
     found += [(a, "text", k, e) for a, k, e in TEXTS] + [(a, "link", k, e) for a, k, e in LINKS]
-    found += [(a, "mention", k, f"(?:under|{e}) {e}(?: licen[cs]ed?)?|licen[cs]e {e}") for a, k, e in IDENTIFIERS if " " in e]
+    found += [(a, "mention", k, f"(?:under (?:the )?|licen[cs]e )?{e}(?: licen[cs]ed?)?") for a, k, e in IDENTIFIERS if " " in e]
     return tuple(Rule(n, a, kind, k.encode(), re.compile(rb"(?<= )(?:" + e.encode() + rb")(?= )")) for n, (a, kind, k, e) in enumerate(found))
 
 
