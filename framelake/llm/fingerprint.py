@@ -3,7 +3,8 @@
 A paragraph (a line of the text, blank ones too) hashes to a wide vector: EXACT lanes modulo 2**64 from an extendable
 hash of its bytes, and LIKE lanes modulo 2**16, where every word adds +1 or -1 to one lane that the word and up to two
 that follow it in the paragraph pick. A fingerprint is the lane-wise sum over the paragraphs, so their order does not
-matter, and adding or subtracting a paragraph's vector updates it in place. Equal multisets of paragraphs have equal
+matter, and adding or subtracting a paragraph's vector updates it in place: the edited text is told by deleting the
+paragraphs that change and inserting those that come. Equal multisets of paragraphs have equal
 fingerprints; others differ but for a chance of about 2**-64 for each lane.
 
 The likeness of two fingerprints is 2<a,b> / (<a,a> + <b,b>) over the LIKE lanes, cut to 0..1: the shared share of word
@@ -85,9 +86,22 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha2
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _row(doc_id, text, own, following, theirs) -> tuple:
+Parts = tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], int]
+
+
+def in_two_parts(text: str) -> Parts:
+    """A text's fingerprint, that of the paragraphs from the one on in which its last half begins, and where that starts."""
+    at = text.rfind("\n", 0, len(text) - len(text) // 2) + 1
+    tail = paragraph_vectors(text[at:])
+    return (insert(paragraph_vectors(text[: at - 1]), tail) if at else tail), tail, at
+
+
+def _row(doc_id, text, parts: Parts, following, theirs: Parts) -> tuple:
+    """The edited text's fingerprint is the text's own without the paragraphs that change, and with those that come."""
     edited = edit(text, following)
-    other = paragraph_vectors(edited)
+    own, tail, at = parts
+    other = insert(delete(own, tail), paragraph_vectors(edited[at:]))
+    theirs = theirs[0]
     return doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), to_text(own), to_text(other), likeness(own, other), likeness(own, theirs)
 
 
@@ -101,7 +115,7 @@ def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = paragraph_vectors(text)
+            own = in_two_parts(text)
             if last:
                 rows.append(_row(*last, text, own))
             last = (doc_id, text, own)
@@ -126,7 +140,7 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield _batch([_row(r["last_id"], r["last"], paragraph_vectors(r["last"]), r["next"], paragraph_vectors(r["next"])) for r in batch.to_pylist()])
+        yield _batch([_row(r["last_id"], r["last"], in_two_parts(r["last"]), r["next"], in_two_parts(r["next"])) for r in batch.to_pylist()])
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
