@@ -17,9 +17,11 @@ an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -43,6 +45,11 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Byte-level tokenizers write a byte as the letter of its number; those that are no visible letter follow from 256 on.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+
+
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}H", *ids)
 
@@ -63,10 +70,25 @@ class RunEncoder:
         self.between, self.end = next(((x.content, i) for i, x in added.items()), (None, None))
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
+        self.letters = self._letters_alone()
         self.special = re.compile("(" + "|".join(re.escape(x.content) for x in sorted(added.values(), key=lambda x: -len(x.content))) + ")") if added else None
         self.marked = {self._mark(x.content): _packed([i]) for i, x in added.items()}
         self.known: dict[bytes, bytes] = dict(self.marked)
 
+    def _letters_alone(self):
+        """The model, if the tokenizer hands it a run of small letters whole and byte by byte, so that such runs may go to it
+        past the normaliser and the splitting expression, which take most of the time; None for any other tokenizer."""
+        steps = json.loads(self.tokenizer.to_str())
+        kinds = lambda x: [s["type"] for s in (x or {}).get("normalizers", (x or {}).get("pretokenizers", [x] if x else []))]
+        splits = (steps["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        plain = kinds(steps["normalizer"]) == ["NFC", "Replace", "Lowercase"] and kinds(steps["pre_tokenizer"]) == ["Split", "ByteLevel"] and steps["model"]["type"] == "BPE"
+        return self.tokenizer.model if plain and r"|[\p{L}]+|" in splits[0]["pattern"].get("Regex", "") and not splits[1]["add_prefix_space"] else None
+
+    @staticmethod
+    def _is_small_letters(run: str) -> bool:
+        """Latin letters, composed and small, for which nothing is normalised and nothing splits."""
+        return run.isalpha() and run.islower() and (run.isascii() or (max(run) < "\u0250" and run == run.lower() and unicodedata.is_normalized("NFC", run)))
+
     @staticmethod
     def _mark(special: str) -> bytes:
         """A key that no run has."""
@@ -84,6 +106,15 @@ class RunEncoder:
         """Runs and their ids. Many go to the tokenizer as one text, with a special token between them, at which it cuts
         before it does anything else; runs that spell a special token go one by one."""
         told = [r.decode("utf-8", "replace") for r in runs]
+        if self.letters:
+            other = []
+            tokenize = self.letters.tokenize
+            for i, (r, t) in enumerate(zip(runs, told, strict=True)):
+                if self._is_small_letters(t):
+                    yield r, _packed([x.id for x in tokenize(t if t.isascii() else r.decode("latin-1").translate(_BYTE_LETTERS))])
+                else:
+                    other.append(i)
+            runs, told = [runs[i] for i in other], [told[i] for i in other]
         if self.between is None or any(self.special.search(t) for t in told):
             plain = [i for i, t in enumerate(told) if self.between is not None and not self.special.search(t)]
             alone = sorted(set(range(len(runs))).difference(plain))
@@ -92,7 +123,7 @@ class RunEncoder:
             runs, told = [runs[i] for i in plain], [told[i] for i in plain]
         if not runs:
             return
-        ids = np.array(self.splitter.encode(self.between.join(told), add_special_tokens=False).ids, "<u2")
+        ids = np.array(self.splitter.encode_batch_fast([self.between.join(told)], add_special_tokens=False)[0].ids, "<u2")
         ends = np.append(np.flatnonzero(ids == self.end), len(ids))
         raw = ids.tobytes()
         yield from zip(runs, (raw[a:b] for a, b in zip([0, *(2 * ends[:-1] + 2).tolist()], (2 * ends).tolist(), strict=True)), strict=True)
