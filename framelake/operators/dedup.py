@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import parent_dir
+from ..sources.shared import settled
 
 
 def _fold(keep) -> Column:
@@ -83,7 +84,7 @@ def ingest_decisions(found: DataFrame, known: DataFrame, listing: DataFrame, for
         F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("path_rank") == 0, "already_ingested").when(F.col("path_rank") == 1, "redispatched")
         .when(F.col("old_path").isNotNull() & ~same & stays, "duplicate_copy").when(F.col("old_path").isNotNull() & ~same, "relocated").when(same, "duplicate_hash").otherwise("inserted")
     )
-    decided = joined.withColumn("action", plain)
+    decided = settled(joined.select("file_path", "file_hash", "old_path", plain.alias("action")))
     # The least path of each new content, and one row of it: no window holds all copies of a content.
     heads = decided.where("action = 'inserted'").groupBy(F.col("file_hash").alias("__hash")).agg(F.min(F.struct("file_path")).alias("__head"))
     placed = decided.join(heads, F.col("file_hash").eqNullSafe(F.col("__hash")), "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import extension
 from ..operators import predicates
 from ..sources import listing, stores
+from ..sources.crawl import MediaCrawl
 from ..sources.shared import scratch
 from ..sources.tables import audit_logs, frames, media_files, read
 from .catalog import query
@@ -31,6 +32,18 @@ def a01(spark, sf_dir):
     return listing.keep_media(_listing(spark, sf_dir)).select("file_path", "media_type")
 
 
+@query("a01_crawl_folders", "SELECT DISTINCT source, lang, true AS found FROM documents")
+def a01_crawl(spark, sf_dir):
+    """Folders by source and language, written from all documents' ids and found again by the crawl, two levels deep."""
+    path = scratch(spark)
+    ids = read(spark, sf_dir, "documents").select("source", "lang", F.col("doc_id").cast("string").alias("value"))
+    ids.hint("rebalance", "source", "lang").write.partitionBy("source", "lang").text(path)
+    spark.dataSource.register(MediaCrawl)
+    files = spark.read.format("media_crawl").options(path=path, extensions="txt=text", depth="2").load()
+    part = lambda name: F.regexp_extract("file_path", f"/{name}=([^/]+)/", 1).alias(name)
+    return files.groupBy(part("source"), part("lang")).agg((F.sum("size") > 0).alias("found"))
+
+
 @query("a02_name_exclusion", "SELECT id, file_path FROM media_files WHERE NOT (upper(regexp_extract(file_path, '[^/]*$')) LIKE 'DJI%' OR upper(regexp_extract(file_path, '[^/]*$')) LIKE '%.PNG')", "media_files")
 def a02(spark, sf_dir):
     return listing.exclude_names(media_files(spark, sf_dir).select("id", "file_path"), "dji*, *.png")

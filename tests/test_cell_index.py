@@ -87,3 +87,15 @@ def test_many_queries_stream_past_the_frames(spark, monkeypatch):
     monkeypatch.setattr(S, "TURN_QUERIES", 100)
     monkeypatch.setattr(S, "CELLS", 5_000)
     assert rows(S.cosine_topk(frames, q, 7, 0.2)) == want
+
+
+def test_projections_reach_their_recall(spark, sf):
+    """From a cosine of 0.4 on, random projections find nine tenths of the exact search's rows; below their distance none."""
+    from framelake.sources.tables import frames, query_vectors
+
+    at = sf.replace("sf0.001", "sf0.01")
+    f, q = frames(spark, at), query_vectors(spark, at)
+    exact = {(r.query_id, r.id) for r in S.cosine_topk(f, q, 10, 0.4).collect()}
+    near = {(r.query_id, r.id): r.score for r in S.lsh_candidates(f, q).collect()}
+    assert exact and len(exact & near.keys()) >= 0.9 * len(exact)
+    assert min(near.values()) >= 1 - 1.1**2 / 2 - 1e-6
