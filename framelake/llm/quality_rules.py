@@ -211,9 +211,11 @@ def apply_cutoffs(counts: DataFrame, cutoffs: DataFrame, rules: tuple[Rule, ...]
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05, carry: bool = False) -> DataFrame:
-    """Counts, base verdict and final verdict per document. The counts are written once and read by both passes."""
-    counts = staged(text_counts(docs, carry=carry))
-    return apply_cutoffs(counts, choose_cutoffs(counts, labels, risk, level))
+    """Counts, base verdict and final verdict per document. The counts are written once and read by both passes; with carry
+    the documents are counted again as they are judged, so that no text is written for it."""
+    counts = staged(text_counts(docs))
+    cutoffs = choose_cutoffs(counts, labels, risk, level)
+    return apply_cutoffs(text_counts(docs, carry=True) if carry else counts, cutoffs)
 
 
 def op10_quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
