@@ -31,7 +31,7 @@ texts share a component. An empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -40,13 +40,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import U64, id_text, mix, span_hashes, staged, windows, words_of
+from .common import U64, drop_staged, id_text, mix, span_hashes, staged, staged_path, windows, words_of
 from .graph import components
 
 WIDTH, PERCENT = 5, 80
 FREQUENT = 1 << 19
 SMALL, HOT = 16, 1000
-BLOCK_ROWS, BLOCK_CELLS, SALTS = 1024, 2_000_000, 32
+BLOCK_ROWS, BLOCK_CELLS, SALTS, PIVOTS, SENT = 1024, 2_000_000, 32, 32, 100_000
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
@@ -162,7 +162,7 @@ def overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> n
 
 def _linked(key: tuple, table: pa.Table, percent: int) -> pa.Table:
     """Ties (rep, root) and numbers of links of one pair of blocks; key: family, band, step to the other band, i, j."""
-    _, once = np.unique(np.stack([table.column(c).to_numpy() for c in ("rep", "cls")], axis=1), axis=0, return_index=True)
+    _, once = np.unique(np.stack([table.column(c).to_numpy() for c in ("rep", "cls", "block")], axis=1), axis=0, return_index=True)
     table = table.take(pa.array(once))  # rows that share id and text
     reps, copies, band, block = (table.column(c).to_numpy() for c in ("rep", "copies", "band", "block"))
     sets = [np.frombuffer(x, U64) for x in table.column("hashes").to_pylist()]
@@ -220,9 +220,10 @@ def _frequent(profile: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], times[order]
 
 
-def _ties(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): classes that may be linked, or stand in one chain of such classes. lists: (shingle, salt, cls, size)."""
-    shared = staged(lists.withColumn("members", F.count("*").over(Window.partitionBy("shingle", "salt"))).where("members > 1 or salt >= 0"))
+def _ties(lists: DataFrame, percent: int, paths: tuple[str, str]) -> DataFrame:
+    """(a, b): classes that may be linked, or stand in one chain of such classes. lists: (shingle, salt, cls, size). What it
+    writes on the way is in the paths, for as long as the result is read."""
+    shared = staged(lists.withColumn("members", F.count("*").over(Window.partitionBy("shingle", "salt"))).where("members > 1 or salt >= 0"), paths[0])
     inside = shared.where((F.col("members") <= SMALL) & (F.col("salt") < 0)).groupBy("shingle").agg(F.array_sort(F.collect_set(F.struct("size", "cls"))).alias("s"))
     two = F.flatten(F.transform("s", lambda x, i: F.transform(F.filter(F.slice("s", i + 2, F.size("s")), lambda y: x["size"] * 100 >= y["size"] * percent), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     pairs = inside.where(F.size("s") > 1).select(F.explode(two).alias("p")).groupBy("p.x", "p.y").agg(F.count("*").alias("both"))
@@ -238,7 +239,7 @@ def _ties(lists: DataFrame, percent: int) -> DataFrame:
     along = Window.partitionBy("shingle", "salt").orderBy("size", "cls")
     so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     step = (F.lag("size").over(along) * 100 < F.col("size") * percent) | F.lag("size").over(along).isNull()
-    runs = staged(long.withColumn("start", F.when(step, F.col("cls"))).withColumn("first", F.last("start", ignorenulls=True).over(so_far)).select("shingle", "salt", "cls", "size", "first"))
+    runs = staged(long.withColumn("start", F.when(step, F.col("cls"))).withColumn("first", F.last("start", ignorenulls=True).over(so_far)).select("shingle", "salt", "cls", "size", "first"), paths[1])
     # Runs of the lists that one shingle is dealt into, chained in the same way.
     dealt = runs.where("salt >= 0").groupBy("shingle", "salt", "first").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     over = Window.partitionBy("shingle").orderBy("low", "first")
@@ -280,8 +281,85 @@ def _block_pairs(sets: DataFrame) -> DataFrame:
     return sets.withColumn("to", F.explode(to)).select("rep", "cls", "copies", "band", "block", "hashes", "family", "to.low", "to.step", "to.i", "to.j")
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every document; n_links counts linked documents, copies included."""
+def _with_pivots(members: DataFrame) -> DataFrame:
+    """Members with pivot: whether one is among the PIVOTS of its band of a large family, the first in the order of a hash."""
+    first = Window.partitionBy("family", "band").orderBy(F.xxhash64("cls", F.lit(1)), "cls")
+    chosen = members.where("large").select("cls", "family", "band", F.row_number().over(first).alias("n")).where(F.col("n") <= PIVOTS)  # pruned in every task
+    return members.join(chosen.select("cls", F.lit(True).alias("pivot")), "cls", "left")
+
+
+def _series(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def _pair(low: Column, step: int, i: Column, j: Column) -> Column:
+    return F.struct(low.cast("int").alias("low"), F.lit(step).alias("step"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+
+
+_NO_PAIR = "cast(array() as array<struct<low:int,step:int,i:int,j:int>>)"
+_PAIRED = ("rep", "cls", "copies", "band", "block", "hashes", "family", "to.low", "to.step", "to.i", "to.j")
+
+
+def _pivot_pairs(sets: DataFrame) -> DataFrame:
+    """Small families whole; of large ones every set in its block once for the pivots (block -1) of its own and the
+    neighbouring bands, and the pivots once for each of those blocks."""
+    own, band, pivots = F.col("own"), F.col("band"), F.lit(-1)
+    sets = sets.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    meets = F.array(_pair(band, 0, pivots, own), _pair(band, 1, own, pivots), _pair(band - 1, 1, pivots, own))
+    as_row = F.when(F.col("large"), meets).otherwise(F.array(_pair(band, 0, own, own)))
+    as_pivot = F.when(
+        F.col("pivot"),
+        F.concat(
+            F.transform(_series(F.col("blocks")), lambda o: _pair(band, 0, pivots, o)), F.transform(_series(F.col("up")), lambda o: _pair(band, 1, pivots, o)), F.transform(_series(F.col("down")), lambda o: _pair(band - 1, 1, o, pivots))
+        ),
+    ).otherwise(F.expr(_NO_PAIR))
+    both = F.array(F.struct(own.alias("block"), as_row.alias("tos")), F.struct(pivots.alias("block"), as_pivot.alias("tos")))
+    spread = sets.withColumn("as", F.explode(both)).withColumn("block", F.col("as.block")).withColumn("to", F.explode("as.tos"))
+    return spread.select(*_PAIRED)
+
+
+def _outside(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """The large families that the pivots have not made one: members with outer, whether one stands outside its family's
+    largest component, the numbers of blocks of both kinds in its band (inner, outer), and of those of the bands beside."""
+    parts = members.where("large").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = parts.groupBy("family", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("family", "main")
+    spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = parts.drop("blocks", "up", "down").withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+    marked = staged(salted.join(spread(main), ["family", "salt"]).withColumn("outer", F.col("component") != F.col("main")).drop("main", "component"))
+    count = lambda kind: F.greatest(F.ceil(F.count_if(kind) / BLOCK_ROWS), F.ceil(F.coalesce(F.sum(F.when(kind, F.col("size"))), F.lit(0)) / BLOCK_CELLS)).cast("int")
+    load = marked.groupBy("family", "band").agg(count(~F.col("outer")).alias("in0"), count(F.col("outer")).alias("out0"))
+    beside = lambda by, a, b: load.select("family", (F.col("band") - by).alias("band"), F.col("in0").alias(a), F.col("out0").alias(b))
+    near = load.join(beside(1, "in_up", "out_up"), ["family", "band"], "left").join(beside(-1, "in_down", "out_down"), ["family", "band"], "left").na.fill(0)
+    return marked.join(spread(near), ["family", "band", "salt"]).drop("salt", "large", "pivot")
+
+
+def _outside_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs of blocks with an outer one in them: outer blocks count from 0, inner ones from -1 down. Two inner sets are
+    in one component already, so they need not meet."""
+    band, outer = F.col("band"), F.col("outer")
+    own = F.when(outer, F.pmod(F.xxhash64("rep"), F.col("out0"))).otherwise(-1 - F.pmod(F.xxhash64("rep"), F.col("in0"))).cast("int")
+    sets = sets.withColumn("block", own)
+    mine = F.col("block")
+    inner = lambda o: -1 - o
+    with_outer = lambda here, up, down: [
+        F.transform(_series(F.col(up)), lambda o: _pair(band, 1, mine, o)), F.transform(_series(F.col(down)), lambda o: _pair(band - 1, 1, o, mine)),
+        F.transform(_series(F.col(here)), lambda o: _pair(band, 0, F.least(mine, o), F.greatest(mine, o))),
+    ]
+    with_inner = [
+        F.transform(_series(F.col("in_up")), lambda o: _pair(band, 1, mine, inner(o))), F.transform(_series(F.col("in_down")), lambda o: _pair(band - 1, 1, inner(o), mine)),
+        F.transform(_series(F.col("in0")), lambda o: _pair(band, 0, inner(o), mine)),
+    ]
+    to = F.concat(*with_outer("out0", "out_up", "out_down"), F.when(outer, F.concat(*with_inner)).otherwise(F.expr(_NO_PAIR)))
+    return sets.withColumn("to", F.explode(to)).select(*_PAIRED)
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every document; n_links counts linked documents, copies included.
+
+    Without count_links (n_links is null) a large family is first compared with PIVOTS sets of each band alone, and then only
+    pairs with a set outside its largest component are: a family of near copies of one text takes work linear in its sets, and
+    the components are the same."""
     spark = docs.sparkSession
     texts = id_text(docs, id_col, text_col)
     digested = texts.withColumn("digest", F.xxhash64("text"))
@@ -293,28 +371,46 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     classes = classes.select("cls", "check", "size", F.col("first.doc_id").alias("rep"), F.col("first.digest").alias("digest"), "copies")
 
     lists = texts.where("doc_id is not null").select("text").mapInArrow(partial(_prefixes, width=width, percent=percent, hot=HOT, frequent=frequent), "shingle long, salt int, cls long, size int")
-    families = components(_ties(lists, percent))
+    paths = staged_path(spark), staged_path(spark)
+    families = components(_ties(lists, percent, paths))
+    for path in paths:  # the ties are written by now
+        drop_staged(spark, path)
 
     members = classes.join(families.select(F.col("node").alias("cls"), F.col("component").alias("family")), "cls")
-    members = _blocks(members, percent).select(F.col("rep").alias("doc_id"), "digest", "rep", "cls", "check", "family", "copies", "band", "blocks", "up", "down")
-    # By the text's digest too: an id with many texts has a class for each of them, and each asks for its own text alone.
-    asked = digested.join(members, ["doc_id", "digest"]).drop("doc_id", "digest")
-    kept = [f for f in asked.schema.fields if f.name not in ("text", "check")]
-    sets = asked.mapInArrow(partial(_sets, width=width), StructType([*kept, StructField("hashes", BinaryType())]))
-
-    def product(key: tuple, table: pa.Table) -> pa.Table:
-        return _linked(key, table, percent)
-
-    linked = staged(_block_pairs(sets).groupBy("family", "low", "step", "i", "j").applyInArrow(product, "rep long, root long, links long, cls long"))
-    joined = components(linked.select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
-    degree = linked.groupBy("rep", "cls").agg(F.sum("links").alias("links"))
-    found = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, ["rep", "cls"], "left")
-    found = found.select("cls", "check", "size", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    members = _blocks(members, percent)
+
+    def product(placed: Callable[[DataFrame], DataFrame], chosen: DataFrame, few: bool = False) -> DataFrame:
+        # By the text's digest too: an id with many texts has a class for each of them, and each asks for its own text alone.
+        named = chosen.withColumn("doc_id", F.col("rep"))
+        asked = digested.join(F.broadcast(named) if few else named, ["doc_id", "digest"]).drop("doc_id", "digest")
+        kept = [f for f in asked.schema.fields if f.name not in ("text", "check")]
+        sets = asked.mapInArrow(partial(_sets, width=width), StructType([*kept, StructField("hashes", BinaryType())]))
+        tied = placed(sets).groupBy("family", "low", "step", "i", "j")
+        return staged(tied.applyInArrow(lambda key, table: _linked(key, table, percent), "rep long, root long, links long, cls long"))
+
+    tied = lambda linked: linked.select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()
+    columns = ["digest", "rep", "cls", "check", "family", "copies", "band", "blocks", "up", "down"]
+    if count_links:
+        linked = product(_block_pairs, members.select(*columns))
+        joined = components(tied(linked))
+    else:
+        first = staged(_with_pivots(members).select(*columns, "size", "large", "pivot"))
+        linked = product(_pivot_pairs, first)
+        joined = components(tied(linked))
+        rest = staged(_outside(first, joined))
+        if n := rest.count():
+            linked = linked.unionByName(product(_outside_pairs, rest, few=n <= SENT))  # few rows are sent to the texts
+            joined = components(tied(linked))
+    found = classes.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    if count_links:
+        found = found.join(linked.groupBy("rep", "cls").agg(F.sum("links").alias("links")), ["rep", "cls"], "left")
+    links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1 if count_links else F.lit(None).cast("long")
+    found = found.select("cls", "check", "size", F.coalesce("component", "rep").alias("component"), links.alias("n_links"))
     rows = rows.drop("digest")
     empty = rows.where("size = 0").select("*", F.lit(None).cast("long").alias("component"), F.lit(None).cast("long").alias("n_links"))  # one key, so not joined
     out = rows.where("size > 0").join(found, ["cls", "check", "size"], "left").select(*empty.columns).unionByName(empty)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), component.alias("component_id"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), component.alias("component_id"), F.when(F.lit(count_links), F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0)))).alias("n_links"))
 
 
 def op6_jaccard_join(docs: DataFrame) -> DataFrame:
