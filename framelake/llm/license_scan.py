@@ -178,10 +178,6 @@ TEXTS: tuple[tuple[str, str, str], ...] = (
     ("wtfpl", "fuck", "you just do what the fuck you want to"),
     ("cc0", "affirmer", "to the greatest extent permitted by but not in contravention of applicable law affirmer hereby overtly fully permanently irrevocably and unconditionally waives"),
     ("cc0", "waived", "has waived all copyright and related or neighboring rights to"),
-    ("cc-by", "attribution", "(?:is |are )?licensed under a creative commons attribution(?: [1-4] [05])?(?: international| unported| generic)? licen[cs]e"),
-    ("cc-by-sa", "alike", "licensed under a creative commons attribution share alike(?: [1-4] [05])?(?: international| unported| generic)? licen[cs]e"),
-    ("cc-by-sa", "sharealike", "licensed under a creative commons attribution sharealike(?: [1-4] [05])?(?: international| unported| generic)? licen[cs]e"),
-    ("cc-by-nc", "noncommercial", "licensed under a creative commons attribution noncommercial(?: [1-4] [05])?(?: international| unported| generic)? licen[cs]e"),
     ("ofl", "font", "the font software including any derivative works can be bundled embedded redistributed and or sold with any software"),
     ("ofl", "reserved", "no modified version of the font software may use the reserved font name"),
     ("artistic", "semblance", "the package s copyright holder maintains some semblance of artistic control over the development"),

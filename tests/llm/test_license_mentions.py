@@ -37,7 +37,7 @@ def test_mentions_of_the_verdict():
         ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
         ("unlicense", "This is free and unencumbered software released into the public domain."),
         ("zlib", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
-        ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
         ("cc-by-sa-3.0", "licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License"),
         ("ofl", "No Modified Version of the Font Software may use the Reserved Font Name(s) unless"),
         ("proprietary", "Reproduction of this publication is strictly prohibited."),
