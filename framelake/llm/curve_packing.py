@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import U64, id_text, mix, staged
 
 DIMS, BITS = 3, 16
-MEMORY = 800_000
+MEMORY = 600_000
 _MARKS = b".,;:!?"
 _encoders: dict[str, RunEncoder] = {}
 
