@@ -10,6 +10,12 @@ the order of sizes, classes are tied to the first of their run until a step in s
 to be very frequent (FREQUENT at most) are dealt into lists of about HOT classes where they are read, and the runs of such
 lists are chained afterwards; lists of others are as long as they occur, below the count at which that table ends. Both kinds of ties join classes into families.
 
+Such ties hold long texts together that share one line, in families that grow faster than the input. So classes of a family
+first meet by sketches of one to two bits a shingle: the parity of the shingles in each of n cells, n a power of two. The
+cells in which two sketches differ (the longer one folded onto the shorter) are no more than the shingles that one set
+alone has, so pairs that differ in too many can't be linked, and a family falls into those parts that the other pairs
+hold together. Only classes that have such a pair send their sets.
+
 The overlap counts of a family are the product of its incidence matrix with its transpose, computed block by block. A
 family that is too large for one block is dealt into bands of sizes, each a factor t wide, and bands into blocks: only
 blocks of one band or of two neighbouring ones can hold linked sets, and each such pair of blocks is a task of its own,
@@ -47,6 +53,7 @@ WIDTH, PERCENT = 5, 80
 FREQUENT = 1 << 19
 SMALL, HOT = 16, 1000
 BLOCK_ROWS, BLOCK_CELLS, SALTS, PIVOTS, SENT = 1024, 2_000_000, 32, 32, 100_000
+SKETCH_ROWS, SKETCH_CELLS, SKETCH_WORDS = 4096, 32_000_000, 2_000_000
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
@@ -67,10 +74,25 @@ def class_keys(s: np.ndarray) -> tuple[int, int]:
     return first, second
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """The parity of a set's shingles in each of n cells, n the least power of two, 64 at least, not below the set's size."""
+    n = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount((s & U64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Rows of 64-bit words of sketches, as sketches of the same sets with fewer cells."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
 def _profile(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document (size and class), and rows of shingles that occur again here, with their counts."""
-    names = ["doc_id", "size", "cls", "check", "digest", "shingle", "times"]
-    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
+    """A row for each document (size, class and sketch), and rows of shingles that occur again here, with their counts."""
+    names = ["doc_id", "size", "cls", "check", "digest", "sketch", "shingle", "times"]
+    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.binary(), *[pa.int64()] * 2]
     met: set[tuple[int, int]] = set()
     pool: list[np.ndarray] = []
     held = 0
@@ -78,14 +100,14 @@ def _profile(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
     def again() -> pa.RecordBatch:
         u, c = np.unique(np.concatenate(pool) if pool else np.zeros(0, U64), return_counts=True)
         u, c = u[c > 1], c[c > 1]
-        return pa.RecordBatch.from_arrays([*(pa.nulls(len(u), k) for k in kinds[:5]), pa.array(u.view(np.int64)), pa.array(c, pa.int64())], names=names)
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(u), k) for k in kinds[:6]), pa.array(u.view(np.int64)), pa.array(c, pa.int64())], names=names)
 
     for batch in batches:
         rows = []
         for doc_id, text, digest in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             s = shingles(text, width)
             cls = class_keys(s)
-            rows.append((doc_id, len(s), *cls, digest))
+            rows.append((doc_id, len(s), *cls, digest, sketch(s)))
             if cls not in met:
                 if len(met) < 1 << 18:
                     met.add(cls)
@@ -94,7 +116,7 @@ def _profile(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
                 if held > 4_000_000:
                     yield again()
                     pool, held = [], 0
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=False)), *(pa.nulls(len(rows), k) for k in kinds[5:])], names=names)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=False)), *(pa.nulls(len(rows), k) for k in kinds[6:])], names=names)
     yield again()
 
 
@@ -160,6 +182,61 @@ def overlaps(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> n
     return out
 
 
+def _rooted(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots after ties between a and b: hook on the least, then jump."""
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
+def _plausible(key: tuple, table: pa.Table, percent: int) -> pa.Table:
+    """Ties (a, b) of classes whose sketches leave a link possible, of one pair of blocks; key: family, band, step to the
+    other band, i, j. A row of pairs ties its first class to all, and a column its first one, so ties are not squared."""
+    _, once = np.unique(np.stack([table.column(c).to_numpy() for c in ("cls", "block")], axis=1), axis=0, return_index=True)
+    table = table.take(pa.array(once))  # rows that share id and text
+    cls, size, band, block = (table.column(c).to_numpy() for c in ("cls", "size", "band", "block"))
+    low, step, i, j = (k.as_py() for k in key[1:])
+    bits = [np.frombuffer(x, U64) for x in table.column("sketch").to_pylist()]
+    words = np.array([len(b) for b in bits])
+    order = np.argsort(size, kind="stable")
+    left = order[(band[order] == low) & (block[order] == i)]
+    right = order[(band[order] == low + step) & (block[order] == j)]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for wide in np.unique(words[left]):
+        for other in np.intersect1d(np.unique(words[right]), [wide // 2, wide, 2 * wide]):  # the factor of sizes is below two
+            n = min(wide, other)
+            rows, columns = left[words[left] == wide], right[words[right] == other]
+            a, b = (folded(np.stack([bits[k] for k in x]), n) for x in (rows, columns))
+            many = int(max(1, min(256, SKETCH_WORDS // (n * len(columns)))))
+            for at in range(0, len(rows), many):
+                some = rows[at : at + many]
+                lo, hi = np.searchsorted(size[columns], [-(-percent * size[some[0]] // 100), 100 * size[some[-1]] // percent + 1])
+                if lo >= hi:
+                    continue
+                to = columns[lo:hi]
+                apart = np.bitwise_count(a[at : at + many, None, :] ^ b[None, lo:hi, :]).sum(2, dtype=np.int64)
+                x, y = size[some].astype(np.int64)[:, None], size[to].astype(np.int64)[None, :]
+                ok = ((100 + percent) * apart <= (100 - percent) * (x + y)) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (some[:, None] != to[None, :])
+                first = some[ok.argmax(0)]
+                r, c = np.nonzero(ok)
+                chains = np.unique(np.stack([some[r], first[c]]), axis=1) if len(r) else np.zeros((2, 0), np.int64)
+                held = ok.any(0)
+                found += [(to[held], first[held]), (chains[0], chains[1])]
+    root = np.arange(len(cls))
+    use = np.zeros(len(cls), bool)
+    if found:
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        use[a] = use[b] = True
+        root = _rooted(root, a, b)
+    return pa.table({"a": cls[use], "b": cls[root[use]]})
+
+
 def _linked(key: tuple, table: pa.Table, percent: int) -> pa.Table:
     """Ties (rep, root) and numbers of links of one pair of blocks; key: family, band, step to the other band, i, j."""
     _, once = np.unique(np.stack([table.column(c).to_numpy() for c in ("rep", "cls", "block")], axis=1), axis=0, return_index=True)
@@ -189,16 +266,7 @@ def _linked(key: tuple, table: pa.Table, percent: int) -> pa.Table:
         a, b = np.nonzero(ok)
         found.append((rows[a], columns[b]))
     if found:
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        while True:  # hook on the least, then jump
-            low = np.minimum(root[a], root[b])
-            new = root.copy()
-            np.minimum.at(new, root[a], low)
-            np.minimum.at(new, root[b], low)
-            new = new[new]
-            if np.array_equal(new, root):
-                break
-            root = new
+        root = _rooted(root, *(np.concatenate(x) for x in zip(*found, strict=True)))
     use = links > 0
     return pa.table({"rep": reps[use], "root": reps[root[use]], "links": links[use], "cls": table.column("cls").to_numpy()[use]})
 
@@ -249,22 +317,24 @@ def _ties(lists: DataFrame, percent: int, paths: tuple[str, str]) -> DataFrame:
     return close.unionByName(tied).distinct()
 
 
-def _blocks(members: DataFrame, percent: int) -> DataFrame:
+def _blocks(members: DataFrame, percent: int, most: tuple[int, int] | None = None) -> DataFrame:
     """Members with their band, the number of its blocks, and of those of the bands beside it. What belongs to a large
-    family meets its members under SALTS keys; a small one is a block of its own and joins nothing."""
+    family meets its members under SALTS keys; a small one is a block of its own and joins nothing. most: rows and cells
+    of a block."""
+    block_rows, block_cells = most or (BLOCK_ROWS, BLOCK_CELLS)
     salted = members.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
     spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     whole = members.groupBy("family").agg(F.count("*").alias("n"), F.sum("size").alias("cells"))
-    large = whole.where((F.col("n") > BLOCK_ROWS) | (F.col("cells") > BLOCK_CELLS)).select("family", F.lit(True).alias("large"))
+    large = whole.where((F.col("n") > block_rows) | (F.col("cells") > block_cells)).select("family", F.lit(True).alias("large"))
     width = math.log(100 / percent) * (1 + 1e-9)
     banded = staged(salted.join(spread(large), ["family", "salt"], "left").withColumn("band", F.when(F.col("large"), F.floor(F.log("size") / width)).otherwise(0).cast("int")))
-    load = banded.where("large").groupBy("family", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_CELLS)).cast("int").alias("blocks"))
+    load = banded.where("large").groupBy("family", "band").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("size") / block_cells)).cast("int").alias("blocks"))
     beside = lambda by, name: load.select("family", (F.col("band") - by).alias("band"), F.col("blocks").alias(name))
     near = load.join(beside(1, "up"), ["family", "band"], "left").join(beside(-1, "down"), ["family", "band"], "left")
     return banded.join(spread(near), ["family", "band", "salt"], "left").na.fill(1, ["blocks"]).na.fill(0, ["up", "down"])
 
 
-def _block_pairs(sets: DataFrame) -> DataFrame:
+def _block_pairs(sets: DataFrame, columns: tuple[str, ...] = ("rep", "cls", "copies", "band", "block", "hashes")) -> DataFrame:
     """Every set once for each pair of blocks that it belongs to."""
     sets = sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
 
@@ -278,7 +348,16 @@ def _block_pairs(sets: DataFrame) -> DataFrame:
         pairs("up", band, 1, lambda o: own, lambda o: o),
         pairs("down", band - 1, 1, lambda o: o, lambda o: own),
     )
-    return sets.withColumn("to", F.explode(to)).select("rep", "cls", "copies", "band", "block", "hashes", "family", "to.low", "to.step", "to.i", "to.j")
+    return sets.withColumn("to", F.explode(to)).select(*columns, "family", "to.low", "to.step", "to.i", "to.j")
+
+
+def _parted(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(cls, family) of those members that may have a link by their sketches, in the parts that such pairs hold together."""
+    placed = _blocks(members, percent, (SKETCH_ROWS, SKETCH_CELLS)).select("rep", "digest", "cls", "check", "size", "family", "band", "blocks", "up", "down")
+    sent = placed.join(sketches.withColumnRenamed("doc_id", "rep"), ["rep", "digest", "cls", "check"])
+    met = _block_pairs(sent, ("cls", "size", "band", "block", "sketch")).groupBy("family", "low", "step", "i", "j")
+    ties = met.applyInArrow(lambda key, table: _plausible(key, table, percent), "a long, b long")
+    return components(ties).select(F.col("node").alias("cls"), F.col("component").alias("family"))
 
 
 def _with_pivots(members: DataFrame) -> DataFrame:
@@ -363,7 +442,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     spark = docs.sparkSession
     texts = id_text(docs, id_col, text_col)
     digested = texts.withColumn("digest", F.xxhash64("text"))
-    profile = staged(digested.mapInArrow(partial(_profile, width=width), "doc_id long, size int, cls long, check long, digest long, shingle long, times long"))
+    profile = staged(digested.mapInArrow(partial(_profile, width=width), "doc_id long, size int, cls long, check long, digest long, sketch binary, shingle long, times long"))
     frequent = spark.sparkContext.broadcast(_frequent(profile))
     rows = profile.where("times is null").select("doc_id", "size", "cls", "check", "digest")
     grouped = rows.where("size > 0 and doc_id is not null").groupBy("cls", "check", "size")
@@ -377,6 +456,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         drop_staged(spark, path)
 
     members = classes.join(families.select(F.col("node").alias("cls"), F.col("component").alias("family")), "cls")
+    sketches = profile.where("times is null and size > 0 and doc_id is not null").select("doc_id", "digest", "cls", "check", "sketch")
+    members = classes.join(_parted(members, sketches, percent), "cls")
     members = _blocks(members, percent)
 
     def product(placed: Callable[[DataFrame], DataFrame], chosen: DataFrame, few: bool = False) -> DataFrame:
