@@ -7,7 +7,9 @@ stats, ranking or below, and agrees with it on windows that the watermark has cl
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -44,11 +46,15 @@ def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
     query.awaitTermination()
 
 
+_EPOCH, _MILLISECOND = datetime(1970, 1, 1), timedelta(milliseconds=1)
+
+
 class _InOrder(StatefulProcessor):
     """Rows (ts, seq, ...) of one key in the order of ts and seq, however they come: they wait in a list until the watermark
     has passed their ts, so that rows late by less than the watermark's delay change the outcome as they would in a batch.
     What a key needs of its past is one row of state; it leaves when no row has come for the idle time, and rows after such
-    a rest count as those of a new key, wherever batches are cut. Timers are in event time."""
+    a rest count as those of a new key, wherever batches are cut. Timers are in event time, and a key has one for the earliest
+    of the rows that a batch brings or leaves waiting, however many they are: when it rings, all rows that are due go."""
 
     waits = "ts timestamp, seq long, status string, point_id long"
     keeps = ""
@@ -69,26 +75,30 @@ class _InOrder(StatefulProcessor):
         columns = [new[c].astype(object).where(new[c].notna(), None) if c in new else pd.Series([None] * len(new), dtype=object) for c in ("status", "point_id")]
         told = list(zip([t.to_pydatetime() for t in new["ts"]], [int(x) for x in new["seq"]], columns[0], [None if x is None else int(x) for x in columns[1]], strict=True))
         self.waiting.appendList(told)
-        for at in {_ms(t[0]) for t in told}:
-            self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs() + 1))
+        self.handle.registerTimer(max(min(_ms(t[0]) for t in told), timerValues.getCurrentWatermarkInMs() + 1))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         waiting = sorted(self.waiting.get(), key=lambda r: (r[0], r[1])) if self.waiting.exists() else []
-        due = [r for r in waiting if _ms(r[0]) <= now]
+        times = [_ms(r[0]) for r in waiting]
+        due = waiting[: bisect_right(times, now)]
         past = self.past.get() if self.past.exists() else None
         if due:
             late = waiting[len(due) :]
-            self.waiting.put(late) if late else self.waiting.clear()
+            if late:
+                self.waiting.put(late)
+                self.handle.registerTimer(times[len(due)])
+            else:
+                self.waiting.clear()
             last = past[-1] if past else None
             begun = 0
             for i, r in enumerate(due):  # runs of rows without a rest of the idle time between them
-                if last is not None and _ms(r[0]) - last > self.idle_ms:
+                if last is not None and times[i] - last > self.idle_ms:
                     if i > begun:
                         yield self.step(key, past, due[begun:i])[0]
                     past, begun = None, i
-                last = max(_ms(r[0]), last or 0)
+                last = max(times[i], last or 0)
             made, kept = self.step(key, past, due[begun:])
             self.past.update((*kept, last))
             self.handle.registerTimer(last + self.idle_ms)
@@ -103,8 +113,7 @@ class _InOrder(StatefulProcessor):
 
 def _ms(t) -> int:
     """Whole milliseconds since the epoch, in which the watermark counts, of a time without a zone in UTC or with one."""
-    t = pd.Timestamp(t)
-    return (t.tz_convert("UTC").tz_localize(None) if t.tz else t).value // 1_000_000
+    return ((t.astimezone(timezone.utc).replace(tzinfo=None) if t.tzinfo else t) - _EPOCH) // _MILLISECOND
 
 
 class _Changes(_InOrder):
