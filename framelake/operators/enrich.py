@@ -18,20 +18,47 @@ from .joins import segment_for_frame
 Encoder = Callable[[list], list]  # of texts or bytes; None for what can't be read
 
 
+#: Letters whose runs have a table of 8 MB.
+LETTERS = 128
+
+
 def hash_encoder(dim: int = 64) -> Encoder:
     """A text encoder without training: every run of three letters adds +1 or -1 to one of dim places, which its digest
     picks, and the sums are scaled to length 1. Texts that share most of their runs have a cosine near 1. Bytes are
     taken as Latin-1 text; null or empty content can't be read."""
-    places: dict[str, tuple[int, int]] = {}
+    places: dict[str, int] = {}
+    letters = np.full(0x110000, -1, np.int32)  # numbers of the first LETTERS letters that are met
+    known: list[int] = []
+    runs = np.full(LETTERS**3, -1, np.int32)  # places of their runs
 
-    def place(gram: str) -> tuple[int, int]:
+    def place(gram: str) -> int:
+        """Twice the place, and 1 more for +1."""
         if gram not in places:
             if len(places) > 1 << 20:
                 places.clear()
             h = int.from_bytes(hashlib.sha256(gram.encode("utf-8", "surrogatepass")).digest()[:8], "little")
-            places[gram] = (h >> 1) % dim, 1 if h & 1 else -1
+            places[gram] = (h >> 1) % dim * 2 + (h & 1)
         return places[gram]
 
+    def placed(text: str) -> np.ndarray:
+        """The place of every run of a text: by a table, or one by one for runs with letters that have no number."""
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        number = letters[code]
+        if (number < 0).any() and len(known) < LETTERS:
+            new = np.unique(code[number < 0])[: LETTERS - len(known)]
+            letters[new] = np.arange(len(known), len(known) + len(new))
+            known.extend(new.tolist())
+            number = letters[code]
+        at = (number[:-2] * LETTERS + number[1:-1]) * LETTERS + number[2:]
+        other = np.flatnonzero((number[:-2] < 0) | (number[1:-1] < 0) | (number[2:] < 0))
+        at[other] = 0
+        found = runs[at]
+        for i in np.unique(at[found < 0]).tolist():
+            runs[i] = place("".join(chr(known[n]) for n in (i // LETTERS**2, i // LETTERS % LETTERS, i % LETTERS)))
+        found = runs[at]
+        found[other] = [place(text[i : i + 3]) for i in other.tolist()]
+        return found
+
     def encode(items: list) -> list:
         out = []
         for x in items:
@@ -39,9 +66,8 @@ def hash_encoder(dim: int = 64) -> Encoder:
             if not text:
                 out.append(None)
                 continue
-            text = f" {text} "
-            at, sign = zip(*(place(text[i : i + 3]) for i in range(len(text) - 2)), strict=True)
-            v = np.bincount(at, sign, dim)
+            found = placed(f" {text} ")
+            v = np.bincount(found >> 1, np.where(found & 1, 1.0, -1.0), dim)
             out.append(v / max(float(np.linalg.norm(v)), 1e-12))
         return out
 
