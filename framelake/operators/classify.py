@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import date_from_name
+from ..sources.shared import settled
 from .joins import PHASES
 
 
@@ -20,9 +21,18 @@ def with_class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.join(counts.crossJoin(F.broadcast(total)), label).withColumn("weight", F.col("__total") / (F.col("__k") * F.col("__n"))).drop("__n", "__total", "__k")
 
 
+def training_rows(rows: DataFrame, label: str, vector: str, tags: str | None = None) -> DataFrame:
+    """The rows that a forest meets, with weights and doubles in __v: worked out once, then one part for each core. Every
+    part hands over counts of its own for every node that is split, so these grow with the parts and not with the rows."""
+    spark = rows.sparkSession
+    data = settled(with_class_weights(rows.select(label, vector, *([tags] if tags else [])), label))
+    parts = data.repartition(spark.sparkContext.defaultParallelism)
+    return parts.withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+
+
 def train(rows: DataFrame, label: str = "label", vector: str = "vector", tags: str | None = None, trees: int = 200, depth: int = 12, seed: int = 42) -> PipelineModel:
     """A forest over vectors and, if given, multi-hot tags; classes weigh alike."""
-    data = with_class_weights(rows, label).withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    data = training_rows(rows, label, vector, tags)
     index = StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc").fit(data)
     stages: list = [index]
     inputs = ["__v"]

@@ -10,7 +10,7 @@ from ..operators import dedup as D
 from ..operators import ranking as G
 from ..operators import stats as A
 from ..operators.predicates import temporal_search
-from ..sources.shared import scratch
+from ..sources.shared import scratch, settled
 from ..sources.tables import frames, media_files
 from .catalog import query
 from .filter_queries import _A, _ASKED, _MONTHS_SQL, _SEG, _SPEECH, _T, _V, _questions
@@ -28,7 +28,7 @@ def k09(spark, sf_dir):
     rows = _split(spark, sf_dir)
     model = M.train(rows.where("part = 'train'").select("id", "label", "vector"))
     tested = M.predict(model, rows.where("part = 'test'").select("id", "label", "vector"))
-    return A.classifier_report(tested.select("label", F.col("predicted").alias("prediction")))
+    return A.classifier_report(settled(tested.select("label", F.col("predicted").alias("prediction"))))
 
 
 @query("a15_model_sink", "SELECT count(*) AS n, true AS same FROM frames", "frames")
