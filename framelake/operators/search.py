@@ -10,7 +10,7 @@ has, gets no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_QUERIES, PART_ROWS, TURN_QUERIES = 2_000, 50_000, 200_000
 PAIR = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+#: From the ids and vectors of some queries and of some frames, both of one dimension, to rows of PAIR.
+Scorer = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -46,7 +48,8 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank"
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-CELLS = 4_000_000
+#: Scores that a task holds at once, and queries that it turns into a matrix at once.
+CELLS, QUERY_ROWS = 1_000_000, 2_000
 
 
 def _best(unit: np.ndarray, frames: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,6 +64,19 @@ def _best(unit: np.ndarray, frames: np.ndarray, k: int, least: np.ndarray) -> tu
     return query, frame, scores[frame, query]
 
 
+def slices(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most n."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
+def _units(wide: np.ndarray) -> np.ndarray:
+    m = wide.astype(np.float64)
+    size = np.linalg.norm(m, axis=1)
+    return m / np.where(size == 0, 1, size)[:, None]
+
+
 def _by_dimension(ids: list, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Ids and unit vectors of each dimension that occurs."""
     groups: dict[int, list[int]] = {}
@@ -96,7 +112,7 @@ def _product(asked: dict[int, tuple[np.ndarray, np.ndarray]], batches: Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(ids[query]), frame_ids.take(pa.array(frame + at)), pa.array(np.round(score, digits))], schema=PAIR)
 
 
-def _streamed(batches: Iterator[pa.RecordBatch], k: int, threshold: float, digits: int) -> Iterator[pa.RecordBatch]:
+def _streamed(batches: Iterator[pa.RecordBatch], score: Scorer) -> Iterator[pa.RecordBatch]:
     """Rows of (block, part, turn, asks, id, vector) in that order: the frames of a part are held while its queries pass."""
     at: tuple | None = None
     held: list[pa.RecordBatch] = []
@@ -112,16 +128,25 @@ def _streamed(batches: Iterator[pa.RecordBatch], k: int, threshold: float, digit
                 held.append(rows)
                 continue
             if frames is None:
-                whole = pa.Table.from_batches(held).combine_chunks() if held else None
-                frames, held = _grouped(whole), []
-            for d, (ids, unit) in _by_dimension(rows.column(0).to_pylist(), rows.column(1).to_pylist()).items():
-                if d in frames:
-                    frame_ids, vectors = frames[d]
-                    least = np.full(len(unit), threshold - 1e-9)
-                    step = max(64, CELLS // len(unit))
-                    for first in range(0, len(vectors), step):
-                        query, frame, score = _best(unit, vectors[first : first + step], k, least)
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(frame_ids[frame + first]), pa.array(np.round(score, digits))], schema=PAIR)
+                frames, held = _grouped(pa.Table.from_batches(held) if held else None), []
+            for some in slices([rows], QUERY_ROWS):
+                for d, (ids, asked) in _grouped(pa.Table.from_batches([some])).items():
+                    if d in frames:
+                        yield from score(ids, asked, *frames[d])
+
+
+def _best_of_part(k: int, threshold: float, digits: int) -> Scorer:
+    """Scores of some queries with the frames of a part: at least the best k of each query."""
+
+    def run(ids: np.ndarray, asked: np.ndarray, frame_ids: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+        unit = _units(asked)
+        least = np.full(len(unit), threshold - 1e-9)
+        step = max(64, CELLS // len(unit))
+        for first in range(0, len(vectors), step):
+            query, frame, score = _best(unit, vectors[first : first + step], k, least)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(frame_ids[frame + first]), pa.array(np.round(score, digits))], schema=PAIR)
+
+    return run
 
 
 def _grouped(frames: pa.Table | None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -137,18 +162,24 @@ def _grouped(frames: pa.Table | None) -> dict[int, tuple[np.ndarray, np.ndarray]
 
 
 def block_scores(frames: DataFrame, queries: DataFrame, threshold: float, k: int, digits: int) -> DataFrame:
-    """Scores of frames (block, id, vector) with queries (block, query_id, query_vector) of their block. A block's frames
-    are dealt into parts of about PART_ROWS, and its queries, in turns of about TURN_QUERIES, go to each of them."""
+    """Scores of frames (block, id, vector) with queries (block, query_id, query_vector) of their block."""
+    return _met(frames, queries, _best_of_part(k, threshold, digits))
+
+
+def _met(frames: DataFrame, queries: DataFrame, score: Scorer) -> DataFrame:
+    """What score says of frames and queries of a block. A block's frames are dealt into parts of about PART_ROWS, and its
+    queries, in turns of about TURN_QUERIES, go to each of them. Vectors of floats on both sides travel as floats."""
+    floats = dict(frames.dtypes)["vector"] == dict(queries.dtypes)["query_vector"] == "array<float>"
     parts = frames.groupBy("block").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
     turns = queries.groupBy("block").agg(F.ceil(F.count("*") / TURN_QUERIES).cast("int").alias("turns"))
     sizes = F.broadcast(parts.join(turns, "block"))  # one row a block
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    vector = lambda c: F.col(c).cast("array<double>").alias("vector")
+    vector = lambda c: F.col(c).cast("array<float>" if floats else "array<double>").alias("vector")
     own = frames.join(sizes, "block").select(F.col("block").cast("int").alias("block"), dealt("id", "parts").alias("part"), every("turns").alias("turn"), F.lit(0).alias("asks"), F.col("id").cast("long").alias("id"), vector("vector"))
     asked = queries.join(sizes, "block").select(F.col("block").cast("int").alias("block"), every("parts").alias("part"), dealt("query_id", "turns").alias("turn"), F.lit(1).alias("asks"), F.col("query_id").cast("long").alias("id"), vector("query_vector"))
     met = own.unionByName(asked).repartition("block", "part", "turn").sortWithinPartitions("block", "part", "turn", "asks")
-    return met.mapInArrow(lambda batches: _streamed(batches, k, threshold, digits), "query_id long, id long, score double")
+    return met.mapInArrow(lambda batches: _streamed(batches, score), "query_id long, id long, score double")
 
 
 def cosine_scores(frames: DataFrame, queries: DataFrame, threshold: float, k: int = 1 << 30, id_col: str = "id", vector_col: str = "vector", digits: int = 9) -> DataFrame:
@@ -277,7 +308,7 @@ def cell_topk(frames: DataFrame, queries: DataFrame, index: CellIndex, k: int =
     def placed(id_col: str, vector_col: str, probes: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             centres = sent.value.centres
-            for _, unit, ids, vectors in _matched({centres.shape[1]: (np.arange(len(centres)), centres)} if len(centres) else {}, batches):
+            for _, unit, ids, vectors in _matched({centres.shape[1]: (np.arange(len(centres)), centres)} if len(centres) else {}, slices(batches, QUERY_ROWS)):
                 n = min(probes, len(unit))
                 cells = np.argsort(-(vectors.astype(np.float64) @ unit.T), axis=1, kind="stable")[:, :n].ravel()
                 at = pa.array(np.repeat(np.arange(len(ids)), n))

@@ -99,3 +99,19 @@ def test_projections_reach_their_recall(spark, sf):
     near = {(r.query_id, r.id): r.score for r in S.lsh_candidates(f, q).collect()}
     assert exact and len(exact & near.keys()) >= 0.9 * len(exact)
     assert min(near.values()) >= 1 - 1.1**2 / 2 - 1e-6
+
+
+def test_a_task_holds_few_scores_at_once():
+    """A part's frames meet a batch of queries in slices: what a task allocates does not follow the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    rows = lambda n, asks: pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32))] * 3 + [pa.array(np.full(n, asks, np.int32)), pa.array(np.arange(n)), pa.array(list(rng.normal(size=(n, 8)).astype(np.float32)))], names=["block", "part", "turn", "asks", "id", "vector"])
+    made = [rows(3_000, 0), rows(10_000, 1)]
+    tracemalloc.start()
+    found = sum(b.num_rows for b in S._streamed(iter(made), S._best_of_part(3, 0.0, 9)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found >= 30_000 and peak < 40e6, peak
