@@ -39,9 +39,9 @@ def cosine(a: Column, b: Column, epsilon: float = 0.0) -> Column:
 
 
 def l2_normalise(a: Column) -> Column:
-    """A vector of norm 0 stays as it is."""
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    """A vector of norm 0 stays as it is. The norm is an element of an array, else it is worked out for each component."""
+    size = F.array(norm(a))
+    return F.element_at(F.transform(size, lambda n: F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))), 1)
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
@@ -256,17 +256,46 @@ def grouped_topk(hits: DataFrame, group: str = "file_path", limit: int = 10, gro
     return inside.join(best.select("query_id", group, "place"), ["query_id", group])
 
 
+def _within(radius: float, tables: int) -> Scorer:
+    """Of vectors that end with a bucket for each table: pairs nearer than the radius that share a bucket in some table."""
+
+    def run(ids: np.ndarray, asked: np.ndarray, frame_ids: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        wanted = asked[:, :-tables]
+        least = (np.square(wanted).sum(axis=1) - radius**2) / 2 - 1e-9
+        step = max(64, CELLS // len(asked))
+        for first in range(0, len(rows), step):
+            part = rows[first : first + step]
+            vectors = part[:, :-tables]
+            frame, query = np.nonzero(vectors @ wanted.T >= least + np.square(vectors).sum(axis=1)[:, None] / 2)
+            for at in range(0, len(frame), QUERY_ROWS):
+                f, q = frame[at : at + QUERY_ROWS], query[at : at + QUERY_ROWS]
+                far = np.square(vectors[f] - wanted[q]).sum(axis=1)
+                kept = (np.sqrt(far) < radius) & (part[f, -tables:] == asked[q, -tables:]).any(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q[kept]]), pa.array(frame_ids[f[kept] + first]), pa.array(1 - far[kept] / 2)], schema=PAIR)
+
+    return run
+
+
 def lsh_candidates(frames: DataFrame, queries: DataFrame, bucket: float = 0.6, tables: int = 12, radius: float = 1.1, seed: int = 7) -> DataFrame:
     """(query_id, id, score) by bucketed random projections of normalised vectors within a distance; approximate, and blind
-    below the cosine that the distance stands for (1.1: 0.395). Cells reach lower ones."""
+    below the cosine that the distance stands for (1.1: 0.395). Cells reach lower ones.
+
+    The rows are those of approxSimilarityJoin. That joins on buckets, and as a unit vector's projection falls into one of
+    two or three so wide ones, it makes about tables / 2 rows, with both vectors, of every pair there is. Here parts of
+    frames meet the queries, and pairs within the distance are asked whether they share a bucket. A row without a vector
+    has no candidates."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    def units(df: DataFrame, key: str, vector: str) -> DataFrame:
+        own = df.where(F.col(vector).isNotNull() & (F.size(vector) > 0))
+        return own.select(F.lit(0).alias("block"), F.col(key).cast("long").alias(key), array_to_vector(l2_normalise(F.col(vector))).alias("features"))
 
-    left = frames.select(F.col("id"), array_to_vector(l2_normalise(F.col("vector"))).alias("features"))
-    right = queries.select("query_id", array_to_vector(l2_normalise(F.col("query_vector"))).alias("features"))
+    left, right = units(frames, "id", "vector"), units(queries, "query_id", "query_vector")
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(left)
-    near = model.approxSimilarityJoin(left, right, radius, distCol="distance")
-    return near.select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.id").alias("id"), (1 - F.col("distance") ** 2 / 2).alias("score"))
+    buckets = F.concat(*[vector_to_array(F.col("hashes")[i]) for i in range(tables)])
+    both = lambda df, key, name: model.transform(df).select("block", key, F.concat(vector_to_array("features"), buckets).alias(name))
+    return _met(both(left, "id", "vector"), both(right, "query_id", "query_vector"), _within(radius, tables)).distinct()
 
 
 @dataclass(frozen=True)

@@ -101,6 +101,27 @@ def test_projections_reach_their_recall(spark, sf):
     assert min(near.values()) >= 1 - 1.1**2 / 2 - 1e-6
 
 
+def test_projections_give_the_rows_of_the_join(spark):
+    """Blocks of pairs give what MLlib's join on buckets gives, zero vectors too, and no join makes rows of pairs."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    frames = clustered(spark, 400, groups=30, d=12).unionByName(spark.createDataFrame([(900, [0.0] * 12)], "id long, vector array<float>"))
+    q = asked(frames, 9)
+    vec = lambda c: array_to_vector(S.l2_normalise(F.col(c))).alias("features")
+    for bucket, tables in ((0.6, 12), (0.2, 2)):
+        left, right = frames.select("id", vec("vector")), q.select("query_id", vec("query_vector"))
+        model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(left)
+        joined = model.approxSimilarityJoin(left, right, 1.1, distCol="d").collect()
+        want = {(r.datasetB.query_id, r.datasetA.id): 1 - r.d**2 / 2 for r in joined}
+        near = S.lsh_candidates(frames, q, bucket, tables)
+        got = near.collect()
+        assert len(got) == len(want) > 400 and all(abs(want[r.query_id, r.id] - r.score) < 1e-9 for r in got)
+        assert "entry" not in near._jdf.queryExecution().optimizedPlan().toString()  # MLlib's column of buckets
+    odd = frames.unionByName(spark.createDataFrame([(901, None), (902, [])], "id long, vector array<float>"))
+    assert S.lsh_candidates(odd, q).count() == S.lsh_candidates(frames, q).count()
+
+
 def test_a_task_holds_few_scores_at_once():
     """A part's frames meet a batch of queries in slices: what a task allocates does not follow the batch."""
     import tracemalloc
