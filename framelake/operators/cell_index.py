@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..sources.keyed_store import Folder, VersionTaken
 from ..sources.shared import settled
-from .search import block_scores, l2_normalise, ranked
+from .search import QUERY_ROWS, block_scores, l2_normalise, ranked, slices
 
 SAMPLE, MOST_CELLS = 20_000, 4_096
 #: Slack for rounding in angles and scores.
@@ -68,7 +68,7 @@ def _units(vectors: pa.Array, d: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _placed(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     centres = sent.value
-    for batch in batches:
+    for batch in slices(batches, QUERY_ROWS):
         cell, angle = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
         at, unit = _units(batch.column(1), centres.shape[1])
         if len(at):
@@ -80,7 +80,7 @@ def _placed(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
 def _bounds(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     """For each query and cell: the greatest cosine that the cell can offer, and the cell's place in the order of visits."""
     centres, cells, least, most = sent.value
-    for batch in batches:
+    for batch in slices(batches, QUERY_ROWS):
         lengths = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         bound = np.ones((batch.num_rows, len(cells)))
         near = np.zeros((batch.num_rows, len(cells)))
@@ -175,7 +175,7 @@ class CellIndex:
         facts = sorted((r.cell, r.least, r.most) for r in self.facts().collect())  # one row a cell
         cells, least, most = (np.array([f[i] for f in facts], t) for i, t in enumerate((np.int32, np.float64, np.float64)))
         sent = self.spark.sparkContext.broadcast((self.centres(), cells, least - SLACK, most + SLACK))
-        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vector").cast("array<double>").alias("query_vector"))
+        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "query_vector")
         bounds = settled(asked.mapInArrow(lambda b: _bounds(b, sent), "query_id long, block int, bound double, place int").where(F.col("bound") >= threshold - SLACK))
         hits = self.spark.createDataFrame([], "query_id long, id long, score double")
         visits = self.spark.createDataFrame([], "query_id long, block int, round int")
