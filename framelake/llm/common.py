@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Rows of whole texts that are held at once, on their way to Python and in it. The 10,000 that Spark hands over unasked
+#: are 45 MB of long texts, of which an executor and its workers hold several copies and keep the memory of most.
+TEXTS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _MULT = 0x9E3779B97F4A7C15 | 1
 _POW = np.ones(1, U64)
 _INV = np.ones(1, U64)
@@ -57,6 +64,30 @@ def staged(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run inside hands Python at most TEXTS rows at once; the session's own limit, if less, stays, and is put back."""
+    before = spark.conf.get(_BATCH, None)
+    if before is None or not 0 < int(before) <= TEXTS:
+        spark.conf.set(_BATCH, TEXTS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+
+
+def staged_texts(df: DataFrame) -> DataFrame:
+    """As staged, for what reads whole texts or sets in Python."""
+    with small_batches(df.sparkSession):
+        return staged(df)
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most TEXTS at once."""
+    for batch in batches:
+        yield from (batch.slice(i, TEXTS) for i in range(0, batch.num_rows, TEXTS))
+
+
 def drop_staged(spark: SparkSession, path: str) -> None:
     """Remove a staged folder whose last reader is done."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, id_text, mix, staged
+from .common import U64, id_text, mix, sliced, staged, staged_texts
 
 DIMS, BITS = 3, 16
-MEMORY = 600_000
+MEMORY = 200_000
 _MARKS = b".,;:!?"
 _encoders: dict[str, RunEncoder] = {}
 
@@ -66,7 +66,6 @@ class RunEncoder:
         if any(x.normalized or x.lstrip or x.rstrip or x.single_word for x in added.values()):
             raise ValueError("special tokens are found as they are spelt, with nothing around them")
         self.tokenizer.encode_special_tokens = True  # runs are in lower case, where a special token's letters are no special token
-        self.splitter = Tokenizer.from_file(path)
         self.between, self.end = next(((x.content, i) for i, x in added.items()), (None, None))
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
@@ -123,7 +122,11 @@ class RunEncoder:
             runs, told = [runs[i] for i in plain], [told[i] for i in plain]
         if not runs:
             return
-        ids = np.array(self.splitter.encode_batch_fast([self.between.join(told)], add_special_tokens=False)[0].ids, "<u2")
+        self.tokenizer.encode_special_tokens = False  # one tokenizer serves both ways, as it takes 24 MB of a worker
+        try:
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(told)], add_special_tokens=False)[0].ids, "<u2")
+        finally:
+            self.tokenizer.encode_special_tokens = True
         ends = np.append(np.flatnonzero(ids == self.end), len(ids))
         raw = ids.tobytes()
         yield from zip(runs, (raw[a:b] for a, b in zip([0, *(2 * ends[:-1] + 2).tolist()], (2 * ends).tolist(), strict=True)), strict=True)
@@ -213,11 +216,10 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                ids = [x + end for x in e.encode(part.column(1).to_pylist())]
-                keys = curve_keys([np.frombuffer(x, "<u2") for x in ids])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "curve", "ids"])
+        for batch in sliced(batches):
+            ids = [x + end for x in e.encode(batch.column(1).to_pylist())]
+            keys = curve_keys([np.frombuffer(x, "<u2") for x in ids])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "curve", "ids"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n long, curve long, ids binary")
 
@@ -255,7 +257,7 @@ def _cutter(size: int):
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, raw, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 wide = np.frombuffer(raw, "<u2").astype("<u4")
@@ -272,7 +274,7 @@ def _cutter(size: int):
 
 def pack_along_curve(docs: DataFrame, size: int = 4096, path: str | None = None, end_id: int = 2) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence."""
-    rows = staged(tokenized(docs, path, end_id).withColumn("row", F.monotonically_increasing_id()))
+    rows = staged_texts(tokenized(docs, path, end_id).withColumn("row", F.monotonically_increasing_id()))
     low = 63 - DIMS * BITS
     key = F.shiftleft("curve", low).bitwiseOR(F.shiftrightunsigned(F.xxhash64("row"), 64 - low))
     offsets = curve_offsets(rows.select("row", key.alias("key"), "n"))

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import U64, drop_staged, id_text, mix, span_hashes, staged, staged_path, windows, words_of
+from .common import U64, drop_staged, id_text, mix, small_batches, span_hashes, staged, staged_path, staged_texts, windows, words_of
 from .graph import components
 
 WIDTH, PERCENT = 5, 80
@@ -442,7 +442,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     spark = docs.sparkSession
     texts = id_text(docs, id_col, text_col)
     digested = texts.withColumn("digest", F.xxhash64("text"))
-    profile = staged(digested.mapInArrow(partial(_profile, width=width), "doc_id long, size int, cls long, check long, digest long, sketch binary, shingle long, times long"))
+    profile = staged_texts(digested.mapInArrow(partial(_profile, width=width), "doc_id long, size int, cls long, check long, digest long, sketch binary, shingle long, times long"))
     frequent = spark.sparkContext.broadcast(_frequent(profile))
     rows = profile.where("times is null").select("doc_id", "size", "cls", "check", "digest")
     grouped = rows.where("size > 0 and doc_id is not null").groupBy("cls", "check", "size")
@@ -451,7 +451,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
     lists = texts.where("doc_id is not null").select("text").mapInArrow(partial(_prefixes, width=width, percent=percent, hot=HOT, frequent=frequent), "shingle long, salt int, cls long, size int")
     paths = staged_path(spark), staged_path(spark)
-    families = components(_ties(lists, percent, paths))
+    with small_batches(spark):
+        families = components(_ties(lists, percent, paths))
     for path in paths:  # the ties are written by now
         drop_staged(spark, path)
 
@@ -467,7 +468,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         kept = [f for f in asked.schema.fields if f.name not in ("text", "check")]
         sets = asked.mapInArrow(partial(_sets, width=width), StructType([*kept, StructField("hashes", BinaryType())]))
         tied = placed(sets).groupBy("family", "low", "step", "i", "j")
-        return staged(tied.applyInArrow(lambda key, table: _linked(key, table, percent), "rep long, root long, links long, cls long"))
+        return staged_texts(tied.applyInArrow(lambda key, table: _linked(key, table, percent), "rep long, root long, links long, cls long"))
 
     tied = lambda linked: linked.select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()
     columns = ["digest", "rep", "cls", "check", "family", "copies", "band", "blocks", "up", "down"]
